@@ -19,12 +19,30 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwick.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnwick.llm.token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), tokenizer(), limit=512)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwick.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tiles")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwick.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer(), capacity=1024, end_id=2)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnwick.llm.quality_rules import quality_verdicts
 
@@ -53,7 +71,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_token_counts": op2_token_counts,
+    "op3_decontamination": op3_decontamination,
+    "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
     "op9_url_filter": op9_url_filter,
     "op10_secret_scan": op10_secret_scan,
