@@ -168,8 +168,8 @@ def quality_verdicts(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    class_limit: float = 0.2,
-    word_limit: float = 0.45,
+    class_limit: float = 0.25,
+    word_limit: float = 0.28,
     min_chars: int = 100,
     min_words: int = 100,
 ) -> DataFrame:
