@@ -49,6 +49,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwick.llm.license_scan import license_matches
+
+    return license_matches(table(spark, sf_dir, "documents"))
+
+
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """url, bad of pages: the number in a page's path names its document; bad is its label, of low quality or toxic."""
     pages = table(spark, sf_dir, "pages").select("url", F.regexp_extract("url", r"://[^/?#]*/[^?#]*?([0-9]{1,18})(?:\.html)?/?(?:[?#]|$)", 1).alias("number"))
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_license_scan": op6_license_scan,
     "op9_url_filter": op9_url_filter,
     "op10_secret_scan": op10_secret_scan,
 }
