@@ -61,6 +61,12 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=5, percent=80)
 
 
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwick.llm.quality_model import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """url, bad of pages: the number in a page's path names its document; bad is its label, of low quality or toxic."""
     pages = table(spark, sf_dir, "pages").select("url", F.regexp_extract("url", r"://[^/?#]*/[^?#]*?([0-9]{1,18})(?:\.html)?/?(?:[?#]|$)", 1).alias("number"))
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_license_scan": op6_license_scan,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_quality_model": op8_quality_model,
     "op9_url_filter": op9_url_filter,
     "op10_secret_scan": op10_secret_scan,
 }
