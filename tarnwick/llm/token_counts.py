@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 from bisect import bisect_left
+from operator import itemgetter
 
 import numpy as np
 import regex
@@ -23,9 +24,11 @@ from pyspark.sql import functions as F
 
 from tarnwick.llm.common import arrow_rows
 
-#: Pieces kept by one worker; beyond it the tables start anew.
-KEPT_PIECES = 300_000
+#: Pieces of one generation of a worker's tables, some 100 bytes each; two generations are kept.
+KEPT_PIECES = 600_000
 KEPT_PAIRS = 1_000_000
+#: The count of a whole piece, last in its table.
+whole = itemgetter(-1)
 
 
 def byte_letters() -> dict[str, int]:
@@ -62,8 +65,8 @@ class PrefixCounter:
         self.plain = regex.compile(public_tokenizers.PATTERN).findall
         self.splitter = Tokenizer.from_file(path).pre_tokenizer
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.tables: dict[str, list[int]] = {}
-        self.total: dict[str, int] = {}
+        self.tables: dict[str, bytes | list[int]] = {}
+        self.older: dict[str, bytes | list[int]] = {}
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of a text.
@@ -109,38 +112,38 @@ class PrefixCounter:
     def byte_table(self, data: bytes) -> list[int]:
         """counts[i]: tokens of the first i bytes of one piece, by dynamic programming over prefixes."""
         n = len(data)
-        last, counts, ids = [-1] * (n + 1), [0] * (n + 1), self.ids
+        last, counts, ids, pairs, longest = [-1] * (n + 1), [0] * (n + 1), self.ids, self.pairs, self.longest
         for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
-                token = ids.get(data[j:i])
-                if token is not None and (j == 0 or self.compatible(last[j], token)):
-                    last[i], counts[i] = token, counts[j] + 1
-                    break
+            for j in range(max(0, i - longest), i):
+                part = data[j:i]
+                if part in ids:
+                    token = ids[part]
+                    if j == 0 or (pairs[last[j], token] if (last[j], token) in pairs else self.compatible(last[j], token)):
+                        last[i], counts[i] = token, counts[j] + 1
+                        break
         return counts
 
-    def table(self, piece: str) -> list[int]:
+    def table(self, piece: str) -> bytes | list[int]:
         """counts[k]: tokens of the first k characters of a piece, each prefix split as a text of its own."""
         known = self.tables.get(piece)
         if known is None:
-            if len(self.tables) >= KEPT_PIECES:
-                self.tables.clear()
-                self.total.clear()
-            if piece.isascii():
-                known = self.byte_table(piece.encode())
-            else:
-                ends = np.cumsum([0, *(len(c.encode()) for c in piece)])
+            known = self.older.get(piece)
+            if known is None:
                 counts = self.byte_table(piece.encode())
-                known = [counts[e] for e in ends]
-            if piece in ("'ll", "'ve", "'re"):  # two letters of them are two pieces
-                known = [0, 1, 2, known[3]]
+                if not piece.isascii():
+                    at, ends = 0, [0]
+                    for c in piece:
+                        at += len(c.encode())
+                        ends.append(at)
+                    counts = [counts[e] for e in ends]
+                if piece in ("'ll", "'ve", "'re"):  # two letters of them are two pieces
+                    counts = [0, 1, 2, counts[3]]
+                known = bytes(counts) if max(counts) < 256 else counts
+            if len(self.tables) >= KEPT_PIECES:
+                self.tables, self.older = {}, self.tables
             self.tables[piece] = known
         return known
 
-    def count_piece(self, piece: str) -> int:
-        total = self.table(piece)[-1]
-        self.total[piece] = total
-        return total
-
     def prefixes(self, text: str | None) -> "TextPrefixes":
         return TextPrefixes(self, text or "")
 
@@ -153,7 +156,7 @@ class TextPrefixes:
 
     def __init__(self, of: PrefixCounter, text: str):
         self.of, self.text = of, text
-        known, words, special = of.total, [], []
+        words, special = [], []
         if of.special_re is None or not any(s in text for s in of.special):
             words = of.pieces(text)
         else:
@@ -166,9 +169,11 @@ class TextPrefixes:
             words += of.pieces(text[at:])
         self.words, self.special = words, set(special)
         try:
-            counts = list(map(known.__getitem__, words)) if not special else [1 if k in self.special else of.count_piece(w) for k, w in enumerate(words)]
+            counts = list(map(whole, map(of.tables.__getitem__, words)))
         except KeyError:
-            counts = [known[w] if w in known else of.count_piece(w) for w in words]
+            counts = [whole(of.table(w)) for w in words]
+        for k in special:
+            counts[k] = 1
         self.counts = counts
         self.n_tokens = sum(counts)
         self._ends = self._sums = None
