@@ -55,3 +55,23 @@ def arrow_rows(frame: DataFrame, function, schema: str) -> DataFrame:
 def text_bytes(column: str = "text"):
     """The UTF-8 bytes of a text column, null as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
+
+
+def keep_rows(docs: DataFrame, predicate) -> DataFrame:
+    """The rows of docs that a predicate, made anew in each task by predicate(), keeps.
+
+    The predicate takes a record batch and gives a flag for each row. All columns go through as
+    they are, and no row moves to another partition.
+    """
+
+    def run(batches):
+        kept = predicate()
+        for b in batches:
+            yield b.filter(pa.array(kept(b), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def joined_if_small(rows: int, most: int, frame: DataFrame) -> DataFrame:
+    """A counted table, broadcast up to `most` rows; beyond it Spark shuffles both sides."""
+    return F.broadcast(frame) if rows <= most else frame

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import arrow_rows
+from tarnwick.llm.common import arrow_rows, keep_rows
 
 WORD = re.compile(r"\w+")
 #: Tokens of one benchmark block: some 100 MB in a task at most.
@@ -208,3 +208,18 @@ def contaminated(
     for items in blocks(benchmark, id_col=item_col, text_col=item_text_col, least=least, block_tokens=block_tokens):
         out = scan(items) if out is None else out.unionByName(scan(items))
     return out if out is not None else scan([])
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, least: int = 4, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """The rows of docs that no item contaminates, with all their columns; no row is moved."""
+
+    def clean_of(items):
+        def predicate():
+            block = Block(items, least)
+            return lambda batch: [not any(covered >= threshold * size for _, covered, size, _, _ in block.search(x.as_py())) for x in batch.column(text_col)]
+
+        return predicate
+
+    for items in blocks(benchmark, item_col, item_text_col, least, block_tokens):
+        docs = keep_rows(docs, clean_of(items))
+    return docs

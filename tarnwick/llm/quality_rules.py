@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import arrow_rows, stash
+from tarnwick.llm.common import arrow_rows, keep_rows, stash
 
 SPACE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -80,6 +80,21 @@ def repeated_words(words: list[bytes], width: int = 8) -> int:
     return int((np.cumsum(edge)[:-1] > 0).sum())
 
 
+PLACES = {lang: {w.encode(): k for k, w in enumerate(words)} for lang, words in COMMON_WORDS.items()}
+
+
+def histograms(text: bytes, n_words: int, lang: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the character classes, and of the language's common words and of all others."""
+    kinds = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+    classes = np.bincount(KIND, kinds, 9)[:8].astype(np.int32)
+    place = PLACES.get(lang)
+    if place is None:
+        return classes, np.zeros(0, np.int32)
+    hits = [k for k in map(place.get, text.lower().split()) if k is not None]
+    seen = np.bincount(hits, minlength=len(place)) if hits else np.zeros(len(place), np.int64)
+    return classes, np.append(seen, n_words - len(hits)).astype(np.int32)
+
+
 def base_counts(text: bytes) -> tuple[list[bytes], int, int, int, int]:
     """The words and word_chars, n_symbols, n_dup_lines, n_repeat_words of a text."""
     words = text.split()
@@ -89,6 +104,10 @@ def base_counts(text: bytes) -> tuple[list[bytes], int, int, int, int]:
     return words, chars, len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
+def base_fails(n_words: int, n_repeat_words: int) -> bool:
+    return n_words < 20 or 100 * n_repeat_words > 30 * n_words
+
+
 SCANNED = (
     "row long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
     " base_failed boolean, classes array<int>, common array<int>"
@@ -97,7 +116,6 @@ SCANNED = (
 
 def scan(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """One row per text with its base counts and histograms."""
-    places = {lang: {w.encode(): k for k, w in enumerate(words)} for lang, words in COMMON_WORDS.items()}
 
     def run(batches):
         for b in batches:
@@ -109,16 +127,10 @@ def scan(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFram
                 n = len(words)
                 for k, v in (("n_words", n), ("word_chars", chars), ("n_symbols", symbols), ("n_dup_lines", lines), ("n_repeat_words", repeats)):
                     out[k].append(v)
-                out["base_failed"].append(n < 20 or 100 * repeats > 30 * n)
-                kinds = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-                out["classes"].append(np.bincount(KIND, kinds, 9)[:8].astype(np.int32))
-                place = places.get(lang)
-                if place is None:
-                    out["common"].append([])
-                else:
-                    hits = list(filter(None.__ne__, map(place.get, text.lower().split())))
-                    seen = np.bincount(hits, minlength=len(place)) if hits else np.zeros(len(place), np.int64)
-                    out["common"].append(np.append(seen, n - len(hits)).astype(np.int32))
+                out["base_failed"].append(base_fails(n, repeats))
+                classes, common = histograms(text, n, lang)
+                out["classes"].append(classes)
+                out["common"].append(common)
             yield out
 
     read = docs.select(F.monotonically_increasing_id(), F.col(id_col).cast("long"), F.col(lang_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
@@ -198,3 +210,29 @@ def quality_verdicts(
 
     schema = "row long, doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean"
     return arrow_rows(scanned, run, schema)
+
+
+def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", class_limit: float = 0.25, word_limit: float = 0.28, min_chars: int = 100, min_words: int = 100) -> DataFrame:
+    """The rows of docs that quality_verdicts keeps, with all their columns: two scans and no shuffle of texts."""
+    known = references(scan(docs.withColumn("_row", F.lit(0)), "_row", text_col, lang_col), 20)
+
+    def predicate():
+        def keep(batch):
+            out = []
+            for lang, value in zip(batch.column(lang_col).to_pylist(), batch.column(text_col)):
+                text = (value.as_py() or "").encode()
+                n = len(text.split())
+                fine = not base_fails(n, repeated_words(text.split()))
+                if fine and known:
+                    classes, common = histograms(text, n, lang)
+                    near, far = known.get(lang if lang in COMMON_WORDS else "", (None, None))
+                    if near is not None and classes.sum() >= min_chars:
+                        fine = js_distance(classes[None], near)[0] <= class_limit
+                    if fine and far is not None and n >= min_words:
+                        fine = js_distance(common[None], far)[0] <= word_limit
+                out.append(bool(fine))
+            return out
+
+        return keep
+
+    return keep_rows(docs, predicate)

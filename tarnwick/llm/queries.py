@@ -85,7 +85,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnwick.llm.secret_scan import secret_spans
 
-    return secret_spans(table(spark, sf_dir, "documents")).drop("row", "all_spans")
+    return secret_spans(table(spark, sf_dir, "documents")).drop("row", "key", "all_spans")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

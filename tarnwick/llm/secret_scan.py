@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnwick.llm.common import arrow_rows, stash
+from tarnwick.llm.common import arrow_rows, joined_if_small, stash
 
 KINDS = ("assign", "access", "hex", "live")
 #: The base patterns. The last two are written with their least length, which for
@@ -76,8 +76,10 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+#: Texts with spans up to which their spans are broadcast, when they are put back to the texts.
+BROADCAST_ROWS = 200_000
 SCANNED = (
-    "row long, doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>,"
+    "row long, doc_id long, key long, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>,"
     " cand array<struct<start:int,end:int,hash:binary>>, owner string, repo string"
 )
 
@@ -87,8 +89,8 @@ def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col:
 
     def run(batches):
         for b in batches:
-            row, ids, texts, owners, repos = (b.column(k) for k in range(5))
-            out = {"row": row, "doc_id": ids, "owner": owners, "repo": repos} | {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "base", "cand")}
+            row, ids, key, texts, owners, repos = (b.column(k) for k in range(6))
+            out = {"row": row, "doc_id": ids, "key": key, "owner": owners, "repo": repos} | {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "base", "cand")}
             for t in texts.to_pylist():
                 base = base_spans(t or "")
                 spans = [x[:3] for x in base]
@@ -100,7 +102,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col:
             yield out
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    read = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text(owner_col).alias("owner"), text(repo_col).alias("repo"))
+    read = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"), text(owner_col).alias("owner"), text(repo_col).alias("repo"))
     return arrow_rows(read, run, SCANNED)
 
 
@@ -120,7 +122,7 @@ def secret_spans(
     max_owners: int = 1,
     max_repos: int = 3,
 ) -> DataFrame:
-    """row, doc_id, n_assign, n_access, n_hex, base_sha256, spans, all_spans of every text.
+    """row, doc_id, key (the text's xxhash64), n_assign, n_access, n_hex, base_sha256, spans, all_spans of every text.
 
     A candidate is live if at most max_owners owners and max_repos repositories have it.
     """
@@ -133,7 +135,7 @@ def secret_spans(
     spans = F.array_sort(F.concat("base", F.coalesce("live", F.array().cast(T.ArrayType(scanned.schema["base"].dataType.elementType)))))
     names = F.array(*map(F.lit, KINDS))
     text = F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
-    return scanned.join(added, "row", "left").select("row", "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", text.alias("spans"), spans.alias("all_spans"))
+    return scanned.join(added, "row", "left").select("row", "doc_id", "key", "n_assign", "n_access", "n_hex", "base_sha256", text.alias("spans"), spans.alias("all_spans"))
 
 
 def redact(text: str, spans: list[tuple[int, int]], mark: str) -> str:
@@ -146,3 +148,33 @@ def redact(text: str, spans: list[tuple[int, int]], mark: str) -> str:
             out += [text[at:start], mark]
         at = end
     return "".join(out) + text[at:]
+
+
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", mark: str = "[secret]", **scan_options) -> DataFrame:
+    """docs with every span of secret_spans replaced by the mark, and the column of text lengths set anew.
+
+    Spans are put back by id and text hash. Their table is broadcast while it is small (it is counted), else
+    both sides are shuffled by id.
+    """
+    found = secret_spans(docs, id_col, text_col, **scan_options).filter(F.size("all_spans") > 0)
+    found = stash(found.groupBy("doc_id", "key").agg(F.first("all_spans").alias("all_spans")), "secret-spans")
+    found = joined_if_small(found.count(), BROADCAST_ROWS, found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("all_spans").alias("_spans")))
+    held = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_key")), "left").drop("_id", "_key")
+    names, place = docs.columns, docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            spans = b.column(len(names)).to_pylist()
+            columns = [b.column(k) for k in range(len(names))]
+            if any(spans):
+                texts = [redact(t, [(x["start"], x["end"]) for x in s], mark) if s else t for t, s in zip(columns[place].to_pylist(), spans)]
+                columns[place] = pa.array(texts, columns[place].type)
+                if chars_col:
+                    at = names.index(chars_col)
+                    counts = [len(t) if s else n for t, s, n in zip(texts, spans, columns[at].to_pylist())]
+                    columns[at] = pa.array(counts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return held.mapInArrow(run, docs.schema)
