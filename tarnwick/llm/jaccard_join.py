@@ -36,7 +36,7 @@ from tarnwick.llm.common import arrow_rows, stash, text_bytes
 from tarnwick.llm.components import components
 
 #: N-grams and classes of one batch of postings.
-BATCH_GRAMS, BATCH_CLASSES = 1_500_000, 60_000
+BATCH_GRAMS, BATCH_CLASSES = 700_000, 60_000
 #: Classes up to which their ids are broadcast: 8 bytes each.
 BROADCAST_ROWS = 1_000_000
 #: Sets of a cluster that one task takes, and of a block of larger clusters.
@@ -89,7 +89,6 @@ def postings(docs: DataFrame, n: int, bits: int) -> DataFrame:
         def flush():
             nonlocal count
             batch, count = (part << 32) + count, count + 1
-            sizes = [len(g) for g in grams]
             out = {k: [] for k in ("bucket", "batch", "grams", "at", "ids", "of", "sizes", "digests", "here")}
 
             def emit(**row):
@@ -99,7 +98,7 @@ def postings(docs: DataFrame, n: int, bits: int) -> DataFrame:
             here = np.zeros(len(grams), np.int32)
             if grams:
                 h = np.concatenate(grams)
-                c = np.repeat(np.arange(len(grams), dtype=np.uint16), sizes)
+                c = np.repeat(np.arange(len(grams), dtype=np.uint16), list(map(len, grams)))
                 order = np.argsort(h)
                 h, c = h[order], c[order]
                 first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
@@ -119,7 +118,7 @@ def postings(docs: DataFrame, n: int, bits: int) -> DataFrame:
             )
             return out
 
-        ids, of, grams, classes, total = [], [], [], {}, 0
+        ids, of, grams, sizes, classes, total = [], [], [], [], {}, 0
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 g = gram_hashes(text.as_py(), n)
@@ -127,14 +126,15 @@ def postings(docs: DataFrame, n: int, bits: int) -> DataFrame:
                 key = digest(g)
                 if key not in classes:
                     classes[key] = len(classes)
-                    grams.append(g if doc is not None else g[:0])
+                    grams.append(g if doc is not None else g[:0])  # a text without id links nothing
+                    sizes.append(len(g))
                     total += len(g)
                 elif doc is not None and not len(grams[classes[key]]):
                     grams[classes[key]] = g
                 of.append(classes[key] if doc is not None else ~classes[key])  # negative: no id
                 if total >= BATCH_GRAMS or len(classes) >= BATCH_CLASSES or len(ids) >= 4 * BATCH_CLASSES:
                     yield flush()
-                    ids, of, grams, classes, total = [], [], [], {}, 0
+                    ids, of, grams, sizes, classes, total = [], [], [], [], {}, 0
         if ids:
             yield flush()
 
