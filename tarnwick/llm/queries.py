@@ -101,4 +101,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: SQL for DuckDB. The other operators of this subpackage follow algorithms that SQL does not express; tests/llm holds those against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op9_url_filter": r"""
+WITH cut AS (
+    SELECT page_id, url, instr(url, '://') AS place, substr(url, instr(url, '://') + 3) AS rest FROM pages
+), read AS (
+    SELECT page_id, url,
+        translate(coalesce(CASE WHEN place > 0 THEN regexp_extract(rest, '^[^/?#]*', 0) END, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        coalesce(CASE WHEN place > 0 THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) END, '') AS path,
+        TRY_CAST(nullif(regexp_extract(url, '://[^/?#]*/[^?#]*?([0-9]{1,18})(?:\.html)?/?(?:[?#]|$)', 1), '') AS BIGINT) AS doc_id
+    FROM cut
+), fits AS (
+    SELECT read.*, r.rule, r.said,
+        row_number() OVER (PARTITION BY read.page_id, read.url ORDER BY length(r.rule) DESC NULLS LAST) AS k
+    FROM read LEFT JOIN (VALUES ('block', 'com', '/en/', 'com/en/'), ('allow', 'example.com', '/en/7', 'example.com/en/7'), ('allow', 'net', '/de/', 'net/de/'),
+        ('block', 'example.net', '/de/8', 'example.net/de/8'), ('block', 'org', '/es/', 'org/es/')) AS r(said, site, below, rule)
+    ON (read.host = r.site OR ends_with(read.host, '.' || r.site)) AND starts_with(read.path, r.below)
+), bad AS (
+    SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id
+), hosts AS (
+    SELECT read.host, count(bad.bad) AS n, coalesce(sum(bad.bad), 0) AS b FROM read LEFT JOIN bad USING (doc_id) GROUP BY read.host
+), parts AS (
+    SELECT *, regexp_extract(host, '[^.]*$', 0) AS suffix, CASE WHEN host LIKE '%.%' THEN regexp_extract(host, '[^.]*[.][^.]*$', 0) ELSE host END AS domain FROM hosts
+), sums AS (
+    SELECT *, sum(n) OVER (PARTITION BY domain) AS nd, sum(b) OVER (PARTITION BY domain) AS bd,
+        sum(n) OVER (PARTITION BY suffix) AS ns, sum(b) OVER (PARTITION BY suffix) AS bs, sum(n) OVER () AS na, sum(b) OVER () AS ba FROM parts
+), s1 AS (SELECT *, (bs + 10.0::DOUBLE * CASE WHEN na > 0 THEN ba::DOUBLE / na ELSE 0 END) / (ns + 10.0::DOUBLE) AS ps FROM sums
+), s2 AS (SELECT *, (bd + 10.0::DOUBLE * ps) / (nd + 10.0::DOUBLE) AS pd FROM s1
+), s3 AS (SELECT *, (b + 10.0::DOUBLE * pd) / (n + 10.0::DOUBLE) AS ph FROM s2
+), rated AS (SELECT host, ph - 1.645::DOUBLE * sqrt(ph * (1 - ph) / (n + 11.0::DOUBLE)) AS bound FROM s3)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(bound, 9) AS bound
+FROM fits JOIN rated USING (host) WHERE k = 1
+""",
+}
