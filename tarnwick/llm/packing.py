@@ -22,20 +22,24 @@ empty result; further columns are not carried.
 from __future__ import annotations
 
 import math
+import os
 import zlib
+from struct import pack as pack_ids
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick.llm.common import arrow_rows, stash
+from tarnwick.llm.token_counts import Splitter
 
 #: Pieces of a shard on average.
 SHARD_PIECES = 32_768
-KEPT_WORDS = 400_000
+#: Words of one generation of a worker's ids, some 200 bytes each; two generations are kept.
+KEPT_WORDS = 500_000
 
 
-class WordIds:
+class WordIds(Splitter):
     """Ids of a text by the library's tokenizer, as bytes of little-endian unsigned ints.
 
     The library's pieces never merge with each other, so the ids of a piece are kept and the
@@ -43,31 +47,32 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        from tarnwick.llm.token_counts import counter
-
-        self.library = Tokenizer.from_file(path)
-        self.split = counter(path)
+        super().__init__(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.split.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, known = self.split.pieces(text), self.known
+        if any(s in text for s in self.special):
+            ids = self.library.encode(text, add_special_tokens=False).ids
+            return pack_ids(f"<{len(ids)}I", *ids)
+        words, known = self.pieces(text), self.known
         try:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
             pass
         new = list(set(words).difference(known))
         if len(known) + len(new) > KEPT_WORDS:
-            known.clear()
-            new = list(set(words))
+            known, self.older = {}, known
+            self.known, new = known, list(set(words))
+        old = self.older
+        for word in new:
+            if word in old:
+                known[word] = old[word]
+        new = [w for w in new if w not in known]
         for word, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            known[word] = np.array(e.ids, "<u4").tobytes()
+            ids = e.ids
+            known[word] = pack_ids(f"<{len(ids)}I", *ids)
         return b"".join(map(known.__getitem__, words))
 
 

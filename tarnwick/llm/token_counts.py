@@ -14,11 +14,12 @@ gives an empty result. Other columns of the input, whatever their names, are not
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 from bisect import bisect_left
 from operator import itemgetter
 
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,13 +42,50 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class PrefixCounter:
-    """Exact token counts of every prefix of a text, for a byte-level BPE file of tokenizers."""
+#: Up to this letter the pattern below and the library agree; beyond it their Unicode versions differ on some letters.
+KNOWN_LETTERS = 0x557
+
+
+def letters_of(major: str) -> str:
+    """The characters of a Unicode major category ("Z": white space) up to KNOWN_LETTERS, as the inside of a character class."""
+    def fits(c):
+        return (c.isspace() and not "\x1c" <= c <= "\x1f") if major == "Z" else unicodedata.category(c)[0] == major
+
+    points = [k for k in range(KNOWN_LETTERS + 1) if fits(chr(k))]
+    starts = [k for k in points if k - 1 not in set(points)]
+    ends = [k for k in points if k + 1 not in set(points)]
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends))
+
+
+class Splitter:
+    """Splits texts into the pieces that a byte-level tokenizer never merges across."""
 
     def __init__(self, path: str):
-        import public_tokenizers
         from tokenizers import Tokenizer
 
+        letters, numbers, space = letters_of("L"), letters_of("N"), letters_of("Z")
+        # the usual alternatives, that of words first: they begin with different characters
+        pattern = rf" ?[{letters}]+|'(?:[stmd]|re|ve|ll)| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+"
+        self.plain = re.compile(pattern).findall
+        self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
+
+    def pieces(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+            return self.plain(text)
+        except UnicodeEncodeError:
+            if ord(max(text)) <= KNOWN_LETTERS:
+                return self.plain(text)
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
+
+class PrefixCounter(Splitter):
+    """Exact token counts of every prefix of a text, for a byte-level BPE file of tokenizers."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         byte_of = byte_letters()
@@ -60,28 +98,11 @@ class PrefixCounter:
         for r, (a, b) in enumerate(merges):
             a, b = raw(a), raw(b)
             self.rank[self.ids[a], self.ids[b]] = (r, self.ids[a + b])
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.special_re = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.plain = regex.compile(public_tokenizers.PATTERN).findall
-        self.splitter = Tokenizer.from_file(path).pre_tokenizer
+        self.special_re = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pairs: dict[tuple[int, int], bool] = {}
         self.tables: dict[str, bytes | list[int]] = {}
         self.older: dict[str, bytes | list[int]] = {}
 
-    def pieces(self, text: str) -> list[str]:
-        """The pieces of a text.
-
-        Up to U+0557 the pattern gives what the library gives; beyond it their Unicode
-        versions differ on some letters, and the library splits.
-        """
-        try:
-            text.encode("latin-1")
-            return self.plain(text)
-        except UnicodeEncodeError:
-            if max(text) <= "\u0557":
-                return self.plain(text)
-        return [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
-
     def merged(self, data: bytes) -> list[int]:
         """The tokens of a piece by repeated merging of its lowest-ranked pair."""
         parts = [self.ids[data[k : k + 1]] for k in range(len(data))]
