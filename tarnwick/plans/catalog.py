@@ -1,11 +1,8 @@
-"""Queries over the driver's tables, by name, with the SQL that gives the same rows."""
+"""All queries over the driver's tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from tarnwick.plans import fit_queries, record_queries, score_queries, series_queries  # noqa: F401  they register their queries
+from tarnwick.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "by_model_summary"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
