@@ -115,6 +115,19 @@ FORMULAS: dict[str, Callable[[Get], tuple[Column, Column | None]]] = {
 }
 SECOND_UNDEFINED = tuple(t for t, f in FORMULAS.items() if t in ("P5", "P9", "P10", "P11", "P20", "P26", "P28", "P30", "P32", "P33", "P34", "P36", "P37", "P38", "P39"))
 
+#: The quantities that the formulas read.
+QUANTITIES = tuple(
+    """
+    cor_cv height_rise single_motion height_time passive_excess cv_dv thirds_rms r30 r60 rmse30 rmse60 speed_error height range apex_x cv_vx cv_dvy
+    rms_over_range v1_after v2_after v1 both_stationary onset_left onset_right frames angle_gap rmse sag support_dy span way radius turned slip
+    time_ratio rotation pivot contact shape ascent_only a_up a_down angle t_heavy t_light l_left l_right t30 t15 t_short t_long l_short l_long cv_short
+    cv_long t_left t_right sine_left sine_right cv collinearity incident refracted dx width reflected contact_error diagonal line_rms mean_sd estimates
+    index_cv level_left level_right slope submerged dy surface_rms path_rms h_ice h_water w_end w_start d_level d_width change uncertainty ice_remains
+    residual rise lead t_metal t_plain v_metal v_plain entered lit configuration d_left d_right direction h_open h_closed n_solid n_slotted angle_small
+    angle_large asymmetry beta_water beta_sand mad rms r1 r2 v2 straight radius_error r_final roundness_change
+    """.split()
+)
+
 
 def scored(measurements: DataFrame, quantities: str = "quantities", task: str = "task") -> DataFrame:
     """m1, m2 and has_m2 beside each measurement row; unknown tasks get nulls.

@@ -85,27 +85,13 @@ def gate_score(spark, sf_dir):
     return j.select("doc_id", score.alias("score"), reasons.alias("reasons")).select("doc_id", r6("score"), (F.size("reasons") > 0).alias("forced"), gate.passes(F.col("score"), F.col("reasons")).alias("passed"))
 
 
-def _quantity_names() -> list[str]:
-    found: list[str] = []
-
-    class Spy(dict):
-        def __call__(self, name):
-            if name not in found:
-                found.append(name)
-            return F.lit(1.0)
-
-    for formula in metrics.FORMULAS.values():
-        formula(Spy())
-    return found
-
-
 #: Quantities that are flags or have a value of their own in the synthetic measurements below.
 FLAGS = ("single_motion", "both_stationary", "ascent_only", "ice_remains", "straight", "entered", "lit", "lead", "configuration")
 
 
 def measurements(spark, sf_dir):
     """A measurement for each record: every quantity is a value between 0 and 60 that the sample's number decides; each eleventh is missing."""
-    names = _quantity_names()
+    names = metrics.QUANTITIES
     k = F.col("sample")
     pairs = []
     for j, n in enumerate(names):
@@ -118,7 +104,7 @@ def measurements(spark, sf_dir):
 def _metrics_sql() -> str:
     """The forty metrics written out in SQL over one column for each quantity."""
     cols = []
-    for j, n in enumerate(_quantity_names()):
+    for j, n in enumerate(metrics.QUANTITIES):
         value = f"((sample * {j + 3} + {j * 7}) % 2)::DOUBLE" if n in FLAGS else f"((sample * {j + 3} + {j * 7}) % 599 + 1) / 10.0::DOUBLE"
         cols.append(f"CASE WHEN (sample + {j}) % 11 <> 0 THEN {value} END AS {n}")
     q = lambda e, a: f"(1 / (1 + abs({e}) / {a}::DOUBLE))"
