@@ -8,9 +8,10 @@ from pyspark.sql import types as T
 
 from tarnwick.functions.text import file_name, prompt_of, seed_of, stem, task_ids
 
-JOB = T.StructType.fromDDL(
-    "model string, task string, seed int, sample_id string, video string, image string, prompt string, prompt_source string, annotation string, backend_args array<string>"
-)
+JOB = T.StructType([T.StructField(n, T.StringType()) for n in ("model", "task")] + [T.StructField("seed", T.IntegerType())])
+for _name in ("sample_id", "video", "image", "prompt", "prompt_source", "annotation"):
+    JOB.add(_name, T.StringType())
+JOB.add("backend_args", T.ArrayType(T.StringType()))
 MEDIA = ("mp4", "mov", "mkv", "avi", "webm")
 
 
