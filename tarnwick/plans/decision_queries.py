@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tarnwick.operators import decisions as D
 from tarnwick.operators import kernels as K
 from tarnwick.plans.registry import query, r6
-from tarnwick.plans.series_queries import CROSSED, DAY, RUNS, _kernel
+from tarnwick.plans.series_queries import DAY, RUNS, _kernel
 from tarnwick.plans.views import RECORDS, SCORED, SERIES, records, scored_records, series, table
 
 
@@ -38,13 +38,13 @@ def acceptance_bands(spark, sf_dir):
     return D.accepted(m).select("sample", "task", F.array_join("reasons", ";").alias("reasons"), "accepted")
 
 
-@query(f"""WITH {SERIES}, few AS (SELECT track, i, t / {DAY} - 19700 AS t, y FROM series WHERE i <= 24), s AS (SELECT a.track, median((b.y - a.y) / (b.t - a.t)) AS slope FROM few a JOIN few b ON a.track = b.track AND a.i < b.i WHERE abs(b.t - a.t) > 1e-9 GROUP BY a.track),
+@query(f"""WITH {SERIES}, few AS (SELECT track, i, t / {DAY} - 19700 AS t, y FROM series), s AS (SELECT a.track, median((b.y - a.y) / (b.t - a.t)) AS slope FROM few a JOIN few b ON a.track = b.track AND a.i < b.i WHERE abs(b.t - a.t) > 1e-9 GROUP BY a.track),
 c AS (SELECT f.track, max(slope) AS slope, median(y - slope * t) AS icpt FROM few f JOIN s USING (track) GROUP BY f.track),
 r AS (SELECT f.track, CAST(count(*) AS INTEGER) AS n, max(slope) AS slope, sqrt(avg((y - slope * t - icpt) ** 2)) AS rms, max(t) - min(t) AS span FROM few f JOIN c USING (track) GROUP BY f.track)
 SELECT track, n, round(slope, 4) AS slope, round(rms, 4) AS rms, n >= 3 AND span > 0 AND rms <= greatest(0.75, 0.15 * abs(slope) * span) AND abs(slope) * span >= 3 * greatest(0.35, rms) AS usable FROM r""")
 def velocity_quality(spark, sf_dir):
-    few = series(spark, sf_dir).filter("i <= 24").withColumn("t", F.col("t") / DAY - 19700)
-    return D.velocity_quality(few, ["track"]).select("track", "n", F.round("slope", 4).alias("slope"), F.round("rms", 4).alias("rms"), "usable")
+    days = series(spark, sf_dir).withColumn("t", F.col("t") / DAY - 19700)
+    return D.velocity_quality(days, ["track"]).select("track", "n", F.round("slope", 4).alias("slope"), F.round("rms", 4).alias("rms"), "usable")
 
 
 @query(RUNS + """, f AS (SELECT r.track, r.start, r.stop, r.n, max(s.y) - arg_min(s.y, s.i) AS fall FROM runs r JOIN series s ON s.track = r.track AND s.i BETWEEN r.start AND r.stop GROUP BY r.track, r.start, r.stop, r.n),
@@ -61,15 +61,14 @@ def resample_edges(spark, sf_dir):
     return D.resampled(series(spark, sf_dir), 9).select("track", "edge", F.round("value", 4).alias("value"))
 
 
-@query(CROSSED.replace("FROM series WHERE valid", "FROM series WHERE valid AND i <= 6").replace("avg(y) OVER (PARTITION BY track)", "avg(y) OVER (PARTITION BY track)") + """, r AS (SELECT track, 2 * (max(tc) - min(tc)) AS rough FROM crossed GROUP BY track HAVING count(*) = 2 AND max(tc) > min(tc)),
-e AS (SELECT track, arg_min(y, i) AS y0, min(t) AS t0, min(y) AS lo, max(y) AS hi FROM series WHERE i <= 6 GROUP BY track)
-SELECT r.track, count(*) AS frames, round(max(rough), 3) AS rough FROM r JOIN e USING (track) JOIN series s ON s.track = r.track AND s.i <= 6 GROUP BY r.track""")
-def release_candidates(spark, sf_dir):
-    from tarnwick.operators import series as S
-
-    few = series(spark, sf_dir).filter("i <= 6")
-    rough = S.crossings(few).groupBy("track").agg(F.count("*").alias("n"), (2 * (F.max("tc") - F.min("tc"))).alias("rough")).filter("n = 2 and rough > 0")
-    return few.join(rough, "track").groupBy("track").agg(F.count("*").alias("frames"), F.round(F.max("rough"), 3).alias("rough"))
+@query(f"""WITH {SERIES}, p AS (SELECT *, (i - 1) // 6 AS part FROM series), c AS (SELECT *, y - avg(y) OVER (PARTITION BY track, part) AS c FROM p WHERE valid), n AS (SELECT *, lead(c) OVER w AS cn, lead(t) OVER w AS tn FROM c WINDOW w AS (PARTITION BY track, part ORDER BY i)),
+x AS (SELECT track, part, CASE WHEN c = 0 THEN t ELSE t + (tn - t) * c / (c - cn) END AS tc FROM n WHERE cn IS NOT NULL AND (c = 0 OR c * cn < 0)), r AS (SELECT track, part, 2 * (max(tc) - min(tc)) AS rough FROM x GROUP BY track, part HAVING count(*) = 2 AND max(tc) > min(tc)),
+e AS (SELECT track, part, arg_min(y, i) AS y0, min(t) AS t0, min(y) AS lo, max(y) AS hi FROM p GROUP BY track, part),
+f AS (SELECT r.track, r.part, abs(y - y0) AS off, abs(t - t0 - rough) AS far, t - t0 AS since, t - t0 >= 0.98 * rough AND t - t0 <= 1.25 * rough AND abs(y - y0) <= 0.02 * (hi - lo) AND abs(y0 - (lo + hi) / 2) >= 0.45 * (hi - lo) AS fits FROM r JOIN e USING (track, part) JOIN p USING (track, part)),
+k AS (SELECT *, row_number() OVER (PARTITION BY track, part ORDER BY off, far, since) AS k FROM f WHERE fits) SELECT r.track, CAST(r.part AS BIGINT) AS part, round(k.since, 3) AS period FROM r LEFT JOIN k ON k.track = r.track AND k.part = r.part AND k.k = 1""")
+def release_return(spark, sf_dir):
+    parts = series(spark, sf_dir).withColumn("part", F.floor((F.col("i") - 1) / 6))
+    return D.release_return(parts, ["track", "part"]).select("track", "part", F.round("period", 3).alias("period"))
 
 
 @query(f"""WITH {SERIES}, f AS (SELECT *, y - first_value(y) OVER (PARTITION BY track ORDER BY i) AS d FROM series WHERE track % 5 <> 0), m AS (SELECT i, median(d) AS drift FROM f GROUP BY i)

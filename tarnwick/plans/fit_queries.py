@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarnwick.operators import kernels as K
 from tarnwick.operators import stats as T
 from tarnwick.plans.registry import query, r6
-from tarnwick.plans.views import POINTS, points, series, table
+from tarnwick.plans.views import POINTS, SERIES, points, series, table
 
 G = ["g"]
 
@@ -61,13 +61,11 @@ def ols_ci(spark, sf_dir):
     return T.ols(points(spark, sf_dir), G, "x", "y").select("g", "n", *[r6(c) for c in ("slope", "intercept", "rmse", "slope_se", "low", "high")])
 
 
-FEW = f"WITH {POINTS}, few AS (SELECT * FROM points WHERE k % 8 = 1)"
-
-
-@query(FEW + """, s AS (SELECT a.g, median((b.y - a.y) / (b.x - a.x)) AS slope FROM few a JOIN few b ON a.g = b.g AND (a.x, a.y, a.k, a.n) < (b.x, b.y, b.k, b.n) WHERE abs(b.x - a.x) > 1e-9 GROUP BY a.g)
-SELECT f.g, CAST(count(*) AS INTEGER) AS n, round(max(s.slope), 6) AS slope, round(median(f.y - s.slope * f.x), 6) AS intercept FROM few f LEFT JOIN s USING (g) GROUP BY f.g""")
+@query(f"""WITH {SERIES}, d AS (SELECT track, i, t / 86400 - 19700 AS t, y FROM series), s AS (SELECT a.track, median((b.y - a.y) / (b.t - a.t)) AS slope FROM d a JOIN d b ON a.track = b.track AND a.i < b.i WHERE abs(b.t - a.t) > 1e-9 GROUP BY a.track)
+SELECT d.track, CAST(count(*) AS INTEGER) AS n, round(max(s.slope), 5) AS slope, round(median(d.y - s.slope * d.t), 4) AS intercept FROM d LEFT JOIN s USING (track) GROUP BY d.track""")
 def theil_sen(spark, sf_dir):
-    return T.theil_sen(points(spark, sf_dir).filter("k % 8 = 1"), G, "x", "y").select("g", "n", r6("slope"), r6("intercept"))
+    days = series(spark, sf_dir).withColumn("t", F.col("t") / 86400 - 19700)
+    return T.theil_sen(days, ["track"], "t", "y").select("track", "n", F.round("slope", 5).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
 def _solve(basis: str, y: str) -> str:
@@ -101,7 +99,7 @@ def pca_axis(spark, sf_dir):
     return T.principal_axis(points(spark, sf_dir), G, "x", "y").select("g", "n", *[F.round(c, 4).alias(c) for c in ("angle", "along", "across")])
 
 
-LINES = f"WITH {POINTS}, lines AS (SELECT g, k * 10 + n AS k, cos(x) AS a, sin(x) AS b, y AS c FROM points WHERE k % 8 = 1)"
+LINES = f"WITH {SERIES}, lines AS (SELECT track AS g, i AS k, cos(i) AS a, sin(i) AS b, y AS c FROM series)"
 
 
 @query(LINES + """, s AS (SELECT g, count(*) AS n, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * c) AS ac, sum(b * c) AS bc, sum(c * c) AS cc FROM lines GROUP BY g),
@@ -111,7 +109,7 @@ def lines_common_point(spark, sf_dir):
 
 
 def _lines(spark, sf_dir):
-    return points(spark, sf_dir).filter("k % 8 = 1").select("g", (F.col("k") * 10 + F.col("n")).alias("k"), F.cos("x").alias("a"), F.sin("x").alias("b"), F.col("y").alias("c"))
+    return series(spark, sf_dir).select(F.col("track").alias("g"), F.col("i").alias("k"), F.cos("i").alias("a"), F.sin("i").alias("b"), F.col("y").alias("c"))
 
 
 @query(LINES + """, x AS (SELECT p.g, p.a * q.b - q.a * p.b AS d, p.c * q.b - q.c * p.b AS x, p.a * q.c - q.a * p.c AS y FROM lines p JOIN lines q ON p.g = q.g AND (p.k, p.a, p.b, p.c) < (q.k, q.a, q.b, q.c)
@@ -135,32 +133,27 @@ def topk_per_group(spark, sf_dir):
 
 @query()
 def radial_circle(spark, sf_dir):
-    few = points(spark, sf_dir).filter("k % 8 = 1")
-    return K.grouped(few, G, ["k", "n"], lambda c: [K.radial_circle(c["x"], c["y"])], "g long, cx double, cy double, radius double, rms double")
+    return K.grouped(points(spark, sf_dir), G, ["k", "n"], lambda c: [K.radial_circle(c["x"], c["y"])], "g long, cx double, cy double, radius double, rms double")
 
 
 @query()
 def consensus(spark, sf_dir):
-    few = points(spark, sf_dir).filter("k % 8 = 1")
-    return K.grouped(few, G, ["k", "n"], lambda c: [K.consensus(c["x"], c["y"], 8.0)], "g long, x double, y double, size int")
+    return K.grouped(points(spark, sf_dir), G, ["k", "n"], lambda c: [K.consensus(c["x"], c["y"], 8.0)], "g long, x double, y double, size int")
 
 
 @query()
 def suppressed(spark, sf_dir):
-    few = points(spark, sf_dir).filter("k % 8 = 1")
-    return K.grouped(few, G, ["k", "n"], lambda c: [(int(c["k"][i]), int(c["n"][i])) for i in K.suppress(c["x"], c["y"], c["w"], c["y"])], "g long, k long, n int")
+    return K.grouped(points(spark, sf_dir), G, ["k", "n"], lambda c: [(int(c["k"][i]), int(c["n"][i])) for i in K.suppress(c["x"], c["y"], c["w"], c["y"])], "g long, k long, n int")
 
 
 @query()
 def greedy_pairs(spark, sf_dir):
-    few = points(spark, sf_dir).filter("k % 8 = 1")
-
     def pair(c):
         left, right = np.flatnonzero(c["n"] % 2 == 0), np.flatnonzero(c["n"] % 2 == 1)
         cost = np.abs(c["y"][left][:, None] - c["y"][right][None, :])
         return [(int(c["k"][left[i]]), int(c["k"][right[j]]), float(cost[i, j])) for i, j in K.greedy_pairs(cost, 5.0)]
 
-    return K.grouped(few, G, ["k", "n"], pair, "g long, left_k long, right_k long, cost double")
+    return K.grouped(points(spark, sf_dir), G, ["k", "n"], pair, "g long, left_k long, right_k long, cost double")
 
 
 @query()

@@ -31,10 +31,10 @@ def measured_periods(spark, sf_dir):
     return long(M.periods(observations(spark, sf_dir), {"a": "t_heavy", "b": "t_light"}))
 
 
-@query(f"""WITH {OBS}, few AS (SELECT * FROM obs WHERE i <= 20), s AS (SELECT p.sample, p.object, median((q.y - p.y) / (q.x - p.x)) AS s FROM few p JOIN few q ON p.sample = q.sample AND p.object = q.object AND p.i < q.i GROUP BY p.sample, p.object)
+@query(f"""WITH {OBS}, few AS (SELECT * FROM obs), s AS (SELECT p.sample, p.object, median((q.y - p.y) / (q.x - p.x)) AS s FROM few p JOIN few q ON p.sample = q.sample AND p.object = q.object AND p.i < q.i GROUP BY p.sample, p.object)
 SELECT sample, CASE object WHEN 'a' THEN 'v1' ELSE 'v1_after' END AS name, round(s, 4) AS value FROM s""")
 def measured_collision(spark, sf_dir):
-    few = observations(spark, sf_dir).filter("i <= 20").withColumns({"t": F.col("x"), "x": F.col("y"), "object": F.when(F.col("object") == "a", "before").otherwise("first_after")})
+    few = observations(spark, sf_dir).withColumns({"t": F.col("x"), "x": F.col("y"), "object": F.when(F.col("object") == "a", "before").otherwise("first_after")})
     return long(M.collision(few))
 
 

@@ -79,23 +79,24 @@ def first_by_order(spark, sf_dir):
     return R.first_by(records(spark, sf_dir), ["model", "task"], [F.col("c").desc(), F.col("sample")]).select("model", "task", "sample", "c")
 
 
-@query(f"WITH {RECORDS}, have AS (SELECT DISTINCT model, task FROM records WHERE sample % 200 < 3), m AS (SELECT DISTINCT model FROM have), t AS (SELECT DISTINCT task FROM records) SELECT m.model, t.task FROM m, t WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.model = m.model AND h.task = t.task)")
+@query(f"WITH {RECORDS}, have AS (SELECT DISTINCT model, task FROM records WHERE c >= 0.98), m AS (SELECT DISTINCT model FROM have), t AS (SELECT DISTINCT task FROM records) SELECT m.model, t.task FROM m, t WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.model = m.model AND h.task = t.task)")
 def missing_tasks_anti(spark, sf_dir):
     r = records(spark, sf_dir)
-    return R.missing_tasks(r.filter("sample % 200 < 3"), r)
+    return R.missing_tasks(r.filter("c >= 0.98"), r)
 
 
-@query(f"WITH {RECORDS}, n AS (SELECT sample, 1.0::DOUBLE AS c FROM records WHERE sample % 4 = 0) SELECT sample, c FROM n UNION ALL SELECT sample, c FROM records WHERE sample % 3 = 0 AND sample NOT IN (SELECT sample FROM n)")
+@query(f"WITH {RECORDS}, n AS (SELECT sample, 1.0::DOUBLE AS c FROM records WHERE e2 IS NULL) SELECT sample, c FROM n UNION ALL SELECT sample, c FROM records WHERE status = 'complete' AND sample NOT IN (SELECT sample FROM n)")
 def manifest_upsert(spark, sf_dir):
-    r = records(spark, sf_dir).select("sample", "c")
-    return R.upsert(r.filter("sample % 3 = 0"), r.filter("sample % 4 = 0").withColumn("c", F.lit(1.0)), ["sample"])
+    r = records(spark, sf_dir)
+    old, new = r.filter("status = 'complete'").select("sample", "c"), r.filter("e2 IS NULL").select("sample", F.lit(1.0).alias("c"))
+    return R.upsert(old, new, ["sample"])
 
 
-@query(f"WITH {RECORDS} SELECT sample FROM records WHERE NOT (sample % 5 = 0 AND sample % 2 = 0)")
+@query(f"WITH {RECORDS} SELECT sample FROM records WHERE NOT (status = 'complete' AND e2 IS NOT NULL)")
 def resume_left_anti(spark, sf_dir):
-    r = records(spark, sf_dir).select("sample", X.canonical_hash(F.col("c"), F.col("e1")).alias("signature"))
-    done = r.filter("sample % 5 = 0").withColumn("signature", F.when(F.col("sample") % 2 == 0, F.col("signature")).otherwise(F.lit("changed")))
-    return R.to_run(r, done, ["sample"]).select("sample")
+    r = records(spark, sf_dir).withColumn("signature", X.canonical_hash(F.col("c"), F.col("e1")))
+    done = r.filter("status = 'complete'").select("sample", F.when(F.col("e2").isNotNull(), F.col("signature")).otherwise(F.lit("changed")).alias("signature"))
+    return R.to_run(r.select("sample", "signature"), done, ["sample"]).select("sample")
 
 
 @query("SELECT r_name AS model, 'P' || n_nationkey AS task, s.seed::INTEGER AS seed, r_name || '_P' || n_nationkey || '_seed' || s.seed AS sample FROM region, nation, (VALUES (42), (43), (44), (45)) AS s(seed)")

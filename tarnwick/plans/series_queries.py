@@ -310,9 +310,8 @@ def terminal_windows(spark, sf_dir):
     def widest(c):
         import numpy as np
 
-        way = np.cumsum(c["y"])[:40]
-        t = (c["t"][: len(way)] - c["t"][0]) / DAY
-        found = K.terminal_windows(t, way, 0 * t + 5, c["t"][: len(way)] > 0, 3.0, 0.3, 1.0, 3.0)
+        t = (c["t"] - c["t"][0]) / DAY
+        found = K.terminal_windows(t, np.cumsum(c["y"]), 0 * t + 5, t >= 0, 3.0, 0.3, 1.0, 3.0)
         return [found[0]] if found else []
 
     return _kernel(spark, sf_dir, widest, "start int, end int, duration double, speed double, radius double")
