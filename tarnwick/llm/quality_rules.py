@@ -180,7 +180,7 @@ def quality_verdicts(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    class_limit: float = 0.25,
+    class_limit: float = 0.3,
     word_limit: float = 0.28,
     min_chars: int = 100,
     min_words: int = 100,
@@ -212,7 +212,7 @@ def quality_verdicts(
     return arrow_rows(scanned, run, schema)
 
 
-def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", class_limit: float = 0.25, word_limit: float = 0.28, min_chars: int = 100, min_words: int = 100) -> DataFrame:
+def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", class_limit: float = 0.3, word_limit: float = 0.28, min_chars: int = 100, min_words: int = 100) -> DataFrame:
     """The rows of docs that quality_verdicts keeps, with all their columns: two scans and no shuffle of texts."""
     known = references(scan(docs.withColumn("_row", F.lit(0)), "_row", text_col, lang_col), 20)
 
