@@ -49,7 +49,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, placed in sequences of 1024 tokens."""
-    return pack(docs, tokenizer(), capacity=1024, end_id=2)
+    return pack(docs, tokenizer(), capacity=1024, end_id=2, kept_words=100_000)  # workers still hold what earlier stages left
 
 
 STAGES = [

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,16 +40,50 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_rows(frame: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow of a generator function from record batches to column dicts."""
+#: Texts in one Arrow batch: buffers of some MB in a task instead of the default's tens of MB.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to BATCH_ROWS, as texts are long; never raises them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+_held: dict[str, Callable[[], None]] = {}
+
+
+def holds(name: str, clear: Callable[[], None]) -> None:
+    """Says how a worker's tables of that name are emptied."""
+    _held[name] = clear
+
+
+def release(keep: str | None = None) -> None:
+    """Empties the tables that a worker holds from other operators' tasks, and gives free memory back: workers outlive stages."""
+    for name, clear in _held.items():
+        if name != keep:
+            clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def arrow_rows(frame: DataFrame, function, schema: str, keep: str | None = None) -> DataFrame:
+    """mapInArrow of a generator function from record batches to column dicts; keep names the tables that it uses."""
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kinds = to_arrow_schema(StructType.fromDDL(schema))
+    small_batches(frame.sparkSession)
 
     def run(batches):
+        release(keep)
         for columns in function(batches):
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in kinds], schema=kinds)
+        columns = None
+        release(keep)  # an idle worker then holds little
 
     return frame.mapInArrow(run, schema)
 
@@ -64,10 +100,15 @@ def keep_rows(docs: DataFrame, predicate) -> DataFrame:
     they are, and no row moves to another partition.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
+        release()
         kept = predicate()
         for b in batches:
             yield b.filter(pa.array(kept(b), pa.bool_()))
+        kept = b = None
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -31,6 +31,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from tarnwick.llm.common import arrow_rows, stash, text_bytes
 from tarnwick.llm.components import components
@@ -41,31 +42,15 @@ BATCH_GRAMS, BATCH_CLASSES = 700_000, 60_000
 BROADCAST_ROWS = 1_000_000
 #: Sets of a cluster that one task takes, and of a block of larger clusters.
 CLUSTER_SETS, BLOCK_SETS = 3_000, 1_500
-KEPT_WORDS = 1_000_000
 HERE = 0xFFFF  # stands for a batch's classes that share an n-gram among themselves
 
 
-class Words(dict):
-    """64-bit hashes of words, each computed once."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        value = self[word] = xxh64_intdigest(word)
-        return value
-
-
-_words = Words()
-
-
 def gram_hashes(text: bytes, n: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's word n-grams (A-Z in lower case)."""
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_words) > KEPT_WORDS:
-        _words.clear()
-    row = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    row = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
     size = min(n, len(words))
     out = np.full(len(row) - size + 1, size, np.uint64)
     for k in range(size):
@@ -375,6 +360,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     least = reached.groupBy("root").agg(F.min("least").alias("component_id"))
     named = reached.select("root", "digest").join(least, "root").select("digest", "component_id")
     named = classes.join(named, "digest", "left").select("digest", F.coalesce("component_id", "least").alias("component_id"))
+    named = stash(named, "jaccard-named")  # both sides of the last join are then plain shuffles, of which AQE splits a hot class
     out = texts.join(named, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

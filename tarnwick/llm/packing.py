@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import arrow_rows, stash
+from tarnwick.llm.common import arrow_rows, holds, stash
 from tarnwick.llm.token_counts import Splitter
 
 #: Pieces of a shard on average.
@@ -51,6 +51,7 @@ class WordIds(Splitter):
         super().__init__(path)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.most = KEPT_WORDS
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
@@ -62,7 +63,7 @@ class WordIds(Splitter):
         except KeyError:
             pass
         new = list(set(words).difference(known))
-        if len(known) + len(new) > KEPT_WORDS:
+        if len(known) + len(new) > self.most:
             known, self.older = {}, known
             self.known, new = known, list(set(words))
         old = self.older
@@ -77,11 +78,13 @@ class WordIds(Splitter):
 
 
 _words: dict[str, WordIds] = {}
+holds("ids", _words.clear)
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, most: int) -> WordIds:
     if path not in _words:
         _words[path] = WordIds(path)
+    _words[path].most = most
     return _words[path]
 
 
@@ -92,12 +95,12 @@ def cut(total: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(first + capacity * k, capacity) for k in range(n - 1)]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str, kept_words: int = KEPT_WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        words = word_ids(tokenizer)
+        words = word_ids(tokenizer, kept_words)
         for b in batches:
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -107,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
                         out[name].append(v)
             yield out
 
-    return arrow_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return arrow_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, "doc_id long, piece int, start long, length long, ids_crc32 long", keep="ids")
 
 
 def best_fit(order: list[int], lengths: list[int], bins: list[int], free: list[int], capacity: int, place: np.ndarray) -> None:
@@ -233,9 +236,13 @@ def pack(
     rounds: int = 3,
     population: int = 4,
     generations: int = 12,
+    kept_words: int = KEPT_WORDS,
 ) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    cut_up = stash(pieces(docs, tokenizer, capacity, end_id, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pack-pieces")
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
+
+    kept_words bounds the ids that a worker keeps; fewer cost time and no exactness.
+    """
+    cut_up = stash(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, kept_words).withColumn("row", F.monotonically_increasing_id()), "pack-pieces")
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     whole = cut_up.filter(F.col("length") == capacity).select("*", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     small = cut_up.filter(F.col("length") < capacity)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnwick.llm.common import arrow_rows, joined_if_small, stash
+from tarnwick.llm.common import arrow_rows, joined_if_small, small_batches, stash
 
 KINDS = ("assign", "access", "hex", "live")
 #: The base patterns. The last two are written with their least length, which for
@@ -161,6 +161,7 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ch
     found = joined_if_small(found.count(), BROADCAST_ROWS, found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("all_spans").alias("_spans")))
     held = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_key")), "left").drop("_id", "_key")
     names, place = docs.columns, docs.columns.index(text_col)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa

@@ -23,10 +23,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import arrow_rows
+from tarnwick.llm.common import arrow_rows, holds
 
 #: Pieces of one generation of a worker's tables, some 100 bytes each; two generations are kept.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 400_000
 KEPT_PAIRS = 1_000_000
 #: The count of a whole piece, last in its table.
 whole = itemgetter(-1)
@@ -249,6 +249,7 @@ class TextPrefixes:
 
 
 _counters: dict[str, PrefixCounter] = {}
+holds("prefixes", _counters.clear)
 
 
 def counter(path: str) -> PrefixCounter:
@@ -289,4 +290,4 @@ def token_counts(
             yield out | ({"prefix_tokens": rows} if with_prefixes else {})
 
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + ", prefix_tokens array<int>" * with_prefixes
-    return arrow_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, schema)
+    return arrow_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, schema, keep="prefixes")
