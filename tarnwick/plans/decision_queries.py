@@ -107,6 +107,27 @@ def symmetric_difference(spark, sf_dir):
     return a.unionByName(orders.select((F.col("o_custkey") % 9).alias("k")).subtract(left).withColumn("side", F.lit("right")))
 
 
+@query("""WITH j AS (SELECT doc_id, doc_id % 6 AS a, doc_id % 5 AS b, doc_id % 3 AS e, doc_id % 4 AS w, doc_id % 13 = 0 AS bad FROM labels),
+r AS (SELECT doc_id, a, bad, CASE WHEN bad THEN ['not_a_reply'] ELSE list_filter([CASE WHEN w = 0 THEN 'visual_keys' END, CASE WHEN a > 4 THEN 'severity_range' END, CASE WHEN e = 0 AND (a > 0 OR b > 0) THEN 'evidence_missing' END, CASE WHEN e = 2 AND w = 3 THEN 'evidence_order' END, CASE WHEN e > 0 AND b = 4 THEN 'evidence_outside' END], lambda x: x IS NOT NULL) END AS broken FROM j)
+SELECT doc_id, CASE WHEN NOT bad THEN a::INTEGER END AS identity, array_to_string(broken, ';') AS broken FROM r""")
+def reply_rules(spark, sf_dir):
+    from tarnwick.operators import replies as P
+
+    k = F.col("doc_id")
+    a, b, e, w = k % 6, k % 5, k % 3, k % 4
+    start, end = F.when((e == 2) & (w == 3), 2.0).otherwise(0.5), F.when(b == 4, 9.0).otherwise(1.0)
+    start = F.when((e == 2) & (w == 3), end + 1).otherwise(start)
+    proof = F.when(e == 0, F.lit("[]")).otherwise(F.format_string('[{"start_seconds": %s, "end_seconds": %s, "description": "d"}]', start.cast("string"), end.cast("string")))
+    item = lambda n, v: F.format_string('"%s": {"severity": %s, "evidence": %s}', F.lit(n), v.cast("string"), proof)
+    first = F.when(w == 0, F.lit("other")).otherwise(F.lit("clarity"))
+    visual = F.concat_ws(", ", item("identity", a), item("flicker", b), item("scene", F.lit(0)), F.format_string('"%s": {"severity": 0, "evidence": %s}', first, proof))
+    task = F.concat_ws(", ", *[item(n, F.lit(0)) for n in P.TASK])
+    text = F.concat(F.lit('```json\n{"reason": "r", "assessment": {'), visual, F.lit('}, "task_assessment": {'), task, F.lit('}, "quality_checks": {"multiple_balls": false}}\n```'))
+    rows = table(spark, sf_dir, "labels").select("doc_id", F.when(k % 13 == 0, F.lit("no reply")).otherwise(text).alias("reply"), F.lit(5.0).alias("seconds"))
+    out = P.checked(rows, "reply", "seconds")
+    return out.select("doc_id", P.severity(F.col("judgment"), "assessment", "identity").alias("identity"), F.array_join("broken", ";").alias("broken"))
+
+
 @query()
 def shrink_events(spark, sf_dir):
     import numpy as np
