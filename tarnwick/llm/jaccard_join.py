@@ -12,8 +12,9 @@
    looked up by walking the tree: shared beginnings are overlapped once, and a subtree is left when
    what remains of the set or of the subtree's longest member can't reach the overlap that the
    subtree's smallest member needs. Subtrees whose members all are in the set's own
-   component are left too: their links are known. Clusters beyond a size are cut into blocks, and every pair of blocks is one
-   task: memory stays bounded and no pair of sets is lost.
+   component are left too: their links are known. In clusters beyond a size, members are first compared with a few hubs;
+   the rest is cut into blocks, and every pair of blocks that aren't linked with the same hub is one task: memory
+   stays bounded, no link between components is lost, and many copies of one original cost one comparison each.
 4. Links found are closed to components, and every text gets its class's component.
 
 Defined results: null and empty texts have 0 n-grams and are linked with nothing; a text with
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tarnwick.llm.common import arrow_rows, stash, text_bytes
+from tarnwick.llm.common import arrow_rows, joined_if_small, stash, text_bytes
 from tarnwick.llm.components import components
 
 #: N-grams and classes of one batch of postings.
@@ -41,7 +42,9 @@ BATCH_GRAMS, BATCH_CLASSES = 700_000, 60_000
 #: Classes up to which their ids are broadcast: 8 bytes each.
 BROADCAST_ROWS = 1_000_000
 #: Sets of a cluster that one task takes, and of a block of larger clusters.
-CLUSTER_SETS, BLOCK_SETS = 3_000, 1_500
+CLUSTER_SETS, BLOCK_SETS = 1_000, 500
+#: Rounds in which the members of a large cluster are compared with a hub, and hubs up to which they are broadcast.
+HUB_ROUNDS, HUB_ROWS = 3, 1_000
 HERE = 0xFFFF  # stands for a batch's classes that share an n-gram among themselves
 
 
@@ -324,23 +327,62 @@ def live_sets(docs: DataFrame, texts: DataFrame, n: int, name: str) -> DataFrame
     return stash(once.withColumn("sid", F.monotonically_increasing_id()), f"{name}-sets")
 
 
-def clustered(sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """root, i, j, block, sid, n, grams: the sets of each cluster, or of each pair of blocks of a large one."""
+def linked_to_hubs(members: DataFrame, percent: int, name: str) -> DataFrame:
+    """sid, hub, label: members of large clusters that are linked with one of the cluster's hubs.
+
+    A hub is the member whose n-grams occur most often, as the original of many copies has; in each round
+    the members not yet linked get a hub, of which each is compared with its cluster's only: a linear step.
+    """
+    found = None
+    for label in range(HUB_ROUNDS):
+        best = members.groupBy("root").agg(F.max(F.struct("centre", "sid")).alias("b")).select(F.col("b.sid").alias("sid"))
+        hubs = stash(members.join(best, "sid").select("root", F.col("sid").alias("hub"), F.col("n").alias("hub_n"), F.col("grams").alias("hub_grams")), f"{name}-hubs")
+        near = joined_if_small(hubs.count(), HUB_ROWS, hubs)
+        overlap = F.size(F.array_intersect("grams", "hub_grams"))
+        hits = members.join(near, "root").filter((F.col("sid") == F.col("hub")) | ((100 + percent) * overlap >= percent * (F.col("n") + F.col("hub_n"))))
+        hits = stash(hits.select("sid", "hub", F.lit(label).alias("label")), f"{name}-linked")
+        found = hits if found is None else found.unionByName(hits)
+        members = members.join(hits.select("sid"), "sid", "left_anti")
+    return found
+
+
+def clustered(sets: DataFrame, percent: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Work: root, i, j, block, sid, n, grams, the sets of each cluster or of each pair of blocks of a large one; and the links found on the way.
+
+    Blocks of a large cluster hold members linked with the same hub, or with none. Pairs of blocks of one hub
+    need no work: their members are in one component already.
+    """
     grams = sets.select("sid", F.explode("grams").alias("h"))
     often = grams.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = grams.join(often, "h").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
+    shared = grams.join(often, "h").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"), F.avg("df").alias("centre"))
     kept = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1  # the prefix's length, of which rarer n-grams take a part
     live = sets.select("sid", "n").join(shared, "sid").withColumn("p", (kept - (F.col("n") - F.size("s"))).cast("int")).filter("p > 0")
-    live = stash(live.select("sid", "n", F.transform("s", lambda x: x["h"]).alias("grams"), F.transform(F.slice("s", 1, F.col("p")), lambda x: x["h"]).alias("prefix")), f"{name}-live")
+    live = stash(live.select("sid", "n", "centre", F.transform("s", lambda x: x["h"]).alias("grams"), F.transform(F.slice("s", 1, F.col("p")), lambda x: x["h"]).alias("prefix")), f"{name}-live")
     heads = live.select("sid", F.explode("prefix").alias("h"))
     least = heads.groupBy("h").agg(F.min("sid").alias("b"))
-    near = components(heads.join(least, "h").select(F.col("sid").alias("a"), "b").filter("a != b"), name=f"{name}-clusters")
+    near = components(heads.join(least, "h").select(F.col("sid").alias("a"), "b").filter("a != b"), name=f"{name}-clusters").withColumnRenamed("node", "sid")
     sizes = near.groupBy("root").agg(F.count("*").alias("size"))
-    blocks = F.when(F.col("size") <= CLUSTER_SETS, 1).otherwise(F.ceil(F.col("size") / BLOCK_SETS)).cast("int")
-    dealt = near.join(sizes, "root").select(F.col("node").alias("sid"), "root", blocks.alias("blocks"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("sid", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return live.drop("prefix").join(dealt, "sid").select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "n", "grams")
+    near = stash(near.join(sizes, "root"), f"{name}-sizes")
+    large = near.filter(F.col("size") > CLUSTER_SETS)
+    links = None
+    dealt = near.withColumn("label", F.when(F.col("size") > CLUSTER_SETS, F.lit(HUB_ROUNDS)).otherwise(F.lit(-1)))
+    if not large.isEmpty():
+        found = linked_to_hubs(live.join(large.select("sid", "root"), "sid").select("sid", "root", "n", "grams", "centre"), percent, name)
+        links = found.filter("sid != hub").select(F.col("sid").alias("a"), F.col("hub").alias("b"))
+        dealt = dealt.drop("label").join(found.select("sid", F.col("label").alias("hub_label")), "sid", "left").withColumn(
+            "label", F.coalesce("hub_label", F.when(F.col("size") > CLUSTER_SETS, F.lit(HUB_ROUNDS)).otherwise(F.lit(-1)))
+        )
+    of_label = dealt.groupBy("root", "label").agg(F.count("*").alias("m"))
+    dealt = dealt.join(of_label, ["root", "label"])
+    part = F.pmod(F.xxhash64("sid"), F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK_SETS)))
+    block = F.when(F.col("label") < 0, F.lit(0)).otherwise(F.col("label").cast("long") * (1 << 32) + part)
+    dealt = stash(dealt.select("sid", "root", "label", block.cast("long").alias("block")), f"{name}-blocks")
+    blocks = dealt.select("root", "label", "block").distinct()
+    second = blocks.select("root", F.col("label").alias("label2"), F.col("block").alias("j"))
+    pairs = blocks.withColumnRenamed("block", "i").join(second, "root").filter("i <= j and (label != label2 or label in (-1, " + str(HUB_ROUNDS) + "))")
+    sides = pairs.select("root", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    work = live.select("sid", "n", "grams").join(dealt.select("sid", "root", "block"), "sid").join(sides, ["root", "block"])
+    return work, links
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -352,8 +394,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     )
     texts = stash(by_range.groupBy("batch").applyInPandas(texts_of_batch(percent), "doc_id long, n long, digest binary, alive boolean"), "jaccard-texts")
     sets = live_sets(read, texts.filter("doc_id is not null"), n, "jaccard")
-    work = clustered(sets, percent, "jaccard")
-    links = stash(work.groupBy("root", "i", "j").applyInPandas(tree_links(percent), "a long, b long"), "jaccard-links")
+    work, hub_links = clustered(sets, percent, "jaccard")
+    links = work.groupBy("root", "i", "j").applyInPandas(tree_links(percent), "a long, b long")
+    links = stash(links if hub_links is None else links.unionByName(hub_links), "jaccard-links")
     found = components(links, name="jaccard-components").join(sets.select(F.col("sid").alias("node"), "digest"), "node").select("root", "digest")
     classes = texts.filter("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"))
     reached = found.join(classes, "digest")

@@ -74,6 +74,7 @@ def test_blocks_of_a_large_cluster_and_small_batches(spark, monkeypatch):
     monkeypatch.setattr(J, "CLUSTER_SETS", 20)
     monkeypatch.setattr(J, "BLOCK_SETS", 12)
     monkeypatch.setattr(J, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(J, "HUB_ROWS", 0)
     assert found(spark, rows) == want
 
 
