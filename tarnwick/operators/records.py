@@ -120,3 +120,29 @@ def violations(records: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_k = 1").drop("_k")
+
+
+def with_catalog(jobs: DataFrame, catalog: DataFrame, key: str = "task") -> DataFrame:
+    """Jobs with their catalog columns, and known: whether the catalog has the key. The catalog is a dimension of some rows."""
+    return jobs.join(F.broadcast(catalog.withColumn("known", F.lit(True))), key, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def overridden(jobs: DataFrame, own: DataFrame, template: DataFrame, keys: list[str], template_key: str, column: str) -> DataFrame:
+    """The column from a job's own row if there is one, else from its template, else null; origin says which."""
+    out = jobs.join(own.select(*keys, F.col(column).alias("_own")), keys, "left").join(template.select(template_key, F.col(column).alias("_template")), template_key, "left")
+    origin = F.when(F.col("_own").isNotNull(), "own").when(F.col("_template").isNotNull(), "template").otherwise("none")
+    return out.withColumns({column: F.coalesce("_own", "_template"), "origin": origin}).drop("_own", "_template")
+
+
+def associated(samples: DataFrame, metadata: DataFrame, key: str, digest: str) -> DataFrame:
+    """state of each sample's metadata by a common key: matched, missing, ambiguous (several rows) or changed (another digest)."""
+    found = metadata.groupBy(key).agg(F.count("*").alias("_n"), F.min(digest).alias("_d"))
+    state = F.when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "ambiguous").when(F.col("_d").eqNullSafe(F.col(digest)), "matched").otherwise("changed")
+    return samples.join(found, key, "left").withColumn("state", state).drop("_n", "_d")
+
+
+def identity_mismatches(jobs: DataFrame, results: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Results that differ from their job in any of the columns that name it: key and the names of those columns."""
+    back = results.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
+    wrong = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), F.lit(c)) for c in columns]))
+    return jobs.join(back, key).withColumn("mismatch", wrong).filter(F.size("mismatch") > 0).select(key, "mismatch")

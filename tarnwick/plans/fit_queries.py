@@ -173,3 +173,9 @@ def vector_summary(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     at = lambda k: F.element_at("embedding", k).cast("double")
     return e.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(at(1)), 4).alias("m1"), F.round(F.stddev_samp(at(2)), 4).alias("s2"))
+
+
+@query()
+def signed_arcs(spark, sf_dir):
+    tracks = series(spark, sf_dir)
+    return K.grouped(tracks, ["track"], ["i"], lambda c: [K.signed_arc(c["i"].astype(float), c["y"].cumsum() / 100)], "track long, radius double, error double, straight boolean")

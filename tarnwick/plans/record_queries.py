@@ -181,3 +181,35 @@ def frame_sampling(spark, sf_dir):
 @query("SELECT strftime(ts, '%Y-%m-%d') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def event_windows_daily(spark, sf_dir):
     return event_windows(table(spark, sf_dir, "events")).withColumns({"start": F.date_format("start", "yyyy-MM-dd"), "total": F.round("total", 2)})
+
+
+@query("""SELECT o_orderkey AS sample, n.n_name AS name, n.n_nationkey IS NOT NULL AS known FROM orders LEFT JOIN nation n ON n.n_nationkey = o_custkey % 31""")
+def catalog_join(spark, sf_dir):
+    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample"), (F.col("o_custkey") % 31).cast("int").alias("task"))
+    catalog = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("task"), F.col("n_name").alias("name"))
+    return R.with_catalog(jobs, catalog).select("sample", "name", "known")
+
+
+@query("""SELECT c_custkey AS sample, coalesce(o.s_name, n.n_name) AS name, CASE WHEN o.s_name IS NOT NULL THEN 'own' WHEN n.n_name IS NOT NULL THEN 'template' ELSE 'none' END AS origin
+FROM customer LEFT JOIN supplier o ON o.s_suppkey = c_custkey LEFT JOIN nation n ON n.n_nationkey = c_nationkey + 3""")
+def annotation_override(spark, sf_dir):
+    jobs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample"), (F.col("c_nationkey") + 3).alias("task"))
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample"), F.col("s_name").alias("name"))
+    template = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("task"), F.col("n_name").alias("name"))
+    return R.overridden(jobs, own, template, ["sample"], "task", "name").select("sample", "name", "origin")
+
+
+@query("""WITH m AS (SELECT o_custkey AS k, count(*) AS n, min(o_orderpriority) AS d FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey)
+SELECT c_custkey AS sample, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' WHEN d IS NOT DISTINCT FROM CASE WHEN c_nationkey < 12 THEN '1-URGENT' ELSE '5-LOW' END THEN 'matched' ELSE 'changed' END AS state FROM customer LEFT JOIN m ON m.k = c_custkey""")
+def metadata_association(spark, sf_dir):
+    samples = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample"), F.when(F.col("c_nationkey") < 12, "1-URGENT").otherwise("5-LOW").alias("digest"))
+    meta = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("sample"), F.col("o_orderpriority").alias("digest"))
+    return R.associated(samples, meta, "sample", "digest").select("sample", "state")
+
+
+@query(f"""WITH {RECORDS}, b AS (SELECT sample, CASE WHEN e2 IS NULL THEN 'other' ELSE model END AS model, CASE WHEN forced THEN 'P0' ELSE task END AS task FROM records WHERE status = 'complete'),
+w AS (SELECT r.sample, list_filter([CASE WHEN r.model <> b.model THEN 'model' END, CASE WHEN r.task <> b.task THEN 'task' END], lambda x: x IS NOT NULL) AS w FROM records r JOIN b USING (sample)) SELECT sample, array_to_string(w, ';') AS mismatch FROM w WHERE len(w) > 0""")
+def identity_mismatches(spark, sf_dir):
+    r = records(spark, sf_dir)
+    back = r.filter("status = 'complete'").select("sample", F.when(F.col("e2").isNull(), "other").otherwise(F.col("model")).alias("model"), F.when(F.col("forced"), "P0").otherwise(F.col("task")).alias("task"))
+    return R.identity_mismatches(r.select("sample", "model", "task"), back, "sample", ["model", "task"]).select("sample", F.array_join("mismatch", ";").alias("mismatch"))

@@ -48,7 +48,7 @@ def test_every_query_without_sql_is_a_kernel():
     without = set(catalog.QUERIES) - set(catalog.ORACLE_SQL)
     assert without <= {
         "savgol", "peaks_prominence", "isotonic", "irls_fit", "fft_period", "discharge_exponent", "discharge_integral", "event_match_f1", "terminal_windows", "released_motion",
-        "path_split", "bounce_arcs", "shrink_events", "rise_half_time", "discharge_onset", "shared_vertex", "radial_circle", "consensus", "suppressed", "greedy_pairs", "frame_association", "metric_rows",
+        "path_split", "bounce_arcs", "shrink_events", "rise_half_time", "discharge_onset", "shared_vertex", "signed_arcs", "radial_circle", "consensus", "suppressed", "greedy_pairs", "frame_association", "metric_rows",
     }
 
 
