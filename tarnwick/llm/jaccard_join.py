@@ -361,19 +361,22 @@ def clustered(sets: DataFrame, percent: int, name: str) -> tuple[DataFrame, Data
     heads = live.select("sid", F.explode("prefix").alias("h"))
     least = heads.groupBy("h").agg(F.min("sid").alias("b"))
     near = components(heads.join(least, "h").select(F.col("sid").alias("a"), "b").filter("a != b"), name=f"{name}-clusters").withColumnRenamed("node", "sid")
-    sizes = near.groupBy("root").agg(F.count("*").alias("size"))
-    near = stash(near.join(sizes, "root"), f"{name}-sizes")
-    large = near.filter(F.col("size") > CLUSTER_SETS)
+    near = stash(near, f"{name}-near")
+    # only large clusters, at most one for CLUSTER_SETS sets, need more than their root
+    sizes = stash(near.groupBy("root").agg(F.count("*").alias("size")).filter(F.col("size") > CLUSTER_SETS).select("root"), f"{name}-large")
+    n_large = sizes.count()
     links = None
-    dealt = near.withColumn("label", F.when(F.col("size") > CLUSTER_SETS, F.lit(HUB_ROUNDS)).otherwise(F.lit(-1)))
-    if not large.isEmpty():
-        found = linked_to_hubs(live.join(large.select("sid", "root"), "sid").select("sid", "root", "n", "grams", "centre"), percent, name)
+    dealt = near.withColumn("label", F.lit(-1)).withColumn("m", F.lit(1).cast("long"))
+    if n_large:
+        sizes = joined_if_small(n_large, HUB_ROWS, sizes)
+        members = stash(near.join(sizes, "root", "left_semi"), f"{name}-members")
+        found = linked_to_hubs(live.join(members, "sid").select("sid", "root", "n", "grams", "centre"), percent, name)
         links = found.filter("sid != hub").select(F.col("sid").alias("a"), F.col("hub").alias("b"))
-        dealt = dealt.drop("label").join(found.select("sid", F.col("label").alias("hub_label")), "sid", "left").withColumn(
-            "label", F.coalesce("hub_label", F.when(F.col("size") > CLUSTER_SETS, F.lit(HUB_ROUNDS)).otherwise(F.lit(-1)))
-        )
-    of_label = dealt.groupBy("root", "label").agg(F.count("*").alias("m"))
-    dealt = dealt.join(of_label, ["root", "label"])
+        labelled = members.join(found.select("sid", "label"), "sid", "left").withColumn("label", F.coalesce("label", F.lit(HUB_ROUNDS)))
+        labelled = stash(labelled, f"{name}-labels")
+        counts = stash(labelled.groupBy("root", "label").agg(F.count("*").alias("m")), f"{name}-counts")
+        labelled = labelled.join(joined_if_small(n_large, HUB_ROWS, counts), ["root", "label"])
+        dealt = near.join(sizes, "root", "left_anti").withColumn("label", F.lit(-1)).withColumn("m", F.lit(1).cast("long")).unionByName(labelled.select("sid", "root", "label", "m"))
     part = F.pmod(F.xxhash64("sid"), F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK_SETS)))
     block = F.when(F.col("label") < 0, F.lit(0)).otherwise(F.col("label").cast("long") * (1 << 32) + part)
     dealt = stash(dealt.select("sid", "root", "label", block.cast("long").alias("block")), f"{name}-blocks")
