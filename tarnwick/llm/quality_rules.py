@@ -1,18 +1,21 @@
 """Quality rules: counts that fail outright, then distance to how a language usually looks.
 
 One scan gives every text's base counts and two histograms: of character classes, and of the
-common words of its language. The references are the mean histograms of all texts that pass the
-base rules, by language; languages without a word list share one reference of character classes.
+common words of its language. The references are the mean histograms of texts that pass the base
+rules, by language, and texts whose two histograms fall into one cell of a grid count once: exact
+and near copies of a text, however many, weigh as one text. Languages without a word list share
+one reference of character classes.
 A text is kept if it passes the base rules and neither histogram is further from its reference
 than a limit, by Jensen-Shannon distance (base 2, 0 to 1). A histogram of a short text is mostly
 chance, so below a least length its test is passed over.
 
 The scan's results, some 150 bytes a text, are stored; references and verdicts come from those.
-Sums for the references are made in each task before they are shuffled: one row per language and
-task reaches the driver's small table of at most len(COMMON_WORDS) + 1 references.
+One text of each cell, by least hash, is found with an aggregation that drops copies in each task
+before they are shuffled; sums of those are again made in each task, and the driver's table has at
+most len(COMMON_WORDS) + 1 references.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept; texts
-are read whole; repeated rows are each judged and each counts for the reference; a null language
+are read whole; repeated rows are each judged and count once for the reference; a null language
 is one without word list; an empty table gives an empty result; without any passing text there is
 no reference and the base rules alone decide; further columns are not carried.
 """
@@ -137,14 +140,36 @@ def scan(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFram
     return arrow_rows(read, run, SCANNED)
 
 
+#: Cells by share: of a character class, and of a common word. Near copies differ by less, other texts by more.
+CLASS_CELLS, WORD_CELLS = 50, 25
+
+
+def cell(classes: list[int], common: list[int]) -> bytes:
+    """The grid cell of a text's two histograms."""
+    shares = [np.rint(np.array(x) * (cells / max(1, sum(x)))) for x, cells in ((classes, CLASS_CELLS), (common, WORD_CELLS))]
+    return np.concatenate(shares).astype(np.uint8).tobytes()
+
+
+def one_of_each_cell(passed: DataFrame) -> DataFrame:
+    """lang ("" for those without word list), classes, common of one text of each language and cell."""
+
+    def run(batches):
+        for b in batches:
+            langs, classes, common = (c.to_pylist() for c in b.columns)
+            yield {"lang": [x if x in COMMON_WORDS else "" for x in langs], "cell": list(map(cell, classes, common)), "classes": classes, "common": common}
+
+    cells = arrow_rows(passed.select("lang", "classes", "common"), run, "lang string, cell binary, classes array<int>, common array<int>")
+    least = F.min(F.struct(F.xxhash64("classes", "common").alias("hash"), "classes", "common")).alias("t")
+    return cells.groupBy("lang", "cell").agg(least).select("lang", "t.classes", "t.common")
+
+
 def references(scanned: DataFrame, min_words: int) -> dict[str, tuple[np.ndarray, np.ndarray | None]]:
-    """By language (or "" for those without word list) the mean histograms of texts that pass the base rules."""
+    """By language (or "" for those without word list) the mean histograms of texts that pass the base rules, each cell once."""
 
     def run(batches):
         sums: dict[str, list] = {}
         for b in batches:
-            for lang, classes, common in zip(*(c.to_pylist() for c in b.columns)):
-                key = lang if lang in COMMON_WORDS else ""
+            for key, classes, common in zip(*(c.to_pylist() for c in b.columns)):
                 at = sums.setdefault(key, [0, np.zeros(8), np.zeros(len(COMMON_WORDS.get(key, ())) + 1)])
                 at[0] += 1
                 at[1] += np.array(classes) / max(1, sum(classes))
@@ -152,7 +177,7 @@ def references(scanned: DataFrame, min_words: int) -> dict[str, tuple[np.ndarray
                     at[2] += np.array(common) / max(1, sum(common))
         yield {"lang": list(sums), "n": [x[0] for x in sums.values()], "classes": [x[1] for x in sums.values()], "common": [x[2] for x in sums.values()]}
 
-    passed = scanned.filter(~F.col("base_failed") & (F.col("n_words") >= min_words)).select("lang", "classes", "common")
+    passed = one_of_each_cell(scanned.filter(~F.col("base_failed") & (F.col("n_words") >= min_words)))
     by_task = arrow_rows(passed, run, "lang string, n long, classes array<double>, common array<double>")
     whole = by_task.select("lang", F.posexplode(F.concat(F.array(F.col("n").cast("double")), "classes", "common")).alias("k", "v")).groupBy("lang", "k").agg(F.sum("v").alias("v"))
     found: dict[str, dict[int, float]] = {}

@@ -48,3 +48,14 @@ def test_edges(spark):
     texts = [(k, t, None if k % 2 else "xx") for k, t in enumerate(edge_texts())]
     assert quality_verdicts(documents(spark, texts)).count() == len(texts)
     assert quality_verdicts(documents(spark, [(None, "a"), (None, "a")])).count() == 2
+
+
+def test_copies_of_junk_do_not_become_the_reference(spark):
+    rng = random.Random(7)
+    clean = [words(rng, 150) for _ in range(40)]
+    junk = " | ".join(f"{rng.choice(['KX', 'QZ'])}{rng.randrange(10**6)}" for _ in range(150))
+    near = [" | ".join([*junk.split(" | ")[:-1], f"KX{rng.randrange(10**6)}"]) for _ in range(20)]
+    for copies in ([junk] * 20, near):  # a third of the rows
+        docs = documents(spark, [*clean, *copies])
+        assert {r.doc_id for r in quality_verdicts(docs).collect() if r.kept} == set(range(len(clean)))
+        assert {r.doc_id for r in quality_filter(docs).collect()} == set(range(len(clean)))
