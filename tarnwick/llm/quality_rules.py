@@ -7,7 +7,8 @@ and near copies of a text, however many, weigh as one text. Languages without a
 one reference of character classes.
 A text is kept if it passes the base rules and neither histogram is further from its reference
 than a limit, by Jensen-Shannon distance (base 2, 0 to 1). A histogram of a short text is mostly
-chance, so below a least length its test is passed over.
+chance: the squared distance grows with one over the length, and so does the limit of the word
+test below min_words words. Below a least length a test is passed over.
 
 The scan's results, some 150 bytes a text, are stored; references and verdicts come from those.
 One text of each cell, by least hash, is found with an aggregation that drops copies in each task
@@ -200,6 +201,16 @@ def js_distance(rows: np.ndarray, reference: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0, (part(p) + part(q)) / 2))
 
 
+#: What one over the number of words adds to the squared distance that a text may have.
+CHANCE = 5.0
+
+
+def word_limits(n_words: np.ndarray, word_limit: float, min_words: int) -> np.ndarray:
+    """The limit of the word distance by length: word_limit from min_words words on, more below."""
+    n = np.maximum(1, n_words)
+    return np.sqrt(word_limit**2 + CHANCE * np.maximum(0, 1 / n - 1 / max(1, min_words)))
+
+
 def quality_verdicts(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -209,8 +220,12 @@ def quality_verdicts(
     word_limit: float = 0.28,
     min_chars: int = 100,
     min_words: int = 100,
+    guard_words: int = 50,
 ) -> DataFrame:
-    """row, doc_id, the base counts, base_failed, class_distance, word_distance (null: not tested) and kept."""
+    """row, doc_id, the base counts, base_failed, class_distance, word_distance (null: not tested) and kept.
+
+    Below min_words words the word limit grows, and below guard_words the word test is passed over.
+    """
     scanned = stash(scan(docs, id_col, text_col, lang_col), "quality-scan")
     known = references(scanned, 20)
 
@@ -226,10 +241,10 @@ def quality_verdicts(
                 near[at] = np.where(classes.sum(1) >= min_chars, js_distance(classes, known[lang][0]), np.nan)
                 if lang:
                     common = np.array([b.column("common")[int(k)].as_py() for k in at])
-                    far[at] = np.where(n_words[at] >= min_words, js_distance(common, known[lang][1]), np.nan)
+                    far[at] = np.where(n_words[at] >= guard_words, js_distance(common, known[lang][1]), np.nan)
             out["class_distance"] = [None if np.isnan(x) else float(x) for x in near]
             out["word_distance"] = [None if np.isnan(x) else float(x) for x in far]
-            fine = ~(near > class_limit) & ~(far > word_limit)  # not tested: passed over
+            fine = ~(near > class_limit) & ~(far > word_limits(n_words, word_limit, min_words))  # not tested: passed over
             out["kept"] = fine & ~np.array(b.column("base_failed").to_pylist(), bool)
             yield out
 
@@ -237,7 +252,7 @@ def quality_verdicts(
     return arrow_rows(scanned, run, schema)
 
 
-def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", class_limit: float = 0.3, word_limit: float = 0.28, min_chars: int = 100, min_words: int = 100) -> DataFrame:
+def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", class_limit: float = 0.3, word_limit: float = 0.28, min_chars: int = 100, min_words: int = 100, guard_words: int = 50) -> DataFrame:
     """The rows of docs that quality_verdicts keeps, with all their columns: two scans and no shuffle of texts."""
     known = references(scan(docs.withColumn("_row", F.lit(0)), "_row", text_col, lang_col), 20)
 
@@ -253,8 +268,8 @@ def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
                     near, far = known.get(lang if lang in COMMON_WORDS else "", (None, None))
                     if near is not None and classes.sum() >= min_chars:
                         fine = js_distance(classes[None], near)[0] <= class_limit
-                    if fine and far is not None and n >= min_words:
-                        fine = js_distance(common[None], far)[0] <= word_limit
+                    if fine and far is not None and n >= guard_words:
+                        fine = js_distance(common[None], far)[0] <= word_limits(n, word_limit, min_words)
                 out.append(bool(fine))
             return out
 

@@ -59,3 +59,13 @@ def test_copies_of_junk_do_not_become_the_reference(spark):
         docs = documents(spark, [*clean, *copies])
         assert {r.doc_id for r in quality_verdicts(docs).collect() if r.kept} == set(range(len(clean)))
         assert {r.doc_id for r in quality_filter(docs).collect()} == set(range(len(clean)))
+
+
+def test_short_junk_is_tested_with_a_wider_limit(spark):
+    rng = random.Random(8)
+    clean = [words(rng, n) for n in [150] * 40 + [55, 65, 80, 95]]
+    junk = [" | ".join(f"{rng.choice('abcdefgh')}{rng.choice('rstuvw')}ix{k}" for k in range(45)) for _ in range(2)]  # 89 words, none common
+    docs = documents(spark, [*clean, *junk])
+    got = {r.doc_id: r for r in quality_verdicts(docs).collect()}
+    assert [k for k in got if not got[k].kept and k < len(clean)] == [] and all(got[len(clean) + k].word_distance > 0.28 for k in range(2))
+    assert {k for k in got if got[k].kept} == set(range(len(clean))) == {r.doc_id for r in quality_filter(docs).collect()}
