@@ -1,10 +1,11 @@
 """Secrets in texts, and who owns them.
 
 Base findings come from three fixed patterns (assign, access, hex). Beside them the texts hold
-weaker candidates: prefixed keys, signed tokens, key headers and long mixed strings. A candidate
-alone says little: the corpus decides. Its hash is counted by distinct owners and distinct
-repositories over all texts; what several owners share is a widely copied example, what one
-owner alone has is live-looking, and only such spans are added (kind "live").
+weaker candidates: prefixed keys, signed tokens, private keys and long mixed strings. A candidate
+alone says little: the corpus decides. Its hash is counted by distinct owners over all texts; what
+several owners share is a widely copied example, what one owner alone has is live-looking, in
+however many repositories, and only such spans are added (kind "live"). A private key is hashed
+by its body and its span reaches to its end; a header alone is hashed as it is.
 
 The counts come from two aggregations whose keys are deduplicated on the map side, first by
 (hash, owner, repository): a string copied into a third of all rows is a few rows per task.
@@ -40,10 +41,15 @@ ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 CANDIDATE = re.compile(
     r"gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}"
     r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"(?:(?:[^-]|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----|(?:(?:\s|\\[nr])+[A-Za-z0-9+/]{16,}={0,2})*+(?:(?:\s|\\[nr])+[A-Za-z0-9+/]+={1,2})?)"
     r"|[A-Za-z0-9+/]{24,}={0,2}"
 )
 
 
+#: What frames a private key and breaks its lines.
+KEY_FRAME = re.compile(r"-----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----|\s+|\\[nr]|[\"']")
+
+
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     """(start, kind's place, end, value) of the base findings, in order."""
     found = []
@@ -66,9 +72,15 @@ def looks_random(value: str) -> bool:
     return sum(kinds) >= 2 and kinds[2] and bits >= 3
 
 
+def key_body(value: str) -> str:
+    """What is counted of a candidate: a private key without header, end and line breaks, if anything is left."""
+    return KEY_FRAME.sub("", value) or value if value.startswith("-----") else value
+
+
 def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """(start, end, value) of candidates outside the base findings."""
-    return [(m.start(), m.end(), m[0]) for m in CANDIDATE.finditer(text) if looks_random(m[0]) and not any(a < m.end() and m.start() < b for a, _, b, _ in taken)]
+    """(start, end, value) of candidates outside the base findings; a private key may hold some."""
+    free = lambda m: m[0].startswith("-----") or not any(a < m.end() and m.start() < b for a, _, b, _ in taken)
+    return [(m.start(), m.end(), key_body(m[0])) for m in CANDIDATE.finditer(text) if looks_random(m[0]) and free(m)]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -120,16 +132,17 @@ def secret_spans(
     owner_col: str = "source",
     repo_col: str = "doc_id",
     max_owners: int = 1,
-    max_repos: int = 3,
+    max_repos: int | None = None,
 ) -> DataFrame:
     """row, doc_id, key (the text's xxhash64), n_assign, n_access, n_hex, base_sha256, spans, all_spans of every text.
 
-    A candidate is live if at most max_owners owners and max_repos repositories have it.
+    A candidate is live if at most max_owners owners have it, and at most max_repos repositories if that is given.
     """
     scanned = stash(scan(docs, id_col, text_col, owner_col, repo_col), "secret-scan")
     found = scanned.select("row", "owner", "repo", F.explode("cand").alias("c")).select("row", "owner", "repo", "c.*")
     known = ownership(found.select("hash", "owner", "repo"))
-    live = known.filter((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).select("hash")
+    live = known.filter(F.col("owners") <= max_owners)
+    live = (live if max_repos is None else live.filter(F.col("repos") <= max_repos)).select("hash")
     kind = F.lit(KINDS.index("live")).alias("kind")
     added = found.join(live, "hash").groupBy("row").agg(F.collect_list(F.struct("start", kind, "end")).alias("live"))
     spans = F.array_sort(F.concat("base", F.coalesce("live", F.array().cast(T.ArrayType(scanned.schema["base"].dataType.elementType)))))

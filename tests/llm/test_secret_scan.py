@@ -43,3 +43,17 @@ def test_redaction(spark):
     assert out.columns == docs.columns and len(rows) == 5
     assert sorted(rows, key=str) == sorted([(1, "[secret]\"", 9), (1, "[secret]\"", 9), (2, "clean", 5), (None, "[secret]\"", 9), (3, None, 0)], key=str)
     assert redacted(docs.limit(0)).count() == 0
+
+
+def test_one_owner_in_many_documents_and_private_keys(spark):
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    keys = [f"{head}\nMIIEow{c * 3}IBAAKCAQEA7bq\n0123456789abcdef{c}x+/Q==\n{end}" for c in "stuv"]
+    texts = [(k, f"use {OWN} now", "en", "s0") for k in range(6)] + [(10 + k, f"a {t} z", "en", f"s{k}") for k, t in enumerate(keys)]
+    texts += [(20, f"b {keys[3]} z", "en", "s3"), (21, f"see {SHARED}", "en", "s0"), (22, f"see {SHARED}", "en", "s1")]
+    texts += [(30, f"{head} alone", "en", "s0"), (31, f"{head} alone", "en", "s1"), (32, keys[0].split(end)[0] + "and more", "en", "s0")]
+    got = {r.doc_id: r.spans for r in secret_spans(documents(spark, texts)).collect()}
+    assert all(f"live:4:{4 + len(OWN)}" in got[k] for k in range(6))
+    assert all(f"live:2:{2 + len(keys[0])}" in got[k] for k in (10, 11, 12, 13, 20))
+    assert not any("live" in got[k] for k in (21, 22, 30, 31)) and f"live:0:{len(keys[0].split(end)[0]) - 1}" in got[32]
+    held = {r.doc_id: r.text for r in redacted(documents(spark, texts)).collect()}
+    assert held[0] == "use [secret] now" and held[10] == "a [secret] z" and held[32] == "[secret]\nand more"
