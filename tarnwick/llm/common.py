@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
+from itertools import count, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -113,6 +114,12 @@ def keep_rows(docs: DataFrame, predicate) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def unused(names: list[str], n: int) -> list[str]:
+    """n column names that none of `names` is, in whatever case."""
+    taken = {x.lower() for x in names}
+    return list(islice((x for x in map("_x{}".format, count()) if x not in taken), n))
+
+
 def joined_if_small(rows: int, most: int, frame: DataFrame) -> DataFrame:
     """A counted table, broadcast up to `most` rows; beyond it Spark shuffles both sides."""
     return F.broadcast(frame) if rows <= most else frame

@@ -103,6 +103,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: SQL for DuckDB. The other operators of this subpackage follow algorithms that SQL does not express; tests/llm holds those against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op10_secret_scan": r"""
+WITH docs AS (SELECT row_number() OVER () AS n, doc_id, source, coalesce(text, '') AS text FROM documents),
+patterns(kind, pattern) AS (VALUES
+    ('0assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+    ('1access', 'AKIA[A-Z0-9]{14,}'), ('2hex', '[0-9a-f]{16,}'),
+    ('other', 'gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]|-[^-]|--[^-]|---[^-])*-----END [A-Z ]*PRIVATE KEY-----|(?:(?:\s|\\[nr])+[A-Za-z0-9+/]{16,}={0,2})*(?:(?:\s|\\[nr])+[A-Za-z0-9+/]+={1,2})?)|[A-Za-z0-9+/]{24,}={0,2}')),
+cut AS (SELECT n, kind, regexp_extract_all(text, pattern) AS hits, regexp_split_to_array(text, pattern) AS gaps FROM docs, patterns),
+hits AS (SELECT n, kind, hits[k] AS hit, sum(length(gaps[k])) OVER w + coalesce(sum(length(hits[k])) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+    FROM (SELECT n, kind, hits, gaps, unnest(generate_series(1, len(hits))) AS k FROM cut) WINDOW w AS (PARTITION BY n, kind ORDER BY k)),
+spans AS (SELECT n, kind, a, a + length(hit) AS e, CASE kind WHEN '0assign' THEN regexp_extract(hit, (SELECT pattern FROM patterns WHERE kind = '0assign'), 2) ELSE hit END AS value FROM hits),
+base AS (SELECT * FROM spans WHERE (kind = '0assign' AND length(value) >= 12) OR kind IN ('1access', '2hex')),
+found AS (
+    SELECT DISTINCT n, e - length(value) AS a, e, value FROM base UNION
+    SELECT n, e - length(value), e, value FROM spans WHERE kind = '0assign' AND length(value) BETWEEN 6 AND 11 UNION
+    SELECT n, a, e, coalesce(nullif(CASE WHEN starts_with(value, '-----') THEN regexp_replace(value, '-----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----|\s+|\\[nr]|["'']', '', 'g') ELSE value END, ''), value)
+    FROM spans s WHERE kind = 'other' AND (starts_with(value, '-----') OR NOT EXISTS (SELECT 1 FROM base b WHERE b.n = s.n AND b.a < s.e AND s.a < b.e))),
+cand AS (SELECT found.*, docs.source FROM found JOIN docs USING (n) WHERE starts_with(substr(text, a::BIGINT + 1, 5), '-----') OR (
+    regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND round(list_aggregate(string_split(value, ''), 'entropy'), 9) >= CASE WHEN length(value) >= 12 THEN 3 ELSE 2.5 END)),
+owned AS (SELECT value, count(DISTINCT coalesce(source, '')) AS owners FROM cand GROUP BY value),
+judged AS (SELECT n, count_if(owners = 1) AS n_live, count_if(owners > 1) AS n_shared, max(owners) AS most_owners FROM cand JOIN owned USING (value) GROUP BY n),
+every AS (SELECT n, kind, a, e FROM base UNION ALL SELECT n, '3live', a, e FROM cand JOIN owned USING (value) WHERE owners = 1),
+listed AS (SELECT n, count_if(kind = '0assign') AS n_assign, count_if(kind = '1access') AS n_access, count_if(kind = '2hex') AS n_hex,
+    string_agg(concat(substr(kind, 2), ':', a, ':', e), ',' ORDER BY a, kind, e) FILTER (WHERE kind <> '3live') AS base, string_agg(concat(substr(kind, 2), ':', a, ':', e), ',' ORDER BY a, kind, e) AS spans FROM every GROUP BY n)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+    coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_shared, 0)::BIGINT AS n_shared, coalesce(most_owners, 0)::BIGINT AS most_owners
+FROM docs LEFT JOIN listed USING (n) LEFT JOIN judged USING (n)
+""",
     "op9_url_filter": r"""
 WITH cut AS (
     SELECT page_id, url, instr(url, '://') AS place, substr(url, instr(url, '://') + 3) AS rest FROM pages

@@ -1,11 +1,14 @@
 """Secrets in texts, and who owns them.
 
-Base findings come from three fixed patterns (assign, access, hex). Beside them the texts hold
-weaker candidates: prefixed keys, signed tokens, private keys and long mixed strings. A candidate
-alone says little: the corpus decides. Its hash is counted by distinct owners over all texts; what
-several owners share is a widely copied example, what one owner alone has is live-looking, in
-however many repositories, and only such spans are added (kind "live"). A private key is hashed
-by its body and its span reaches to its end; a header alone is hashed as it is.
+Base findings come from three fixed patterns (assign, access, hex). A pattern alone says little:
+examples from manuals match like live credentials. So the corpus decides. Candidates are the
+values of base findings (what is assigned, the access key, the run of hex digits) and, outside
+of those, prefixed keys, signed tokens, private keys, long mixed strings and assigned values too
+short for the base, each only if it looks random. A candidate's hash is counted by distinct
+repositories and owners over all texts: what several owners share is a widely copied example,
+what one owner alone has is live-looking, in however many repositories. Each live candidate is
+added as a span of kind "live"; base spans stay. A private key is hashed by its body and its span
+reaches to its end; a header alone is hashed as it is.
 
 The counts come from two aggregations whose keys are deduplicated on the map side, first by
 (hash, owner, repository): a string copied into a third of all rows is a few rows per task.
@@ -14,7 +17,8 @@ Values travel as hashes only.
 Defined results: null and empty texts have no spans and the SHA-256 of nothing; texts are
 scanned whole; repeated rows are each reported, and copies within a repository count once;
 null owners and repositories count as one owner and one repository, named by the empty string;
-an empty table gives an empty result; further columns are not carried.
+an empty table gives an empty result; further columns are not carried. redacted() carries them,
+whatever their names, and passes over a missing column of lengths.
 """
 
 from __future__ import annotations
@@ -27,9 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnwick.llm.common import arrow_rows, joined_if_small, small_batches, stash
+from tarnwick.llm.common import arrow_rows, small_batches, stash, unused
 
 KINDS = ("assign", "access", "hex", "live")
+#: Characters of an assigned value from which it is a base finding, and from which it is a candidate.
+BASE_CHARS, SHORT_CHARS = 12, 6
 #: The base patterns. The last two are written with their least length, which for
 #: greedy runs of one class finds the same spans.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -55,7 +61,7 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     found = []
     low = text.lower()
     if any(w in low for w in ASSIGN_WORDS):
-        found += [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+        found += [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= BASE_CHARS]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
@@ -63,13 +69,13 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def looks_random(value: str) -> bool:
-    """Mixed letter cases and digits with at least three bits a character: not a word or a number."""
+    """Digits with letters and at least three bits a character (2.5 below BASE_CHARS): not a word, a number or a filler."""
     if value.startswith("-----"):
         return True
     kinds = (any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value))
     n = len(value)
     bits = -sum(c / n * math.log2(c / n) for c in map(value.count, set(value)))
-    return sum(kinds) >= 2 and kinds[2] and bits >= 3
+    return sum(kinds) >= 2 and kinds[2] and bits >= (3 if n >= BASE_CHARS else 2.5)
 
 
 def key_body(value: str) -> str:
@@ -78,9 +84,17 @@ def key_body(value: str) -> str:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """(start, end, value) of candidates outside the base findings; a private key may hold some."""
+    """(start, end, value) of what only the corpus can judge: the base findings' values, and further forms outside of them.
+
+    A private key may hold base findings; of several candidates with one place there is one.
+    """
     free = lambda m: m[0].startswith("-----") or not any(a < m.end() and m.start() < b for a, _, b, _ in taken)
-    return [(m.start(), m.end(), key_body(m[0])) for m in CANDIDATE.finditer(text) if looks_random(m[0]) and free(m)]
+    found = {(end - len(value), end): value for _, _, end, value in taken}  # a base finding ends with its value
+    found |= {m.span(): key_body(m[0]) for m in CANDIDATE.finditer(text) if free(m)}
+    low = text.lower()
+    if any(w in low for w in ASSIGN_WORDS):
+        found |= {m.span(2): m[2] for m in ASSIGN.finditer(text) if SHORT_CHARS <= len(m[2]) < BASE_CHARS}
+    return [(a, b, v) for (a, b), v in sorted(found.items()) if looks_random(text[a:b])]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -88,8 +102,8 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-#: Texts with spans up to which their spans are broadcast, when they are put back to the texts.
-BROADCAST_ROWS = 200_000
+#: Bytes of spans up to which they are broadcast, when they are put back to the texts.
+BROADCAST_BYTES = 32 << 20
 SCANNED = (
     "row long, doc_id long, key long, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>,"
     " cand array<struct<start:int,end:int,hash:binary>>, owner string, repo string"
@@ -134,21 +148,30 @@ def secret_spans(
     max_owners: int = 1,
     max_repos: int | None = None,
 ) -> DataFrame:
-    """row, doc_id, key (the text's xxhash64), n_assign, n_access, n_hex, base_sha256, spans, all_spans of every text.
+    """row, doc_id, key (the text's xxhash64), n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared, most_owners, all_spans of every text.
 
-    A candidate is live if at most max_owners owners have it, and at most max_repos repositories if that is given.
+    A candidate is live if at most max_owners owners have it, and at most max_repos repositories if that is given; else it
+    is shared. most_owners is the greatest number of owners of a candidate of the text, 0 without any.
     """
     scanned = stash(scan(docs, id_col, text_col, owner_col, repo_col), "secret-scan")
     found = scanned.select("row", "owner", "repo", F.explode("cand").alias("c")).select("row", "owner", "repo", "c.*")
     known = ownership(found.select("hash", "owner", "repo"))
-    live = known.filter(F.col("owners") <= max_owners)
-    live = (live if max_repos is None else live.filter(F.col("repos") <= max_repos)).select("hash")
+    live = F.col("owners") <= max_owners
+    known = known.withColumn("live", live if max_repos is None else live & (F.col("repos") <= max_repos))
     kind = F.lit(KINDS.index("live")).alias("kind")
-    added = found.join(live, "hash").groupBy("row").agg(F.collect_list(F.struct("start", kind, "end")).alias("live"))
-    spans = F.array_sort(F.concat("base", F.coalesce("live", F.array().cast(T.ArrayType(scanned.schema["base"].dataType.elementType)))))
+    added = found.select("row", "hash", "start", "end").join(known, "hash").groupBy("row").agg(
+        F.collect_list(F.when(F.col("live"), F.struct("start", kind, "end"))).alias("added"),
+        F.count_if("live").alias("n_live"),
+        F.count_if(~F.col("live")).alias("n_shared"),
+        F.max("owners").alias("most_owners"),
+    )
+    none = F.array().cast(T.ArrayType(scanned.schema["base"].dataType.elementType))
+    spans = F.array_sort(F.concat("base", F.coalesce("added", none)))
     names = F.array(*map(F.lit, KINDS))
     text = F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
-    return scanned.join(added, "row", "left").select("row", "doc_id", "key", "n_assign", "n_access", "n_hex", "base_sha256", text.alias("spans"), spans.alias("all_spans"))
+    numbers = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("n_live", "n_shared", "most_owners")]
+    base = ["row", "doc_id", "key", "n_assign", "n_access", "n_hex", "base_sha256"]
+    return scanned.join(added, "row", "left").select(*base, text.alias("spans"), *numbers, spans.alias("all_spans"))
 
 
 def redact(text: str, spans: list[tuple[int, int]], mark: str) -> str:
@@ -164,16 +187,22 @@ def redact(text: str, spans: list[tuple[int, int]], mark: str) -> str:
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", mark: str = "[secret]", **scan_options) -> DataFrame:
-    """docs with every span of secret_spans replaced by the mark, and the column of text lengths set anew.
+    """docs with every span of secret_spans replaced by the mark, and the column of text lengths, if there is one, set anew.
 
-    Spans are put back by id and text hash. Their table is broadcast while it is small (it is counted), else
-    both sides are shuffled by id.
+    Spans are put back by id and text hash. Their table is broadcast while its measured size is small, else
+    both sides are shuffled by id and hash.
     """
     found = secret_spans(docs, id_col, text_col, **scan_options).filter(F.size("all_spans") > 0)
-    found = stash(found.groupBy("doc_id", "key").agg(F.first("all_spans").alias("all_spans")), "secret-spans")
-    found = joined_if_small(found.count(), BROADCAST_ROWS, found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("all_spans").alias("_spans")))
-    held = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_key")), "left").drop("_id", "_key")
+    id_, key, own = unused(docs.columns, 3)
+    found = found.groupBy(F.col("doc_id").alias(id_), F.col("key").alias(key)).agg(F.first("all_spans").alias(own))
+    found = stash(found, "secret-spans")
+    rows, spans = found.agg(F.count("*"), F.coalesce(F.sum(F.size(own)), F.lit(0))).first()
+    if 48 * rows + 24 * spans <= BROADCAST_BYTES:
+        found = F.broadcast(found)
+    at = docs[text_col]
+    held = docs.join(found, docs[id_col].cast("long").eqNullSafe(found[id_]) & (F.xxhash64(at) == found[key]), "left").drop(id_, key)
     names, place = docs.columns, docs.columns.index(text_col)
+    counted = names.index(chars_col) if chars_col in names else None
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -185,10 +214,9 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ch
             if any(spans):
                 texts = [redact(t, [(x["start"], x["end"]) for x in s], mark) if s else t for t, s in zip(columns[place].to_pylist(), spans)]
                 columns[place] = pa.array(texts, columns[place].type)
-                if chars_col:
-                    at = names.index(chars_col)
-                    counts = [len(t) if s else n for t, s, n in zip(texts, spans, columns[at].to_pylist())]
-                    columns[at] = pa.array(counts, columns[at].type)
+                if counted is not None:
+                    counts = [len(t) if s else n for t, s, n in zip(texts, spans, columns[counted].to_pylist())]
+                    columns[counted] = pa.array(counts, columns[counted].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return held.mapInArrow(run, docs.schema)
