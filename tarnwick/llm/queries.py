@@ -149,16 +149,25 @@ WITH cut AS (
     SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id
 ), hosts AS (
     SELECT read.host, count(bad.bad) AS n, coalesce(sum(bad.bad), 0) AS b FROM read LEFT JOIN bad USING (doc_id) GROUP BY read.host
+), labels_of AS (
+    SELECT *, string_split(host, '.') AS l FROM hosts
 ), parts AS (
-    SELECT *, regexp_extract(host, '[^.]*$', 0) AS suffix, CASE WHEN host LIKE '%.%' THEN regexp_extract(host, '[^.]*[.][^.]*$', 0) ELSE host END AS domain FROM hosts
-), sums AS (
-    SELECT *, sum(n) OVER (PARTITION BY domain) AS nd, sum(b) OVER (PARTITION BY domain) AS bd,
-        sum(n) OVER (PARTITION BY suffix) AS ns, sum(b) OVER (PARTITION BY suffix) AS bs, sum(n) OVER () AS na, sum(b) OVER () AS ba FROM parts
-), s1 AS (SELECT *, (bs + 10.0::DOUBLE * CASE WHEN na > 0 THEN ba::DOUBLE / na ELSE 0 END) / (ns + 10.0::DOUBLE) AS ps FROM sums
-), s2 AS (SELECT *, (bd + 10.0::DOUBLE * ps) / (nd + 10.0::DOUBLE) AS pd FROM s1
-), s3 AS (SELECT *, (b + 10.0::DOUBLE * pd) / (n + 10.0::DOUBLE) AS ph FROM s2
-), rated AS (SELECT host, ph - 1.645::DOUBLE * sqrt(ph * (1 - ph) / (n + 11.0::DOUBLE)) AS bound FROM s3)
-SELECT page_id, host, path, rule, coalesce(said, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(bound, 9) AS bound
+    SELECT *, CASE WHEN len(l) >= 3 AND length(l[-1]) = 2 AND l[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN 2 ELSE 1 END AS two FROM labels_of
+), named AS (
+    SELECT host, n, b, array_to_string(l[-two:], '.') AS suffix, array_to_string(l[-(two + 1):], '.') AS domain FROM parts
+), overall AS (SELECT coalesce(sum(b)::DOUBLE / nullif(sum(n), 0), 0) AS pa FROM named
+), s0 AS (SELECT suffix, sum(b) AS b, sum(n) AS n FROM named GROUP BY suffix HAVING sum(n) > 0
+), ws AS (SELECT coalesce(1 / greatest(1 / 2001.0::DOUBLE, least(1 / 3.0::DOUBLE, sum((b - n * pa) ** 2 - n * pa * (1 - pa)) / nullif(sum(n * pa * (1 - pa) * (n - 1)), 0))) - 1, sqrt(4000.0::DOUBLE)) AS w FROM s0, overall
+), s1 AS (SELECT suffix, (b + w * pa) / (n + w) AS ps FROM s0, overall, ws
+), d0 AS (SELECT domain, suffix, sum(b) AS b, sum(n) AS n FROM named GROUP BY domain, suffix HAVING sum(n) > 0
+), wd AS (SELECT coalesce(1 / greatest(1 / 2001.0::DOUBLE, least(1 / 3.0::DOUBLE, sum((b - n * ps) ** 2 - n * ps * (1 - ps)) / nullif(sum(n * ps * (1 - ps) * (n - 1)), 0))) - 1, sqrt(4000.0::DOUBLE)) AS w FROM d0 JOIN s1 USING (suffix)
+), d1 AS (SELECT domain, (b + w * ps) / (n + w) AS pd FROM d0 JOIN s1 USING (suffix), wd
+), wh AS (SELECT coalesce(1 / greatest(1 / 2001.0::DOUBLE, least(1 / 3.0::DOUBLE, sum((b - n * pd) ** 2 - n * pd * (1 - pd)) / nullif(sum(n * pd * (1 - pd) * (n - 1)), 0))) - 1, sqrt(4000.0::DOUBLE)) AS w FROM named JOIN d1 USING (domain) WHERE n > 0
+), h1 AS (SELECT host, pa, b + w * coalesce(pd, ps, pa) AS x, n - b + w * (1 - coalesce(pd, ps, pa)) AS y FROM named LEFT JOIN d1 USING (domain) LEFT JOIN s1 USING (suffix), overall, wh
+), h2 AS (SELECT host, pa, x, y, greatest(y, 1) AS g, 1 / (2 * x - 1) AS p, 1 / (2 * greatest(y, 1) - 1) AS q FROM h1
+), h3 AS (SELECT *, 2 / (p + q) AS h, (1.645::DOUBLE * 1.645::DOUBLE - 3) / 6 AS lo FROM h2
+), rated AS (SELECT host, pa, x / (x + y) AS p_host, CASE WHEN x >= 1 THEN x / (x + g * exp(2 * (1.645::DOUBLE * sqrt(h + lo) / h - (q - p) * (lo + 5 / 6.0::DOUBLE - 2 / (3 * h))))) ELSE 0 END AS bound FROM h3)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN bound > pa THEN 'block' ELSE 'allow' END) AS verdict, round(p_host, 9) AS p_host, round(bound, 9) AS bound
 FROM fits JOIN rated USING (host) WHERE k = 1
 """,
 }
