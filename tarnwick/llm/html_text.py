@@ -1,22 +1,29 @@
 """The visible text of HTML pages, laid out as a browser would set it in plain text.
 
-A tokenizer reads tags, comments and raw text; a tree builder puts up the elements that HTML lets
-authors leave out (end tags of paragraphs, list items, table parts and options; rows and bodies of
-tables) and closes what stays open. Layout works from the leaves up: inline content flows into
-lines, blocks stand on lines of their own, paragraphs and the like with an empty line around
-them, lists get markers and indents by depth, table cells are padded to columns, preformatted
-text keeps its white space. Elements that are never shown (head, script, style, templates ...),
-hidden by attribute or inline style, and hidden inputs give nothing.
-
-Defined results: null and empty pages have an empty text; pages of any length and depth are
-read whole, by loops and not by recursion; text without any tag is laid out as one flow; broken
-markup never fails; repeated rows are each extracted; an empty table gives an empty result;
-further columns are not carried.
+A tokenizer reads tags, comments and raw text in one pass; a tree builder puts up the elements that
+HTML lets authors leave out (end tags of paragraphs, list items, table parts and options; rows and
+bodies of tables; the end of the head), moves what may not stand in a table before it, and closes what
+stays open. Layout works from the leaves up: inline content flows into lines, blocks stand on lines of
+their own, paragraphs and the like with an empty line around them, lists get markers and indents by
+depth, table cells are aligned in columns, spans of rows and columns counted, preformatted text keeps
+its white space. What is never shown (head, script, style, templates ...), hidden by attribute or
+inline style, in a closed details or dialog element, and hidden inputs give nothing; a visible child of an
+element with visibility: hidden is shown. Of a select element the chosen option shows, of a list box all.
+
+Limits, which cost no text: elements nested more than DEPTH deep stand beside each other, as
+browsers have it; a column's width counts up to CELL characters and cells are aligned up to LINE
+characters, beyond which they follow each other.
+
+Defined results: null and empty pages have an empty text; pages of any length are read whole, in time
+linear in their length, by loops and not by recursion; text without any tag is laid out as one flow;
+broken markup never fails, and a tag that the page's end leaves open is dropped, as by browsers; repeated
+rows are each extracted; an empty table gives an empty result; further columns are not carried.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -27,11 +34,12 @@ from tarnwick.llm.common import arrow_rows
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-UNSEEN = frozenset("head script style title template noscript noembed noframes iframe object embed audio video canvas svg math datalist meta link base param source track area map select".split())
+UNSEEN = frozenset("head script style title template noscript noembed noframes iframe object embed audio video canvas datalist meta link base param source track area map defs desc metadata symbol annotation annotation-xml rp".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr menu".split())
 BLOCKS = SPACED | frozenset(
     "html body address article aside center details dialog dd div dt fieldset figcaption footer form header hgroup legend li main nav optgroup option search section summary caption tr thead tbody tfoot td th".split()
 )
+HEAD = frozenset("meta link title style script base noscript template".split())
 #: A start tag of the key ends open elements of the value, up to the nearest fence.
 ENDS = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -48,12 +56,20 @@ ENDS = {
 }
 #: Block starts that end an open paragraph.
 CLOSE_P = BLOCKS - frozenset("html body tr thead tbody tfoot td th caption option optgroup".split())
-P_FENCES = frozenset("td th table caption button".split())
-
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b")
+P_FENCES = ("td", "th", "table", "caption", "button")
+#: Parts of tables that hold no text themselves, and what may stand in them; the rest goes before the table.
+TABLE_PARTS = frozenset("table thead tbody tfoot tr".split())
+IN_TABLE = frozenset("caption colgroup col thead tbody tfoot tr td th script style template".split())
+#: The depth at which browsers stop nesting; the greatest colspan and rowspan of HTML.
+DEPTH, MOST_COLUMNS, MOST_ROWS = 512, 1_000, 65_534
+CELL, LINE = 80, 1_000
+
+TAG = re.compile(r"[^ \t\n\f\r/>]*")
+NAME = re.compile(r"[ \t\n\f\r/]*([^ \t\n\f\r/>][^ \t\n\f\r/>=]*)?[ \t\n\f\r]*")
+BARE = re.compile(r"[^ \t\n\f\r>]*")
+AFTER_EQUALS = re.compile(r"=[ \t\n\f\r]*")
 WHITE = re.compile(r"[ \t\n\r\f]+")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[ \t\n\f\r/>])", re.I) for tag in RAW}
 
 
 class Node:
@@ -80,104 +96,219 @@ class Pre(str):
     """Text that keeps its white space."""
 
 
-def attributes(source: str) -> dict[str, str]:
-    found: dict[str, str] = {}
-    for name, a, b, c in ATTRIBUTE.findall(source):
-        found.setdefault(name.lower(), unescape(a or b or c))
-    return found
+class Cell:
+    """A table cell: its lines, and over how many columns and rows it stands."""
 
+    __slots__ = ("lines", "columns", "rows")
 
-def build(source: str) -> Node:
-    """The element tree, with implied tags put up."""
-    root = Node("html", {})
-    stack = [root]
-    at = 0
+    def __init__(self, lines: list[str], columns: int, rows: int):
+        self.lines, self.columns, self.rows = lines, columns, rows
 
-    open_: dict[str, int] = {}  # how many elements of a tag are open: most searches end here
 
-    def top_within(tags, fences) -> int | None:
-        if not any(map(open_.get, tags)):
+def read_tag(source: str, at: int) -> tuple[str, dict[str, str], bool, int] | None:
+    """Name, attributes, whether it closes itself, and end of the tag whose name begins at `at`; None if the page ends in it."""
+    m = TAG.match(source, at)
+    tag, at = m[0].lower(), m.end()
+    attrs: dict[str, str] = {}
+    while True:
+        m = NAME.match(source, at)
+        at = m.end()
+        if at >= len(source):
             return None
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                return k
-            if stack[k].tag in fences:
-                return None
-        return None
+        name = m[1]
+        if name is None:
+            if source[at] == ">":
+                return tag, attrs, source[at - 1] == "/", at + 1
+            continue
+        value = ""
+        if source[at] == "=":
+            at = AFTER_EQUALS.match(source, at).end()
+            quote = source[at : at + 1]
+            if quote in ("\"", "'") and quote:
+                end = source.find(quote, at + 1)
+                if end < 0:
+                    return None
+                value, at = source[at + 1 : end], end + 1
+            else:
+                m = BARE.match(source, at)
+                value, at = m[0], m.end()
+        attrs.setdefault(name.lower(), unescape(value) if "&" in value else value)
+
+
+class Builder:
+    """The element tree of a page, with implied tags put up."""
+
+    def __init__(self):
+        self.root = Node("html", {})
+        self.stack = [self.root]
+        self.places: dict[str, list[int]] = {}  # where in the stack the open elements of a tag are
 
-    def close_from(k: int) -> None:
-        for node in stack[k:]:
-            open_[node.tag] -= 1
-        del stack[k:]
+    def last(self, tags) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
 
-    def end(tags, fences) -> None:
-        while (k := top_within(tags, fences)) is not None:
-            close_from(k)
+    def within(self, tags, fences) -> int | None:
+        """The place of the innermost open element of `tags`, unless a fence stands further in."""
+        k = self.last(tags)
+        return k if k >= 0 and k > self.last(fences) else None
 
-    def push(tag: str, attrs: dict[str, str]) -> Node:
+    def close_from(self, k: int) -> None:
+        for node in self.stack[k:]:
+            self.places[node.tag].pop()
+        del self.stack[k:]
+
+    def end(self, tags, fences) -> None:
+        while (k := self.within(tags, fences)) is not None:
+            self.close_from(k)
+
+    def put(self, child, fits: bool) -> None:
+        """Adds a child to the open element, or before the table in which it may not stand."""
+        here = self.stack[-1]
+        if here.tag in TABLE_PARTS and not fits and (k := self.last(("table",))) > 0:
+            self.stack[k - 1].children.insert(-1, child)  # an open table is the last child of what holds it
+        else:
+            here.children.append(child)
+
+    def push(self, tag: str, attrs: dict[str, str]) -> Node:
         node = Node(tag, attrs)
-        stack[-1].children.append(node)
-        stack.append(node)
-        open_[tag] = open_.get(tag, 0) + 1
+        if len(self.stack) >= DEPTH:
+            self.close_from(DEPTH - 1)
+        self.put(node, tag in IN_TABLE)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(node)
         return node
 
-    def text(piece: str) -> None:
-        if piece:
-            if stack[-1].tag in ("table", "thead", "tbody", "tfoot", "tr") and piece.isspace():
+    def text(self, piece: str) -> None:
+        if not piece:
+            return
+        here = self.stack[-1].tag
+        if piece.isspace():
+            if here in TABLE_PARTS:
                 return
-            stack[-1].children.append(unescape(piece))
+        elif here == "head":
+            self.close_from(len(self.stack) - 1)  # the body begins with the first text
+        self.put(unescape(piece) if "&" in piece else piece, False)
+
+    def end_tag(self, tag: str) -> None:
+        if tag == "p" and self.within(("p",), P_FENCES) is None:
+            self.push("p", {})
+            self.close_from(len(self.stack) - 1)
+        elif tag == "br":
+            self.put(Node("br", {}), False)
+        elif (k := self.within((tag,), () if tag in ("table", "body") else ("table",))) is not None:
+            self.close_from(k)
+
+    def start_tag(self, tag: str, attrs: dict[str, str], closed: bool) -> Node | None:
+        if tag == "html":
+            return None
+        if self.places.get("svg") or self.places.get("math"):
+            if closed:
+                return None
+        elif tag == "body":
+            self.end(("head",), ())
+        elif self.stack[-1].tag == "head" and tag not in HEAD:
+            self.close_from(len(self.stack) - 1)  # the head ends where the body's content begins
+        if tag in CLOSE_P:
+            self.end(("p",), P_FENCES)
+        if tag in ENDS:
+            self.end(*ENDS[tag])
+        if tag in ("td", "th") and self.stack[-1].tag != "tr":
+            if (k := self.within(("tr",), ("table",))) is not None:
+                self.close_from(k + 1)
+            elif (k := self.within(("table",), ())) is not None:
+                if self.stack[-1].tag not in TABLE_PARTS:
+                    self.close_from(max(k, self.last(("thead", "tbody", "tfoot"))) + 1)
+                self.push("tr", {})
+        if tag in VOID:
+            self.put(Node(tag, attrs), tag in IN_TABLE or tag == "input" and attrs.get("type", "").lower() == "hidden")
+            return None
+        return self.push(tag, attrs)
 
-    while m := MARKUP.search(source, at):
-        text(source[at : m.start()])
-        at = m.end()
-        if m[1]:
-            tag = m[1].lower()
-            if tag == "p" and top_within(("p",), P_FENCES) is None:
-                push("p", {})
-                close_from(len(stack) - 1)
-            elif tag == "br":
-                stack[-1].children.append(Node("br", {}))
-            elif (k := top_within((tag,), () if tag in ("table", "body") else ("table",))) is not None:
-                close_from(k)
-        elif m[2]:
-            tag = m[2].lower()
-            attrs = attributes(m[3]) if m[3].strip(" /\n\t\r") else {}
-            if tag == "html":
-                continue
-            if tag == "body":
-                end(("head",), ())
-            elif stack[-1].tag == "head" and tag not in ("meta", "link", "title", "style", "script", "base", "noscript", "template"):
-                close_from(len(stack) - 1)  # the head ends where the body's content begins
-            if tag in CLOSE_P:
-                end(("p",), P_FENCES)
-            if tag in ENDS:
-                end(*ENDS[tag])
-            if tag in ("td", "th") and stack[-1].tag != "tr":
-                if (k := top_within(("tr",), ("table",))) is not None:
-                    close_from(k + 1)
-                elif top_within(("table",), ()) is not None:
-                    push("tr", {})
-            if tag in VOID:
-                stack[-1].children.append(Node(tag, attrs))
-                continue
-            node = push(tag, attrs)
-            if tag in RAW:
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>|\Z", re.I).search(source, at) if tag != "plaintext" else None
-                stop = close.start() if close else len(source)
+
+def build(source: str) -> Node:
+    """The element tree of a page."""
+    tree, at, size = Builder(), 0, len(source)
+    while at < size:
+        k = source.find("<", at)
+        if k < 0:
+            tree.text(source[at:])
+            break
+        mark = source[k + 1 : k + 2]
+        if mark.isascii() and mark.isalpha():
+            tree.text(source[at:k])
+            read = read_tag(source, k + 1)
+            if read is None:
+                break
+            tag, attrs, closed, at = read
+            node = tree.start_tag(tag, attrs, closed)
+            if node is not None and tag in RAW:
+                end = RAW_END[tag].search(source, at) if tag != "plaintext" else None
+                stop = end.start() if end else size
                 body = source[at:stop]
                 if tag not in ("script", "style") and body:
                     node.children.append(unescape(body) if tag in ("textarea", "title") else body)
-                close_from(len(stack) - 1)
-                at = close.end() if close else len(source)
-    text(source[at:])
-    return root
+                tree.close_from(len(tree.stack) - 1)
+                after = source.find(">", stop) if end else -1
+                at = after + 1 if after >= 0 else size
+        elif mark == "/" and (first := source[k + 2 : k + 3]).isascii() and first.isalpha():
+            tree.text(source[at:k])
+            read = read_tag(source, k + 2)
+            if read is None:
+                break
+            tree.end_tag(read[0])
+            at = read[3]
+        elif mark in ("!", "?", "/") and mark:
+            tree.text(source[at:k])
+            if source.startswith("<!--", k):
+                end = k + 4 if source.startswith((">", "->"), k + 4) else source.find("-->", k + 4)
+                at = source.find(">", end) + 1 if end >= 0 else size
+            else:
+                at = source.find(">", k) + 1 or size
+        else:  # a sign in the text
+            tree.text(source[at : k + 1])
+            at = k + 1
+    return tree.root
+
+
+def styles(attrs: dict[str, str]) -> dict[str, str]:
+    """The declarations of an inline style; of repeated ones the last."""
+    found = {}
+    for part in attrs.get("style", "").lower().split(";"):
+        name, _, value = part.partition(":")
+        found[name.strip()] = value.replace("!important", "").strip()
+    return found
 
 
-def unseen(node: Node) -> bool:
-    if node.tag in UNSEEN:
-        return True
+def unseen(node: Node, parent: Node) -> bool:
+    """Whether nothing of an element is shown."""
     a = node.attrs
-    return bool(a) and ("hidden" in a or bool(HIDDEN_STYLE.search(a.get("style", "").lower())) or node.tag == "input" and a.get("type", "").lower() == "hidden" or node.tag == "dialog" and "open" not in a)
+    if node.tag in UNSEEN or "hidden" in a or node.tag == "dialog" and "open" not in a:
+        return True
+    if parent.tag == "details" and "open" not in parent.attrs and not (node.tag == "summary" and node is next((c for c in parent.children if isinstance(c, Node) and c.tag == "summary"), None)):
+        return True
+    return "style" in a and styles(a).get("display") == "none" or node.tag == "input" and a.get("type", "").lower() == "hidden"
+
+
+def chosen(select: Node) -> tuple[list[str], bool]:
+    """The texts of the options that a select element shows, and whether it is a list box, which shows all."""
+    options, stack = [], [select]
+    while stack:
+        node = stack.pop()
+        if node.tag == "option":
+            text, inner = [], [node]
+            while inner:
+                x = inner.pop()
+                if isinstance(x, str):
+                    text.append(x)
+                else:
+                    inner += reversed(x.children)
+            options.append((node.attrs, WHITE.sub(" ", "".join(text)).strip(" ")))
+        else:
+            stack += reversed([c for c in node.children if isinstance(c, Node) and not ("hidden" in c.attrs or c.tag in UNSEEN)])
+    size = select.attrs.get("size", "")
+    if "multiple" in select.attrs or size.isascii() and size.isdigit() and size.strip("0") not in ("", "1"):
+        return [x for _, x in options], True
+    shown = [x for a, x in options if "selected" in a][-1:] or [x for a, x in options if "disabled" not in a][:1]
+    return shown, False
 
 
 def lay(flow: list) -> tuple[list[str], bool]:
@@ -227,85 +358,147 @@ def lay(flow: list) -> tuple[list[str], bool]:
     return lines, False
 
 
-def table_lines(rows: list[list[list[str]]]) -> list[str]:
-    """Cells padded to the width of their column; a cell of several lines makes its row as high."""
-    widths: list[int] = []
+def width(text: str) -> int:
+    """The columns that a text takes: two for wide characters, none for combining ones."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.combining(c) else 1 + (unicodedata.east_asian_width(c) in "WF") for c in text)
+
+
+def placed(rows: list[list[Cell]]) -> list[list[tuple[int, Cell]]]:
+    """Each row's cells with their columns: a cell goes to the first column that no cell from a row above takes."""
+    out, above = [], []  # above: (first column, last + 1, rows left), by column
     for row in rows:
-        for k, cell in enumerate(row):
-            if k == len(widths):
-                widths.append(0)
-            widths[k] = max(widths[k], max(map(len, cell), default=0))
+        here, at, taken = [], 0, iter(above)
+        span = next(taken, None)
+        for cell in row:
+            while span is not None and span[0] < at + cell.columns and (span[1] > at or span[0] >= at):
+                if span[0] > at:  # free columns before the span hold the cell's beginning; browsers let it overlap
+                    break
+                at = max(at, span[1])
+                span = next(taken, None)
+            here.append((at, cell))
+            at = min(at + cell.columns, MOST_COLUMNS)
+        above = [(a, b, n - 1) for a, b, n in above if n > 1]
+        added = [(at, at + cell.columns, cell.rows - 1) for at, cell in here if cell.rows > 1]
+        if added:
+            above = sorted(above + added)[:MOST_COLUMNS]
+        out.append(here)
+    return out
+
+
+def table_lines(rows: list[list[Cell]]) -> list[str]:
+    """Cells aligned in columns, two spaces apart; a cell of several lines makes its row as high."""
+    laid = placed(rows)
+    starts = sorted({at for row in laid for at, _ in row})
+    ends: dict[int, list[tuple[int, int]]] = {}
+    for row in laid:
+        for at, cell in row:
+            ends.setdefault(at + cell.columns, []).append((at, min(CELL, max(map(width, cell.lines), default=0))))
+    offset: dict[int, int] = {}
+    closing = sorted(ends)
+    least = k = 0
+    for n, at in enumerate(starts):
+        while k < len(closing) and closing[k] <= at:
+            least = max([least, *(offset[a] + w + 2 for a, w in ends[closing[k]])])
+            k += 1
+        offset[at] = min(LINE, max(least, offset[starts[n - 1]] if n else 0))
     out = []
-    for row in rows:
-        for k in range(max(map(len, row), default=0)):
-            out.append("  ".join((cell[k] if k < len(cell) else "").ljust(widths[n]) for n, cell in enumerate(row)).rstrip())
+    for row in laid:
+        for k in range(max((len(cell.lines) for _, cell in row), default=0)):
+            parts, at = [], 0
+            for column, cell in row:
+                if k < len(cell.lines) and (text := cell.lines[k]):
+                    pad = max(offset[column] - at, 2 if parts else 0)
+                    parts.append(" " * pad + text)
+                    at += pad + width(text)
+            out.append("".join(parts).rstrip())
     return out
 
 
+def spanned(node: Node, name: str, most: int) -> int:
+    """colspan or rowspan of a cell, within HTML's own bounds; rowspan 0 reaches to the end."""
+    value = node.attrs.get(name, "").strip()
+    if not (value.isascii() and value.isdigit()):
+        return 1
+    n = int(value) if len(value) < 9 else most
+    return min(n, most) if n else (most if name == "rowspan" else 1)
+
+
 def render(root: Node) -> str:
     """The laid-out text of a tree, from the leaves up and without recursion."""
-    # frame: node, next child, flow (inline elements use that of what holds them), kept white space, next list number, table cells or rows
-    def frame(node: Node, pre: bool, flow: list):
+
+    # frame: node, next child, flow (inline elements use that of what holds them), kept white space, next list number, table cells or rows, hidden
+    def frame(node: Node, pre: bool, flow: list, hid: bool):
         start = node.attrs.get("start", "") if node.tag == "ol" else ""
-        return [node, 0, [] if node.tag in BLOCKS else flow, pre or node.tag in ("pre", "textarea"), int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1, []]
+        if "style" in node.attrs and (said := styles(node.attrs).get("visibility")):
+            hid = said in ("hidden", "collapse") or said == "inherit" and hid
+        return [node, 0, [] if node.tag in BLOCKS else flow, pre or node.tag in ("pre", "textarea"), int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1, [], hid]
 
-    stack = [frame(root, False, [])]
+    stack = [frame(root, False, [], False)]
+    drawings = 0  # open svg elements, in which only text elements show
     while True:
-        node, k, flow, pre, _, _ = here = stack[-1]
+        node, k, flow, pre, _, _, hid = here = stack[-1]
         if k < len(node.children):
             here[1] += 1
             child = node.children[k]
             if isinstance(child, str):
-                flow.append(Pre(child) if pre else child)
-            elif unseen(child):
+                closed = node.tag == "details" and "open" not in node.attrs
+                if not hid and not closed and not (drawings and node.tag not in ("text", "tspan", "textpath", "a")):
+                    flow.append(Pre(child) if pre else child)
+            elif unseen(child, node):
                 pass
             elif child.tag == "br":
                 flow.append(Break)
             elif child.tag == "hr":
-                flow.append(Block(["---"], True))
+                if not hid:
+                    flow.append(Block(["---"], True))
             elif child.tag == "img":
-                if alt := child.attrs.get("alt", "").strip():
+                if not hid and (alt := child.attrs.get("alt", "").strip()):
                     flow.append(alt)
             elif child.tag == "input":
-                if child.attrs.get("type", "text").lower() not in ("checkbox", "radio", "file", "image") and (value := child.attrs.get("value", "")):
+                if not hid and child.attrs.get("type", "text").lower() not in ("checkbox", "radio", "file", "image") and (value := child.attrs.get("value", "")):
                     flow.append(value)
+            elif child.tag == "select":
+                if not hid:
+                    options, all_ = chosen(child)
+                    flow.append(Block([x for x in options if x], False)) if all_ else flow.extend(options)
             elif child.tag == "wbr":
                 pass
             else:
-                stack.append(frame(child, pre, flow))
+                if child.tag == "svg":
+                    drawings += 1
+                if child.tag == "text":
+                    flow.append(" ")
+                stack.append(frame(child, pre, flow, hid))
             continue
         stack.pop()
         if not stack:
             return "\n".join(lay(flow)[0]).strip("\n")
         up = stack[-1]
         tag = node.tag
-        if tag in ("td", "th"):
-            line = lay(flow)[0]
-            span = node.attrs.get("colspan", "")
-            cells = [line] + [[]] * (min(int(span), 100) - 1 if span.isascii() and span.isdigit() and 0 < len(span) < 5 else 0)
+        if tag == "svg":
+            drawings -= 1
+            flow.append(" ")
+        elif tag in ("td", "th"):
+            cell = Cell(lay(flow)[0], spanned(node, "colspan", MOST_COLUMNS), spanned(node, "rowspan", MOST_ROWS))
             for above in reversed(stack):
                 if above[0].tag in ("tr", "table"):
-                    above[5].append(cells)
+                    above[5].append(cell)
                     break
             else:
-                up[2].append(Block(line, False))
+                up[2].append(Block(cell.lines, False))
         elif tag == "tr":
-            row = [c for cells in here[5] for c in cells]
-            if here[5]:
-                for above in reversed(stack):
-                    if above[0].tag == "table":
-                        above[5].append(row)
-                        break
-                else:
-                    up[2].append(Block(table_lines([row]), False))
-            elif any(not isinstance(x, str) or x.strip() for x in flow):
-                up[2].append(Block(lay(flow)[0], False))
+            for above in reversed(stack):
+                if above[0].tag == "table":
+                    above[5].append(here[5])
+                    break
+            else:
+                up[2].append(Block(lay(flow)[0] + table_lines([here[5]]), False))
         elif tag in ("thead", "tbody", "tfoot"):
             up[2] += flow
         elif tag == "table":
-            rows = [r if r and isinstance(r[0], list) and (not r[0] or isinstance(r[0][0], str)) else [c for c in r] for r in here[5]]
-            before, _ = lay(flow)
-            up[2].append(Block(before + table_lines(rows), True))
+            up[2].append(Block(lay(flow)[0] + table_lines([r if isinstance(r, list) else [r] for r in here[5]]), True))
         elif tag == "li":
             lines, _ = lay(flow)
             if lines:
@@ -326,7 +519,7 @@ def render(root: Node) -> str:
             up[2].append(Block(["    " + x if x else x for x in lay(flow)[0]], False))
         elif tag == "blockquote":
             up[2].append(Block(["> " + x if x else ">" for x in lay(flow)[0]], True))
-        elif tag in ("pre",):
+        elif tag == "pre":
             if flow and isinstance(flow[0], Pre) and flow[0].startswith("\n"):
                 flow[0] = Pre(flow[0][1:])
             up[2].append(Block(lay(flow)[0], True))

@@ -1,3 +1,8 @@
+import random
+import time
+
+import pytest
+
 from tarnwick.llm.html_text import extract_text, html_text
 
 
@@ -19,17 +24,92 @@ def test_white_space_entities_breaks_and_pre():
 
 
 def test_implied_table_parts_and_spans():
-    assert html_text("<table><td>a<td>b<tr><td colspan=2>c<td>d</table>") == "a  b\nc      d" or html_text("<table><td>a<td>b<tr><td>c</table>") == "a  b\nc"
+    assert html_text("<table><td>a<td>b<tr><td colspan=2>c<td>d</table>") == "a  b\nc     d"
+    assert html_text("<table><td>a<td>b<tr><td>c</table>") == "a  b\nc"
+    assert html_text("<table><tr><td rowspan=2>aa<td>b<tr><td>c<tr><td>d<td>e</table>") == "aa  b\n    c\nd   e"
+    assert html_text("<table><tr><td colspan=2000>wide<tr><td>a<td>b</table>") == "wide\na  b"
+    assert html_text("<table><tr><td>日本<td>b<tr><td>c<td>d</table>") == "日本  b\nc     d"
     assert html_text("<table><tr><td><table><tr><td>in</table><td>out</table>") == "in  out"
+    assert html_text("a<table><tr>note<td>b<div>c</div></tr><p>stray</table>d") == "a note\n\nstray\n\nb\nc\n\nd".replace("a note", "anote")
+
+
+def test_what_shows_in_hidden_and_closed_elements():
+    assert html_text("<p style='visibility:hidden'>a<b style='visibility: visible'>b</b>c</p>d") == "b\n\nd"
+    assert html_text("<p style='visibility:hidden'>a<span style='display:none;visibility:visible'>b</span></p>d") == "d"
+    assert html_text("<details>x<summary>s</summary><p>t</details><details open><summary>u</summary>v</details>") == "s\nu\nv"
+    assert html_text("a <select><option>b<option selected>c<optgroup><option>d</select> e") == "a c e"
+    assert html_text("<select><option disabled>b<option>c</select>") == "c" and html_text("<select multiple><option>b<option>c</select>") == "b\nc"
+    assert html_text("<svg><title>t</title><path/><text x=1>a</text><g><text>b<tspan>c</tspan></text></g></svg><math><mi>x</mi><mo>+</mo><mn>1</mn></math>") == "a bc x+1"
+    assert html_text("<head><title>T</title>Hello<p>x") == "Hello\n\nx"
 
 
 def test_broken_and_deep_markup():
-    assert html_text("a <b c> </x> <<p") == "a <<p"
-    assert html_text("<div>" * 20_000 + "x" + "<i>" * 20_000 + "y") == "xy"
-    assert html_text("<script>never closed") == ""
+    assert html_text("a <b c> </x> <<p") == "a <"  # the page ends within a tag
+    assert html_text("1 < 2 <3 </ 4> <!x> <? y> <!--> z") == "1 < 2 <3 z"
+    assert html_text("<p a='>' b=\"<p>\" c>x</p foo='>'>y") == "x\n\ny"
+    assert html_text("<div>" * 20_000 + "x" + "<i>" * 20_000 + "y") == "x\ny"
+    assert html_text("<script>never closed") == "" and html_text("<script>a</scriptx></SCRIPT >b") == "b"
     assert html_text("plain text") == "plain text"
 
 
+HOSTILE = ["<a ", "<a b='", "<script>x</script ", "</textarea ", "<p><button><div>", "<table><tr>", "<td colspan=1000 rowspan=9999>x<tr>", "<details><summary>", "<select><option>", "<b><i>", "<!--", "<", "&amp"]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_pages_of_a_megabyte_take_seconds(piece):
+    began = time.perf_counter()
+    html_text("<table>" * ("td" in piece) + piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - began < (1 if piece == "<a " else 25)
+
+
+def twin(rng, depth, in_item=False):
+    """A random block as (html, lines, gap): what it should look like is put together from the tree, not from the markup."""
+    word = lambda: rng.choice(["ab", "c", "déf", "x&amp;y", "gh ij"])
+    shown = lambda h: h.replace("&amp;", "&")
+    noise = rng.choice(["", "", "<!-- n -->", "<i hidden>n</i>", "<b style='display:none'>n</b>", "<script>'<p>'</script>", " \n"])
+    kind = rng.choice(["p", "h2", "pre", "table"] if depth == 0 else ["p", "div", "ul", "ol", "quote", "table", "section"])
+    if kind in ("p", "h2"):
+        a, b = word(), word()
+        return f"<{kind}>{a} <em>{b}</em>{noise}" + (f"</{kind}>" if kind == "h2" or rng.random() < 0.5 else ""), [f"{shown(a)} {shown(b)}"], True
+    if kind == "pre":
+        return "<pre>\n a\n  b</pre>", [" a", "  b"], True
+    if kind == "table":
+        rows = [[word() for _ in range(3)] for _ in range(rng.randint(1, 3))]
+        end = lambda t: f"</{t}>" * (rng.random() < 0.5)
+        html = "".join("<tr>" + "".join(f"<td>{c}" + end("td") for c in row) + end("tr") for row in rows)
+        wide = [max(len(shown(r[k])) for r in rows) for k in range(3)]
+        lines = ["  ".join(shown(c).ljust(w) for c, w in zip(row, wide)).rstrip() for row in rows]
+        return f"<table>{rng.choice(['', '<tbody>'])}{html}</table>", lines, True
+    if kind in ("ul", "ol"):
+        html, lines = "", []
+        for k in range(rng.randint(1, 3)):
+            head, (inner, below, gap) = word(), twin(rng, 0 if depth == 1 or rng.random() < 0.5 else depth - 1, True)
+            below, gap = (below, gap) if rng.random() < 0.5 else ([], False)
+            mark = "- " if kind == "ul" else f"{k + 1}. "
+            item = [shown(head), *([""] if gap else []), *below] if below else [shown(head)]
+            lines += [mark + item[0], *(" " * len(mark) + x if x else x for x in item[1:])]
+            html += f"<li>{head}{inner if below else ''}" + ("</li>" if rng.random() < 0.5 else "")
+        return f"<{kind}>{html}</{kind}>", lines, not in_item
+    blocks = [twin(rng, depth - 1, in_item) for _ in range(rng.randint(1, 3))]
+    lines, gap = [], False
+    for _, inner, space in blocks:
+        if lines and (gap or space):
+            lines.append("")
+        lines, gap = lines + inner, space
+    if len(blocks) > 1:
+        gap = False
+    html = noise.join(h for h, _, _ in blocks)
+    if kind == "quote":
+        return f"<blockquote>{html}</blockquote>", ["> " + x if x else ">" for x in lines], True
+    return f"<{kind}>{html}</{kind}>", lines, gap
+
+
+def test_random_trees_look_as_put_together():
+    for seed in range(300):
+        html, lines, _ = twin(random.Random(seed), seed % 4)
+        assert html_text(f"<html><head><title>n</title><body>{html}") == "\n".join(lines).strip("\n"), html
+
+
 def test_table(spark):
     rows = [(1, None, "t"), (2, "", "t"), (3, "<p>a", "t"), (3, "<p>a", "t"), (None, "<p>b", "t")]
     pages = spark.createDataFrame(rows, "page_id long, html string, text string")
