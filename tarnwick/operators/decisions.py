@@ -13,8 +13,8 @@ from tarnwick.operators import stats as T
 #: Thresholds of the judgment where a task has one of its own.
 PASS_THRESHOLDS = {"P25": 0.65, "P40": 0.50}
 DEFAULT_THRESHOLD = 0.80
-#: Phrases that state outright that the event did not take place or its conditions did not hold.
-FAILURE_PHRASES = ("did not occur", "never occurred", "not completed", "incomplete event", "task failed", "invalid conditions", "condition not met")
+#: Fixed value: what states outright that the event or task did not take place, or that its conditions did not hold.
+FAILURE = r"\b(?:event|task)\s+(?:was\s+)?(?:not\s+completed|did\s+not\s+occur|failed)\b|\b(?:condition|conditions)\s+(?:are\s+)?(?:invalid|not\s+satisfied|failed)\b"
 
 
 def pass_threshold(task: Column) -> Column:
@@ -26,7 +26,7 @@ def pass_threshold(task: Column) -> Column:
 
 def states_failure(text: Column) -> Column:
     """Whether a text states a failed event, in either case of letters."""
-    return F.coalesce(text.rlike("(?i)" + "|".join(FAILURE_PHRASES)), F.lit(False))
+    return F.coalesce(text.rlike("(?i)" + FAILURE), F.lit(False))
 
 
 def metric_judgment(attempted: Column, event_failed: Column, measured: Column, score: Column, threshold: Column) -> Column:
@@ -50,7 +50,7 @@ def result_judgments(metrics: DataFrame, keys: list[str], judgment: str = "judgm
 
 
 Get = Callable[[str], Column]
-#: Strict bands of the tasks that have them: reasons for which a measured sample is not accepted.
+#: Strict bands of the tasks that have them, and the names of the reasons for which a measured sample is not accepted.
 BANDS: dict[str, Callable[[Get], dict[str, Column]]] = {
     "P9": lambda m: {"time_ratio_relative_error_gt_10pct": m("m1") > 0.10},
     "P13": lambda m: {"period_ratio_error_gt_0.05": m("m1") > 0.05, "t30_not_greater_than_t15": ~F.coalesce(m("t30") > m("t15"), F.lit(False)), "sinusoid_residual_gt_0.25": m("fit_residual") > 0.25},

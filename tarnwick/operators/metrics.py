@@ -129,22 +129,34 @@ QUANTITIES = tuple(
 )
 
 
+def needs(formula: Callable[[Get], tuple[Column, Column | None]]) -> list[str]:
+    """The quantities that a formula reads, in order."""
+    read: dict[str, None] = {}
+    formula(lambda name: read.setdefault(name) or F.lit(1.0))
+    return list(read)
+
+
 def scored(measurements: DataFrame, quantities: str = "quantities", task: str = "task") -> DataFrame:
     """m1, m2 and has_m2 beside each measurement row; unknown tasks get nulls.
 
-    Quantities are first taken out of the map, each once, so that the formulas stay small enough to be compiled.
+    Only the few quantities of a row's own task are looked up; every formula reads them by their place.
     """
-    names: dict[str, str] = {}
-    get = lambda name: F.col(names.setdefault(name, f"_q_{name}"))
-    m1 = m2 = F.lit(None).cast("double")
-    for name, formula in reversed(FORMULAS.items()):
-        first, second = formula(get)
-        m1 = F.when(F.col(task) == name, first).otherwise(m1)
-        if second is not None:
-            m2 = F.when(F.col(task) == name, second).otherwise(m2)
+    wanted = {name: needs(formula) for name, formula in FORMULAS.items()}
+    by_task = F.create_map(*[x for name, names in wanted.items() for x in (F.lit(name), F.array(*map(F.lit, names)))])
+    held = F.transform(F.try_element_at(by_task, F.col(task)), lambda n: F.try_element_at(F.col(quantities), n))
+    places = [f"_q_{k}" for k in range(max(map(len, wanted.values())))]
+    wide = measurements.select("*", held.alias("_q")).select(*measurements.columns, *[F.get("_q", F.lit(k)).alias(c) for k, c in enumerate(places)])
+    both = {name: formula(dict(zip(wanted[name], map(F.col, places))).__getitem__) for name, formula in FORMULAS.items()}
+
+    def chosen(k: int) -> Column:
+        out = F
+        for name, pair in both.items():
+            if pair[k] is not None:
+                out = out.when(F.col(task) == name, pair[k])
+        return out.otherwise(F.lit(None).cast("double"))
+
     known, without = F.col(task).isin(*FORMULAS), F.col(task).isin(*SECOND_UNDEFINED)
-    wide = measurements.select("*", *[F.try_element_at(F.col(quantities), F.lit(n)).alias(c) for n, c in names.items()])
-    return wide.select(*measurements.columns, m1.alias("m1"), m2.alias("m2"), (known & ~without).alias("has_m2"))
+    return wide.select(*measurements.columns, chosen(0).alias("m1"), chosen(1).alias("m2"), (known & ~without).alias("has_m2"))
 
 
 def metric_rows(measurements: DataFrame, quantities: str = "quantities") -> DataFrame:

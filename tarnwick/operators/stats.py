@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwick.operators.kernels import catenary_grid, crossings, grouped
+from tarnwick.operators.kernels import theil_sen as theil_sen_kernel
+
 MAD_SCALE = 1.4826
 
 
@@ -71,18 +74,15 @@ def ols(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 
 def theil_sen(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """slope: the median over pairs of a group's points; intercept: the median of what it leaves.
+    """n, slope (the median over pairs of a group's points) and intercept (the median of what it leaves).
 
-    A group is the frames of a clip: its pairs are made inside its own row, from an array, and aggregated in
-    place; no pair is ever shuffled.
+    A group is the frames of a clip. Its pairs are made in blocks inside its own task, so that no pair is ever a row and
+    memory is bounded for any length.
     """
-    pts = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).alias("p"))
-    later = lambda a, i: F.slice("p", i + 2, F.size("p"))
-    slopes = F.flatten(F.transform("p", lambda a, i: F.transform(F.filter(later(a, i), lambda b: F.abs(b["x"] - a["x"]) > 1e-9), lambda b: (b["y"] - a["y"]) / (b["x"] - a["x"]))))
-    middle = lambda v: (F.try_element_at(v, (F.floor((F.size(v) + 1) / 2)).cast("int")) + F.try_element_at(v, (F.floor(F.size(v) / 2) + 1).cast("int"))) / 2
-    out = pts.withColumn("s", F.array_sort(slopes)).withColumn("slope", F.when(F.size("s") > 0, middle(F.col("s"))))
-    out = out.withColumn("r", F.array_sort(F.transform("p", lambda a: a["y"] - F.col("slope") * a["x"])))
-    return out.select(*keys, F.size("p").alias("n"), "slope", F.when(F.col("slope").isNotNull(), middle(F.col("r"))).alias("intercept"))
+    kinds = dict(df.select(*keys).dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n int, slope double, intercept double"
+    points = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).filter("_x is not null and _y is not null")
+    return grouped(points, keys, ["_x", "_y"], lambda c: [theil_sen_kernel(c["_x"], c["_y"])], schema)
 
 
 def centred(df: DataFrame, keys: list[str], *columns: str) -> DataFrame:
@@ -157,30 +157,27 @@ def common_point(df: DataFrame, keys: list[str], nx: str, ny: str, c: str) -> Da
     return out.select(*keys, "n", "px", "py", F.sqrt(F.greatest(F.lit(0.0), left) / F.col("n")).alias("rms"))
 
 
-def pairwise_intersections(df: DataFrame, keys: list[str], k: str, nx: str, ny: str, c: str, least_degrees: float = 20.0) -> DataFrame:
+def pairwise_intersections(df: DataFrame, keys: list[str], nx: str, ny: str, c: str, least_degrees: float = 20.0) -> DataFrame:
     """For each group the number of its line pairs that cross at least_degrees or more, and the median crossing point.
 
-    Lines of a group (the rays of one picture) are paired inside its own row.
+    Lines of a group (the rays of one picture) are paired in blocks inside its own task. Groups without such a pair are left out.
     """
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(k).alias("k"), F.col(nx).alias("a"), F.col(ny).alias("b"), F.col(c).alias("c")))).alias("l"))
-    cross = lambda p, q: p["a"] * q["b"] - q["a"] * p["b"]
-    sine = F.sin(F.radians(F.lit(least_degrees)))
-    steep = lambda p, q: F.abs(cross(p, q)) >= sine * F.hypot(p["a"], p["b"]) * F.hypot(q["a"], q["b"])
-    point = lambda p, q: F.struct(((p["c"] * q["b"] - q["c"] * p["b"]) / cross(p, q)).alias("x"), ((p["a"] * q["c"] - q["a"] * p["c"]) / cross(p, q)).alias("y"))
-    found = F.flatten(F.transform("l", lambda p, i: F.transform(F.filter(F.slice("l", i + 2, F.size("l")), lambda q: steep(p, q)), lambda q: point(p, q))))
-    out = rows.select(*keys, F.explode(found).alias("p"))
-    return out.groupBy(*keys).agg(F.count("*").alias("pairs"), F.median("p.x").alias("x"), F.median("p.y").alias("y"))
+    kinds = dict(df.select(*keys).dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", pairs long, x double, y double"
+    lines = df.select(*keys, *[F.col(k).cast("double").alias(n) for k, n in ((nx, "_a"), (ny, "_b"), (c, "_c"))])
+    return grouped(lines, keys, ["_a", "_b", "_c"], lambda g: [crossings(g["_a"], g["_b"], g["_c"], least_degrees)], schema).filter("pairs > 0")
 
 
-def catenary(df: DataFrame, keys: list[str], x: str, y: str, shapes: list[float], centres: list[float]) -> DataFrame:
-    """The best of a grid of hanging curves y = a cosh((x - x0) / a) + offset, by rmse with the mean offset.
+def catenary(df: DataFrame, keys: list[str], x: str, y: str, width: float = 0.0, shapes: list[float] | None = None, centres: list[float] | None = None, signs: tuple[int, ...] = (1, -1)) -> DataFrame:
+    """The best of a grid of hanging and standing curves y = sign a cosh((x - x0) / a) + offset, by rmse about the median offset.
 
-    The grid is a stated, small table; per curve and group only sums are kept.
+    Without shapes and centres the grid has 30 shapes by the width of the picture and 11 centres by the span of x. All
+    curves of a group are tried at once; of equally good ones the first by sign (in the order given), a and x0 is taken.
     """
-    grid = F.broadcast(df.sparkSession.createDataFrame([(float(a), float(c)) for a in shapes for c in centres], "a double, x0 double"))
-    tried = df.crossJoin(grid).withColumn("_r", F.col(y) - F.col("a") * F.cosh((F.col(x) - F.col("x0")) / F.col("a")))
-    fit = tried.groupBy(*keys, "a", "x0").agg(F.avg("_r").alias("offset"), F.stddev_pop("_r").alias("rmse"))
-    return fit.groupBy(*keys).agg(F.min(F.struct("rmse", "a", "x0", "offset")).alias("b")).select(*keys, "b.a", "b.x0", "b.offset", "b.rmse")
+    kinds = dict(df.select(*keys).dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", sign int, a double, x0 double, offset double, rmse double"
+    points = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).filter("_x is not null and _y is not null")
+    return grouped(points, keys, ["_x", "_y"], lambda c: [catenary_grid(c["_x"], c["_y"], width, shapes, centres, signs)], schema)
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:

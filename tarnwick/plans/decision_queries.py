@@ -27,14 +27,19 @@ def result_judgments(spark, sf_dir):
     return D.result_judgments(m.withColumn("judgment", said), ["sample"]).select("sample", "judgment", r6("coverage"))
 
 
-@query(f"""WITH {RECORDS}, b AS (SELECT sample, task, CASE task WHEN 'P9' THEN CASE WHEN e1 > 0.1 THEN ['time_ratio_relative_error_gt_10pct'] ELSE [] END
-    WHEN 'P20' THEN list_filter([CASE WHEN e1 > 0.05 THEN 'index_cv_gt_0.05' END, CASE WHEN NOT coalesce(sample % 6 >= 3, false) THEN 'pair_count_lt_3' END, CASE WHEN sample % 2 <> 1 THEN 'total_reflection_not_verified' END], lambda x: x IS NOT NULL)
-    WHEN 'P28' THEN CASE WHEN sample % 2 = 1 THEN [] ELSE ['crushed_not_faster'] END ELSE ['unknown_task'] END AS r FROM records WHERE task IN ('P9', 'P20', 'P28', 'P1'))
-SELECT sample, task, array_to_string(r, ';') AS reasons, len(r) = 0 AS accepted FROM b""")
+@query(f"""WITH {RECORDS}, b AS (SELECT sample, task, CASE task WHEN 'P9' THEN [CASE WHEN e1 > 0.1 THEN 'time_ratio_relative_error_gt_10pct' END]
+    WHEN 'P11' THEN [CASE WHEN e1 > 0.1 THEN 'acceleration_ratio_relative_error_gt_10pct' END, CASE WHEN NOT coalesce(e2 > 0.4, false) THEN 'return_time_not_longer' END, CASE WHEN sample % 4 = 0 THEN 'ramp_angle_fallback' END]
+    WHEN 'P13' THEN [CASE WHEN e1 > 0.05 THEN 'period_ratio_error_gt_0.05' END, CASE WHEN NOT coalesce(e2 > 0.5, false) THEN 't30_not_greater_than_t15' END, CASE WHEN e2 > 0.25 THEN 'sinusoid_residual_gt_0.25' END]
+    WHEN 'P20' THEN [CASE WHEN e1 > 0.05 THEN 'index_cv_gt_0.05' END, CASE WHEN NOT coalesce(sample % 6 >= 3, false) THEN 'pair_count_lt_3' END, CASE WHEN sample % 2 <> 1 THEN 'total_reflection_not_verified' END]
+    WHEN 'P28' THEN [CASE WHEN sample % 2 <> 1 THEN 'crushed_not_faster' END] ELSE ['unknown_task'] END AS r FROM records), f AS (SELECT sample, task, list_filter(r, lambda x: x IS NOT NULL) AS r FROM b)
+SELECT sample, task, array_to_string(r, ';') AS reasons, len(r) = 0 AS accepted FROM f""")
 def acceptance_bands(spark, sf_dir):
     k = F.col("sample")
-    r = records(spark, sf_dir).filter(F.col("task").isin("P9", "P20", "P28", "P1"))
-    m = r.select("sample", "task", F.create_map(F.lit("m1"), F.col("e1"), F.lit("pairs"), (k % 6).cast("double"), F.lit("verified"), (k % 2).cast("double"), F.lit("lead"), (k % 2).cast("double")).alias("quantities"))
+    values = {
+        "m1": F.col("e1"), "pairs": k % 6, "verified": k % 2, "lead": k % 2, "t30": F.col("e2"), "t15": F.when(F.col("e2").isNotNull(), F.lit(0.5)), "fit_residual": F.col("e2"),
+        "t_down": F.col("e2"), "t_up": F.when(F.col("e2").isNotNull(), F.lit(0.4)), "angle_fallback": (k % 4 == 0).cast("int"),
+    }
+    m = records(spark, sf_dir).select("sample", "task", F.create_map(*[p for n, v in values.items() for p in (F.lit(n), v.cast("double"))]).alias("quantities"))
     return D.accepted(m).select("sample", "task", F.array_join("reasons", ";").alias("reasons"), "accepted")
 
 
@@ -86,9 +91,12 @@ def annotation_rescale(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("["), F.array_join(out, ", "), F.lit("]")).alias("box"))
 
 
-@query("""SELECT conv_id, turn, regexp_matches(text || CASE WHEN turn % 3 = 0 THEN ' The event did Not Occur.' ELSE '' END, '(?i)did not occur|never occurred|not completed|incomplete event|task failed|invalid conditions|condition not met') AS failed FROM conversations""")
+PHRASES = (" The event did Not Occur.", " The task was not  completed!", " conditions are invalid", " A prevented task.", " condition not satisfied", " The event did not occurred.", " TASK FAILED", " the event never occurred")
+
+
+@query(f"""SELECT conv_id, turn, regexp_matches(text || {list(PHRASES)!r}[turn % 8 + 1], '(?i)\\b(?:event|task)\\s+(?:was\\s+)?(?:not\\s+completed|did\\s+not\\s+occur|failed)\\b|\\b(?:condition|conditions)\\s+(?:are\\s+)?(?:invalid|not\\s+satisfied|failed)\\b') AS failed FROM conversations""")
 def event_phrases(spark, sf_dir):
-    said = F.concat(F.col("text"), F.when(F.col("turn") % 3 == 0, F.lit(" The event did Not Occur.")).otherwise(F.lit("")))
+    said = F.concat(F.col("text"), F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("turn") % 8 + 1).cast("int")))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", D.states_failure(said).alias("failed"))
 
 
@@ -151,4 +159,4 @@ def discharge_onset(spark, sf_dir):
 
 @query()
 def shared_vertex(spark, sf_dir):
-    return _kernel(spark, sf_dir, lambda c: [K.shared_vertex((c["t"] - c["t"][0]) / DAY, c["y"].cumsum())], "turn double, before double, after double")
+    return _kernel(spark, sf_dir, lambda c: [K.shared_vertex((c["t"] - c["t"][0]) / DAY, (250 - c["y"]).cumsum()) or (None, None, None)], "turn double, before double, after double")

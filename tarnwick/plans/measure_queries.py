@@ -81,9 +81,11 @@ def measured_swings(spark, sf_dir):
     return long(M.swing_counts(named, 60))
 
 
-@query(f"""WITH {OBS}, r AS (SELECT *, i - row_number() OVER (PARTITION BY sample, valid ORDER BY i) AS g FROM obs WHERE object = 'a'), n AS (SELECT sample, g, min(i) AS lo, max(i) AS hi FROM r WHERE valid GROUP BY sample, g HAVING count(*) >= 3 AND max(t) - min(t) >= 1 - 1e-9),
-d AS (SELECT sample, i, y, (coalesce(t - lag(t) OVER w, 0) + coalesce(lead(t) OVER w - t, 0)) / 2 AS dt FROM obs WHERE object = 'a' WINDOW w AS (PARTITION BY sample ORDER BY i)),
+@query(f"""WITH {SERIES}, s AS (SELECT CAST(track AS VARCHAR) AS sample, i, t / {DAY} - 19700 AS t, y, valid FROM series), r AS (SELECT *, i - row_number() OVER (PARTITION BY sample, valid ORDER BY i) AS g FROM s),
+n AS (SELECT sample, g, min(i) AS lo, max(i) AS hi FROM r WHERE valid GROUP BY sample, g HAVING count(*) >= 3 AND max(t) - min(t) >= 1 - 1e-9),
+d AS (SELECT sample, i, y, (coalesce(t - lag(t) OVER w, 0) + coalesce(lead(t) OVER w - t, 0)) / 2 AS dt FROM s WINDOW w AS (PARTITION BY sample ORDER BY i)),
 u AS (SELECT d.* FROM d JOIN n ON n.sample = d.sample AND d.i BETWEEN n.lo AND n.hi), c AS (SELECT sample, y, sum(dt) OVER (PARTITION BY sample ORDER BY y) AS c, sum(dt) OVER (PARTITION BY sample) AS s FROM u)
 SELECT sample, 'radius_error' AS name, round(min(y) FILTER (c >= s / 2), 4) AS value FROM c GROUP BY sample""")
 def measured_bubbles(spark, sf_dir):
-    return long(M.bubble_film(observations(spark, sf_dir).filter("object = 'a'"), 3, 1.0))
+    films = series(spark, sf_dir).select(F.col("track").cast("string").alias("sample"), F.lit("film").alias("object"), "i", (F.col("t") / DAY - 19700).alias("t"), "y", "valid")
+    return long(M.bubble_film(films, 3, 1.0))

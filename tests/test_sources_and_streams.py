@@ -87,7 +87,7 @@ def test_json_and_events():
     assert K.scalar_tokens('{"a": [1, 2.5e3, true, "x\\"y"]}') == K.scalar_tokens('"a" 1 2.5e3 true "x\\"y",')
     area = np.r_[np.full(5, 1000.0), np.linspace(1000, 400, 30), np.full(10, 400.0)]
     frame, depth = K.shrink_event(area, np.ones(45, bool), 1000)
-    assert 15 < frame < 25 and depth == pytest.approx(0.6, abs=0.01) and K.shrink_event(np.full(45, 1000.0), np.ones(45, bool), 1000) == (None, 0.0)
+    assert 20 < frame < 32 and depth == pytest.approx(0.6, abs=0.01) and K.shrink_event(np.full(45, 1000.0), np.ones(45, bool), 1000) == (None, 0.0)
     t = np.arange(50) / 10
     assert K.rise_half_time(t, np.clip(t, 1, 3), 0.1) == pytest.approx(2) and K.rise_half_time(t, 0 * t, 0.1) is None
     assert K.discharge_onset(t, np.where(t < 2, 10, 10 - t), 0.5) == 20
