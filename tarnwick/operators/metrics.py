@@ -9,6 +9,7 @@ is undefined and is no row.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,6 +130,7 @@ QUANTITIES = tuple(
 )
 
 
+@cache
 def needs(formula: Callable[[Get], tuple[Column, Column | None]]) -> list[str]:
     """The quantities that a formula reads, in order."""
     read: dict[str, None] = {}

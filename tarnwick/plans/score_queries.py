@@ -90,15 +90,17 @@ FLAGS = ("single_motion", "both_stationary", "ascent_only", "ice_remains", "stra
 
 
 def measurements(spark, sf_dir):
-    """A measurement for each record: every quantity is a value between 0 and 60 that the sample's number decides; each eleventh is missing."""
-    names = metrics.QUANTITIES
+    """A measurement for each record: its task's quantities are values between 0 and 60 that the sample's number decides; each eleventh is missing."""
+    place = {n: j for j, n in enumerate(metrics.QUANTITIES)}
     k = F.col("sample")
-    pairs = []
-    for j, n in enumerate(names):
-        v = ((k * (j + 3) + j * 7) % 2).cast("double") if n in FLAGS else (((k * (j + 3) + j * 7) % 599 + 1) / 10).cast("double")
-        pairs += [F.lit(n), F.when((k + j) % 11 != 0, v)]
-    r = records(spark, sf_dir).select("sample", "task", F.create_map(*pairs).alias("quantities"))
-    return r
+    own = [x for task, formula in metrics.FORMULAS.items() for x in (F.lit(task), F.array(*[F.struct(F.lit(n).alias("n"), F.lit(place[n]).alias("j"), F.lit(n in FLAGS).alias("flag")) for n in metrics.needs(formula)]))]
+
+    def value(q):
+        v = k * (q["j"] + 3) + q["j"] * 7
+        return F.when((k + q["j"]) % 11 != 0, F.when(q["flag"], (v % 2).cast("double")).otherwise((v % 599 + 1) / 10))
+
+    r = records(spark, sf_dir).select("sample", "task", F.try_element_at(F.create_map(*own), F.col("task")).alias("own"))
+    return r.select("sample", "task", F.map_from_arrays(F.transform("own", lambda q: q["n"]), F.transform("own", value)).alias("quantities"))
 
 
 def _metrics_sql() -> str:
