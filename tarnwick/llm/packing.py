@@ -5,10 +5,13 @@ sequences of their own. The rest is dealt by hash into shards of a bounded numbe
 many as the table needs, and every shard is one packing problem, solved by several islands.
 An individual is a grouping of the shard's pieces into bins. A child takes well-filled bins of
 one parent whole, loses the other parent's bins that hold any of their pieces, and puts the
-displaced pieces where they fit best, large ones first. Falkenauer's fitness, the mean square of
-the fill, prefers few and full bins. After each round every island's best individual moves to
-the next island of its shard: the shuffle between rounds is the migration. Islands whose
-grouping has reached the lower bound, all tokens over capacity, rest.
+displaced pieces where they fit best: first in exchange for one or two shorter pieces of a bin that
+is not full, then, large ones first, into the fullest bin with room. Falkenauer's fitness, the mean
+square of the fill, prefers few and full bins. Islands start apart, from best fits of different noise;
+the first individual of the first is best fit in decreasing order, so no result is worse than that. After
+each round every island's best individual moves to the next island of its shard: the shuffle between
+rounds is the migration. Islands whose grouping has reached the lower bound, all tokens over
+capacity, rest.
 
 Each shard may leave one sequence ill filled, so sequences exceed what one shard would need by at most
 one in `shard_pieces / 2` or so. Random choices are seeded by shard, island and round, and pieces
@@ -37,6 +40,12 @@ from tarnwick.llm.token_counts import Splitter
 SHARD_PIECES = 32_768
 #: Words of one generation of a worker's ids, some 200 bytes each; two generations are kept.
 KEPT_WORDS = 500_000
+#: Tasks of one round at most; each then takes several islands.
+MOST_TASKS = 10_000
+#: Items of a bin up to which pairs of them are tried in an exchange.
+PAIRED = 12
+#: The share of bins that a mutation dissolves beside the emptiest.
+LOOSE_SHARE = 0.02
 
 
 class WordIds(Splitter):
@@ -138,6 +147,80 @@ def best_fit(order: list[int], lengths: list[int], bins: list[int], free: list[i
         open_ |= 1 << (room - n)
 
 
+class Loose:
+    """Items without a bin, by length, with the sums of pairs of them."""
+
+    def __init__(self, items: list[int], lengths: list[int], capacity: int):
+        self.lengths, self.capacity = lengths, capacity
+        self.by_length: dict[int, list[int]] = {}
+        self.bits = self.sums = 0  # bit n: an item, or a pair, of length n; pairs that are gone may still be in sums
+        for k in items:
+            self.add(k)
+
+    def add(self, k: int) -> None:
+        n = self.lengths[k]
+        same = self.by_length.setdefault(n, [])
+        same.append(k)
+        if len(same) == 1:
+            self.bits |= 1 << n
+        if len(same) <= 2:
+            self.sums |= (self.bits if len(same) == 2 else self.bits ^ (1 << n)) << n
+
+    def take(self, n: int) -> int:
+        same = self.by_length[n]
+        k = same.pop()
+        if not same:
+            del self.by_length[n]
+            self.bits ^= 1 << n
+        return k
+
+    def longest(self, most: int) -> int:
+        """The longest item of at most a length, 0 without."""
+        return (self.bits & ((2 << most) - 1)).bit_length() - 1 if self.bits else 0
+
+    def pair(self, n: int) -> tuple[int, int] | None:
+        """Two items that are n together."""
+        for x in sorted(self.by_length):
+            if 2 * x > n:
+                break
+            if n - x in self.by_length and (n != 2 * x or len(self.by_length[x]) > 1):
+                return x, n - x
+        self.sums &= ~(1 << n)
+        return None
+
+
+def exchange(bins: list[list[int]], room: list[int], out: list[int], lengths: list[int], capacity: int) -> list[int]:
+    """Fills bins by exchanging one or two of their items for one or two longer ones of `out`; gives back what is out then, large ones first.
+
+    Every exchange makes a bin fuller and what is out shorter. Bins and rooms are changed in place; the roomiest bins come first.
+    """
+    loose = Loose(out, lengths, capacity)
+    for b in sorted((b for b, r in enumerate(room) if r), key=lambda b: (-room[b], b)):
+        held = bins[b]
+        while (r := room[b]) and loose.bits:
+            best = (0, (), ())
+            parts = [(lengths[k], (i,)) for i, k in enumerate(held)]
+            if len(held) <= PAIRED:
+                parts += [(lengths[held[i]] + lengths[held[j]], (i, j)) for i in range(len(held)) for j in range(i)]
+            for n, places in [(0, ()), *parts]:
+                if (x := loose.longest(n + r)) - n > best[0]:
+                    best = (x - n, places, (x,))
+                while best[0] < r and (s := (loose.sums & ((2 << (n + r)) - 1)).bit_length() - 1) - n > best[0]:
+                    if two := loose.pair(s):
+                        best = (s - n, places, two)
+                if best[0] == r:
+                    break
+            gain, places, new = best
+            if not gain:
+                break
+            taken = [loose.take(n) for n in new]
+            for i in places:  # later places first
+                loose.add(held.pop(i))
+            held += taken
+            room[b] = r - gain
+    return [k for n in sorted(loose.by_length, reverse=True) for k in loose.by_length[n]]
+
+
 class Packer:
     """The genetic operators for the pieces of one shard."""
 
@@ -160,15 +243,19 @@ class Packer:
         return place
 
     def refit(self, place: np.ndarray, out: np.ndarray) -> np.ndarray:
-        """The grouping with the items of `out` taken from their bins and best-fitted again, large ones first."""
-        stay = ~out
+        """The grouping with the items of `out` taken from their bins, exchanged for ones that fill bins better, and best-fitted, large ones first."""
+        stay = np.flatnonzero(~out)
         kept, number = np.unique(place[stay], return_inverse=True)
+        room = (self.capacity - np.bincount(number, self.lengths[stay], len(kept)).astype(np.int64)).tolist()
+        order = np.argsort(number, kind="stable")
+        ends = np.cumsum(np.bincount(number, minlength=len(kept))).tolist()
+        items = stay[order].tolist()
+        bins = [items[a:b] for a, b in zip([0, *ends], ends)]
+        left = exchange(bins, room, np.flatnonzero(out).tolist(), self.list, self.capacity)
         child = np.empty_like(place)
-        child[stay] = number
-        room = self.capacity - np.bincount(number, self.lengths[stay], len(kept)).astype(np.int64)
-        items = np.flatnonzero(out)
-        order = items[np.argsort(-self.lengths[items], kind="stable")]
-        best_fit(order.tolist(), self.list, range(len(kept)), room.tolist(), self.capacity, child)
+        for b, held in enumerate(bins):
+            child[held] = b
+        best_fit(left, self.list, range(len(bins)), room, self.capacity, child)
         return child
 
     def crossover(self, a: np.ndarray, b: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -182,20 +269,20 @@ class Packer:
         return self.refit(mixed, touched[a] & ~injected)
 
     def mutate(self, place: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        """The emptiest bins and some others are dissolved."""
+        """The emptiest bin, of equals any, and a few others are dissolved."""
         fills = self.fills(place)
-        gone = (fills <= np.quantile(fills, 0.01)) | (rng.random(len(fills)) < 0.02)
+        gone = rng.random(len(fills)) < LOOSE_SHARE
+        gone[np.argmin(fills + rng.random(len(fills)))] = True
         return self.refit(place, gone[place])
 
-    def evolve(self, group: list[np.ndarray], rng: np.random.Generator, size: int, generations: int) -> list[np.ndarray]:
-        """The best `size` individuals after some generations, best first."""
-        first = not group
-        group = group + [self.fresh(rng, 0.0 if k == 0 and first else 0.02 * (k + 1)) for k in range(size - len(group))]
+    def evolve(self, group: list[np.ndarray], rng: np.random.Generator, size: int, generations: int, noises: list[float]) -> list[np.ndarray]:
+        """The best `size` individuals after some generations, best first; a group without members begins with best fits of the given noises."""
+        group = group or [self.fresh(rng, noise) for noise in noises]
         scored = sorted(((int(p.max()) + 1, -self.fitness(p), k, p) for k, p in enumerate(group)), key=lambda x: x[:3])
         for g in range(generations):
             if scored[0][0] <= self.least:
                 break
-            i, j = rng.choice(len(scored), 2, replace=False)
+            i, j = rng.choice(len(scored), 2, replace=False) if len(scored) > 1 else (0, 0)
             child = self.mutate(self.crossover(scored[min(i, j)][3], scored[max(i, j)][3], rng), rng)
             scored = sorted([*scored, (int(child.max()) + 1, -self.fitness(child), len(group) + g, child)], key=lambda x: x[:3])[:size]
         return [x[3] for x in scored[:size]]
@@ -211,11 +298,12 @@ def round_of(capacity: int, islands: int, turn: int, size: int, generations: int
         import pandas as pd
 
         shard, island = int(key[0]), int(key[1])
-        lengths = np.frombuffer(frame["lengths"].dropna().iloc[0], "<i2")
+        lengths = np.frombuffer(frame["lengths"].dropna().iloc[0], "<u4")
         packer, rng = Packer(lengths, capacity), np.random.default_rng([shard, island, turn])
         old = sorted(x for x in frame["place"] if x is not None)
-        group = packer.evolve([np.frombuffer(x, "<i4").astype(np.int64) for x in dict.fromkeys(old)], rng, size, generations)
-        rows = [(shard, island, lengths.astype("<i2").tobytes(), None, None, None)]
+        noises = [0.02 * (size * island + k) for k in range(size)]  # islands start apart; the first individual of the first is best fit in decreasing order
+        group = packer.evolve([np.frombuffer(x, "<i4").astype(np.int64) for x in dict.fromkeys(old)], rng, size, generations, noises)
+        rows = [(shard, island, lengths.tobytes(), None, None, None)]
         saved = [(p.astype("<i4").tobytes(), int(p.max()) + 1, packer.fitness(p)) for p in group]
         rows += [(shard, island, None, *x) for x in saved]
         rows.append((shard, (island + 1) % islands, None, *saved[0]))
@@ -235,7 +323,7 @@ def pack(
     islands: int = 3,
     rounds: int = 3,
     population: int = 4,
-    generations: int = 12,
+    generations: int = 30,
     kept_words: int = KEPT_WORDS,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
@@ -256,13 +344,14 @@ def pack(
             out = {k: [] for k in ("shard", "island", "lengths", "place", "bins", "fitness")}
             for shard, sizes in zip(b.column(0).to_pylist(), b.column(1)):
                 for island in range(islands):
-                    for name, v in zip(out, (shard, island, np.array(sizes.as_py(), "<i2").tobytes(), None, None, None)):
+                    for name, v in zip(out, (shard, island, np.array(sizes.as_py(), "<u4").tobytes(), None, None, None)):
                         out[name].append(v)
             yield out
 
     state = arrow_rows(dealt.select("shard", "sizes"), seats, STATE)
+    tasks = min(shards * islands, MOST_TASKS)  # said outright, as the rows are few and small but long in work
     for turn in range(rounds):
-        state = state.groupBy("shard", "island").applyInPandas(round_of(capacity, islands, turn, population, generations), STATE)
+        state = state.repartition(tasks, "shard", "island").groupBy("shard", "island").applyInPandas(round_of(capacity, islands, turn, population, generations), STATE)
     best = state.filter(F.col("place").isNotNull()).groupBy("shard").agg(F.max(F.struct(-F.col("bins"), "fitness", "place")).alias("best"))
 
     def seated(batches):

@@ -58,10 +58,56 @@ def test_genetic_operators_keep_groupings_valid():
     a, b = packer.fresh(rng, 0), packer.fresh(rng, 0.3)
     for child in (packer.crossover(a, b, rng), packer.mutate(a, rng)):
         assert len(child) == 500 and packer.fills(child).max() <= 64 and packer.fills(child).min() > 0
-    best = packer.evolve([], np.random.default_rng(1), 4, 20)[0]
+    best = packer.evolve([], np.random.default_rng(1), 4, 20, [0, 0.1, 0.2, 0.3])[0]
     assert packer.least <= best.max() + 1 <= a.max() + 1
 
 
+def islands(packer, rounds=3, n=3):
+    """As pack() does: islands that start apart, whose best moves on after each round."""
+    groups, rng = [[] for _ in range(n)], np.random.default_rng(5)
+    for _ in range(rounds):
+        groups = [packer.evolve(g, rng, 4, 30, [0.02 * (4 * k + j) for j in range(4)]) for k, g in enumerate(groups)]
+        groups = [g + [groups[k - 1][0]] for k, g in enumerate(groups)]
+    return min(int(g[0].max()) + 1 for g in groups)
+
+
+def test_search_wins_bins_that_best_fit_loses():
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        a = rng.integers(380, 490, 20)
+        b = np.array([rng.integers(250, (1000 - x) // 2 + 1) for x in a])
+        packer = Packer(np.r_[a, b, 1000 - a - b], 1000)  # twenty bins of three would be full
+        assert islands(packer) <= packer.fresh(rng, 0).max() + 1 - 2
+
+
+def fewest(items, capacity):
+    """The least number of bins, by trying every grouping."""
+    least = len(items)
+
+    def go(k, bins):
+        nonlocal least
+        if len(bins) >= least:
+            return
+        if k == len(items):
+            least = len(bins)
+            return
+        for b in range(len(bins)):
+            if bins[b] + items[k] <= capacity:
+                go(k + 1, [*bins[:b], bins[b] + items[k], *bins[b + 1 :]])
+        go(k + 1, [*bins, items[k]])
+
+    go(0, [])
+    return least
+
+
+def test_small_problems_are_solved_best():
+    found = []
+    for seed in range(40):
+        items = np.sort(np.random.default_rng(seed).integers(10, 60, 9))[::-1]
+        found.append((islands(Packer(items, 100)), fewest(items.tolist(), 100)))
+    assert all(f >= best for f, best in found) and sum(f == best for f, best in found) >= 39
+
+
 def test_table(spark):
     texts = edge_texts() * 6
     rows = pack(documents(spark, texts), PATH, capacity=256, shard_pieces=30, islands=2, rounds=2).collect()
