@@ -21,11 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where that setting is absent (local tests) a folder of this machine is set.
+    Only where that setting is absent and Spark is local (tests) a folder of this machine is set; on a cluster without it
+    an error is raised, as executors could not read what lies on the driver's disk.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarnwick-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tarnwick-"))
     return context.getCheckpointDir()
 
 

@@ -1,8 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
 Texts and benchmark items are rows of lower-cased word tokens. A seed is a window of `least`
-tokens that a text shares with an item; texts and items are joined on seeds, and each joined
-pair is tiled: Karp-Rabin hashes find the longest common runs of unmarked tokens, those are
+tokens that a text shares with an item (an item of fewer tokens is one seed of its own length); texts
+and items are joined on seeds, and each joined pair is tiled: Karp-Rabin hashes find the longest common runs of unmarked tokens, those are
 marked, and shorter ones are searched until runs are shorter than `least`. Tiles don't overlap
 and may stand in any order, so reordered passages count in full. A text is contaminated by an
 item if tiles cover at least `threshold` of the item's tokens.
@@ -11,8 +11,8 @@ The benchmark is taken in blocks of a stated number of tokens, each a table that
 the texts are scanned once for each block, without a shuffle, and only windows that hold a seed
 are tiled. A benchmark within one block, as here, means one scan.
 
-Defined results: null and empty texts match nothing; items that are null or have fewer than
-`least` tokens are never matched; texts are searched whole; repeated rows of either table are
+Defined results: null and empty texts match nothing; items that are null or have no token are never
+matched, items of fewer than `least` tokens where a text holds them whole; texts are searched whole; repeated rows of either table are
 each reported; empty tables give an empty result; further columns are not carried.
 """
 
@@ -100,68 +100,67 @@ def tile(item: list[int], text: list[int], least: int) -> list[tuple[int, int, i
 
 
 class Block:
-    """Benchmark items with an index of their seeds."""
+    """Benchmark items with an index of their seeds, by the seeds' length."""
 
     def __init__(self, items: list[tuple[int | None, list[str]]], least: int):
         self.least = least
         self.number: dict[str, int] = {}
         self.items = [(key, [self.number.setdefault(w, len(self.number) + 1) for w in words]) for key, words in items]
-        self.weights = [pow(BASE, least - 1 - k, 1 << 64) for k in range(least)]
-        by_seed = defaultdict(set)
+        by_size = defaultdict(lambda: defaultdict(set))
         for n, (_, row) in enumerate(self.items):
-            for h in self.hashes(np.array(row, np.uint64)).tolist():
-                by_seed[h].add(n)
-        self.by_seed = dict(by_seed)
-        self.seeds = np.array(sorted(by_seed), np.uint64)
-
-    def hashes(self, row: np.ndarray) -> np.ndarray:
-        n = len(row) - self.least + 1
-        out = np.zeros(max(0, n), np.uint64)
-        for k, w in enumerate(self.weights):
-            out += row[k : k + len(out)] * np.uint64(w)
+            size = min(least, len(row))
+            for h in self.hashes(np.array(row, np.uint64), size).tolist():
+                by_size[size][h].add(n)
+        self.seeds = {size: (np.array(sorted(found), np.uint64), dict(found)) for size, found in by_size.items() if size}
+
+    @staticmethod
+    def hashes(row: np.ndarray, size: int) -> np.ndarray:
+        """The hash of each window of `size` tokens."""
+        out = np.zeros(max(0, len(row) - size + 1), np.uint64)
+        for k in range(size):
+            out += row[k : k + len(out)] * np.uint64(pow(BASE, size - 1 - k, 1 << 64))
         out ^= out >> np.uint64(29)
         return out * np.uint64(0xBF58476D1CE4E5B9)
 
     def search(self, text: str | None) -> list[tuple[int | None, int, int, list[tuple[int, int, int]], int]]:
         """(item key, covered, item tokens, tiles, text tokens) of each item that shares a seed."""
         words = tokens(text)
-        if len(words) < self.least or not len(self.seeds):
+        if not words or not self.seeds:
             return []
         row = np.fromiter(map(self.number.get, words, repeat(0)), np.uint64, len(words))
-        hashes = self.hashes(row)
-        place = np.searchsorted(self.seeds, hashes)
-        place[place == len(self.seeds)] = 0
-        hits = np.flatnonzero(self.seeds[place] == hashes)
-        if not len(hits):
-            return []
-        starts = defaultdict(list)
-        for j in hits.tolist():
-            for n in self.by_seed[int(hashes[j])]:
-                starts[n].append(j)
-        out = []
-        for n, at in starts.items():
+        starts: dict[tuple[int, int], list[int]] = defaultdict(list)
+        for size, (seeds, items_of) in self.seeds.items():
+            hashes = self.hashes(row, size)
+            place = np.searchsorted(seeds, hashes)
+            place[place == len(seeds)] = 0
+            for j in np.flatnonzero(seeds[place] == hashes).tolist():
+                for n in items_of[int(hashes[j])]:
+                    starts[n, size].append(j)
+        held, out = row.tolist() if starts else [], []
+        for (n, size), at in starts.items():
             # only tokens in windows with a seed can be in a tile; 0 stands between parts
-            held, parts, origin, end = row.tolist(), [], [], -1
+            parts, origin, end = [], [], -1
             for j in at:
                 if j > end:
                     parts.append(0)
                     origin.append(-1)
-                for k in range(max(j, end), j + self.least):
+                for k in range(max(j, end), j + size):
                     parts.append(held[k])
                     origin.append(k)
-                end = j + self.least
+                end = j + size
             key, item = self.items[n]
-            tiles = [(i, origin[j], size) for i, j, size in tile(item, parts, self.least)]
-            out.append((key, sum(x[2] for x in tiles), len(item), tiles, len(words)))
+            tiles = [(i, origin[j], length) for i, j, length in tile(item, parts, size)]
+            if tiles:
+                out.append((key, sum(x[2] for x in tiles), len(item), tiles, len(words)))
         return out
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, least: int, block_tokens: int):
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_tokens: int):
     """The benchmark's items in blocks, read part by part."""
     held, size = [], 0
     for r in benchmark.select(F.col(id_col).cast("long"), F.col(text_col)).toLocalIterator():
         words = tokens(r[1])
-        if len(words) < least:
+        if not words:
             continue
         held.append((r[0], words))
         size += len(words)
@@ -205,7 +204,7 @@ def contaminated(
         return arrow_rows(read, run, MATCHES)
 
     out = None
-    for items in blocks(benchmark, id_col=item_col, text_col=item_text_col, least=least, block_tokens=block_tokens):
+    for items in blocks(benchmark, id_col=item_col, text_col=item_text_col, block_tokens=block_tokens):
         out = scan(items) if out is None else out.unionByName(scan(items))
     return out if out is not None else scan([])
 
@@ -220,6 +219,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5
 
         return predicate
 
-    for items in blocks(benchmark, item_col, item_text_col, least, block_tokens):
+    for items in blocks(benchmark, item_col, item_text_col, block_tokens):
         docs = keep_rows(docs, clean_of(items))
     return docs

@@ -6,8 +6,9 @@ every path from a root to a node is a conjunctive rule over the statistics. A lo
 with an L1 penalty gives most rules the weight 0. What is left is compiled to one Spark column
 expression, so scoring all texts is a projection of the stored statistics.
 
-The sample's bound is the parameter `max_rows` (the rows with the least hash of their id); rows
-held out (crc32 of the id as text, mod 4, is 2) are never in it. Labels, language, source and id
+The sample's bounds are the parameters `max_rows` (rows with the least hash of their id, for the weights) and `tree_rows` (rows
+drawn from those for one tree); labels are counted first, and only those below the hash that leaves about max_rows are
+joined and sent to the driver, at any size of the tables. Rows held out (crc32 of the id as text, mod 4, is 2) are never in it. Labels, language, source and id
 are not inputs of a score.
 
 Defined results: null and empty texts have statistics of 0 and get a score like others; texts
@@ -149,7 +150,7 @@ class RuleModel:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty: float = 0.002, steps: int = 400, seed: int = 7) -> RuleModel:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, tree_rows: int = 4_000, depth: int = 3, penalty: float = 0.002, steps: int = 400, seed: int = 7) -> RuleModel:
     """The rule ensemble of labelled statistics."""
     if not len(y) or y.min() == y.max():
         share = (float(y.sum()) + 1) / (len(y) + 2)
@@ -157,7 +158,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty:
     rng = np.random.default_rng(seed)
     found: set[Rule] = set()
     for _ in range(trees):
-        rows = rng.choice(len(y), min(len(y), 4000), replace=True)
+        rows = rng.choice(len(y), min(len(y), tree_rows), replace=True)
         grow(x[rows], y[rows], depth, rng, (), found, max(5, len(rows) // 200))
     rules = sorted(found, key=lambda r: (len(r.parts), r.parts))
     z = np.array([r.holds(x) for r in rules], float).T
@@ -174,12 +175,19 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+#: How many more rows than asked for the hash threshold lets through: it then lacks some only by a rare chance.
+SLACK = 1.1
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = 20_000, tree_rows: int = 4_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """doc_id, held_out, score and predicted (score >= threshold) of every row of docs."""
     stats = stash(measured(docs, id_col, text_col), "quality-statistics")
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
-    sample = stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS).limit(max_rows).toPandas()
-    model = fit(sample[list(STATISTICS)].to_numpy(float), sample["y"].to_numpy(int))
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("hash", F.xxhash64("doc_id"))
+    share = min(1.0, SLACK * max_rows / max(1, known.count()))
+    if share < 1:
+        known = known.filter(F.col("hash") < int(share * 2.0**64) - 2**63)
+    sample = known.join(stats, "doc_id").orderBy("hash", "doc_id", *STATISTICS).limit(max_rows).toPandas()
+    model = fit(sample[list(STATISTICS)].to_numpy(float), sample["y"].to_numpy(int), tree_rows=tree_rows)
     scored = stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.column().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -101,8 +101,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
 }
 
+def _license_sql() -> str:
+    """op6 in SQL: lines of documents and of the known texts are brought to one form, units are put together and joined by digest."""
+    from tarnwick.llm.license_scan import COMMENT_SIGNS, COPYRIGHT_LINE, KNOWN_TEXTS, SPELLINGS, TITLES
+
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    spelled = "concat(' ', replace({}, ' ', '  '), ' ')"
+    for a, b in SPELLINGS:
+        spelled = f"replace({spelled}, ' {a.replace(' ', '  ')} ', ' {b.replace(' ', '  ')} ')"
+    spelled = f"trim(replace({spelled}, '  ', ' '))"
+    many = lambda xs: ", ".join(map(text, xs))
+    known = ", ".join(f"({text(i)}, {text(k)}, {text(t)})" for i, k, t in KNOWN_TEXTS)
+    return f"""
+WITH known(license_id, kind, text) AS (VALUES {known}),
+texts AS (SELECT row_number() OVER () AS n, doc_id, NULL AS license_id, NULL AS kind, text FROM documents UNION ALL SELECT -row_number() OVER (), NULL, license_id, kind, text FROM known),
+cut AS (SELECT n, string_split(lower(text), chr(10)) AS l FROM texts WHERE text IS NOT NULL),
+lines AS (SELECT n, k, l[k] AS line FROM (SELECT n, l, unnest(generate_series(1, len(l))) AS k FROM cut)),
+worded AS (SELECT n, k, line, CASE WHEN regexp_matches(line, {text(COPYRIGHT_LINE)}) THEN '' ELSE trim(regexp_replace(line, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) END AS words FROM lines),
+formed AS (SELECT n, k, words, {spelled.format("words")} AS form, substr(ltrim(line, ' '), 1, 1) IN ({many(COMMENT_SIGNS)}) AS remark FROM worded),
+titled AS (SELECT *, CASE WHEN form IN ({many(TITLES)}) THEN '' ELSE words END AS kept, k - row_number() OVER (PARTITION BY n, remark ORDER BY k) AS run FROM formed),
+units AS (SELECT n, 'text' AS unit, string_agg(kept, ' ' ORDER BY k) FILTER (kept <> '') AS words FROM titled GROUP BY n
+    UNION ALL SELECT n, 'comment', string_agg(kept, ' ' ORDER BY k) FILTER (kept <> '') FROM titled WHERE remark GROUP BY n, run HAVING count_if(words <> '') > 1
+    UNION ALL SELECT n, 'line', words FROM titled WHERE words <> ''),
+digests AS (SELECT n, unit, sha256({spelled.format("words")}) AS digest FROM units WHERE words <> ''),
+wanted AS (SELECT digest, min({{'license_id': license_id, 'kind': kind}}) AS w FROM digests JOIN texts USING (n) WHERE n < 0 AND unit = 'text' GROUP BY digest)
+SELECT doc_id, unit, w.license_id AS license_id, w.kind AS kind, digest, count(*) AS n_units FROM digests JOIN wanted USING (digest) JOIN texts USING (n) WHERE n > 0 GROUP BY n, doc_id, unit, w, digest
+"""
+
+
 #: SQL for DuckDB. The other operators of this subpackage follow algorithms that SQL does not express; tests/llm holds those against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op6_license_scan": _license_sql(),
     "op10_secret_scan": r"""
 WITH docs AS (SELECT row_number() OVER () AS n, doc_id, source, coalesce(text, '') AS text FROM documents),
 patterns(kind, pattern) AS (VALUES

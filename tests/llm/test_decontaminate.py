@@ -43,10 +43,10 @@ def test_reordered_passages_are_found_and_clean_texts_left(spark):
     parts = items[0].split()
     moved = " ".join(parts[20:] + ["and"] + parts[:20])
     half_lost = words(rng, 30) + " " + " ".join(parts[:12]) + " " + words(rng, 30)
-    texts = [*edge_texts(), words(rng, 50) + "\n" + items[1].upper() + "!", words(rng, 40) + " " + moved, half_lost, items[2] + " " + items[3]]
+    texts = [*edge_texts(), words(rng, 50) + "\n" + items[1].upper() + "!", words(rng, 40) + " " + moved, half_lost, items[2] + " " + items[3], words(rng, 20) + " The of, Zebra. " + words(rng, 9), "of zebra the", "a quagga"]
     docs, n = documents(spark, texts), len(edge_texts())
-    bench = spark.createDataFrame([*enumerate(items), (7, None), (8, ""), (9, "the of and"), (5, items[5])], "item_id long, text string")
-    want = sorted([(n, 1), (n + 1, 0), (n + 3, 2), (n + 3, 3)])
+    bench = spark.createDataFrame([*enumerate(items), (7, None), (8, ""), (9, "the of zebra"), (5, items[5]), (10, "quagga"), (11, " ?!")], "item_id long, text string")
+    want = sorted([(n, 1), (n + 1, 0), (n + 3, 2), (n + 3, 3), (n + 4, 9), (n + 6, 10)])
     assert sorted((r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()) == want
     assert sorted((r.doc_id, r.item_id) for r in contaminated(docs, bench, block_tokens=50).collect()) == want
     kept = decontaminated(docs, bench, block_tokens=50)

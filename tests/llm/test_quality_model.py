@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from tarnwick.llm.quality_model import STATISTICS, RuleModel, fit, measured, quality_scores
+from tarnwick.llm.quality_model import STATISTICS, RuleModel, fit, grow, lasso, measured, quality_scores
 from tests.llm.common import documents, edge_texts, words
 
 
@@ -37,6 +37,44 @@ def test_held_out_accuracy_and_columns_equal_arrays(spark):
     assert np.allclose(column, model.score(x))
 
 
+def test_weights_are_those_of_the_penalised_regression():
+    """At the least penalised loss a weight's gradient is the penalty against its sign, or smaller where the weight is 0."""
+    rng = np.random.default_rng(2)
+    z = rng.normal(size=(200, 6))
+    y = (rng.random(200) < 1 / (1 + np.exp(-(1.5 * z[:, 0] - z[:, 3])))).astype(float)
+    b, w = lasso(z, y, 0.05, 4000)
+    error = 1 / (1 + np.exp(-(z @ w + b))) - y
+    gradient = z.T @ error / len(y)
+    assert abs(error.mean()) < 1e-6 and (w == 0).sum() >= 2 and w[0] > 0 > w[3]
+    assert np.allclose(gradient[w != 0], -0.05 * np.sign(w[w != 0]), atol=1e-6) and (np.abs(gradient[w == 0]) <= 0.05 + 1e-6).all()
+
+
+def test_first_split_is_the_best_of_all():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        x = rng.integers(0, 8, (40, 2)).astype(float)
+        y = (x[:, rng.integers(2)] + rng.normal(0, 2, 40) > 4).astype(int)
+        if y.min() == y.max():
+            continue
+        found = set()
+        grow(x, y, 1, rng, (), found, 5)
+        gini = lambda v: len(v) * v.mean() * (1 - v.mean())
+        values = {f: np.unique(x[:, f]) for f in (0, 1)}
+        tried = {(f, (a + b) / 2): gini(y[x[:, f] <= (a + b) / 2]) + gini(y[x[:, f] > (a + b) / 2]) for f in (0, 1) for a, b in zip(values[f], values[f][1:]) if 5 <= (x[:, f] <= (a + b) / 2).sum() <= 35}
+        assert bool(found) == bool(tried)
+        for rule in found:
+            (name, _, bound), = rule.parts
+            assert tried[STATISTICS.index(name), bound] <= min(tried.values()) + 1e-9
+
+
+def test_bounded_sample_does_not_change_what_is_scored(spark):
+    texts, labels = sample(400)
+    docs, known = documents(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_scores(docs, known, max_rows=120, tree_rows=50).collect()}
+    held = [(got[d].predicted, q) for d, q, _ in labels if got[d].held_out]
+    assert len(got) == 400 and np.mean([p == q for p, q in held]) > 0.9
+
+
 def test_edges(spark):
     docs = documents(spark, [*enumerate(edge_texts()), (None, "x"), (1, "")])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
