@@ -27,6 +27,7 @@ from __future__ import annotations
 import math
 import os
 import zlib
+from itertools import chain
 from struct import pack as pack_ids
 
 import numpy as np
@@ -180,10 +181,8 @@ class Loose:
 
     def pair(self, n: int) -> tuple[int, int] | None:
         """Two items that are n together."""
-        for x in sorted(self.by_length):
-            if 2 * x > n:
-                break
-            if n - x in self.by_length and (n != 2 * x or len(self.by_length[x]) > 1):
+        for x, same in self.by_length.items():
+            if n - x in self.by_length and (n != 2 * x or len(same) > 1):
                 return x, n - x
         self.sums &= ~(1 << n)
         return None
@@ -253,8 +252,7 @@ class Packer:
         bins = [items[a:b] for a, b in zip([0, *ends], ends)]
         left = exchange(bins, room, np.flatnonzero(out).tolist(), self.list, self.capacity)
         child = np.empty_like(place)
-        for b, held in enumerate(bins):
-            child[held] = b
+        child[list(chain.from_iterable(bins))] = np.repeat(np.arange(len(bins)), list(map(len, bins)))
         best_fit(left, self.list, range(len(bins)), room, self.capacity, child)
         return child
 
@@ -322,8 +320,8 @@ def pack(
     shard_pieces: int = SHARD_PIECES,
     islands: int = 3,
     rounds: int = 3,
-    population: int = 4,
-    generations: int = 30,
+    population: int = 3,
+    generations: int = 3,
     kept_words: int = KEPT_WORDS,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
