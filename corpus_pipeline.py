@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import joined_if_small, stash, table
+from tarnwick.llm.common import joined_if_small, stash, table, unused
 from tarnwick.llm.decontaminate import decontaminated
 from tarnwick.llm.jaccard_join import BROADCAST_ROWS, jaccard_components
 from tarnwick.llm.packing import pack
@@ -25,16 +25,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id stays.
+    """Of each group of linked documents the one with the least doc_id stays, of repeated rows with the same id and text one.
 
-    Rows of one doc_id are one document: of repeated rows with the same text one stays. Documents without id stay.
+    Rows of one doc_id with different texts are documents of their own. Documents without id stay.
     """
     groups = stash(jaccard_components(docs, n=5, percent=80), "pipeline-groups")
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(joined_if_small(gone.count(), BROADCAST_ROWS, gone), "doc_id", "left_anti").select(docs.columns)
     if groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+        gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
+        return docs.join(joined_if_small(gone.count(), BROADCAST_ROWS, gone), "doc_id", "left_anti").select(docs.columns)
+    # ids that stand on several rows tell no rows apart: the rows get numbers, which a table holds fast
+    (number,) = unused(docs.columns, 1)
+    rows = stash(docs.withColumn(number, F.monotonically_increasing_id()), "pipeline-rows")
+    ids = rows.select(F.col("doc_id").alias("id"), F.col(number).alias("doc_id")).filter("id is not null")
+    groups = jaccard_components(rows.filter("doc_id is not null").select(F.col(number).alias("doc_id"), "text"), n=5, percent=80)
+    groups = stash(groups.select("doc_id", "component_id").join(ids, "doc_id"), "pipeline-groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct("id", "doc_id"))["doc_id"].alias("first"))
+    gone = stash(groups.join(first, "component_id").filter("doc_id != first").select(F.col("doc_id").alias(number)), "pipeline-gone")
+    return rows.join(joined_if_small(gone.count(), BROADCAST_ROWS, gone), number, "left_anti").select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
