@@ -1,9 +1,6 @@
 import random
 import re
 
-import public_tokenizers
-from tokenizers import Tokenizer
-
 import corpus_pipeline
 from tarnwick.llm.quality_rules import quality_verdicts
 from tests.llm.common import documents, edge_texts, words
@@ -48,4 +45,9 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
-assert Tokenizer and public_tokenizers
+def test_rows_of_one_id_with_different_texts_are_told_apart(spark):
+    rng = random.Random(7)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    docs = documents(spark, [(3, a), (9, a), (9, b), (9, c), (9, c), (4, b + " more"), (None, a), (None, a), (12, None), (12, None), (11, "")])
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([(3, a), (4, b + " more"), (9, c), (None, a), (None, a), (12, None), (12, None), (11, "")], key=str)
