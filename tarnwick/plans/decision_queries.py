@@ -147,12 +147,17 @@ def shrink_events(spark, sf_dir):
     return _kernel(spark, sf_dir, event, "frame double, depth double")
 
 
-@query()
+@query(f"""WITH {SERIES}, p AS (SELECT track, i, (t - min(t) OVER (PARTITION BY track)) / {DAY} AS t, sum(y) OVER (PARTITION BY track ORDER BY i) AS c FROM series), e AS (SELECT track, arg_min(c, i) AS lo, arg_max(c, i) AS hi, count(*) AS n FROM p GROUP BY track),
+k AS (SELECT p.track, min(p.i) AS k, max((lo + hi) / 2) AS half FROM p JOIN e USING (track) WHERE n >= 4 AND hi - lo > 3 AND c >= (lo + hi) / 2 GROUP BY p.track)
+SELECT e.track, round(a.t + (b.t - a.t) * (half - a.c) / (b.c - a.c), 6) AS days FROM e LEFT JOIN k USING (track) LEFT JOIN p b ON b.track = k.track AND b.i = k.k LEFT JOIN p a ON a.track = k.track AND a.i = k.k - 1""")
 def rise_half_time(spark, sf_dir):
-    return _kernel(spark, sf_dir, lambda c: [(K.rise_half_time((c["t"] - c["t"][0]) / DAY, c["y"].cumsum(), 1.0),)], "days double")
+    return _kernel(spark, sf_dir, lambda c: [(None if at is None else round(at, 6),) for at in [K.rise_half_time((c["t"] - c["t"][0]) / DAY, c["y"].cumsum(), 1.0)]], "days double")
 
 
-@query()
+@query(f"""WITH {SERIES}, p AS (SELECT track, CAST(i - 1 AS INTEGER) AS i, (t - min(t) OVER (PARTITION BY track)) / {DAY} AS t, 5000 - sum(y) OVER (PARTITION BY track ORDER BY i) AS h, greatest(3, least(8, count(*) OVER (PARTITION BY track) // 8)) AS head FROM series),
+b AS (SELECT track, median(h) FILTER (i < head) AS base FROM p GROUP BY track), m AS (SELECT p.track, max(base) AS base, max(base) - 3 * greatest(1e-9, 1.4826 * median(abs(h - base)) FILTER (i < head)) AS limit_ FROM p JOIN b USING (track) GROUP BY p.track),
+k AS (SELECT a.track, a.i FROM p a JOIN m ON m.track = a.track JOIN p f ON f.track = a.track AND f.t >= a.t AND f.t <= a.t + 2.0 + 1e-9 WHERE a.i >= a.head AND a.h < limit_ GROUP BY a.track, a.i HAVING avg(CASE WHEN f.h < limit_ THEN 1 ELSE 0 END) >= 0.8)
+SELECT m.track, min(k.i)::DOUBLE AS frame FROM m LEFT JOIN k USING (track) GROUP BY m.track""")
 def discharge_onset(spark, sf_dir):
     return _kernel(spark, sf_dir, lambda c: [(K.discharge_onset((c["t"] - c["t"][0]) / DAY, 5000 - c["y"].cumsum(), 2.0),)], "frame double")
 

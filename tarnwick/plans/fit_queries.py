@@ -139,9 +139,11 @@ def radial_circle(spark, sf_dir):
     return K.grouped(points(spark, sf_dir), G, ["k", "n"], lambda c: [K.radial_circle(c["x"], c["y"])], "g long, cx double, cy double, radius double, rms double")
 
 
-@query()
+@query(f"""WITH {POINTS}, p AS (SELECT g, x, y, row_number() OVER (PARTITION BY g ORDER BY k, n) AS r FROM points), n AS (SELECT a.g, a.r, count(*) AS size FROM p a JOIN p b ON a.g = b.g AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 8 GROUP BY a.g, a.r),
+best AS (SELECT g, r, size FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY size DESC, r) AS k FROM n) WHERE k = 1)
+SELECT a.g, median(b.x) AS x, round(median(b.y), 6) AS y, CAST(max(best.size) AS INTEGER) AS size FROM best JOIN p a USING (g, r) JOIN p b ON a.g = b.g AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 8 GROUP BY a.g""")
 def consensus(spark, sf_dir):
-    return K.grouped(points(spark, sf_dir), G, ["k", "n"], lambda c: [K.consensus(c["x"], c["y"], 8.0)], "g long, x double, y double, size int")
+    return K.grouped(points(spark, sf_dir), G, ["k", "n"], lambda c: [(x, round(y, 6), n) for x, y, n in [K.consensus(c["x"], c["y"], 8.0)]], "g long, x double, y double, size int")
 
 
 @query()
@@ -171,11 +173,10 @@ def frame_association(spark, sf_dir):
     return K.grouped(tracks, ["track"], ["i"], run, "track long, frame int, candidate int")
 
 
-@query("SELECT label, count(*) AS n, round(avg(embedding[1]), 4) AS m1, round(stddev_samp(embedding[2]), 4) AS s2 FROM embeddings GROUP BY label")
+@query("SELECT label, CAST(k AS INTEGER) AS place, count(*) AS n, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS deviation FROM (SELECT label, generate_subscripts(embedding, 1) - 1 AS k, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label, k")
 def vector_summary(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    at = lambda k: F.element_at("embedding", k).cast("double")
-    return e.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(at(1)), 4).alias("m1"), F.round(F.stddev_samp(at(2)), 4).alias("s2"))
+    places = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("place", "x")).withColumn("x", F.col("x").cast("double"))
+    return places.groupBy("label", "place").agg(F.count("*").alias("n"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_samp("x"), 4).alias("deviation"))
 
 
 @query()

@@ -148,7 +148,8 @@ def forty_metrics(spark, sf_dir):
     return metrics.scored(measurements(spark, sf_dir)).select("sample", "task", r6("m1"), r6("m2"), "has_m2")
 
 
-@query()
+@query(f"""SELECT sample, task, metric_id, defined, CASE WHEN NOT defined THEN 'not_applicable' WHEN score IS NULL THEN 'unmeasurable' ELSE 'measured' END AS status, score AS physics_score
+FROM (SELECT sample, task, 'M1' AS metric_id, true AS defined, m1 AS score FROM ({_metrics_sql()}) UNION ALL SELECT sample, task, 'M2', has_m2, m2 FROM ({_metrics_sql()}))""")
 def metric_rows(spark, sf_dir):
     return metrics.metric_rows(measurements(spark, sf_dir)).select("sample", "task", "metric_id", "defined", "status", r6("physics_score"))
 
@@ -162,9 +163,11 @@ def angles_and_distances(spark, sf_dir):
     return p.select("k", "n", F.round(G.vector_angle(*v), 4).alias("angle"), F.round(G.line_angle(*v), 4).alias("line_angle"), r6(G.distance(*v), "apart"))
 
 
-@query("""SELECT vec_id, round((a - c) * (b - d) / nullif((b - c) * (a - d), 0), 4) AS ratio FROM (SELECT vec_id, s[1] AS a, s[2] + 0.1 AS b, s[3] + 0.2 AS c, s[4] + 0.3 AS d FROM (SELECT vec_id, list_sort([round(x, 3)::DOUBLE FOR x IN embedding[1:4]]) AS s FROM embeddings))""")
+@query("""WITH q AS (SELECT vec_id, embedding, unnest(generate_series(0, len(embedding) // 4 - 1)) AS quad FROM embeddings), s AS (SELECT vec_id, quad, list_sort(list_transform(embedding[4 * quad + 1 : 4 * quad + 4], lambda x: round(x, 3)::DOUBLE)) AS s FROM q)
+SELECT vec_id, CAST(quad AS INTEGER) AS quad, round((a - c) * (b - d) / nullif((b - c) * (a - d), 0), 4) AS ratio FROM (SELECT vec_id, quad, s[1] AS a, s[2] + 0.1 AS b, s[3] + 0.2 AS c, s[4] + 0.3 AS d FROM s)""")
 def cross_ratio(spark, sf_dir):
-    s = F.array_sort(F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x, 3).cast("double")))
+    """Of every four places in a row of a vector."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), (F.floor(F.size("embedding") / 4) - 1).cast("int"))).alias("quad"))
+    s = F.array_sort(F.transform(F.slice("embedding", 4 * F.col("quad") + 1, F.lit(4)), lambda x: F.round(x, 3).cast("double")))
     at = [F.element_at(F.col("s"), k + 1) + 0.1 * k for k in range(4)]
-    e = table(spark, sf_dir, "embeddings").select("vec_id", s.alias("s")).select("vec_id", *[a.alias(n) for a, n in zip(at, "abcd")])
-    return e.select("vec_id", F.round(F.try_divide((F.col("a") - F.col("c")) * (F.col("b") - F.col("d")), (F.col("b") - F.col("c")) * (F.col("a") - F.col("d"))), 4).alias("ratio"))
+    return e.select("vec_id", "quad", s.alias("s")).select("vec_id", "quad", F.round(G.cross_ratio(*at), 4).alias("ratio"))

@@ -257,9 +257,12 @@ def _kernel(spark, sf_dir, kernel, schema):
     return K.grouped(series(spark, sf_dir), ["track"], ["i"], kernel, "track long, " + schema)
 
 
-@query()
+@query(f"""WITH {SERIES}, n AS (SELECT track, count(*) AS n FROM series GROUP BY track), c AS (SELECT s.track, s.i AS k, sum(w.y * (7 - (w.i - s.i) ** 2)) / 21 AS a0, sum(w.y * (w.i - s.i)) / 28 AS a1, sum(w.y * ((w.i - s.i) ** 2 - 4)) / 84 AS a2
+    FROM series s JOIN series w ON s.track = w.track AND w.i BETWEEN s.i - 3 AND s.i + 3 JOIN n ON n.track = s.track WHERE s.i BETWEEN 4 AND n.n - 3 GROUP BY s.track, s.i),
+p AS (SELECT s.track, s.i, CAST(greatest(4, least(n.n - 3, s.i)) AS INTEGER) AS k, s.i - greatest(4, least(n.n - 3, s.i)) AS u FROM series s JOIN n USING (track))
+SELECT track, i, round(a0 + a1 * u + a2 * u * u, 6) AS smooth, round(a1 + 2 * a2 * u, 6) AS slope FROM p LEFT JOIN c USING (track, k)""")
 def savgol(spark, sf_dir):
-    return _kernel(spark, sf_dir, lambda c: [(int(i), float(a), float(b)) for i, a, b in zip(c["i"], K.savgol(c["y"], 7, 2), K.savgol(c["y"], 7, 2, 1))], "i int, smooth double, slope double")
+    return _kernel(spark, sf_dir, lambda c: {"i": c["i"], "smooth": K.savgol(c["y"], 7, 2).round(6), "slope": K.savgol(c["y"], 7, 2, 1).round(6)}, "i int, smooth double, slope double")
 
 
 @query()
@@ -267,9 +270,11 @@ def peaks_prominence(spark, sf_dir):
     return _kernel(spark, sf_dir, lambda c: [(int(c["i"][p]), v) for p, v in K.peaks(c["y"], 100, 3)], "i int, prominence double")
 
 
-@query()
+@query(f"""WITH {SERIES}, c AS (SELECT track, i, y, sum(y) OVER (PARTITION BY track ORDER BY i) AS c FROM series), p AS (SELECT a.track, a.i AS a, b.i AS b, (b.c - a.c + a.y) / (b.i - a.i + 1) AS v FROM c a JOIN c b ON a.track = b.track AND a.i <= b.i),
+m AS (SELECT track, a, b AS i, min(v) OVER w AS lo, max(v) OVER w AS hi FROM p WINDOW w AS (PARTITION BY track, a ORDER BY b DESC))
+SELECT track, i, round(max(lo), 9) AS rising, round(min(hi), 9) AS falling FROM m GROUP BY track, i""")
 def isotonic(spark, sf_dir):
-    return _kernel(spark, sf_dir, lambda c: [(int(i), float(a), float(b)) for i, a, b in zip(c["i"], K.isotonic(c["y"]), K.isotonic(c["y"], False))], "i int, rising double, falling double")
+    return _kernel(spark, sf_dir, lambda c: {"i": c["i"], "rising": K.isotonic(c["y"]).round(9), "falling": K.isotonic(c["y"], False).round(9)}, "i int, rising double, falling double")
 
 
 @query()
@@ -282,11 +287,14 @@ def fft_period(spark, sf_dir):
     return _kernel(spark, sf_dir, lambda c: [(K.spectral_period((c["t"] - c["t"][0]) / DAY, c["y"]),)], "days double")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SERIES}, p AS (SELECT track, i, t, y AS h, sqrt(greatest(0, y)) * (1 + i % 3 / 10) AS q FROM series WHERE y > 0), k AS (SELECT track, min(i) AS i FROM p GROUP BY track
+    UNION ALL SELECT k.track, (SELECT min(n.i) FROM p n WHERE n.track = k.track AND n.i > k.i AND n.t >= a.t + {DAY} - 1e-9) FROM k JOIN p a ON a.track = k.track AND a.i = k.i WHERE k.i IS NOT NULL),
+s AS (SELECT p.track, ln(p.h) AS x, ln(p.q) AS z FROM k JOIN p USING (track, i)), f AS (SELECT track, count(*) AS n, regr_slope(z, x) AS b, regr_sxx(z, x) AS sxx, regr_syy(z, x) AS syy FROM s GROUP BY track)
+SELECT track, CAST(n AS INTEGER) AS n, CASE WHEN n >= 5 THEN round(b, 6) END AS beta, CASE WHEN n >= 5 THEN round(sqrt(greatest(0, syy - b * b * sxx) / greatest(1, n - 2) / sxx), 6) END AS beta_se FROM f""")
 def discharge_exponent(spark, sf_dir):
     import numpy as np
 
-    return _kernel(spark, sf_dir, lambda c: [K.discharge_exponent(c["t"], c["y"], np.sqrt(np.maximum(0, c["y"])) * (1 + c["i"] % 3 / 10), 0 * c["y"], 3, DAY, 5)], "n int, beta double, beta_se double")
+    return _kernel(spark, sf_dir, lambda c: [tuple(v if v is None else round(v, 6) for v in K.discharge_exponent(c["t"], c["y"], np.sqrt(np.maximum(0, c["y"])) * (1 + c["i"] % 3 / 10), 0 * c["y"], 3, DAY, 5))], "n int, beta double, beta_se double")
 
 
 @query()
@@ -305,28 +313,44 @@ def event_match_f1(spark, sf_dir):
     return _kernel(spark, sf_dir, match, "hits int, false_alarms int, misses int, f1 double")
 
 
-@query()
+@query(f"""WITH {SERIES}, p AS (SELECT track, CAST(i - 1 AS INTEGER) AS i, (t - min(t) OVER (PARTITION BY track)) / {DAY} AS t, sum(y) OVER (PARTITION BY track ORDER BY i) AS y FROM series),
+w AS (SELECT a.track, a.i AS a, b.i AS b, b.t - a.t AS span FROM p a JOIN p b ON a.track = b.track AND b.i >= a.i + 3), m AS (SELECT w.track, w.a, w.b, max(span) AS span, avg(p.t) AS mt FROM w JOIN p ON p.track = w.track AND p.i BETWEEN w.a AND w.b GROUP BY w.track, w.a, w.b),
+s AS (SELECT m.track, m.a, m.b, max(span) AS span, count(*) AS n, sum((t - mt) ** 2) AS m2, sum((t - mt) ** 3) AS m3, sum((t - mt) ** 4) AS m4, sum((t - mt) * y) AS mv, sum((t - mt) ** 2 * y) AS mmv, avg(y) AS my, var_pop(y) * count(*) AS vv FROM m JOIN p ON p.track = m.track AND p.i BETWEEN m.a AND m.b GROUP BY m.track, m.a, m.b),
+f AS (SELECT *, mv / m2 AS v, greatest(0, vv - mv * mv / m2) AS ss, (mmv - m2 * my - m3 * mv / m2) / (m4 - m2 * m2 / n - m3 * m3 / m2) AS q FROM s), e AS (SELECT *, greatest(sqrt(ss / greatest(1, n - 2) / m2), 0.5 / sqrt(m2)) AS se, sqrt(ss / n) AS rms FROM f),
+l AS (SELECT track, a, b, v - 1.96 * se AS lo, v + 1.96 * se AS hi FROM (SELECT *, row_number() OVER (PARTITION BY track, a ORDER BY b) AS k FROM e WHERE span >= 3.0 - 1e-9) WHERE k = 1 AND v > 0 AND 1.96 * se <= 0.5 * 0.3 * v),
+o AS (SELECT * FROM e WHERE span >= 3.0 AND v > 0 AND v * span >= 10 AND v >= 3.0 * se AND rms <= greatest(1.0, 0.15 * v * span) AND abs(2 * q * span) <= 0.3 * v),
+i AS (SELECT o.track, o.a, o.b, count(l.a) AS c, max(lo) - min(hi) AS apart FROM o LEFT JOIN l ON l.track = o.track AND l.a >= o.a AND l.b <= o.b GROUP BY o.track, o.a, o.b)
+SELECT track, a AS start, b AS "end", round(span, 6) AS duration, round(v, 4) AS speed, 5.0::DOUBLE AS radius FROM o JOIN i USING (track, a, b) WHERE c < 2 OR apart <= 0.3 * v""")
 def terminal_windows(spark, sf_dir):
-    def widest(c):
+    def steady(c):
         import numpy as np
 
         t = (c["t"] - c["t"][0]) / DAY
-        found = K.terminal_windows(t, np.cumsum(c["y"]), 0 * t + 5, t >= 0, 3.0, 0.3, 1.0, 3.0)
-        return [found[0]] if found else []
+        return [(a, b, round(span, 6), round(v, 4), r) for a, b, span, v, r in K.terminal_windows(t, np.cumsum(c["y"]), 0 * t + 5, t >= 0, 3.0, 0.3, 1.0, 3.0)]
 
-    return _kernel(spark, sf_dir, widest, "start int, end int, duration double, speed double, radius double")
+    return _kernel(spark, sf_dir, steady, "start int, end int, duration double, speed double, radius double")
 
 
-@query()
+@query(f"""WITH {SERIES}, p AS (SELECT track, (t - min(t) OVER (PARTITION BY track)) / {DAY} AS t, sum(y) OVER (PARTITION BY track ORDER BY i) AS y, i FROM series), d AS (SELECT track, t, t - lag(t) OVER (PARTITION BY track ORDER BY i) AS d FROM p),
+g AS (SELECT track, median(d) / 2 AS step, max(t) AS last FROM d GROUP BY track), t AS (SELECT track, step, unnest(generate_series(0, CAST(ceil((last - 4 * step) / step) AS INTEGER) - 1)) AS k FROM g),
+f AS (SELECT t.track, t.k, t.k * t.step AS t0, regr_slope(p.y, greatest(0, p.t - t.k * t.step) ** 2 / 2) AS a, sqrt(greatest(0, regr_syy(p.y, greatest(0, p.t - t.k * t.step) ** 2 / 2) - regr_sxy(p.y, greatest(0, p.t - t.k * t.step) ** 2 / 2) ** 2 / regr_sxx(p.y, greatest(0, p.t - t.k * t.step) ** 2 / 2)) / count(*)) AS e
+    FROM t JOIN p USING (track) GROUP BY t.track, t.k, t.step), k AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY round(e, 6), k) AS k2 FROM f)
+SELECT track, round(t0, 4) AS release, round(a, 3) AS acceleration, round(e, 3) AS rmse FROM k WHERE k2 = 1""")
 def released_motion(spark, sf_dir):
-    return _kernel(spark, sf_dir, lambda c: [K.released_motion((c["t"] - c["t"][0]) / DAY, c["y"].cumsum())], "release double, acceleration double, rmse double")
+    return _kernel(spark, sf_dir, lambda c: [(round(t0, 4), round(a, 3), round(e, 3)) for t0, a, e in [K.released_motion((c["t"] - c["t"][0]) / DAY, c["y"].cumsum())]], "release double, acceleration double, rmse double")
 
 
-@query()
+@query(f"""WITH {SERIES}, p AS (SELECT track, i, i::DOUBLE AS x, sum(y) OVER (PARTITION BY track ORDER BY i) AS y, count(*) OVER (PARTITION BY track) AS n FROM series),
+c AS (SELECT a.track, a.i AS cut, b.i > a.i AS later, count(*) AS m, var_pop(b.x) * count(*) AS xx, var_pop(b.y) * count(*) AS yy, covar_pop(b.y, b.x) * count(*) AS xy FROM p a JOIN p b ON a.track = b.track WHERE a.i BETWEEN 5 AND a.n - 5 GROUP BY a.track, a.i, b.i > a.i),
+e AS (SELECT track, cut, sqrt(sum((xx + yy) / 2 - sqrt(((xx - yy) / 2) ** 2 + xy * xy)) / sum(m)) AS e FROM c GROUP BY track, cut), k AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY round(e, 9), cut) AS k FROM e)
+SELECT track, cut, round(e, 3) AS rmse FROM k WHERE k = 1 UNION ALL SELECT track, NULL, NULL FROM p GROUP BY track HAVING count(*) < 10""")
 def path_split(spark, sf_dir):
-    return _kernel(spark, sf_dir, lambda c: [K.split_path(c["i"].astype(float), c["y"].cumsum(), 5)], "cut int, rmse double")
+    return _kernel(spark, sf_dir, lambda c: [(cut, round(e, 3) if cut else None) for cut, e in [K.split_path(c["i"].astype(float), c["y"].cumsum(), 5)]], "cut int, rmse double")
 
 
-@query()
+@query(f"""WITH {SERIES}, r AS (SELECT *, i - row_number() OVER (PARTITION BY track, y > 60 ORDER BY i) AS g, max(i) OVER (PARTITION BY track) AS n FROM series),
+a AS (SELECT track, min(i) AS lo, max(i) AS hi, max(y) AS height, max(n) AS n FROM r WHERE y > 60 GROUP BY track, g HAVING count(*) >= 3)
+SELECT a.track, CAST(a.lo - 2 AS INTEGER) AS start, CAST(min(s.i) FILTER (s.y = a.height AND s.i BETWEEN a.lo AND a.hi) - 1 AS INTEGER) AS apex, CAST(a.hi AS INTEGER) AS "end", a.height, max(s.t) FILTER (s.i = a.hi + 1) - max(s.t) FILTER (s.i = a.lo - 1) AS duration
+FROM a JOIN series s USING (track) WHERE a.lo > 1 AND a.hi < a.n GROUP BY a.track, a.lo, a.hi, a.height""")
 def bounce_arcs(spark, sf_dir):
     return _kernel(spark, sf_dir, lambda c: K.bounce_arcs(c["t"], c["y"], 60.0), "start int, apex int, end int, height double, duration double")
