@@ -75,9 +75,32 @@ def floored_quality(error: Column, good: float, floor: float = 0.01) -> Column:
     return F.greatest(F.lit(floor), residual_score(error, good))
 
 
-def high_quality(value: Column, target: float, floor: float = 0.01) -> Column:
-    """Share of a target reached, floored."""
-    return F.when(finite(value).isNotNull(), F.greatest(F.lit(floor), clip01(value / target)))
+def high_quality(value: Column, target: float, scale: float, floor: float = 0.01) -> Column:
+    """A high-is-good value through what it lacks to a target, floored; the floor where it is missing."""
+    return floored_quality(F.greatest(F.lit(0.0), target - finite(value)) + F.lit(0.0) * finite(value), scale, floor)
+
+
+def evidence_fraction(observed: Column, required: float, floor: float = 0.01) -> Column:
+    """The share of required evidence that was observed, between a floor and 1; the floor where it is missing."""
+    return F.greatest(F.lit(floor), clip01(observed / required))
+
+
+def evidence_quality(evidence: Column, scale: float) -> Column:
+    """x / (x + scale), a half at the scale; 0 where it is missing or negative."""
+    return F.coalesce(F.when(finite(evidence) >= 0, clip01(evidence / (evidence + scale))), F.lit(0.0))
+
+
+def support_quality(value: Column, anchor: float) -> Column:
+    """Linear up to full support at the anchor; 0 where it is missing."""
+    return F.coalesce(clip01(F.greatest(F.lit(0.0), finite(value)) / anchor + F.lit(0.0) * finite(value)), F.lit(0.0))
+
+
+def deflection_balance(left: Column, right: Column, least: float) -> Column:
+    """How evenly two deflections oppose each other, times how far the smaller one moved; 0 without any motion."""
+    whole = F.abs(left) + F.abs(right)
+    symmetry = 1 - F.least(F.lit(1.0), F.try_divide(F.abs(left + right), whole))
+    moved = F.least(F.lit(1.0), F.least(F.abs(left), F.abs(right)) / least)
+    return F.when(whole == 0, F.lit(0.0)).otherwise(symmetry * moved)
 
 
 def piecewise_score(value: Column, good: float, bad: float) -> Column:

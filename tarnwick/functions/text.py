@@ -58,3 +58,45 @@ def canonical_hash(*columns: Column) -> Column:
 def strip_fences(reply: Column) -> Column:
     """A reply without the code fence around it."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(reply), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
+
+
+#: Folders whose place in a path is public, and a model's other spelling.
+VIDEO_FOLDER, IMAGE_FOLDER, SPELLINGS = "output_videos", "first_frames", {"minimax_h3": "minimax-h3"}
+
+
+def last_integer(name: Column) -> Column:
+    """The last run of digits in a name."""
+    found = F.regexp_extract(name, r"(\d+)\D*$", 1)
+    return F.when(found != "", found.cast("long"))
+
+
+def public_model(model: Column) -> Column:
+    out = model
+    for other, name in SPELLINGS.items():
+        out = F.when(F.lower(model) == other, F.lit(name)).otherwise(out)
+    return out
+
+
+def public_video(path: Column, folder: Column | None = None) -> Column:
+    """The path of a video within its package: the model's folder, videos, and the file; other paths stay."""
+    inside = F.regexp_extract(path, rf"(?:^|/){VIDEO_FOLDER}/([^/]+)", 1)
+    found = F.coalesce(F.lit(None) if folder is None else folder, F.when(inside != "", inside))
+    return F.when(path.rlike(rf"(?:^|/){VIDEO_FOLDER}(?:/|$)") & found.isNotNull(), F.concat(found, F.lit("/videos/"), file_name(path))).otherwise(path)
+
+
+def public_image(path: Column) -> Column:
+    """The path of an image from the folder of first frames on; other paths stay."""
+    inside = F.regexp_extract(path, rf"(?:^|/)({IMAGE_FOLDER}(?:/.*)?)$", 1)
+    return F.when(inside != "", inside).otherwise(path)
+
+
+def command(template: list[str], **values: Column) -> Column:
+    """The words of a command, with {name} in each replaced by a value as text; a missing value leaves the word null."""
+    words = []
+    for part in template:
+        word = F.lit(part)
+        for name, value in values.items():
+            if f"{{{name}}}" in part:
+                word = F.replace(word, F.lit(f"{{{name}}}"), value.cast("string"))
+        words.append(word)
+    return F.array(*words)

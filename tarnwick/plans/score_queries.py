@@ -38,12 +38,12 @@ def count_and_angle(spark, sf_dir):
     return records(spark, sf_dir).select("sample", C.count_direction(F.col("sample") % 7, F.col("owner") % 5).alias("score"), r6(C.angle_score(F.col("e1") * 360), "turned"))
 
 
-@query(f"""WITH {RECORDS} SELECT sample, round(greatest(0.01, 1 / (1 + e1 / 0.2)), 6) AS floored, round(greatest(0.01, greatest(0, least(1, e1 / 0.7))), 6) AS high, round(100 * greatest(0, least(1, (0.9 - e1) / (0.9 - 0.1))), 6) AS piecewise,
+@query(f"""WITH {RECORDS} SELECT sample, round(greatest(0.01, 1 / (1 + e1 / 0.2)), 6) AS floored, round(greatest(0.01, 1 / (1 + greatest(0, 0.7 - e1) / 0.3)), 6) AS high, round(100 * greatest(0, least(1, (0.9 - e1) / (0.9 - 0.1))), 6) AS piecewise,
 CASE WHEN e2 IS NULL THEN 0.0::DOUBLE ELSE round(0.15 + 0.85 * (1 / (1 + e2 / 0.1)), 6) END AS recognised, CASE WHEN e2 IS NOT NULL THEN round(0.7 * least(c, e1, e2) + 0.3 * (c + e1 + e2) / 3, 6) END AS worst, round(0.5 * CAST(sample % 2 = 0 AS DOUBLE) + 0.5 * coalesce(CAST(e2 > 0.5 AS DOUBLE), 0), 6) AS halves FROM records""")
 def legacy_scores(spark, sf_dir):
     e1, e2 = F.col("e1"), F.col("e2")
     return records(spark, sf_dir).select(
-        "sample", r6(C.floored_quality(e1, 0.2), "floored"), r6(C.high_quality(e1, 0.7), "high"), r6(C.piecewise_score(e1, 0.1, 0.9), "piecewise"), r6(C.recognised(C.residual_score(e2, 0.1)), "recognised"),
+        "sample", r6(C.floored_quality(e1, 0.2), "floored"), r6(C.high_quality(e1, 0.7, 0.3), "high"), r6(C.piecewise_score(e1, 0.1, 0.9), "piecewise"), r6(C.recognised(C.residual_score(e2, 0.1)), "recognised"),
         r6(C.worst_and_mean([F.col("c"), e1, e2]), "worst"), r6(C.two_halves(F.col("sample") % 2 == 0, e2 > 0.5), "halves"),
     )
 

@@ -32,9 +32,14 @@ def test_scores_are_between_0_and_1_and_fall_with_the_error(spark):
 def test_missing_and_non_finite_values_have_no_score(spark):
     X = F.col("x")
     odd = [None, float("nan"), float("inf"), -float("inf")]
-    for column in (C.residual_score(X, 1), C.clip01(X), C.direction_score(X), C.high_quality(X, 1), C.piecewise_score(X, 1, 2)):
+    for column in (C.residual_score(X, 1), C.clip01(X), C.direction_score(X), C.piecewise_score(X, 1, 2)):
         assert values(spark, column, odd) == [None] * 4
     assert values(spark, C.half_score(X, 1), [None, -1.0]) == [None, None]
+    # what reports a floor says so for missing values too
+    assert values(spark, C.high_quality(X, 1, 0.5), odd) == [0.01] * 4 and values(spark, C.high_quality(X, 1, 0.5), [2.0, 0.5]) == [1.0, 0.5]
+    assert values(spark, C.evidence_fraction(X, 4), [*odd, 8.0, 2.0]) == [0.01] * 4 + [1.0, 0.5]
+    assert values(spark, C.evidence_quality(X, 4), [*odd, -1.0, 4.0]) == [0.0] * 5 + [0.5] and values(spark, C.support_quality(X, 4), [*odd, -1.0, 2.0]) == [0.0] * 5 + [0.5]
+    assert values(spark, C.deflection_balance(X, F.lit(-3.0), 6), [3.0, -3.0, 9.0]) == [0.5, 0.0, 0.25]
 
 
 def test_geometric_means(spark):
