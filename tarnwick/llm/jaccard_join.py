@@ -12,9 +12,11 @@
    looked up by walking the tree: shared beginnings are overlapped once, and a subtree is left when
    what remains of the set or of the subtree's longest member can't reach the overlap that the
    subtree's smallest member needs. Subtrees whose members all are in the set's own
-   component are left too: their links are known. In clusters beyond a size, members are first compared with a few hubs;
-   the rest is cut into blocks, and every pair of blocks that aren't linked with the same hub is one task: memory
-   stays bounded, no link between components is lost, and many copies of one original cost one comparison each.
+   component are left too: their links are known. In clusters beyond a size, members are first compared with a few hubs:
+   many copies of one original cost one comparison each. Then the members are dealt by the n-grams of their prefixes, as
+   linked sets share one; members that share one but are all linked with the same hub need no work. Only where too many
+   members share one n-gram, they are cut into blocks and compared by pairs of blocks. Memory stays bounded, and no
+   link between components is lost.
 4. Links found are closed to components, and every text gets its class's component.
 
 Defined results: null and empty texts have 0 n-grams and are linked with nothing; a text with
@@ -43,8 +45,8 @@ BATCH_GRAMS, BATCH_CLASSES = 700_000, 60_000
 BROADCAST_ROWS = 1_000_000
 #: Sets of a cluster that one task takes, and of a block of larger clusters.
 CLUSTER_SETS, BLOCK_SETS = 1_000, 500
-#: Rounds in which the members of a large cluster are compared with a hub, and hubs up to which they are broadcast.
-HUB_ROUNDS, HUB_ROWS = 3, 1_000
+#: Rounds in which the members of a large cluster are compared with a hub; rows of small tables, and bytes of hubs, up to which they are broadcast.
+HUB_ROUNDS, HUB_ROWS, HUB_BYTES = 3, 100_000, 32 << 20
 HERE = 0xFFFF  # stands for a batch's classes that share an n-gram among themselves
 
 
@@ -274,8 +276,8 @@ def tree_links(percent: int):
     def run(key, frame):
         import pandas as pd
 
-        first = int(key[1])
-        across = first != int(key[2])
+        first = int(key[2])
+        across = first != int(key[3])
         frame = frame.sort_values(["n", "sid"])
         grams = [np.asarray(g, np.int64) for g in frame["grams"]]
         values, ranks, counts = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
@@ -337,7 +339,8 @@ def linked_to_hubs(members: DataFrame, percent: int, name: str) -> DataFrame:
     for label in range(HUB_ROUNDS):
         best = members.groupBy("root").agg(F.max(F.struct("centre", "sid")).alias("b")).select(F.col("b.sid").alias("sid"))
         hubs = stash(members.join(best, "sid").select("root", F.col("sid").alias("hub"), F.col("n").alias("hub_n"), F.col("grams").alias("hub_grams")), f"{name}-hubs")
-        near = joined_if_small(hubs.count(), HUB_ROWS, hubs)
+        size = hubs.agg(F.coalesce(F.sum(64 + 8 * F.size("hub_grams")), F.lit(0))).first()[0]
+        near = joined_if_small(size, HUB_BYTES, hubs)
         overlap = F.size(F.array_intersect("grams", "hub_grams"))
         hits = members.join(near, "root").filter((F.col("sid") == F.col("hub")) | ((100 + percent) * overlap >= percent * (F.col("n") + F.col("hub_n"))))
         hits = stash(hits.select("sid", "hub", F.lit(label).alias("label")), f"{name}-linked")
@@ -347,10 +350,11 @@ def linked_to_hubs(members: DataFrame, percent: int, name: str) -> DataFrame:
 
 
 def clustered(sets: DataFrame, percent: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """Work: root, i, j, block, sid, n, grams, the sets of each cluster or of each pair of blocks of a large one; and the links found on the way.
+    """Work: root, gram, i, j, block, sid, n, grams, the sets of each cluster, or those of a large one that share an n-gram; and the links found on the way.
 
-    Blocks of a large cluster hold members linked with the same hub, or with none. Pairs of blocks of one hub
-    need no work: their members are in one component already.
+    Members of a large cluster that share an n-gram of their prefixes are one piece of work (gram; 0 for other clusters), unless all are
+    linked with the same hub. If they are too many they stand in blocks, each of members linked with the same hub, or with none, and
+    every pair of blocks is one piece of work, but for pairs of one hub: those are in one component already.
     """
     grams = sets.select("sid", F.explode("grams").alias("h"))
     often = grams.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
@@ -366,25 +370,32 @@ def clustered(sets: DataFrame, percent: int, name: str) -> tuple[DataFrame, Data
     sizes = stash(near.groupBy("root").agg(F.count("*").alias("size")).filter(F.col("size") > CLUSTER_SETS).select("root"), f"{name}-large")
     n_large = sizes.count()
     links = None
-    dealt = near.withColumn("label", F.lit(-1)).withColumn("m", F.lit(1).cast("long"))
+    alone = {"gram": F.lit(0).cast("long"), "label": F.lit(-1), "m": F.lit(1).cast("long")}
+    dealt = near.withColumns(alone)
     if n_large:
         sizes = joined_if_small(n_large, HUB_ROWS, sizes)
         members = stash(near.join(sizes, "root", "left_semi"), f"{name}-members")
         found = linked_to_hubs(live.join(members, "sid").select("sid", "root", "n", "grams", "centre"), percent, name)
         links = found.filter("sid != hub").select(F.col("sid").alias("a"), F.col("hub").alias("b"))
         labelled = members.join(found.select("sid", "label"), "sid", "left").withColumn("label", F.coalesce("label", F.lit(HUB_ROUNDS)))
-        labelled = stash(labelled, f"{name}-labels")
-        counts = stash(labelled.groupBy("root", "label").agg(F.count("*").alias("m")), f"{name}-counts")
-        labelled = labelled.join(joined_if_small(n_large, HUB_ROWS, counts), ["root", "label"])
-        dealt = near.join(sizes, "root", "left_anti").withColumn("label", F.lit(-1)).withColumn("m", F.lit(1).cast("long")).unionByName(labelled.select("sid", "root", "label", "m"))
+        posts = stash(heads.join(labelled, "sid").select("sid", "root", F.col("h").alias("gram"), "label"), f"{name}-posts")
+        counts = posts.groupBy("root", "gram", "label").agg(F.count("*").alias("m"))
+        groups = counts.groupBy("root", "gram").agg(F.sum("m").alias("all"), F.min("label").alias("low"), F.max("label").alias("high"))
+        groups = groups.filter((F.col("all") > 1) & ((F.col("low") != F.col("high")) | (F.col("low") == HUB_ROUNDS)))
+        groups = stash(counts.join(groups.select("root", "gram", "all"), ["root", "gram"]), f"{name}-counts")
+        few = F.col("all") <= CLUSTER_SETS
+        held = posts.join(joined_if_small(groups.count(), HUB_ROWS, groups), ["root", "gram", "label"])
+        held = held.select("sid", "root", "gram", F.when(few, F.lit(-1)).otherwise(F.col("label")).alias("label"), F.when(few, F.lit(1)).otherwise(F.col("m")).alias("m"))
+        dealt = near.join(sizes, "root", "left_anti").withColumns(alone).unionByName(held)
     part = F.pmod(F.xxhash64("sid"), F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK_SETS)))
     block = F.when(F.col("label") < 0, F.lit(0)).otherwise(F.col("label").cast("long") * (1 << 32) + part)
-    dealt = stash(dealt.select("sid", "root", "label", block.cast("long").alias("block")), f"{name}-blocks")
-    blocks = dealt.select("root", "label", "block").distinct()
-    second = blocks.select("root", F.col("label").alias("label2"), F.col("block").alias("j"))
-    pairs = blocks.withColumnRenamed("block", "i").join(second, "root").filter("i <= j and (label != label2 or label in (-1, " + str(HUB_ROUNDS) + "))")
-    sides = pairs.select("root", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    work = live.select("sid", "n", "grams").join(dealt.select("sid", "root", "block"), "sid").join(sides, ["root", "block"])
+    dealt = stash(dealt.select("sid", "root", "gram", "label", block.cast("long").alias("block")), f"{name}-blocks")
+    key = ["root", "gram"]
+    blocks = dealt.select(*key, "label", "block").distinct()
+    second = blocks.select(*key, F.col("label").alias("label2"), F.col("block").alias("j"))
+    pairs = blocks.withColumnRenamed("block", "i").join(second, key).filter("i <= j and (label != label2 or label in (-1, " + str(HUB_ROUNDS) + "))")
+    sides = pairs.select(*key, "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    work = live.select("sid", "n", "grams").join(dealt.select("sid", *key, "block"), "sid").join(sides, [*key, "block"])
     return work, links
 
 
@@ -398,7 +409,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     texts = stash(by_range.groupBy("batch").applyInPandas(texts_of_batch(percent), "doc_id long, n long, digest binary, alive boolean"), "jaccard-texts")
     sets = live_sets(read, texts.filter("doc_id is not null"), n, "jaccard")
     work, hub_links = clustered(sets, percent, "jaccard")
-    links = work.groupBy("root", "i", "j").applyInPandas(tree_links(percent), "a long, b long")
+    links = work.groupBy("root", "gram", "i", "j").applyInPandas(tree_links(percent), "a long, b long")
     links = stash(links if hub_links is None else links.unionByName(hub_links), "jaccard-links")
     found = components(links, name="jaccard-components").join(sets.select(F.col("sid").alias("node"), "digest"), "node").select("root", "digest")
     classes = texts.filter("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"))

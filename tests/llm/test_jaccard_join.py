@@ -78,6 +78,27 @@ def test_blocks_of_a_large_cluster_and_small_batches(spark, monkeypatch):
     assert found(spark, rows) == want
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_large_clusters_dealt_by_prefix_grams(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    rows, passages = [], [words(rng, 40) for _ in range(3)]
+    for k in range(10):
+        base = (words(rng, 30) + " " + rng.choice(passages)).split()
+        for _ in range(rng.randrange(3, 10)):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                copy[rng.randrange(len(copy))] = f"n{rng.randrange(10**6)}"
+            rows.append(" ".join(copy))
+            if rng.random() < 0.4:
+                base = copy
+    rng.shuffle(rows)
+    rows = list(enumerate(rows, 10))
+    want = brute(rows)
+    for name, value in {"CLUSTER_SETS": 4 + seed, "BLOCK_SETS": 3, "HUB_ROUNDS": 1, "HUB_BYTES": 0}.items():
+        monkeypatch.setattr(J, name, value)
+    assert found(spark, rows) == want
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     text = words(random.Random(1), 30)
     rows = [(None, text), (5, text), (5, text), (3, text), (7, None), (8, "")]
