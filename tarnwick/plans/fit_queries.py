@@ -119,11 +119,14 @@ def pairwise_intersections(spark, sf_dir):
     return T.pairwise_intersections(_lines(spark, sf_dir), G, "a", "b", "c").select("g", "pairs", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-@query(f"""WITH {SERIES}, c AS (SELECT track, i::DOUBLE AS x, y FROM series WHERE valid), b AS (SELECT track, min(x) AS lo, max(x) - min(x) AS span FROM c GROUP BY track),
+#: Curves of a grid over the width 100 and the span of each track: c its points, k the curves in order of their rmse.
+CATENARY = """c AS (SELECT track, i::DOUBLE AS x, y FROM series WHERE valid), b AS (SELECT track, min(x) AS lo, max(x) - min(x) AS span FROM c GROUP BY track),
 grid AS (SELECT b.track, s AS sign, 8.0::DOUBLE * (180.0::DOUBLE / 8.0::DOUBLE) ** (j / 29.0::DOUBLE) AS a, lo + span * (0.15 + 0.07 * k)::DOUBLE AS x0 FROM b, (VALUES (1), (-1)) AS s(s), range(30) AS j(j), range(11) AS k(k)),
 r AS (SELECT track, sign, a, x0, y - sign * a * cosh((x - x0) / a) AS r FROM c JOIN grid USING (track)), m AS (SELECT track, sign, a, x0, median(r) AS o FROM r GROUP BY track, sign, a, x0),
-f AS (SELECT track, sign, a, x0, max(o) AS o, round(sqrt(avg((r - o) ** 2)), 9) AS e FROM r JOIN m USING (track, sign, a, x0) GROUP BY track, sign, a, x0), k AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY e, sign DESC, a, x0) AS k FROM f)
-SELECT track, sign, round(a, 4) AS a, round(x0, 4) AS x0, round(o, 4) AS "offset", round(e, 4) AS rmse FROM k WHERE k = 1""")
+f AS (SELECT track, sign, a, x0, max(o) AS o, round(sqrt(avg((r - o) ** 2)), 9) AS e FROM r JOIN m USING (track, sign, a, x0) GROUP BY track, sign, a, x0), k AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY e, sign DESC, a, x0) AS k FROM f)"""
+
+
+@query(f"""WITH {SERIES}, {CATENARY} SELECT track, sign, round(a, 4) AS a, round(x0, 4) AS x0, round(o, 4) AS "offset", round(e, 4) AS rmse FROM k WHERE k = 1""")
 def catenary_grid(spark, sf_dir):
     chain = series(spark, sf_dir).filter("valid").withColumn("x", F.col("i").cast("double"))
     return T.catenary(chain, ["track"], "x", "y", width=100).select("track", "sign", *[F.round(c, 4).alias(c) for c in ("a", "x0", "offset", "rmse")])

@@ -313,14 +313,20 @@ def event_match_f1(spark, sf_dir):
     return _kernel(spark, sf_dir, match, "hits int, false_alarms int, misses int, f1 double")
 
 
-@query(f"""WITH {SERIES}, p AS (SELECT track, CAST(i - 1 AS INTEGER) AS i, (t - min(t) OVER (PARTITION BY track)) / {DAY} AS t, sum(y) OVER (PARTITION BY track ORDER BY i) AS y FROM series),
+def terminal_sql(points: str, seconds: float, change: float) -> str:
+    """All windows of steady speed, one by one, in SQL: `points` ends with a table p (track, i, t, y); found has track, a, b, span and v."""
+    return f"""WITH {points},
 w AS (SELECT a.track, a.i AS a, b.i AS b, b.t - a.t AS span FROM p a JOIN p b ON a.track = b.track AND b.i >= a.i + 3), m AS (SELECT w.track, w.a, w.b, max(span) AS span, avg(p.t) AS mt FROM w JOIN p ON p.track = w.track AND p.i BETWEEN w.a AND w.b GROUP BY w.track, w.a, w.b),
 s AS (SELECT m.track, m.a, m.b, max(span) AS span, count(*) AS n, sum((t - mt) ** 2) AS m2, sum((t - mt) ** 3) AS m3, sum((t - mt) ** 4) AS m4, sum((t - mt) * y) AS mv, sum((t - mt) ** 2 * y) AS mmv, avg(y) AS my, var_pop(y) * count(*) AS vv FROM m JOIN p ON p.track = m.track AND p.i BETWEEN m.a AND m.b GROUP BY m.track, m.a, m.b),
 f AS (SELECT *, mv / m2 AS v, greatest(0, vv - mv * mv / m2) AS ss, (mmv - m2 * my - m3 * mv / m2) / (m4 - m2 * m2 / n - m3 * m3 / m2) AS q FROM s), e AS (SELECT *, greatest(sqrt(ss / greatest(1, n - 2) / m2), 0.5 / sqrt(m2)) AS se, sqrt(ss / n) AS rms FROM f),
-l AS (SELECT track, a, b, v - 1.96 * se AS lo, v + 1.96 * se AS hi FROM (SELECT *, row_number() OVER (PARTITION BY track, a ORDER BY b) AS k FROM e WHERE span >= 3.0 - 1e-9) WHERE k = 1 AND v > 0 AND 1.96 * se <= 0.5 * 0.3 * v),
-o AS (SELECT * FROM e WHERE span >= 3.0 AND v > 0 AND v * span >= 10 AND v >= 3.0 * se AND rms <= greatest(1.0, 0.15 * v * span) AND abs(2 * q * span) <= 0.3 * v),
-i AS (SELECT o.track, o.a, o.b, count(l.a) AS c, max(lo) - min(hi) AS apart FROM o LEFT JOIN l ON l.track = o.track AND l.a >= o.a AND l.b <= o.b GROUP BY o.track, o.a, o.b)
-SELECT track, a AS start, b AS "end", round(span, 6) AS duration, round(v, 4) AS speed, 5.0::DOUBLE AS radius FROM o JOIN i USING (track, a, b) WHERE c < 2 OR apart <= 0.3 * v""")
+l AS (SELECT track, a, b, v - 1.96 * se AS lo, v + 1.96 * se AS hi FROM (SELECT *, row_number() OVER (PARTITION BY track, a ORDER BY b) AS k FROM e WHERE span >= {seconds} - 1e-9) WHERE k = 1 AND v > 0 AND 1.96 * se <= 0.5 * {change} * v),
+o AS (SELECT * FROM e WHERE span >= {seconds} AND v > 0 AND v * span >= 10 AND v >= 3.0 * se AND rms <= greatest(1.0, 0.15 * v * span) AND abs(2 * q * span) <= {change} * v),
+i AS (SELECT o.track, o.a, o.b, count(l.a) AS c, max(lo) - min(hi) AS apart FROM o LEFT JOIN l ON l.track = o.track AND l.a >= o.a AND l.b <= o.b GROUP BY o.track, o.a, o.b),
+found AS (SELECT track, a, b, span, v FROM o JOIN i USING (track, a, b) WHERE c < 2 OR apart <= {change} * v)"""
+
+
+@query(terminal_sql(f"{SERIES}, p AS (SELECT track, CAST(i - 1 AS INTEGER) AS i, (t - min(t) OVER (PARTITION BY track)) / {DAY} AS t, sum(y) OVER (PARTITION BY track ORDER BY i) AS y FROM series)", 3.0, 0.3)
+    + 'SELECT track, a AS start, b AS "end", round(span, 6) AS duration, round(v, 4) AS speed, 5.0::DOUBLE AS radius FROM found')
 def terminal_windows(spark, sf_dir):
     def steady(c):
         import numpy as np

@@ -1,7 +1,8 @@
 """Evaluation as a stream: an extension of the batch operators, which have no streaming form of their own.
 
-New record files are scored as they come; records whose key and signature are already in the store
-are left out, so a restart or a repeated file changes nothing.
+New record files are scored as they come; records whose key and signature have come before are left
+out by the query's own state, so a restart or a repeated file changes nothing and no batch reads
+what earlier ones wrote.
 """
 
 from __future__ import annotations
@@ -13,24 +14,17 @@ from pyspark.sql.streaming import StreamingQuery
 from tarnwick.operators.records import totals
 
 
-def score_new(batch: DataFrame, store: str, keys: list[str]) -> DataFrame:
-    """Totals of the records of a batch that the store lacks."""
-    spark = batch.sparkSession
-    first = totals(batch).dropDuplicates([*keys, "signature"])
-    path = spark._jvm.org.apache.hadoop.fs.Path(store)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return first
-    return first.join(spark.read.schema(first.schema).parquet(store).select(*keys, "signature"), [*keys, "signature"], "left_anti")
-
-
 def run(spark: SparkSession, source: str, store: str, checkpoint: str, schema: str, keys: list[str]) -> StreamingQuery:
-    """A query that appends scored records of new JSON files to a Parquet store and ends when all are taken."""
-    stream = spark.readStream.schema(schema).json(source)
+    """A query that adds scored records of new JSON files to a Parquet store, a folder for each batch, and ends when all are taken.
+
+    The state holds the keys and signatures seen; a batch that runs again replaces its own folder.
+    """
+    fresh = totals(spark.readStream.schema(schema).json(source)).dropDuplicates([*keys, "signature"])
 
-    def append(batch: DataFrame, _: int) -> None:
-        score_new(batch, store, keys).write.mode("append").parquet(store)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
 
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def event_windows(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
