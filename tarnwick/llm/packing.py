@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick.llm.common import arrow_rows, holds, stash
-from tarnwick.llm.token_counts import Splitter
+from tarnwick.llm.token_counts import KEPT_CHARS, Splitter
 
 #: Pieces of a shard on average.
 SHARD_PIECES = 32_768
@@ -81,9 +81,12 @@ class WordIds(Splitter):
             if word in old:
                 known[word] = old[word]
         new = [w for w in new if w not in known]
+        long: dict[str, bytes] = {}
         for word, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
             ids = e.ids
-            known[word] = pack_ids(f"<{len(ids)}I", *ids)
+            (known if len(word) <= KEPT_CHARS else long)[word] = pack_ids(f"<{len(ids)}I", *ids)
+        if long:
+            return b"".join(known[w] if len(w) <= KEPT_CHARS else long[w] for w in words)
         return b"".join(map(known.__getitem__, words))
 
 

@@ -28,6 +28,8 @@ from tarnwick.llm.common import arrow_rows, holds
 #: Pieces of one generation of a worker's tables, some 100 bytes each; two generations are kept.
 KEPT_PIECES = 400_000
 KEPT_PAIRS = 1_000_000
+#: Characters of a piece up to which its table, or its ids, are kept: what workers keep is then bounded in bytes too.
+KEPT_CHARS = 256
 #: The count of a whole piece, last in its table.
 whole = itemgetter(-1)
 
@@ -160,6 +162,8 @@ class PrefixCounter(Splitter):
                 if piece in ("'ll", "'ve", "'re"):  # two letters of them are two pieces
                     counts = [0, 1, 2, counts[3]]
                 known = bytes(counts) if max(counts) < 256 else counts
+            if len(piece) > KEPT_CHARS:
+                return known
             if len(self.tables) >= KEPT_PIECES:
                 self.tables, self.older = {}, self.tables
             self.tables[piece] = known
@@ -177,6 +181,7 @@ class TextPrefixes:
 
     def __init__(self, of: PrefixCounter, text: str):
         self.of, self.text = of, text
+        self.long: dict[str, bytes | list[int]] = {}  # tables of long pieces, which the worker does not keep
         words, special = [], []
         if of.special_re is None or not any(s in text for s in of.special):
             words = of.pieces(text)
@@ -192,13 +197,20 @@ class TextPrefixes:
         try:
             counts = list(map(whole, map(of.tables.__getitem__, words)))
         except KeyError:
-            counts = [whole(of.table(w)) for w in words]
+            counts = [whole(self._table(w)) for w in words]
         for k in special:
             counts[k] = 1
         self.counts = counts
         self.n_tokens = sum(counts)
         self._ends = self._sums = None
 
+    def _table(self, piece: str) -> bytes | list[int]:
+        if len(piece) <= KEPT_CHARS:
+            return self.of.table(piece)
+        if piece not in self.long:
+            self.long[piece] = self.of.table(piece)
+        return self.long[piece]
+
     def _index(self) -> None:
         if self._ends is None:
             self._ends = np.cumsum([0, *map(len, self.words)])
@@ -219,13 +231,13 @@ class TextPrefixes:
                 return int(self._sums[k + 1])
             first = self._segment(k)  # part of a special string is plain text and joins what stands before it
             start = int(self._ends[first])
-            return int(self._sums[first]) + sum(self.of.table(w)[-1] for w in self.of.pieces(self.text[start:p]))
+            return int(self._sums[first]) + sum(self._table(w)[-1] for w in self.of.pieces(self.text[start:p]))
         before = k - 1
         if before >= 0 and before not in self.special and self.words[before].isspace() and p == self._ends[k] + 1 and self.text[p - 1].isspace():
             # the end of a run of white space, whose last character the whole text gives to the next piece
             start = int(self._ends[before])
-            return int(self._sums[before]) + sum(self.of.table(w)[-1] for w in self.of.pieces(self.text[start:p]))
-        return int(self._sums[k]) + self.of.table(self.words[k])[p - int(self._ends[k])]
+            return int(self._sums[before]) + sum(self._table(w)[-1] for w in self.of.pieces(self.text[start:p]))
+        return int(self._sums[k]) + self._table(self.words[k])[p - int(self._ends[k])]
 
     def all_counts(self) -> list[int]:
         """Tokens of every prefix, from that of no character to the whole text."""

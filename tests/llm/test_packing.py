@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tarnwick.llm.packing import Packer, cut, pack
+from tarnwick.llm.packing import Packer, WordIds, cut, pack
 from tests.llm.common import documents, edge_texts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -120,6 +120,13 @@ def test_table(spark):
     assert pack(documents(spark, texts).limit(0), PATH).count() == 0
 
 
+def test_long_pieces_are_not_kept():
+    library, words = Tokenizer.from_file(PATH), WordIds(PATH)
+    for text in ("ab" * 400 + " and " + "#" * 300, "x" * 257 + " " + "x" * 256, "ab" * 400):
+        assert words.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert max(map(len, words.known)) <= 256
+
+
 def test_repeated_and_null_ids(spark):
     rows = pack(documents(spark, [(None, "a b"), (None, "a b"), (4, "c"), (4, None)]), PATH, capacity=16).collect()
     assert len(rows) == 4 and len({(r.sequence_id, r.offset) for r in rows}) == 4
