@@ -146,3 +146,8 @@ def identity_mismatches(jobs: DataFrame, results: DataFrame, key: str, columns:
     back = results.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
     wrong = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), F.lit(c)) for c in columns]))
     return jobs.join(back, key).withColumn("mismatch", wrong).filter(F.size("mismatch") > 0).select(key, "mismatch")
+
+
+def cached(jobs: DataFrame, cache: DataFrame, signature: list[str]) -> DataFrame:
+    """Jobs with the tracks that a cache holds under exactly their signature; of repeated cache rows of one signature the first."""
+    return jobs.join(cache.dropDuplicates(signature), signature)

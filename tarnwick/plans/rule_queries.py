@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tarnwick.functions import scores as C
 from tarnwick.functions import text as X
+from tarnwick.operators import adapters as A
+from tarnwick.operators import kernels as K
 from tarnwick.operators import rules as R
 from tarnwick.plans.registry import query, r6
 from tarnwick.plans.views import POINTS, RECORDS, SERIES, points, records, series, table
@@ -119,3 +121,49 @@ def repaired_replies(spark, sf_dir):
     first = F.when(k % 3 == 0, good).otherwise(F.concat(F.lit('{"a": '), k.cast("string"), F.lit(', "b": true')))
     second = F.when(k % 4 == 0, F.replace(good, F.lit("true"), F.lit("false"))).otherwise(F.concat(good, F.lit(" ")))
     return table(spark, sf_dir, "labels").select("doc_id", R.repaired(first, second).alias("reply"))
+
+
+PARTS = f"""{RECORDS}, parts AS (SELECT sample, unnest(['M1', 'M2', 'M3']) AS part, unnest([sample % 11 <> 0, e2 IS NOT NULL, CASE WHEN sample % 3 <> 0 THEN c > 0.1 END]) AS ok, unnest([e1, e2, c]) AS v, unnest([0.2, 0.0, 0.0]) AS ideal, unnest([0.1, 0.05, 1.0]) AS a, unnest([false, false, true]) AS r FROM records),
+s AS (SELECT sample, CASE part WHEN 'M1' THEN 'M1' ELSE 'M2' END AS metric_id, ok AND v IS NOT NULL AS fine, v, CASE WHEN ok AND v IS NOT NULL THEN CASE WHEN r THEN greatest(0, least(1, v)) ELSE 1 / (1 + abs(v - ideal) / a) END END AS q FROM parts WHERE ok IS NOT NULL),
+m AS (SELECT sample, metric_id, bool_and(fine) AS success, CASE WHEN count(*) = 1 THEN max(v) END AS v, CASE WHEN count(q) < count(*) THEN NULL WHEN min(q) = 0 THEN 0 ELSE exp(avg(ln(nullif(q, 0)))) END AS q FROM s GROUP BY sample, metric_id),
+metrics AS (SELECT sample, metric_id, success IS NOT NULL AS defined, success, CASE WHEN success THEN v END AS value, CASE WHEN success THEN q END AS score FROM (SELECT sample, unnest(['M1', 'M2']) AS metric_id FROM records) LEFT JOIN m USING (sample, metric_id))"""
+
+
+def parts(spark, sf_dir):
+    k = F.col("sample")
+    part = lambda n, ok, v, ideal, scale, ratio: F.struct(F.lit(n).alias("part"), ok.alias("success"), v.alias("value"), F.lit(ideal).alias("ideal"), F.lit(scale).alias("scale"), F.lit(ratio).alias("is_ratio"))
+    every = F.array(
+        part("M1", k % 11 != 0, F.col("e1"), 0.2, 0.1, False), part("M2", F.col("e2").isNotNull(), F.col("e2"), 0.0, 0.05, False),
+        part("M3", F.when(k % 3 != 0, F.col("c") > 0.1), F.col("c"), 0.0, 1.0, True),
+    )
+    return records(spark, sf_dir).select("sample", F.explode(every).alias("p")).select("sample", "p.*")
+
+
+@query(f"WITH {PARTS} SELECT sample, metric_id, defined, success, round(value, 6) AS value, round(score, 6) AS score FROM metrics")
+def public_metrics(spark, sf_dir):
+    return A.public_metrics(parts(spark, sf_dir), ["sample"]).select("sample", "metric_id", "defined", "success", r6("value"), r6("score"))
+
+
+@query(f"""WITH {PARTS}, t AS (SELECT sample, coalesce(avg(CASE WHEN defined THEN coalesce(0.15 + 0.85 * score, 0) END), 0) AS total, count_if(success) AS recognised, count_if(defined) AS d FROM metrics GROUP BY sample)
+SELECT sample, round(total, 6) AS total, recognised::BIGINT AS recognised, CASE WHEN d > 0 AND recognised = d THEN 'complete' WHEN recognised > 0 THEN 'partial' ELSE 'unavailable' END AS status FROM t""")
+def proxy_totals(spark, sf_dir):
+    return A.proxy_totals(A.public_metrics(parts(spark, sf_dir), ["sample"]), ["sample"]).select("sample", r6("total"), "recognised", "status")
+
+
+@query("SELECT o_orderkey AS sample, o_custkey % 50 AS signature, c_custkey AS track FROM orders JOIN customer ON o_custkey % 50 = c_custkey WHERE o_orderkey % 2 = 0")
+def cached_tracks(spark, sf_dir):
+    from tarnwick.operators.records import cached
+
+    jobs = table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("sample"), (F.col("o_custkey") % 50).alias("signature"))
+    cache = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("signature"), F.col("c_custkey").alias("track"))
+    return cached(jobs, cache, ["signature"])
+
+
+@query()
+def similarities(spark, sf_dir):
+    def fit(c):
+        x, y = c["x"], c["y"]
+        found = K.similarity(x, y, 1.2 * x - 0.3 * y + 4 + (c["k"] % 9 == 0) * 50, 0.3 * x + 1.2 * y - 7, 3.0)
+        return [found] if found else []
+
+    return K.grouped(points(spark, sf_dir), ["g"], ["k", "n"], fit, "g long, scale double, degrees double, dx double, dy double, inliers int, residual double")

@@ -73,3 +73,15 @@ def even_frames(meta: DataFrame, n: int) -> DataFrame:
     """frame and second of n evenly spaced frames (rounded half to even, each once) of clips with n_frames and fps."""
     at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.bround(k * (F.col("n_frames") - 1) / F.lit(float(max(1, n - 1)))).cast("int"))
     return meta.withColumn("frame", F.explode(F.array_distinct(at))).withColumn("second", F.col("frame") / F.col("fps"))
+
+
+#: What a file beside a result is, by its suffix.
+ARTIFACTS = {"png": "image", "jpg": "image", "jpeg": "image", "mp4": "video", "csv": "measurement_data", "json": "measurement_data", "npz": "coordinate_cache", "parquet": "coordinate_cache"}
+
+
+def list_artifacts(spark: SparkSession, root: str, since: float = 0.0) -> DataFrame:
+    """path, kind, length and modified of the files below a folder that are of a known kind and not older than a second before `since` (Unix seconds)."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", F.col("modificationTime").alias("modified"))
+    kinds = F.create_map(*[F.lit(x) for pair in ARTIFACTS.items() for x in pair])
+    found = found.withColumn("kind", F.try_element_at(kinds, F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))))
+    return found.filter(F.col("kind").isNotNull() & (F.unix_micros("modified") / 1e6 >= since - 1)).select("path", "kind", "length", "modified")

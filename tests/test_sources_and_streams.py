@@ -54,6 +54,15 @@ def test_sinks(spark, tmp_path):
     assert {p.name for p in (tmp_path / "s").iterdir() if p.is_dir()} == {"task=P1", "task=P2"}
 
 
+def test_artifacts_by_kind_and_age(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    for name in ("a/x.PNG", "a/y.csv", "z.mp4", "notes.txt"):
+        (tmp_path / name).write_text("1")
+    rows = files.list_artifacts(spark, str(tmp_path)).collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.kind, r.length) for r in rows) == [("x.PNG", "image", 1), ("y.csv", "measurement_data", 1), ("z.mp4", "video", 1)]
+    assert files.list_artifacts(spark, str(tmp_path), since=4e9).count() == 0
+
+
 def test_incremental_runs_score_each_record_once(spark, tmp_path):
     schema = "model string, task string, sample long, c double, physics double, status string, threshold double, forced boolean, signature string"
     row = {"model": "m", "task": "P1", "c": 0.9, "physics": 0.5, "status": "complete", "threshold": 0.8, "forced": False}
