@@ -169,3 +169,51 @@ def measured_settling(spark, sf_dir):
     way = F.sum("v").over(Window.partitionBy("sample", "object").orderBy("i"))
     falls = dealt(spark, sf_dir, "large", "small").withColumns({"y": way, "r": F.lit(5.0), "valid": F.lit(True)})
     return long(M.settling(falls, seconds=3.0, change=0.3, diameters=1.0, snr=3.0))
+
+
+def parabola_sql(name: str, source: str, v: str, u: str = "i") -> str:
+    """q (the quadratic coefficient over u) and rms of the parabola of a column, by moments about the middle, as a table."""
+    return f"""{name} AS (SELECT sample, q, sqrt(greatest(0, vv - mv * mv / m2 - q * q * (m4 - m2 * m2 / n - m3 * m3 / m2)) / n) AS rms FROM (SELECT *, (mmv - m2 * my - m3 * mv / m2) / (m4 - m2 * m2 / n - m3 * m3 / m2) AS q FROM
+    (SELECT sample, count(*) AS n, sum(u ** 2) AS m2, sum(u ** 3) AS m3, sum(u ** 4) AS m4, sum(u * w) AS mv, sum(u * u * w) AS mmv, avg(w) AS my, var_pop(w) * count(*) AS vv FROM (SELECT sample, {u} - avg({u}) OVER (PARTITION BY sample) AS u, {v} AS w FROM {source}) GROUP BY sample)))"""
+
+
+@query(f"""WITH {obs('ball', 'surface', x='k // 2 + v / 200', y='CASE WHEN k % 2 = 0 THEN k * k / 8.0 + v / 20 ELSE 300 + k / 10.0 + v / 50 END')}, ball AS (SELECT *, i - row_number() OVER (PARTITION BY sample, valid ORDER BY i) AS g FROM obs WHERE object = 'ball'),
+runs AS (SELECT sample, min(i) AS a, max(i) AS b, row_number() OVER (PARTITION BY sample ORDER BY count(*) DESC, min(i)) AS k FROM ball WHERE valid GROUP BY sample, g), seen AS (SELECT ball.* FROM ball JOIN runs ON runs.sample = ball.sample AND runs.k = 1 AND i BETWEEN a AND b),
+st AS (SELECT *, row_number() OVER w - 1 AS at_, count(*) OVER (PARTITION BY sample) AS n, abs(lead(y) OVER w - y) AS d FROM seen WINDOW w AS (PARTITION BY sample ORDER BY i)), sm AS (SELECT *, CASE WHEN n - 1 >= 5 THEN sum(d) OVER (PARTITION BY sample ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 ELSE d END AS s FROM st WHERE at_ < n - 1),
+mv AS (SELECT sample, coalesce(min(at_) FILTER (s > 0.15 * p AND n >= 4), 0) AS start FROM (SELECT *, max(s) OVER (PARTITION BY sample) AS p FROM sm) GROUP BY sample), f AS (SELECT sample, min(i) AS first, arg_min(i, (-y, i)) AS low FROM seen GROUP BY sample),
+fall AS (SELECT seen.* FROM seen JOIN mv USING (sample) JOIN f USING (sample) WHERE i >= first + start AND i <= greatest(low, first + start + 3)), size AS (SELECT sample FROM fall GROUP BY sample HAVING count(*) >= 12 AND arg_max(y, i) - arg_min(y, i) >= 25),
+{parabola_sql('px', 'fall', 'x')}, {parabola_sql('py', 'fall', 'y')}, sf AS (SELECT sample, regr_slope(y, x) AS tilt, sqrt(greatest(0, regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / count(*)) AS rms FROM obs WHERE object = 'surface' AND valid GROUP BY sample),
+fits AS (SELECT size.sample, px.q AS ax, py.q AS ay, py.rms AS path FROM size JOIN px USING (sample) JOIN py USING (sample)), q AS (SELECT sample, ax, ay, path, tilt, rms AS srms FROM fits FULL JOIN sf USING (sample))
+{rows('q', angle='CASE WHEN 2 * sqrt(ax * ax + ay * ay) >= 1e-3 THEN degrees(acos(least(1, abs(ax + ay * tilt) / (sqrt(ax * ax + ay * ay) * sqrt(1 + tilt * tilt))))) END', surface_rms='srms', path_rms='path')}""")
+def measured_surfaces(spark, sf_dir):
+    v, k = F.col("v"), F.col("k")
+    seen = dealt(spark, sf_dir, "ball", "surface", x=F.floor(k / 2) + v / 200, y=F.when(k % 2 == 0, k * k / 8.0 + v / 20).otherwise(300 + k / 10.0 + v / 50))
+    return long(M.liquid_surface(seen))
+
+
+FLIGHT = f"""r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY i) - 1 AS j, count(*) OVER (PARTITION BY sample) AS n FROM obs WHERE valid),
+top AS (SELECT sample, arg_max(j, (y, -j)) AS top, arg_min(y, j) AS y0, arg_min(x, j) AS x0, max(y) AS high, max(n) AS n FROM r GROUP BY sample), back AS (SELECT r.sample, min(j) AS k FROM r JOIN top USING (sample) WHERE j >= greatest(1, top) AND y <= y0 GROUP BY r.sample),
+land AS (SELECT top.sample, y0, x0, high, top.n, k, coalesce(k + 1, top.n) AS stop, max(r.x) FILTER (j = top) - x0 AS apex_x, max(r.x) FILTER (j = k - 1) AS xa, max(r.x) FILTER (j = k) AS xb, max(r.y) FILTER (j = k - 1) AS ya, max(r.y) FILTER (j = k) AS yb
+    FROM top LEFT JOIN back USING (sample) JOIN r USING (sample) GROUP BY top.sample, y0, x0, high, top.n, k, top),
+way AS (SELECT *, CASE WHEN k IS NOT NULL THEN xa + (xb - xa) * CASE WHEN ya > yb THEN (ya - y0) / (ya - yb) ELSE 0 END - x0 END AS reach, greatest(8, stop // 6) AS every FROM land), path AS (SELECT r.* FROM r JOIN way USING (sample) WHERE j < stop)"""
+
+
+@query(f"""WITH {obs('ball', x='3 * k + v / 100', y='20 * k - 0.35 * k * k + v / 100')}, {FLIGHT}, {parabola_sql('fit', 'path', 'y', 't')},
+e AS (SELECT r.sample, j, (x - lag(x) OVER w) / (t - lag(t) OVER w) AS vx, (y - lag(y) OVER w) / (t - lag(t) OVER w) AS vy FROM r JOIN way USING (sample) WHERE j < stop AND j % every = 0 AND stop > 3 * every WINDOW w AS (PARTITION BY r.sample ORDER BY j)),
+d AS (SELECT *, vy - lag(vy) OVER (PARTITION BY sample ORDER BY j) AS dvy FROM e), c AS (SELECT sample, CASE WHEN count(vx) > 1 AND abs(avg(vx)) > 1e-12 THEN stddev_samp(vx) / abs(avg(vx)) END AS cx, CASE WHEN count(dvy) > 1 AND abs(avg(dvy)) > 1e-12 THEN stddev_samp(dvy) / abs(avg(dvy)) END AS cy FROM d GROUP BY sample),
+q AS (SELECT way.sample, high - y0 AS height, reach, CASE WHEN k IS NULL THEN apex_x END AS apex, cx, cy, rms / abs(nullif(coalesce(reach, 2 * apex_x), 0)) AS off FROM way JOIN fit USING (sample) LEFT JOIN c USING (sample) WHERE way.n >= 16)
+{rows('q', height='height', range='reach', apex_x='apex', cv_vx='cx', cv_dvy='cy', rms_over_range='off')}""")
+def measured_flights(spark, sf_dir):
+    v, k = F.col("v"), F.col("k")
+    return long(M.projectile(dealt(spark, sf_dir, "ball", x=3 * k + v / 100, y=20 * k - 0.35 * k * k + v / 100)))
+
+
+@query(f"""WITH {obs('ball', x='k * k / 4.0 + v / 20', y='k * k / 10.0 + v / 40', r='2 + k % 3')}, n AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY i) AS j, count(*) OVER (PARTITION BY sample) AS n, t - lag(t) OVER (PARTITION BY sample ORDER BY i) AS dt FROM obs),
+c AS (SELECT a.sample, a.j AS m, sum(w.x * (w.j - a.j)) / 28 AS x1, sum(w.x * ((w.j - a.j) ** 2 - 4)) / 84 AS x2, sum(w.y * (w.j - a.j)) / 28 AS y1, sum(w.y * ((w.j - a.j) ** 2 - 4)) / 84 AS y2 FROM n a JOIN n w ON a.sample = w.sample AND w.j BETWEEN a.j - 3 AND a.j + 3 WHERE a.j BETWEEN 4 AND a.n - 3 GROUP BY a.sample, a.j),
+p AS (SELECT sample, j, greatest(4, least(n - 3, j)) AS m, j - greatest(4, least(n - 3, j)) AS u FROM n WHERE n >= 7), z AS (SELECT sample, median(dt) AS step, median(r) AS r FROM n GROUP BY sample),
+s AS (SELECT p.sample, abs(x1 + 2 * x2 * u) / step AS v, abs(y1 + 2 * y2 * u) / step AS w, r FROM p JOIN c USING (sample, m) JOIN z USING (sample)), f AS (SELECT *, max(v) OVER (PARTITION BY sample) AS top FROM s),
+q AS (SELECT sample, median(abs(v - w * r) / v) AS slip FROM f WHERE v > 0.15 * top AND top > 0 GROUP BY sample), d AS (SELECT sample, sum(abs(dx)) AS way, sum(abs(dy)) AS turned FROM (SELECT sample, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM n WINDOW w AS (PARTITION BY sample ORDER BY j)) GROUP BY sample),
+o AS (SELECT q.sample, slip, way, turned, r FROM q JOIN d USING (sample) JOIN z USING (sample)) {rows('o', way='way', turned='turned', radius='r', slip='slip')}""")
+def measured_rolling(spark, sf_dir):
+    v, k = F.col("v"), F.col("k")
+    return long(M.rolling(dealt(spark, sf_dir, "ball", x=k * k / 4.0 + v / 20, y=k * k / 10.0 + v / 40, r=2 + k % 3)))
