@@ -208,7 +208,7 @@ def measured_flights(spark, sf_dir):
     return long(M.projectile(dealt(spark, sf_dir, "ball", x=3 * k + v / 100, y=20 * k - 0.35 * k * k + v / 100)))
 
 
-@query(f"""WITH {obs('ball', x='k * k / 4.0 + v / 20', y='k * k / 10.0 + v / 40', r='2 + k % 3')}, n AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY i) AS j, count(*) OVER (PARTITION BY sample) AS n, t - lag(t) OVER (PARTITION BY sample ORDER BY i) AS dt FROM obs),
+@query(f"""WITH {obs('ball', x='k * k / 4.0 + v / 21', y='k * k / 10.0 + v / 30', r='2 + k % 3')}, n AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY i) AS j, count(*) OVER (PARTITION BY sample) AS n, t - lag(t) OVER (PARTITION BY sample ORDER BY i) AS dt FROM obs),
 c AS (SELECT a.sample, a.j AS m, sum(w.x * (w.j - a.j)) / 28 AS x1, sum(w.x * ((w.j - a.j) ** 2 - 4)) / 84 AS x2, sum(w.y * (w.j - a.j)) / 28 AS y1, sum(w.y * ((w.j - a.j) ** 2 - 4)) / 84 AS y2 FROM n a JOIN n w ON a.sample = w.sample AND w.j BETWEEN a.j - 3 AND a.j + 3 WHERE a.j BETWEEN 4 AND a.n - 3 GROUP BY a.sample, a.j),
 p AS (SELECT sample, j, greatest(4, least(n - 3, j)) AS m, j - greatest(4, least(n - 3, j)) AS u FROM n WHERE n >= 7), z AS (SELECT sample, median(dt) AS step, median(r) AS r FROM n GROUP BY sample),
 s AS (SELECT p.sample, abs(x1 + 2 * x2 * u) / step AS v, abs(y1 + 2 * y2 * u) / step AS w, r FROM p JOIN c USING (sample, m) JOIN z USING (sample)), f AS (SELECT *, max(v) OVER (PARTITION BY sample) AS top FROM s),
@@ -216,4 +216,4 @@ q AS (SELECT sample, median(abs(v - w * r) / v) AS slip FROM f WHERE v > 0.15 *
 o AS (SELECT q.sample, slip, way, turned, r FROM q JOIN d USING (sample) JOIN z USING (sample)) {rows('o', way='way', turned='turned', radius='r', slip='slip')}""")
 def measured_rolling(spark, sf_dir):
     v, k = F.col("v"), F.col("k")
-    return long(M.rolling(dealt(spark, sf_dir, "ball", x=k * k / 4.0 + v / 20, y=k * k / 10.0 + v / 40, r=2 + k % 3)))
+    return long(M.rolling(dealt(spark, sf_dir, "ball", x=k * k / 4.0 + v / 21, y=k * k / 10.0 + v / 30, r=2 + k % 3)))
