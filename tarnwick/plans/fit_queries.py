@@ -164,7 +164,11 @@ def greedy_pairs(spark, sf_dir):
     return K.grouped(points(spark, sf_dir), G, ["k", "n"], pair, "g long, left_k long, right_k long, cost double")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SERIES}, c AS (SELECT track, dense_rank() OVER (PARTITION BY track ORDER BY i // 4) - 1 AS f, y AS px, (i % 4) * 10.0::DOUBLE AS py, row_number() OVER (PARTITION BY track, i // 4 ORDER BY i) - 1 AS k FROM series),
+s AS (SELECT track, -1::BIGINT AS f, px AS ax, py AS ay, NULL::BIGINT AS k FROM c WHERE f = 0 AND k = 0
+    UNION ALL SELECT track, f, CASE WHEN d <= 60 THEN n.px ELSE ax END, CASE WHEN d <= 60 THEN n.py ELSE ay END, CASE WHEN d <= 60 THEN n.k END
+    FROM (SELECT s.track, c.f, max(s.ax) AS ax, max(s.ay) AS ay, min(sqrt((c.px - s.ax) ** 2 + (c.py - s.ay) ** 2)) AS d, arg_min({{'px': c.px, 'py': c.py, 'k': c.k}}, (sqrt((c.px - s.ax) ** 2 + (c.py - s.ay) ** 2), c.k)) AS n FROM s JOIN c ON c.track = s.track AND c.f = s.f + 1 GROUP BY s.track, c.f))
+SELECT track, CAST(f AS INTEGER) AS frame, CAST(k AS INTEGER) AS candidate FROM s WHERE f >= 0""")
 def frame_association(spark, sf_dir):
     tracks = series(spark, sf_dir).withColumn("block", F.floor(F.col("i") / 4).cast("int"))
 
@@ -182,7 +186,15 @@ def vector_summary(spark, sf_dir):
     return places.groupBy("label", "place").agg(F.count("*").alias("n"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_samp("x"), 4).alias("deviation"))
 
 
-@query()
+@query(f"""WITH {SERIES}, p AS (SELECT track, i, i::DOUBLE AS x, sum(y) OVER (PARTITION BY track ORDER BY i) / 100 AS y FROM series), e AS (SELECT track, arg_min(x, i) AS xa, arg_max(x, i) AS xb, arg_min(y, i) AS ya, arg_max(y, i) AS yb, count(*) AS n FROM p GROUP BY track),
+w AS (SELECT track, n, ((x - (xa + xb) / 2) * (xb - xa) + (y - (ya + yb) / 2) * (yb - ya)) / sqrt((xb - xa) ** 2 + (yb - ya) ** 2) AS u, ((y - (ya + yb) / 2) * (xb - xa) - (x - (xa + xb) / 2) * (yb - ya)) / sqrt((xb - xa) ** 2 + (yb - ya) ** 2) AS v FROM p JOIN e USING (track) WHERE n >= 5),
+c AS (SELECT *, avg(u) OVER (PARTITION BY track) AS mu FROM w), m AS (SELECT track, max(n) AS n, max(mu) AS mu, sum((u - mu) ** 2) AS m2, sum((u - mu) ** 3) AS m3, sum((u - mu) ** 4) AS m4, sum((u - mu) * v) AS mv, sum((u - mu) ** 2 * v) AS mmv, avg(v) AS av, var_pop(v) * count(*) AS vv FROM c GROUP BY track),
+q AS (SELECT *, m4 - m2 * m2 / n - m3 * m3 / m2 AS k, (mmv - m2 * av - m3 * mv / m2) / (m4 - m2 * m2 / n - m3 * m3 / m2) AS c2 FROM m), f AS (SELECT *, mv / m2 - c2 * m3 / m2 - 2 * c2 * mu AS c1, sqrt(greatest(0, vv - mv * mv / m2 - c2 * c2 * k) / greatest(1, n - 3)) AS sigma FROM q),
+z AS (SELECT track, 2 * c2 / (1 + c1 * c1) ** 1.5 AS curve, 2 * sigma / sqrt(k) AS error FROM f)
+SELECT e.track, CASE WHEN NOT (abs(curve) <= 3 * error OR abs(curve) < 1e-12) THEN round(1 / curve, 2) END AS radius, round(error, 8) AS error, coalesce(abs(curve) <= 3 * error OR abs(curve) < 1e-12, false) AS straight FROM e LEFT JOIN z USING (track)""")
 def signed_arcs(spark, sf_dir):
-    tracks = series(spark, sf_dir)
-    return K.grouped(tracks, ["track"], ["i"], lambda c: [K.signed_arc(c["i"].astype(float), c["y"].cumsum() / 100)], "track long, radius double, error double, straight boolean")
+    def arc(c):
+        radius, error, straight = K.signed_arc(c["i"].astype(float), c["y"].cumsum() / 100)
+        return [(None if radius is None else round(radius, 2), round(error, 8), straight)]
+
+    return K.grouped(series(spark, sf_dir), ["track"], ["i"], arc, "track long, radius double, error double, straight boolean")

@@ -265,9 +265,15 @@ def savgol(spark, sf_dir):
     return _kernel(spark, sf_dir, lambda c: {"i": c["i"], "smooth": K.savgol(c["y"], 7, 2).round(6), "slope": K.savgol(c["y"], 7, 2, 1).round(6)}, "i int, smooth double, slope double")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SERIES}, g AS (SELECT *, CASE WHEN y = lag(y) OVER (PARTITION BY track ORDER BY i) THEN 0 ELSE 1 END AS fresh FROM series), h AS (SELECT *, sum(fresh) OVER (PARTITION BY track ORDER BY i) AS run FROM g),
+flat AS (SELECT track, run, y, min(i) AS a, max(i) AS b FROM h GROUP BY track, run, y), tops AS (SELECT track, (a + b) // 2 AS p, y FROM (SELECT *, lag(y) OVER w AS l, lead(y) OVER w AS r FROM flat WINDOW w AS (PARTITION BY track ORDER BY run)) WHERE y > l AND y > r),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY y DESC, p DESC) AS k FROM tops), kept AS (SELECT track, 1::BIGINT AS k, [p] AS ps FROM ranked WHERE k = 1
+    UNION ALL SELECT kept.track, r.k, CASE WHEN len(list_filter(ps, lambda q: abs(q - r.p) < 3)) = 0 THEN list_append(ps, r.p) ELSE ps END FROM kept JOIN ranked r ON r.track = kept.track AND r.k = kept.k + 1),
+final AS (SELECT track, unnest(arg_max(ps, k)) AS p FROM kept GROUP BY track), w AS (SELECT f.track, f.p, t.y, coalesce(max(s.i) FILTER (s.i < f.p AND s.y > t.y), 0) AS lo, coalesce(min(s.i) FILTER (s.i > f.p AND s.y > t.y), 2147483647) AS hi FROM final f JOIN tops t ON t.track = f.track AND t.p = f.p JOIN series s ON s.track = f.track GROUP BY f.track, f.p, t.y),
+z AS (SELECT w.track, w.p, w.y - greatest(min(s.y) FILTER (s.i <= w.p AND s.i > lo), min(s.y) FILTER (s.i >= w.p AND s.i < hi)) AS rise FROM w JOIN series s USING (track) GROUP BY w.track, w.p, w.y)
+SELECT track, CAST(p AS INTEGER) AS i, round(rise, 6) AS prominence FROM z WHERE rise >= 100""")
 def peaks_prominence(spark, sf_dir):
-    return _kernel(spark, sf_dir, lambda c: [(int(c["i"][p]), v) for p, v in K.peaks(c["y"], 100, 3)], "i int, prominence double")
+    return _kernel(spark, sf_dir, lambda c: [(int(c["i"][p]), round(v, 6)) for p, v in K.peaks(c["y"], 100, 3)], "i int, prominence double")
 
 
 @query(f"""WITH {SERIES}, c AS (SELECT track, i, y, sum(y) OVER (PARTITION BY track ORDER BY i) AS c FROM series), p AS (SELECT a.track, a.i AS a, b.i AS b, (b.c - a.c + a.y) / (b.i - a.i + 1) AS v FROM c a JOIN c b ON a.track = b.track AND a.i <= b.i),
