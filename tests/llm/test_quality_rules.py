@@ -1,7 +1,8 @@
+import math
 import random
 import re
 
-from tarnwick.llm.quality_rules import base_counts, quality_filter, quality_verdicts
+from tarnwick.llm.quality_rules import COMMON_WORDS, base_counts, quality_filter, quality_verdicts
 from tests.llm.common import documents, edge_texts, words
 
 
@@ -44,6 +45,65 @@ def test_verdicts(spark):
     assert quality_verdicts(docs.limit(0)).count() == 0 and quality_filter(docs.limit(0)).count() == 0
 
 
+def classes_of(text):
+    """Shares of the character classes, character by character."""
+    kinds = {}
+    for c in text:
+        kind = (
+            "beyond" if ord(c) > 127 else "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "space" if c in " \t\n\r\x0b\x0c"
+            else "mark" if c in ".,;:!?'\"()-" else "symbol" if c in "#*$%&|<>@\\^_`{}~[]=+/" else "rest"
+        )
+        kinds[kind] = kinds.get(kind, 0) + 1
+    return {k: v / len(text) for k, v in kinds.items()}
+
+
+def common_of(text, lang):
+    found = text.lower().split()
+    shares = {w: found.count(w) / len(found) for w in COMMON_WORDS[lang]}
+    return shares | {None: 1 - sum(shares.values())}
+
+
+def mean_of(histograms):
+    return {k: sum(h.get(k, 0) for h in histograms) / len(histograms) for k in {k for h in histograms for k in h}}
+
+
+def distance(p, q):
+    """Jensen-Shannon, by the entropies of both and of their middle."""
+    entropy = lambda h: -sum(v * math.log2(v) for v in h.values() if v > 0)
+    middle = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in p.keys() | q.keys()}
+    return math.sqrt(max(0.0, entropy(middle) - (entropy(p) + entropy(q)) / 2))
+
+
+def test_distances_and_verdicts_against_brute_force(spark):
+    rng = random.Random(21)
+    rows, cells = [], set()
+    while len(rows) < 60:
+        lang = rng.choice(["en", "de", "xx", None])
+        text = words(rng, rng.randrange(25, 220))
+        shout, marked, signs = rng.random() * 0.6, rng.random(), rng.sample([",", "é", "7", "$", "~", "\x7f"], 3)
+        text = " ".join((w.upper() if rng.random() < shout else w) + (rng.choice(signs) if rng.random() < marked else "") for w in text.split())
+        text += " und der die" * rng.randrange(4) if lang == "de" else ""
+        known = lang if lang in COMMON_WORDS else ""
+        grid = known, *(frozenset((c, round(v * n)) for c, v in h.items() if round(v * n)) for h, n in ((classes_of(text), 50), (common_of(text, lang) if known else {}, 25)))
+        if grid not in cells:  # each then counts for the reference
+            cells.add(grid)
+            rows.append((len(rows), text, lang))
+    got = {r.doc_id: r for r in quality_verdicts(documents(spark, rows)).collect()}
+    passed = [(t, lang if lang in COMMON_WORDS else "") for k, t, lang in rows if not got[k].base_failed]
+    near = {lang: mean_of([classes_of(t) for t, x in passed if x == lang]) for lang in ("en", "de", "")}
+    far = {lang: mean_of([common_of(t, lang) for t, x in passed if x == lang]) for lang in ("en", "de")}
+    for k, t, lang in rows:
+        r, lang, n = got[k], lang if lang in COMMON_WORDS else "", len(t.split())
+        assert abs(r.class_distance - distance(classes_of(t), near[lang])) < 1e-6
+        tested = bool(lang) and n >= 50
+        assert (r.word_distance is not None) == tested
+        limit = math.sqrt(0.28**2 + 5 * max(0, 1 / n - 1 / 100))
+        wide = tested and abs(r.word_distance - distance(common_of(t, lang), far[lang])) < 1e-6 and r.word_distance > limit
+        assert not tested or abs(r.word_distance - distance(common_of(t, lang), far[lang])) < 1e-6
+        assert r.kept == (not r.base_failed and r.class_distance <= 0.3 and not wide)
+    assert {r.doc_id for r in quality_filter(documents(spark, rows)).collect()} == {k for k in got if got[k].kept}
+
+
 def test_edges(spark):
     texts = [(k, t, None if k % 2 else "xx") for k, t in enumerate(edge_texts())]
     assert quality_verdicts(documents(spark, texts)).count() == len(texts)
