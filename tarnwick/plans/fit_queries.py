@@ -149,7 +149,10 @@ def consensus(spark, sf_dir):
     return K.grouped(points(spark, sf_dir), G, ["k", "n"], lambda c: [(x, round(y, 6), n) for x, y, n in [K.consensus(c["x"], c["y"], 8.0)]], "g long, x double, y double, size int")
 
 
-@query()
+@query(f"""WITH RECURSIVE {POINTS}, p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY y DESC, k, n) AS rank FROM points),
+s AS (SELECT g, rank, [{{'x': x, 'y': y, 'w': w, 'k': k, 'n': n}}] AS kept FROM p WHERE rank = 1
+    UNION ALL SELECT s.g, p.rank, CASE WHEN len(list_filter(kept, lambda q: sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) < 0.42 * q.w)) = 0 THEN list_append(kept, {{'x': p.x, 'y': p.y, 'w': p.w, 'k': p.k, 'n': p.n}}) ELSE kept END FROM s JOIN p ON p.g = s.g AND p.rank = s.rank + 1),
+f AS (SELECT g, unnest(arg_max(kept, rank)) AS q FROM s GROUP BY g) SELECT g, q.k AS k, CAST(q.n AS INTEGER) AS n FROM f""")
 def suppressed(spark, sf_dir):
     return K.grouped(points(spark, sf_dir), G, ["k", "n"], lambda c: [(int(c["k"][i]), int(c["n"][i])) for i in K.suppress(c["x"], c["y"], c["w"], c["y"])], "g long, k long, n int")
 

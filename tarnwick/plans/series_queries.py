@@ -310,11 +310,14 @@ def discharge_integral(spark, sf_dir):
     return _kernel(spark, sf_dir, lambda c: [K.discharge_integral((c["t"] - c["t"][0]) / DAY, 500 - c["y"], np.cumsum(c["y"]))], "beta double, rmse double")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SERIES}, l AS (SELECT track, coalesce(list(t ORDER BY i) FILTER (event_type = 'click'), []) AS r, coalesce(list(t ORDER BY i) FILTER (event_type = 'view'), []) AS f FROM series GROUP BY track),
+s AS (SELECT track, 1 AS a, 1 AS b, 0 AS hits FROM l UNION ALL SELECT s.track, CASE WHEN abs(r[a] - f[b]) <= {DAY} / 2 + 1e-10 OR r[a] < f[b] THEN a + 1 ELSE a END, CASE WHEN abs(r[a] - f[b]) <= {DAY} / 2 + 1e-10 OR r[a] >= f[b] THEN b + 1 ELSE b END,
+    hits + CASE WHEN abs(r[a] - f[b]) <= {DAY} / 2 + 1e-10 THEN 1 ELSE 0 END FROM s JOIN l USING (track) WHERE a <= len(r) AND b <= len(f)), h AS (SELECT track, max(hits) AS hits FROM s GROUP BY track)
+SELECT track, CAST(hits AS INTEGER) AS hits, CAST(len(f) - hits AS INTEGER) AS false_alarms, CAST(len(r) - hits AS INTEGER) AS misses, CASE WHEN len(r) = 0 OR len(f) = 0 THEN 0.0 ELSE round(2 * hits / (len(r) + len(f))::DOUBLE, 9) END AS f1 FROM h JOIN l USING (track)""")
 def event_match_f1(spark, sf_dir):
     def match(c):
         at = lambda kind: c["t"][c["event_type"] == kind]
-        return [K.match_events(at("click"), at("view"), DAY / 2)]
+        return [(*counts, round(f1, 9)) for *counts, f1 in [K.match_events(at("click"), at("view"), DAY / 2)]]
 
     return _kernel(spark, sf_dir, match, "hits int, false_alarms int, misses int, f1 double")
 

@@ -48,7 +48,7 @@ def test_query_equals_its_sql(spark, duck, name):
 def test_every_query_without_sql_is_a_kernel():
     without = set(catalog.QUERIES) - set(catalog.ORACLE_SQL)
     assert without <= {
-        "irls_fit", "fft_period", "discharge_integral", "event_match_f1", "shrink_events", "shared_vertex", "radial_circle", "suppressed", "greedy_pairs", "similarities",
+        "irls_fit", "fft_period", "discharge_integral", "shrink_events", "shared_vertex", "radial_circle", "greedy_pairs", "similarities",
     }
 
 
