@@ -217,3 +217,30 @@ o AS (SELECT q.sample, slip, way, turned, r FROM q JOIN d USING (sample) JOIN z
 def measured_rolling(spark, sf_dir):
     v, k = F.col("v"), F.col("k")
     return long(M.rolling(dealt(spark, sf_dir, "ball", x=k * k / 4.0 + v / 21, y=k * k / 10.0 + v / 30, r=2 + k % 3)))
+
+
+#: confirmed: the frame at which each piece of ice is confirmed to shrink, band after band, in the first run of frames that shows it.
+MELTING = """ice AS (SELECT sample, object, i, CASE WHEN valid THEN y END AS a, row_number() OVER w AS at_, count(*) OVER (PARTITION BY sample, object) AS n FROM obs WHERE object IN ('left_ice', 'right_ice') WINDOW w AS (PARTITION BY sample, object ORDER BY i)),
+base AS (SELECT sample, object, median(a) AS base FROM ice WHERE at_ <= greatest(3, least(12, n // 8)) GROUP BY sample, object), z AS (SELECT ice.*, lag(a) OVER w AS p FROM ice WINDOW w AS (PARTITION BY sample, object ORDER BY i)),
+cut AS (SELECT *, sum(CASE WHEN a > 0 AND p > 0 AND abs(a - p) <= greatest(0.35 * least(a, p), 3.5 * sqrt(least(a, p))) THEN 0 ELSE 1 END) OVER (PARTITION BY sample, object ORDER BY i) AS run FROM z),
+raw AS (SELECT sample, object, run, i, a / base AS r, row_number() OVER w AS j, lag(a / base) OVER w AS l, lead(a / base) OVER w AS f FROM cut JOIN base USING (sample, object) WHERE a > 0 AND base > 0 WINDOW w AS (PARTITION BY sample, object, run ORDER BY i)),
+sm AS (SELECT *, list_sort([coalesce(l, r), r, coalesce(f, r)])[2] AS s FROM raw), st AS (SELECT *, s - lag(s) OVER (PARTITION BY sample, object, run ORDER BY j) AS d FROM sm),
+ok AS (SELECT sample, object, run FROM st GROUP BY sample, object, run HAVING count(*) >= 8 AND arg_min(r, j) BETWEEN 0.75 AND 1.25 AND arg_min(s, j) - min(s) >= 0.3 AND min(s) <= 0.72 AND avg(CASE WHEN d <= 0.035 THEN 1 ELSE 0 END) FILTER (d IS NOT NULL) >= 0.7 AND max(d) <= 0.12),
+b AS (SELECT sample, object, run, i, j, min(s) OVER two >= 0.8 AND max(s) OVER two < 0.95 AND j >= 2 AS b1, min(s) OVER two >= 0.65 AND max(s) OVER two < 0.8 AND j >= 2 AS b2, min(s) OVER four >= 0 AND max(s) OVER four < 0.7 AND j >= 4 AS b3 FROM st JOIN ok USING (sample, object, run)
+    WINDOW two AS (PARTITION BY sample, object, run ORDER BY j ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), four AS (PARTITION BY sample, object, run ORDER BY j ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
+e1 AS (SELECT sample, object, run, min(j) FILTER (b1) AS e1 FROM b GROUP BY sample, object, run), e2 AS (SELECT b.sample, b.object, b.run, max(e1) AS e1, min(j) FILTER (b2 AND j - 1 > coalesce(e1, 0)) AS e2 FROM b JOIN e1 USING (sample, object, run) GROUP BY b.sample, b.object, b.run),
+e3 AS (SELECT b.sample, b.object, b.run, max(e1) AS e1, max(e2) AS e2, min(j) FILTER (b3 AND j - 3 > coalesce(e2, e1, 0)) AS e3 FROM b JOIN e2 USING (sample, object, run) GROUP BY b.sample, b.object, b.run),
+found AS (SELECT *, coalesce(e3, e2) AS last FROM e3 WHERE (e1 IS NOT NULL)::INT + (e2 IS NOT NULL)::INT + (e3 IS NOT NULL)::INT >= 2), confirmed AS (SELECT f.sample, f.object, arg_min(b.i, f.run) AS frame FROM found f JOIN b ON b.sample = f.sample AND b.object = f.object AND b.run = f.run AND b.j = f.last GROUP BY f.sample, f.object)"""
+
+
+@query(f"""WITH {obs('left', 'right', 'left_ice', 'right_ice', y='CASE WHEN k % 4 < 2 THEN 0.05 + v / 700 + k % 2 / 20.0 ELSE 1000 * exp(-(k // 4) / 10.0) + v / 20 END').replace(f't / {DAY} - 19700 AS t', '((i - 1) // 4) / 8.0::DOUBLE AS t').replace('i - 1 AS k, valid', "i - 1 AS k, valid OR (i - 1) % 4 > 1 AS valid")}, {MELTING},
+m AS (SELECT sample, max(frame) AS melting FROM confirmed GROUP BY sample HAVING count(*) = 2), w AS (SELECT sample, i, max(CASE WHEN i >= melting AND y > 0.06 AND y < 1 THEN y END) FILTER (object = 'right') - max(CASE WHEN i >= melting AND y > 0.06 AND y < 1 THEN y END) FILTER (object = 'left') AS d
+    FROM obs JOIN m USING (sample) WHERE valid AND object IN ('left', 'right') GROUP BY sample, i),
+f AS (SELECT *, coalesce(d > 0.02, false) AS up, d IS NOT NULL AS seen FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY i) - row_number() OVER (PARTITION BY sample, up ORDER BY i) AS gu, row_number() OVER (PARTITION BY sample ORDER BY i) - row_number() OVER (PARTITION BY sample, seen ORDER BY i) AS gs FROM f),
+q AS (SELECT s.sample, (SELECT max(c) FROM (SELECT count(*) AS c FROM r WHERE r.sample = s.sample AND up GROUP BY gu)) AS u, (SELECT max(c) FROM (SELECT count(*) AS c FROM r WHERE r.sample = s.sample AND seen GROUP BY gs)) AS j FROM (SELECT DISTINCT sample FROM w) s)
+{rows('q', lead='CASE WHEN u >= 3 THEN 1 WHEN j >= 5 THEN 0 END')}""")
+def measured_leads(spark, sf_dir):
+    v, k = F.col("v"), F.col("k")
+    y = F.when(k % 4 < 2, 0.05 + v / 700 + k % 2 / 20).otherwise(1000 * F.exp(-F.floor(k / 4) / 10) + v / 20)
+    seen = dealt(spark, sf_dir, "left", "right", "left_ice", "right_ice", y=y, t=F.floor(k / 4) / 8).withColumn("valid", F.col("valid") | (k % 4 > 1))
+    return long(M.level_lead(seen, 0.02, 8, 0.06))
