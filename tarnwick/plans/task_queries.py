@@ -244,3 +244,16 @@ def measured_leads(spark, sf_dir):
     y = F.when(k % 4 < 2, 0.05 + v / 700 + k % 2 / 20).otherwise(1000 * F.exp(-F.floor(k / 4) / 10) + v / 20)
     seen = dealt(spark, sf_dir, "left", "right", "left_ice", "right_ice", y=y, t=F.floor(k / 4) / 8).withColumn("valid", F.col("valid") | (k % 4 > 1))
     return long(M.level_lead(seen, 0.02, 8, 0.06))
+
+
+@query(f"""WITH {obs('ball30', 'ball60', x='(3 + k % 2) * (k // 2) + v / 100', y='(20 + 4 * (k % 2)) * (k // 2) - 0.8 * (k // 2) * (k // 2) + v / 100', r='4 + k % 3').replace('obs AS (SELECT sample, object, i', "obs AS (SELECT sample || '/' || object AS sample, i").replace('r, valid FROM dealt', 'r, true AS valid FROM dealt')}, {FLIGHT},
+g AS (SELECT path.sample, t - avg(t) OVER w AS u, min(t) OVER w - avg(t) OVER w AS u0, t, x, y FROM path JOIN way USING (sample) WHERE k IS NOT NULL AND way.n >= 8 WINDOW w AS (PARTITION BY path.sample)),
+m AS (SELECT sample, count(*) AS n, max(u0) AS u0, sum(u ** 2) AS m2, sum(u ** 3) AS m3, sum(u ** 4) AS m4, sum(u * y) AS mv, sum(u * u * y) AS mmv, avg(y) AS my, var_pop(y) * count(*) AS vv, regr_slope(x, t) AS vx FROM g GROUP BY sample),
+z AS (SELECT *, (mmv - m2 * my - m3 * mv / m2) / (m4 - m2 * m2 / n - m3 * m3 / m2) AS q FROM m), f AS (SELECT sample, sqrt(greatest(0, vv - mv * mv / m2 - q * q * (m4 - m2 * m2 / n - m3 * m3 / m2)) / n) AS rms, sqrt(vx ** 2 + (mv / m2 - q * m3 / m2 + 2 * q * u0) ** 2) AS speed FROM z),
+o AS (SELECT split_part(f.sample, '/', 1) AS sample, split_part(f.sample, '/', 2) AS object, reach, rms / (2 * (SELECT median(r) FROM obs WHERE obs.sample = f.sample)) AS e, speed FROM f JOIN way USING (sample)),
+q AS (SELECT sample, max(reach) FILTER (object = 'ball30') AS r30, max(reach) FILTER (object = 'ball60') AS r60, max(e) FILTER (object = 'ball30') AS e30, max(e) FILTER (object = 'ball60') AS e60, abs(max(speed) FILTER (object = 'ball30') / max(speed) FILTER (object = 'ball60') - 1) AS gap FROM o GROUP BY sample HAVING count(*) = 2)
+{rows('q', r30='r30', r60='r60', rmse30='e30', rmse60='e60', speed_error='gap')}""")
+def measured_throws(spark, sf_dir):
+    v, k = F.col("v"), F.col("k")
+    j = F.floor(k / 2)
+    return long(M.two_flights(dealt(spark, sf_dir, "ball30", "ball60", x=(3 + k % 2) * j + v / 100, y=(20 + 4 * (k % 2)) * j - 0.8 * j * j + v / 100, r=4 + k % 3)))
