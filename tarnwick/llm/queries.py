@@ -88,6 +88,25 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents")).drop("row", "key", "all_spans")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwick.llm.centroids import centroid_clusters
+
+    return centroid_clusters(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, scale=64)
+
+
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwick.llm.recurrent_lm import language_model_scores
+
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwick.llm.hard_negatives import hard_negatives
+
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_token_counts": op2_token_counts,
@@ -99,8 +118,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_model": op8_quality_model,
     "op9_url_filter": op9_url_filter,
     "op10_secret_scan": op10_secret_scan,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_lm_scoring": op12_lm_scoring,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
+
+def _rounds_sql(rounds: int) -> str:
+    """op11 in SQL: every round compares all vectors with all centroids."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""
+a{n} AS MATERIALIZED (SELECT r, v, struct_extract(near, 'c') AS c, struct_extract(near, 'd') AS d FROM (SELECT r, v, min({{'d': (list_inner_product(v, v) - 2 * list_inner_product(v, s) + list_inner_product(s, s))::BIGINT, 'c': c}}) AS near FROM kept, c{n} GROUP BY r, v))""")
+        if n < rounds:
+            steps.append(f"""
+m{n} AS (SELECT c, j, floor(sum(x)::DOUBLE / count(*)) AS x FROM (SELECT c, generate_subscripts(v, 1) AS j, unnest(v) AS x FROM a{n}) GROUP BY c, j),
+c{n + 1} AS MATERIALIZED (SELECT c, coalesce(list(x ORDER BY j) FILTER (x IS NOT NULL), any_value(s)) AS s FROM c{n} LEFT JOIN m{n} USING (c) GROUP BY c)""")
+    return ",".join(steps)
+
 def _license_sql() -> str:
     """op6 in SQL: lines of documents and of the known texts are brought to one form, units are put together and joined by digest."""
     from tarnwick.llm.license_scan import COMMENT_SIGNS, COPYRIGHT_LINE, KNOWN_TEXTS, SPELLINGS, TITLES
@@ -142,6 +177,22 @@ reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_i
 SELECT r.doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(other) AS component_id FROM reach r LEFT JOIN sizes ON sizes.doc_id = r.doc_id GROUP BY r.doc_id
 """,
     "op6_license_scan": _license_sql(),
+    "op11_centroid_clustering": f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = 64),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS INTEGER) AS c, v AS s FROM kept WHERE vec_id IS NOT NULL QUALIFY c < 16),{_rounds_sql(3)},
+told AS (SELECT c, sum(d)::BIGINT AS own FROM a3 GROUP BY c)
+SELECT vec_id, c AS cluster, d AS distance, own AS cluster_inertia, (SELECT sum(own)::BIGINT FROM told) AS inertia,
+    sha256(array_to_string(list_transform(s, lambda x: x::BIGINT), ',')) AS centroid_sha256 FROM a3 JOIN kept USING (r) JOIN told USING (c) JOIN c3 USING (c)
+""",
+    "op13_hard_negatives": """
+WITH part AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+scored AS MATERIALIZED (SELECT a.r, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM part a JOIN part b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+good AS (SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS w FROM scored WHERE same QUALIFY w <= 5)
+SELECT g.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY g.r, w ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM good g JOIN scored s ON g.r = s.r AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10
+""",
     "op10_secret_scan": r"""
 WITH docs AS (SELECT row_number() OVER () AS n, doc_id, source, coalesce(text, '') AS text FROM documents),
 patterns(kind, pattern) AS (VALUES
