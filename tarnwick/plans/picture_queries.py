@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarnwick.operators import edges as E
 from tarnwick.operators import masks as M
+from tarnwick.operators import votes as V
 from tarnwick.plans.registry import query, r6
 from tarnwick.plans.views import table
 
@@ -52,3 +54,64 @@ def mask_opening(spark, sf_dir):
 @query(f"WITH {PICTURES}, f AS (SELECT *, value > 0.2 AS f FROM pictures), {BOX.format('wide', 'f', 'max')}, {BOX.format('back', 'wide', 'min')} {RUNS_OF.format('back')}")
 def mask_closing(spark, sf_dir):
     return _morphed(spark, sf_dir, 0.2, M.closed)
+
+
+#: Sobel differences with the border repeated, their size, and thin edges: the pixel against its two neighbours along the gradient.
+EDGES = f"""{PICTURES}, wide AS (SELECT sample, frame, x, y, coalesce(lead(value) OVER r, value) - coalesce(lag(value) OVER r, value) AS dx, coalesce(lead(value) OVER c, value) - coalesce(lag(value) OVER c, value) AS dy
+    FROM pictures WINDOW r AS (PARTITION BY sample, frame, y ORDER BY x), c AS (PARTITION BY sample, frame, x ORDER BY y)),
+grad AS (SELECT sample, frame, x, y, coalesce(lag(dx) OVER c, dx) + 2 * dx + coalesce(lead(dx) OVER c, dx) AS gx, coalesce(lag(dy) OVER r, dy) + 2 * dy + coalesce(lead(dy) OVER r, dy) AS gy
+    FROM wide WINDOW r AS (PARTITION BY sample, frame, y ORDER BY x), c AS (PARTITION BY sample, frame, x ORDER BY y)),
+sized AS (SELECT *, sqrt(gx * gx + gy * gy) AS size, CASE WHEN abs(gy) <= (sqrt(2::DOUBLE) - 1) * abs(gx) THEN 0 WHEN abs(gx) <= (sqrt(2::DOUBLE) - 1) * abs(gy) THEN 1 WHEN gx * gy > 0 THEN 2 ELSE 3 END AS sector FROM grad),
+beside AS (SELECT *, coalesce(lag(size) OVER r, 0) AS b0, coalesce(lead(size) OVER r, 0) AS a0, coalesce(lag(size) OVER c, 0) AS b1, coalesce(lead(size) OVER c, 0) AS a1,
+    coalesce(lag(size) OVER d, 0) AS b2, coalesce(lead(size) OVER d, 0) AS a2, coalesce(lag(size) OVER e, 0) AS b3, coalesce(lead(size) OVER e, 0) AS a3
+    FROM sized WINDOW r AS (PARTITION BY sample, frame, y ORDER BY x), c AS (PARTITION BY sample, frame, x ORDER BY y), d AS (PARTITION BY sample, frame, x - y ORDER BY x), e AS (PARTITION BY sample, frame, x + y ORDER BY x)),
+thin AS MATERIALIZED (SELECT sample, frame, x, y, gx, gy, size FROM beside WHERE size > 0.7 AND CASE sector WHEN 0 THEN size > b0 AND size >= a0 WHEN 1 THEN size > b1 AND size >= a1 WHEN 2 THEN size > b2 AND size >= a2 ELSE size > b3 AND size >= a3 END),
+reach AS (SELECT sample, frame, x, y FROM thin WHERE size > 1.1 UNION SELECT t.sample, t.frame, t.x, t.y FROM reach r JOIN thin t ON r.sample = t.sample AND r.frame = t.frame AND abs(r.x - t.x) <= 1 AND abs(r.y - t.y) <= 1),
+edges AS MATERIALIZED (SELECT thin.* FROM thin JOIN reach USING (sample, frame, x, y))"""
+
+
+def edge_pixels(spark, sf_dir):
+    return E.edges(pictures(spark, sf_dir), 0.7, 1.1)
+
+
+@query(f"WITH RECURSIVE {EDGES} SELECT sample, frame, x, y, round(gx, 6) AS gx, round(gy, 6) AS gy, round(size, 6) AS size FROM edges")
+def picture_edges(spark, sf_dir):
+    return edge_pixels(spark, sf_dir).select("sample", "frame", "x", "y", r6("gx"), r6("gy"), r6("size"))
+
+
+LINES = f"""{EDGES}, turn AS (SELECT k::INTEGER AS angle, round(1000000 * cos(pi() * k / 90))::BIGINT AS c, round(1000000 * sin(pi() * k / 90))::BIGINT AS s FROM range(90) t(k)),
+votes AS MATERIALIZED (SELECT sample, frame, angle, CAST(floor((2 * (x * c + y * s) + 1000000) / 2000000.0::DOUBLE) AS INTEGER) AS rho, count(*) AS votes FROM edges, turn GROUP BY ALL),
+cells AS (SELECT * FROM votes WHERE votes >= 12), near AS (SELECT c.*, (c.angle + a.d + 90) % 90 AS na, CASE WHEN c.angle + a.d BETWEEN 0 AND 89 THEN c.rho + b.d ELSE -(c.rho + b.d) END AS nr FROM cells c, (VALUES (-1), (0), (1)) a(d), (VALUES (-1), (0), (1)) b(d) WHERE a.d <> 0 OR b.d <> 0),
+lost AS (SELECT DISTINCT n.sample, n.frame, n.angle, n.rho FROM near n JOIN cells c ON c.sample = n.sample AND c.frame = n.frame AND c.angle = na AND c.rho = nr WHERE c.votes > n.votes OR (c.votes = n.votes AND (c.angle, c.rho) < (n.angle, n.rho))),
+peaks AS (SELECT * FROM cells ANTI JOIN lost USING (sample, frame, angle, rho))"""
+
+
+def _lines(points):
+    return V.line_peaks(V.line_votes(points, angles=90), 12, angles=90)
+
+
+@query(f"WITH RECURSIVE {LINES} SELECT sample, frame, angle, rho, votes::BIGINT AS votes, angle * 2.0::DOUBLE AS degrees, rho::DOUBLE AS distance FROM peaks")
+def hough_lines(spark, sf_dir):
+    return _lines(edge_pixels(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {LINES}, own AS (SELECT p.sample, p.frame, p.angle, p.rho, x, y, y * cos(radians(p.angle * 2.0::DOUBLE)) - x * sin(radians(p.angle * 2.0::DOUBLE)) AS along FROM peaks p JOIN edges e ON p.sample = e.sample AND p.frame = e.frame
+    AND abs(x * cos(radians(p.angle * 2.0::DOUBLE)) + y * sin(radians(p.angle * 2.0::DOUBLE)) - p.rho) <= 0.9),
+cut AS (SELECT *, coalesce(CAST(along - lag(along) OVER w > 6.05 AS INTEGER), 0) AS fresh FROM own WINDOW w AS (PARTITION BY sample, frame, angle, rho ORDER BY along, x, y)),
+part AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY sample, frame, angle, rho ORDER BY along, x, y) AS INTEGER) AS part FROM cut)
+SELECT sample, frame, angle, rho, part, arg_min(x, along) AS x0, arg_min(y, along) AS y0, arg_max(x, along) AS x1, arg_max(y, along) AS y1, count(*) AS n, round(max(along) - min(along), 6) AS length FROM part GROUP BY sample, frame, angle, rho, part HAVING max(along) - min(along) >= 10.003""")
+def hough_segments(spark, sf_dir):
+    points = edge_pixels(spark, sf_dir)
+    return V.segments(points, _lines(points), near=0.9, gap=6.05, least_length=10.003).withColumn("length", F.round("length", 6))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, votes AS (SELECT sample, frame, CAST(floor(x + r * (gx / size) + 0.5) AS INTEGER) AS cx, CAST(floor(y + r * (gy / size) + 0.5) AS INTEGER) AS cy, count(*) AS votes FROM edges, (SELECT unnest([4, 5, 6, 7, 8, -4, -5, -6, -7, -8])::DOUBLE AS r) GROUP BY ALL),
+cells AS (SELECT * FROM votes WHERE votes >= 7), lost AS (SELECT DISTINCT n.sample, n.frame, n.cx, n.cy FROM cells n JOIN cells c ON c.sample = n.sample AND c.frame = n.frame AND abs(c.cx - n.cx) <= 1 AND abs(c.cy - n.cy) <= 1 WHERE c.votes > n.votes OR (c.votes = n.votes AND (c.cx, c.cy) < (n.cx, n.cy))),
+peaks AS (SELECT * FROM cells ANTI JOIN lost USING (sample, frame, cx, cy)),
+off AS (SELECT sample, frame, cx, cy, votes, CAST(floor(sqrt((x - cx) ** 2 + (y - cy) ** 2) + 0.5) AS INTEGER) AS r FROM peaks JOIN edges USING (sample, frame)),
+rings AS (SELECT sample, frame, cx, cy, votes, r, count(*) AS n FROM off WHERE r BETWEEN 4 AND 8 GROUP BY sample, frame, cx, cy, votes, r)
+SELECT sample, frame, cx, cy, votes::BIGINT AS votes, r, n, round(n / (2 * pi() * r), 6) AS cover FROM rings QUALIFY row_number() OVER (PARTITION BY sample, frame, cx, cy ORDER BY n / (2 * pi() * r) DESC, r) = 1 AND n / (2 * pi() * r) >= 0.2""")
+def hough_circles(spark, sf_dir):
+    points = edge_pixels(spark, sf_dir)
+    centres = V.centre_peaks(V.centre_votes(points, 4, 8), 7)
+    return V.circles(points, centres, 4, 8, 0.2).withColumn("cover", F.round("cover", 6))

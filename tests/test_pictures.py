@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tarnwick.operators import edges as E
 from tarnwick.operators import masks as M
+from tarnwick.operators import votes as V
 
 PIXELS = "sample string, frame int, x int, y int, value double"
 
@@ -101,3 +103,89 @@ def test_orientation_and_the_tracked_component(spark):
     assert (row.x, row.y, row.valid) == (31, 31, True) and row.r == pytest.approx((9 / np.pi) ** 0.5)
     (row,) = M.tracked_component(parts, ["sample", "frame"], 50, near).collect()
     assert row.x is None and not row.valid
+
+
+def drawn_line(degrees, distance, shape=(40, 50)):
+    """Pixels within half a pixel of a line."""
+    y, x = np.mgrid[: shape[0], : shape[1]]
+    turn = np.radians(degrees)
+    return np.abs(x * np.cos(turn) + y * np.sin(turn) - distance) <= 0.5
+
+
+def spots(spark, *pictures):
+    return pixels(spark, *pictures).filter("value > 0.5")
+
+
+@pytest.mark.parametrize("degrees, distance", [(0, 20), (90, 12), (45, 30), (135, -5), (30, 25), (178, -15)])
+def test_lines_are_found_within_one_cell(spark, degrees, distance):
+    points = spots(spark, drawn_line(degrees, distance))
+    best = V.line_peaks(V.line_votes(points), 15).orderBy(F.desc("votes"), "angle", "rho").first()
+    off = (best["degrees"] - degrees + 90) % 180 - 90
+    turned = abs(best["degrees"] - degrees) > 90
+    assert abs(off) <= 1 and abs((-1 if turned else 1) * best["distance"] - distance) <= 1
+
+
+def test_votes_equal_counting_points_one_by_one(spark):
+    picture = np.random.default_rng(3).random((9, 14)) < 0.3
+    cos, sin = V.direction_table(12)
+    plain = {}
+    for y, x in zip(*np.nonzero(picture)):
+        for k in range(12):
+            cell = (k, int(np.floor((x * cos[k] + y * sin[k]) / 2e6 + 0.5)))
+            plain[cell] = plain.get(cell, 0) + 1
+    points = spots(spark, picture).repartition(3)
+    assert {(r.angle, r.rho): r.votes for r in V.line_votes(points, angles=12, step=2.0).collect()} == plain
+    assert V.line_votes(points.limit(0)).collect() == [] == V.line_votes(points.withColumn("x", F.lit(None).cast("int"))).collect()
+
+
+def test_of_neighbouring_cells_one_stands_over_half_a_turn_too(spark):
+    votes = spark.createDataFrame([("s", 0, 0, 10, 30), ("s", 0, 179, -10, 30), ("s", 0, 179, -11, 31), ("s", 0, 50, 5, 40), ("s", 0, 50, 6, 40), ("s", 0, 90, 1, 9), ("s", 1, 50, 6, 12)], "sample string, frame int, angle int, rho int, votes long")
+    assert sorted((r.frame, r.angle, r.rho) for r in V.line_peaks(votes, 10).collect()) == [(0, 50, 5), (0, 179, -11), (1, 50, 6)]
+
+
+def test_segments_end_at_gaps(spark):
+    picture = np.zeros((30, 60))
+    picture[12, 2:20] = picture[12, 22:25] = picture[12, 35:58] = 1
+    points = spots(spark, picture)
+    lines = V.line_peaks(V.line_votes(points), 30)
+    found = sorted((r.x0, r.y0, r.x1, r.y1, r.n) for r in V.segments(points, lines, gap=4).filter("angle = 90").collect())
+    assert [sorted((a, b)) for a, _, b, _, _ in found] == [[2, 24], [35, 57]] or [sorted((a, b)) for a, _, b, _, _ in found] == [[35, 57], [2, 24]]
+    assert V.segments(points, lines, gap=4, least_length=22.5).collect() == []
+
+
+@pytest.mark.parametrize("cx, cy, r", [(25, 20, 9), (18, 22, 12)])
+def test_circles_are_found_within_a_pixel(spark, cx, cy, r):
+    y, x = np.mgrid[:45, :50]
+    discs = [1 / (1 + np.exp(np.hypot(x - cx, y - cy) - r)), np.zeros((45, 50))]
+    points = E.edges(pixels(spark, *discs), 0.3, 0.8)
+    centres = V.centre_peaks(V.centre_votes(points, 6, 15), 20)
+    best = V.circles(points, centres, 6, 15, 0.6).orderBy(F.desc("cover")).collect()
+    assert {b.frame for b in best} == {0}
+    assert abs(best[0].cx - cx) <= 1 and abs(best[0].cy - cy) <= 1 and abs(best[0].r - r) <= 1
+
+
+def test_edges_of_a_step_and_of_a_frame_without_any(spark):
+    step = np.zeros((8, 10))
+    step[:, 6:] = 1
+    rows = E.edges(pixels(spark, step, np.zeros((8, 10)), np.ones((8, 10))), 1.0, 3.0).collect()
+    assert {(r.frame, r.y) for r in rows} == {(0, y) for y in range(8)} and {r.x for r in rows} in ({5}, {6}) and all((r.gx, r.gy) == (4, 0) for r in rows)
+    assert E.profile_edge(step, 1) == (5, 5.5)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_hysteresis_equals_flooding_from_strong_pixels(seed):
+    draw = np.random.default_rng(seed)
+    weak = draw.random((13, 16)) < 0.4
+    strong = weak & (draw.random(weak.shape) < 0.05)
+    numbers = flooded(weak, True)
+    assert (E.reached(weak, strong) == np.isin(numbers, np.unique(numbers[strong])) & weak).all()
+
+
+def test_thinning_keeps_ridges_of_each_direction():
+    y, x = np.mgrid[:40, :40]
+    for degrees in range(0, 180, 15):
+        turn = np.radians(degrees)
+        ramp = 1 / (1 + np.exp(-(x - 20) * np.cos(turn) - (y - 20) * np.sin(turn)))
+        found = E.canny(ramp, 0.3, 0.8)[3][6:-6, 6:-6]
+        off = np.abs((x - 20) * np.cos(turn) + (y - 20) * np.sin(turn))[6:-6, 6:-6][found]
+        assert 20 <= found.sum() <= 60 and off.max() <= 1.01
