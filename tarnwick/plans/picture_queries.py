@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarnwick.functions import colour as C
 from tarnwick.operators import edges as E
 from tarnwick.operators import masks as M
+from tarnwick.operators import surfaces as U
+from tarnwick.operators import templates as P
 from tarnwick.operators import votes as V
 from tarnwick.plans.registry import query, r6
 from tarnwick.plans.views import table
@@ -115,3 +118,77 @@ def hough_circles(spark, sf_dir):
     points = edge_pixels(spark, sf_dir)
     centres = V.centre_peaks(V.centre_votes(points, 4, 8), 7)
     return V.circles(points, centres, 4, 8, 0.2).withColumn("cover", F.round("cover", 6))
+
+
+@query(f"""WITH RECURSIVE {PICTURES}, small AS (SELECT sample, frame, x, y, value::FLOAT::DOUBLE AS value FROM pictures),
+tpl AS (SELECT sample, x - 32 AS dx, y - 16 AS dy, value - avg(value) OVER (PARTITION BY sample) AS t FROM small WHERE frame = 0 AND x BETWEEN 28 AND 36 AND y BETWEEN 12 AND 20),
+scores AS MATERIALIZED (SELECT p.sample, p.frame, p.x - dx AS cx, p.y - dy AS cy, sum(value * t) / sqrt((sum(value * value) - sum(value) ** 2 / 81) * sum(t * t)) AS s FROM small p JOIN tpl USING (sample) WHERE p.frame > 0 GROUP BY ALL HAVING count(*) = 81),
+frames AS (SELECT DISTINCT sample, frame FROM pictures),
+track AS (SELECT sample, frame, 32 AS x, 16 AS y, 1.0::DOUBLE AS score, frame AS lf, 32 AS lx, 16 AS ly, NULL::INTEGER AS mx, NULL::INTEGER AS my, NULL::INTEGER AS ox, NULL::INTEGER AS oy, 0 AS misses FROM frames WHERE frame = 0 UNION ALL
+    SELECT sample, frame, CASE WHEN hit THEN best.x END, CASE WHEN hit THEN best.y END, CASE WHEN hit THEN best.s END, CASE WHEN hit THEN frame ELSE lf END, CASE WHEN hit THEN best.x ELSE lx END, CASE WHEN hit THEN best.y ELSE ly END,
+        CASE WHEN hit THEN lx ELSE mx END, CASE WHEN hit THEN ly ELSE my END, CASE WHEN hit THEN mx ELSE ox END, CASE WHEN hit THEN my ELSE oy END, CASE WHEN hit THEN 0 ELSE misses + 1 END
+    FROM (SELECT *, coalesce(best.s >= CASE WHEN misses < 2 THEN 0.30 ELSE 0.24 END AND sqrt((best.x - ex) ** 2 + (best.y - ey) ** 2) <= 1.15 * reach, false) AS hit
+    FROM (SELECT e.sample, e.frame, lf, lx, ly, mx, my, ox, oy, misses, ex, ey, reach, max({{'s': s, 'ny': -cy, 'nx': -cx, 'x': cx, 'y': cy}}) AS best
+    FROM (SELECT t.sample, f.frame, lf, lx, ly, mx, my, ox, oy, misses, lx + coalesce((lx - ox) / 2.0::DOUBLE, 0) * (f.frame - lf) AS ex, ly + coalesce((ly - oy) / 2.0::DOUBLE, 0) * (f.frame - lf) AS ey, floor(6 * (1 + least(1.5::DOUBLE, 0.45::DOUBLE * misses))) AS reach
+        FROM track t JOIN frames f ON f.sample = t.sample AND f.frame = t.frame + 1) e
+    LEFT JOIN scores s ON s.sample = e.sample AND s.frame = e.frame AND cx BETWEEN floor(ex - reach) AND ceil(ex + reach) AND cy BETWEEN floor(ey - reach) AND ceil(ey + reach) GROUP BY ALL)))
+SELECT sample, frame, x::DOUBLE AS x, y::DOUBLE AS y, round(score, 6) AS score, x IS NOT NULL AS valid FROM track""")
+def template_tracks(spark, sf_dir):
+    p = pictures(spark, sf_dir)
+    starts = p.select("sample").distinct().select("sample", F.lit(32).alias("x"), F.lit(16).alias("y"))
+    return P.template_tracks(p, starts, half=4, search=6).withColumn("score", F.round("score", 6))
+
+
+def coloured(spark, sf_dir):
+    """sample, frame, x, y and three channels of 0 to 255: bright at the top, tinted more and more from row 14 on by what the vectors hold."""
+    p = table(spark, sf_dir, "embeddings")
+    v = F.col("vec_id")
+    rows = p.select(F.floor(v / 256).alias("sample"), F.floor(v % 256 / 32).cast("int").alias("frame"), (v % 32).cast("int").alias("y"), F.posexplode("embedding").alias("x", "e"), F.col("embedding").alias("v"))
+    at = lambda n: F.get("v", (F.col("x") + n) % 64).cast("double")
+    level = lambda n, e: F.least(F.greatest(F.floor(150 + 100 * e + n * F.when(F.col("y") >= 14, 20).otherwise(0)), F.lit(0)), F.lit(255)).cast("double")
+    return rows.select("sample", "frame", "x", "y", level(-2, F.col("e").cast("double")).alias("red"), level(0, at(21)).alias("green"), level(2, at(42)).alias("blue"))
+
+
+LAB = """coloured AS (SELECT sample, frame, x, y, greatest(0, least(255, floor(150 + 100 * e - 2 * t)))::DOUBLE AS red, greatest(0, least(255, floor(150 + 100 * v[(x + 21) % 64 + 1]::DOUBLE)))::DOUBLE AS green, greatest(0, least(255, floor(150 + 100 * v[(x + 42) % 64 + 1]::DOUBLE + 2 * t)))::DOUBLE AS blue
+    FROM (SELECT vec_id // 256 AS sample, CAST(vec_id % 256 // 32 AS INTEGER) AS frame, CAST(vec_id % 32 AS INTEGER) AS y, CASE WHEN vec_id % 32 >= 14 THEN 20 ELSE 0 END AS t, embedding AS v, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS x, unnest(embedding)::DOUBLE AS e FROM embeddings)),
+flat AS (SELECT sample, frame, x, y, unnest([0, 1, 2]) AS c, unnest([red, green, blue]) / 255.0::DOUBLE AS s FROM coloured),
+light AS (SELECT sample, frame, x, y, c, CASE WHEN s > 0.04045::DOUBLE THEN pow((s + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) ELSE s / 12.92::DOUBLE END AS l FROM flat),
+xyz AS (SELECT sample, frame, x, y, sum(l * ([0.412453, 0.357580, 0.180423]::DOUBLE[])[c + 1]) / 0.950456::DOUBLE AS tx, sum(l * ([0.212671, 0.715160, 0.072169]::DOUBLE[])[c + 1]) AS ty, sum(l * ([0.019334, 0.119193, 0.950227]::DOUBLE[])[c + 1]) / 1.088754::DOUBLE AS tz FROM light GROUP BY sample, frame, x, y),
+roots AS (SELECT sample, frame, x, y, ty, list_transform([tx, ty, tz], lambda t: CASE WHEN t > 0.008856::DOUBLE THEN pow(t, 1 / 3::DOUBLE) ELSE t * 7.787::DOUBLE + 16 / 116::DOUBLE END) AS f FROM xyz),
+lab AS MATERIALIZED (SELECT sample, frame, x, y, CASE WHEN ty > 0.008856::DOUBLE THEN 116 * f[2] - 16 ELSE 903.3::DOUBLE * ty END AS l, 500 * (f[1] - f[2]) AS a, 200 * (f[2] - f[3]) AS b FROM roots)"""
+
+
+def lab_pixels(spark, sf_dir):
+    light, a, b = C.lab(F.col("red"), F.col("green"), F.col("blue"))
+    return coloured(spark, sf_dir).select("sample", "frame", "x", "y", light.alias("l"), a.alias("a"), b.alias("b"))
+
+
+@query(f"WITH {LAB} SELECT sample, frame, y, round(avg(l), 6) AS l, round(avg(a), 6) AS a, round(avg(b), 6) AS b, round(max(sqrt(a * a + b * b)), 6) AS chroma FROM lab GROUP BY sample, frame, y")
+def lab_rows(spark, sf_dir):
+    return lab_pixels(spark, sf_dir).groupBy("sample", "frame", "y").agg(*[r6(F.avg(c), c) for c in ("l", "a", "b")], r6(F.max(C.chroma(F.col("a"), F.col("b"))), "chroma"))
+
+
+@query("""WITH c AS (SELECT vec_id, floor(128 + 300 * embedding[1]) AS red, floor(128 + 300 * embedding[2]) AS green, floor(128 + 300 * embedding[3]) AS blue FROM embeddings), d AS (SELECT *, greatest(red, green, blue)::DOUBLE AS m, (greatest(red, green, blue) - least(red, green, blue))::DOUBLE AS d FROM c),
+h AS (SELECT vec_id, m, 30 * CASE WHEN d = 0 THEN 0 WHEN m = red THEN (green - blue) / d WHEN m = green THEN (blue - red) / d + 2 ELSE (red - green) / d + 4 END AS h, CASE WHEN m = 0 THEN 0 ELSE 255 * d / m END AS s FROM d),
+k AS (SELECT vec_id, m, s, CASE WHEN h < 0 THEN h + 180 ELSE h END AS h FROM h) SELECT vec_id, round(h, 6) AS hue, round(s, 6) AS saturation, m AS value, least(abs(h - 170), 180 - abs(h - 170)) <= 14 AND s >= 40 AND m >= 60 AS reddish FROM k""")
+def colour_masks(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    red, green, blue = (F.floor(128 + 300 * F.col("embedding")[k]).cast("double") for k in range(3))
+    hue, saturation, value = C.hsv(red, green, blue)
+    rows = e.select("vec_id", hue.alias("hue"), saturation.alias("saturation"), value.alias("value"))
+    return rows.select("vec_id", r6("hue"), r6("saturation"), "value", C.of_colour(F.col("hue"), F.col("saturation"), F.col("value"), 170.0, 14.0, 40.0, 60.0).alias("reddish"))
+
+
+@query(f"""WITH {LAB}, med AS (SELECT sample, frame, y, median(a) AS a, median(b) AS b FROM lab GROUP BY sample, frame, y),
+band AS (SELECT sample, frame, y, avg(a) OVER u AS au, avg(b) OVER u AS bu, avg(a) OVER d AS ad, avg(b) OVER d AS bd, max(y) OVER (PARTITION BY sample, frame) AS last FROM med WINDOW u AS (PARTITION BY sample, frame ORDER BY y ROWS BETWEEN 5 PRECEDING AND 2 PRECEDING), d AS (PARTITION BY sample, frame ORDER BY y ROWS BETWEEN 2 FOLLOWING AND 5 FOLLOWING)),
+gain AS (SELECT sample, frame, y, sqrt((ad - au) ** 2 + (bd - bu) ** 2) * sign(sqrt(ad ** 2 + bd ** 2) - sqrt(au ** 2 + bu ** 2)) AS g FROM band WHERE y >= 6 AND y < least(24, last - 5)),
+g AS (SELECT *, row_number() OVER (PARTITION BY sample, frame ORDER BY y) AS k, count(*) OVER (PARTITION BY sample, frame) AS n FROM gain),
+taps AS (SELECT p.sample, p.frame, p.y, avg(q.g) AS g FROM g p, (VALUES (-2), (-1), (0), (1), (2)) o(d) JOIN g q ON q.sample = p.sample AND q.frame = p.frame AND q.k = CASE WHEN p.k + d < 1 THEN 2 - (p.k + d) WHEN p.k + d > p.n THEN 2 * p.n - (p.k + d) ELSE p.k + d END WHERE p.n >= 8 GROUP BY ALL),
+best AS (SELECT sample, frame, min_by(y, {{'g': -g, 'y': y}}) AS place, max(g) AS step FROM taps GROUP BY sample, frame HAVING max(g) >= 2),
+tint AS (SELECT l.sample, l.frame, x, y, sqrt(a * a + b * b) AS c FROM lab l JOIN best USING (sample, frame) WHERE abs(y - place) <= 5),
+rise AS (SELECT *, greatest(0, lead(c) OVER (PARTITION BY sample, frame, x ORDER BY y) - c) AS r FROM tint), pts AS (SELECT sample, frame, x, sum(r * (y + 0.5)) / sum(r) AS h FROM rise WHERE r IS NOT NULL GROUP BY sample, frame, x HAVING sum(r) > 1e-6),
+fit AS (SELECT sample, frame, count(*) AS n, regr_slope(h, x) AS s, regr_intercept(h, x) AS i, sqrt(greatest(0, regr_syy(h, x) - regr_slope(h, x) * regr_sxy(h, x)) / count(*)) AS rms, (min(x) + max(x)) / 2 AS m FROM pts GROUP BY sample, frame)
+SELECT sample, frame, place AS row, round(step, 6) AS step, n AS columns, round(CASE WHEN n >= 12 THEN degrees(atan(s)) ELSE 0 END, 6) AS tilt, round(CASE WHEN n >= 12 THEN i + s * m ELSE place END, 6) AS height, round(CASE WHEN n >= 12 THEN rms ELSE 0 END, 6) AS rms FROM best JOIN fit USING (sample, frame)""")
+def tint_surfaces(spark, sf_dir):
+    found = U.tint_surfaces(lab_pixels(spark, sf_dir), (0.0, 30.0), band=5)
+    return found.select("sample", "frame", "row", r6("step"), "columns", r6("tilt"), r6("height"), r6("rms"))

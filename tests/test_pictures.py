@@ -4,8 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tarnwick.functions import colour as C
 from tarnwick.operators import edges as E
 from tarnwick.operators import masks as M
+from tarnwick.operators import surfaces as U
+from tarnwick.operators import templates as P
 from tarnwick.operators import votes as V
 
 PIXELS = "sample string, frame int, x int, y int, value double"
@@ -189,3 +192,95 @@ def test_thinning_keeps_ridges_of_each_direction():
         found = E.canny(ramp, 0.3, 0.8)[3][6:-6, 6:-6]
         off = np.abs((x - 20) * np.cos(turn) + (y - 20) * np.sin(turn))[6:-6, 6:-6][found]
         assert 20 <= found.sum() <= 60 and off.max() <= 1.01
+
+
+def direct(p, t):
+    """Normalised cross-correlation, place by place."""
+    h, w = t.shape
+    out = np.zeros((p.shape[0] - h + 1, p.shape[1] - w + 1))
+    for y, x in np.ndindex(out.shape):
+        a, b = p[y : y + h, x : x + w] - p[y : y + h, x : x + w].mean(), t - t.mean()
+        if (a * a).sum() > 1e-12:
+            out[y, x] = (a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum())
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_correlation_equals_the_direct_sum_on_every_place(seed):
+    draw = np.random.default_rng(seed)
+    p = draw.random((15, 19)) * 255 + seed * 1000
+    p[:6, :6] = 7.0  # flat
+    t = p[8:13, 9:13]
+    found = P.correlation(p, t)
+    assert found == pytest.approx(direct(p, t), abs=1e-7) and found[8, 9] == pytest.approx(1)
+    assert P.correlation(p[:3], t).size == 0 and not P.correlation(p, np.ones((3, 3))).any()
+
+
+def blob(cx, cy, shape=(60, 90), seen=True, seed=0):
+    noise = np.random.default_rng(seed).random(shape) * 8
+    y, x = np.mgrid[: shape[0], : shape[1]]
+    return noise + seen * (200 * np.exp(-((x - cx) ** 2 + (y - cy) ** 2) / 18) - 90 * np.exp(-((x - cx - 2) ** 2 + (y - cy) ** 2) / 4))
+
+
+def test_a_drifting_target_is_followed_and_a_lost_one_found_again(spark):
+    way = [(15 + 3 * k, 12 + 2 * k) for k in range(14)]
+    hidden = (6, 7, 8)
+    p = pixels(spark, *[blob(x, y, seen=k not in hidden, seed=k) for k, (x, y) in enumerate(way)])
+    starts = spark.createDataFrame([("s", 15, 12)], "sample string, x int, y int")
+    for outlines in (False, True):
+        rows = P.template_tracks(p, starts, half=6, search=5, outlines=outlines).orderBy("frame").collect()
+        assert len(rows) == 14 and [r.frame for r in rows if not r.valid] == list(hidden)
+        assert all(abs(r.x - way[r.frame][0]) <= 1 and abs(r.y - way[r.frame][1]) <= 1 and r.score > 0.8 for r in rows if r.valid)
+
+
+def test_targets_at_the_border_and_windows_outside(spark):
+    p = pixels(spark, blob(10, 10, (20, 30)), blob(10, 10, (8, 8)))
+    starts = spark.createDataFrame([("s", 3, 10)], "sample string, x int, y int")
+    assert [r.valid for r in P.template_tracks(p, starts, half=5, search=4).collect()] == [False, False]
+    starts = spark.createDataFrame([("s", 10, 10)], "sample string, x int, y int")
+    assert [r.valid for r in P.template_tracks(p, starts, half=5, search=4).orderBy("frame").collect()] == [True, False]
+
+
+def test_lab_and_hsv_of_known_colours(spark):
+    known = {(255, 255, 255): (100, 0, 0), (0, 0, 0): (0, 0, 0), (255, 0, 0): (53.24, 80.09, 67.20), (0, 255, 0): (87.73, -86.18, 83.18), (0, 0, 255): (32.30, 79.19, -107.86), (119, 119, 119): (50.03, 0, 0)}
+    df = spark.createDataFrame([tuple(map(float, k)) for k in known], "r double, g double, b double")
+    lab = df.select(F.struct(*"rgb").alias("rgb"), F.array(*C.lab(*map(F.col, "rgb"))).alias("lab"), F.array(*C.hsv(*map(F.col, "rgb"))).alias("hsv"))
+    rows = {tuple(map(int, r.rgb)): r for r in lab.collect()}
+    for k, value in known.items():
+        assert rows[k].lab == pytest.approx(value, abs=0.05)
+    assert [rows[k].hsv for k in ((255, 0, 0), (0, 255, 0), (0, 0, 255), (0, 0, 0))] == [[0, 255, 255], [60, 255, 255], [120, 255, 255], [0, 0, 0]]
+    red = df.select(C.of_colour(*C.hsv(F.col("r"), F.col("g"), F.col("b")), 175.0, least_saturation=50).alias("red")).collect()
+    assert [r.red for r in red] == [False, False, True, False, False, False]
+
+
+def tank(level, slope=0.0, tint=18.0, shape=(60, 40), block=None):
+    """The colour plane of a vessel whose liquid, tinted, stands below a line; with a floating block without colour."""
+    y, x = np.mgrid[: shape[0], : shape[1]]
+    share = np.clip(y + 0.5 - (level + slope * (x - (shape[1] - 1) / 2)), 0, 1)
+    if block:
+        share[:, block[0] : block[1]] = 0
+    return [("s", 0, int(u), int(v), float(-tint * k), float(0.5 * tint * k)) for v, u, k in zip(y.ravel(), x.ravel(), share.ravel())]
+
+
+@pytest.mark.parametrize("level, slope, block", [(25.0, 0.0, None), (30.4, 0.05, None), (22.7, -0.03, None), (28.0, 0.0, (5, 12))])
+def test_surfaces_of_drawn_tanks(spark, level, slope, block):
+    p = spark.createDataFrame(tank(level, slope, block=block), "sample string, frame int, x int, y int, a double, b double")
+    (r,) = U.tint_surfaces(p, (0.0, 60.0)).collect()
+    assert abs(r.row - level) <= 2 and r.step == pytest.approx(18 * 1.25**0.5, rel=0.2)
+    assert r.height == pytest.approx(level, abs=0.15) and r.tilt == pytest.approx(np.degrees(np.arctan(slope)), abs=0.3) and r.rms < 0.2
+    assert r["columns"] == (33 if block else 40)
+
+
+def test_untinted_liquid_an_upper_tint_and_low_vessels_have_no_surface(spark):
+    schema = "sample string, frame int, x int, y int, a double, b double"
+    for rows in (tank(25.0, tint=0.5), [(s, f, x, 59 - y, a, b) for s, f, x, y, a, b in tank(30.0)], tank(9.0, shape=(26, 20))):
+        assert U.tint_surfaces(spark.createDataFrame(rows, schema), (0.0, float(max(r[3] for r in rows) + 1))).collect() == []
+
+
+def test_means_are_mirrored_at_both_ends(spark):
+    for n in (5, 6, 9):
+        v = np.random.default_rng(n).random(n)
+        df = spark.createDataFrame([("s", 0, k, float(x)) for k, x in enumerate(v)], "sample string, frame int, y int, v double")
+        found = [r.m for r in df.select("y", U.smoothed(df, "v", 2, M.KEYS).alias("m")).orderBy("y").collect()]
+        q = np.pad(v, 2, mode="reflect")
+        assert found == pytest.approx([q[k : k + 5].mean() for k in range(n)])
