@@ -257,3 +257,38 @@ def measured_throws(spark, sf_dir):
     v, k = F.col("v"), F.col("k")
     j = F.floor(k / 2)
     return long(M.two_flights(dealt(spark, sf_dir, "ball30", "ball60", x=(3 + k % 2) * j + v / 100, y=(20 + 4 * (k % 2)) * j - 0.8 * j * j + v / 100, r=4 + k % 3)))
+
+
+@query(f"""WITH {obs('c0', 'c1', 'c2', 'c3', x="100 + CASE WHEN k % 4 IN (0, 3) THEN -20 ELSE 0 END + v / 50", y="CASE WHEN k % 4 < 2 THEN 140 ELSE 200 END - (k // 4) * (k % 4) + v / 40", r='0.1 + k % 7 / 10.0').replace('valid FROM dealt', 'valid OR k % 5 > 0 AS valid FROM dealt').replace(f't / {DAY} - 19700 AS t', '((i - 1) // 4) / 8.0::DOUBLE AS t')},
+f AS (SELECT sample, i, max(t) AS t, max(r) AS r, {', '.join(f"max({c}) FILTER (valid AND object = 'c{n}') AS {c}{n}" for n in range(4) for c in 'xy')} FROM obs GROUP BY sample, i),
+w AS (SELECT * FROM f WHERE {' AND '.join(f'x{n} IS NOT NULL' for n in range(4))}), g AS (SELECT *, sum(CASE WHEN i - p <> 1 THEN 1 ELSE 0 END) OVER (PARTITION BY sample ORDER BY i) AS g FROM (SELECT *, lag(i) OVER (PARTITION BY sample ORDER BY i) AS p FROM w)),
+l AS (SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY sample, g) >= 4 AND max(t) OVER (PARTITION BY sample, g) - min(t) OVER (PARTITION BY sample, g) >= 0.3 - 1e-9),
+e AS (SELECT *, {', '.join(f'sqrt((x{n} - x{(n + 1) % 4}) ** 2 + (y{n} - y{(n + 1) % 4}) ** 2) AS e{n}' for n in range(4))}, sqrt((x0 - x2) ** 2 + (y0 - y2) ** 2) AS d, degrees(atan2(x0 + x1 - x2 - x3, y2 + y3 - y0 - y1)) AS lean FROM l),
+b AS (SELECT sample, {', '.join(f'arg_min({c}, i) AS {c}' for c in ('x2', 'y2', 'd', 'e0', 'e1', 'e2', 'e3'))} FROM e GROUP BY sample),
+c AS (SELECT e.sample, quantile_cont(sqrt((e.x2 - b.x2) ** 2 + (e.y2 - b.y2) ** 2), 0.95) AS drift, quantile_cont(abs(e.y2 - 200), 0.95) AS off, quantile_cont(greatest({', '.join(f'abs(e.e{n} / b.e{n} - 1)' for n in range(4))}), 0.95) AS st, 2 * greatest(0.5, quantile_cont(r, 0.95)) AS tw, max(b.d) AS d, greatest(1, least({', '.join(f'max(b.e{n})' for n in range(4))})) AS s FROM e JOIN b USING (sample) GROUP BY e.sample),
+t AS (SELECT sample, g, lean - lag(lean) OVER w AS s, i FROM e WINDOW w AS (PARTITION BY sample, g ORDER BY i)), u AS (SELECT sample, g, sum(coalesce(s - 360 * floor((s + 180) / 360), 0)) OVER (PARTITION BY sample, g ORDER BY i) AS u FROM t),
+v AS (SELECT sample, max(r) AS turn FROM (SELECT sample, g, max(u) - min(u) AS r FROM u GROUP BY sample, g) GROUP BY sample), q AS (SELECT c.*, turn FROM c JOIN v USING (sample) WHERE d >= 10)
+{rows('q', rotation='turn', pivot='greatest(0, drift - tw) / d', contact='greatest(0, off - tw) / d', shape='greatest(0, st - tw / s)')}""")
+def measured_topples(spark, sf_dir):
+    v, k = F.col("v"), F.col("k")
+    x = 100 + F.when((k % 4).isin(0, 3), -20).otherwise(0) + v / 50
+    y = F.when(k % 4 < 2, 140).otherwise(200) - F.floor(k / 4) * (k % 4) + v / 40
+    seen = dealt(spark, sf_dir, "c0", "c1", "c2", "c3", x=x, y=y, r=0.1 + k % 7 / 10, t=F.floor(k / 4) / 8).withColumn("valid", F.col("valid") | (k % 5 > 0))
+    return long(M.toppling(seen, (0.0, 200.0, 400.0, 200.0)))
+
+
+@query(f"""WITH {obs('ball', x='v', y='k * k + v / 40').replace(f't / {DAY} - 19700 AS t', '(i - 1) / 8.0::DOUBLE AS t')}, n AS (SELECT sample, t, y, row_number() OVER w AS j, count(*) OVER (PARTITION BY sample) AS n FROM obs WINDOW w AS (PARTITION BY sample ORDER BY i)),
+z AS (SELECT sample, max(n) AS n, max(t) AS t1, min(t) AS t0, arg_max(y, j) - arg_min(y, j) AS way FROM n GROUP BY sample HAVING max(n) >= 5), u AS (SELECT n.sample, j, y, (t - (t0 + t1) / 2) / ((t1 - t0) / 2) AS u FROM n JOIN z USING (sample)),
+m AS (SELECT sample, count(*)::DOUBLE AS n, sum(u * u) AS a, sum(u ** 4) AS b, sum(u ** 6) AS c, sum(y) AS y0, sum(u * y) AS y1, sum(u * u * y) AS y2, sum(u ** 3 * y) AS y3 FROM u GROUP BY sample),
+c AS (SELECT sample, (y0 * b - y2 * a) / (n * b - a * a) AS c0, (y1 * c - y3 * b) / (a * c - b * b) AS c1, (y2 * n - y0 * a) / (n * b - a * a) AS c2, (y3 * a - y1 * b) / (a * c - b * b) AS c3 FROM m),
+o AS (SELECT u.sample, y - c0 - c1 * u - c2 * u * u - c3 * u ** 3 AS o FROM u JOIN c USING (sample)), d AS (SELECT sample, greatest(0.25, 1.4826 * median(abs(o - med))) AS noise FROM (SELECT *, median(o) OVER (PARTITION BY sample) AS med FROM o) GROUP BY sample),
+s AS (SELECT sample, noise, t0, t1, least(6, greatest(3, (n - 1) // 2)) AS k FROM z JOIN d USING (sample) WHERE way >= greatest(6, 6 * noise)),
+cuts AS (SELECT sample, noise, t0 + (t1 - t0) * e / k AS t, e, false AS third, k FROM s, range(7) r(e) WHERE e <= k UNION ALL SELECT sample, noise, t0 + (t1 - t0) * e / 3, e, true, 3 FROM s, range(4) r(e)),
+y AS (SELECT a.sample, third, e, k, noise, max(p.y + (q.y - p.y) * greatest(0, least(1, (a.t - p.t) / (q.t - p.t)))) FILTER (a.t BETWEEN p.t - 1e-12 AND q.t + 1e-12) AS y FROM cuts a JOIN n p USING (sample) JOIN n q ON q.sample = p.sample AND q.j = p.j + 1 GROUP BY ALL),
+w AS (SELECT *, y - lag(y) OVER (PARTITION BY sample, third ORDER BY e) AS w FROM y), g AS (SELECT *, w - lag(w) OVER (PARTITION BY sample, third ORDER BY e) AS g FROM w WHERE w IS NOT NULL),
+f AS (SELECT sample, max(noise) AS noise, abs(avg(g)) AS m, stddev_samp(g) AS ss, stddev_pop(g) AS sp FROM g WHERE NOT third AND g IS NOT NULL GROUP BY sample), h AS (SELECT sample, max(noise) AS noise, max(w) FILTER (e = 1) AS a, max(w) FILTER (e = 2) AS b, max(w) FILTER (e = 3) AS c FROM w WHERE third GROUP BY sample),
+q AS (SELECT f.sample, CASE WHEN m > sqrt(2::DOUBLE) * f.noise THEN ss / m ELSE greatest(1, sp / (sqrt(2::DOUBLE) * f.noise)) END AS cv, CASE WHEN a > h.noise THEN sqrt(((b / a / 3 - 1) ** 2 + (c / a / 5 - 1) ** 2) / 2) END AS th FROM f JOIN h USING (sample))
+{rows('q', cv_dv='cv', thirds_rms='th')}""")
+def measured_falls(spark, sf_dir):
+    v, k = F.col("v"), F.col("k")
+    return long(M.free_fall(dealt(spark, sf_dir, "ball", y=k * k + v / 40, t=k / 8)))
