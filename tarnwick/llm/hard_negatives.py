@@ -84,19 +84,22 @@ class KeyIndex:
                 d = distances(lifted(matrix(b.column("v")), top), places)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d.argmin(1), pa.int32()), pa.array(d.min(1))], names=["vec_id", "label", "v", "pivot", "key"])
 
-        def cut(batches):
-            number, held, last = TaskContext.get().partitionId() << 32, 0, None
+        def counted(batches):
+            piece, places, last = TaskContext.get().partitionId(), 0, None
             for b in batches:
                 numbers = np.empty(len(b), np.int64)
                 for i, p in enumerate(b.column("pivot").to_pylist()):
-                    if p != last or held == block:
-                        number, held, last = number + 1, 0, p
-                    held += 1
-                    numbers[i] = number
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers)], names=["vec_id", "label", "v", "pivot", "key", "block"])
+                    places, last = (0 if p != last else places + 1), p
+                    numbers[i] = places
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(b), piece, np.int64)), pa.array(numbers)], names=["vec_id", "label", "v", "pivot", "key", "piece", "place"])
 
         spread = rows.mapInArrow(keyed, INDEXED).repartitionByRange("pivot", "key", F.xxhash64("vec_id")).sortWithinPartitions("pivot", "key", "vec_id")
-        self.rows = stash(spread.mapInArrow(cut, INDEXED + ", block long"), "key-index")
+        ordered = stash(spread.mapInArrow(counted, INDEXED + ", piece long, place long"), "key-index")
+        # blocks are cut by the place in the whole order of a pivot, so that their number depends on the rows alone
+        before = Window.partitionBy("pivot").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+        pieces = ordered.groupBy("piece", "pivot").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+        number = F.shiftleft(F.col("pivot").cast("long"), 40) + F.floor((F.col("start") + F.col("place")) / block)
+        self.rows = ordered.join(stash(pieces, "key-pieces"), ["piece", "pivot"]).select("vec_id", "label", "v", "pivot", "key", number.alias("block"))
         self.blocks = stash(self.rows.groupBy("block", "pivot").agg(F.min("key").alias("lo"), F.max("key").alias("hi")), "key-blocks")
 
     def search(self, requests: DataFrame, k: int, same: bool) -> DataFrame:
