@@ -6,6 +6,8 @@ before powers are summed. What needs iterations is in operators.kernels.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,6 +130,26 @@ def sinusoid(df: DataFrame, keys: list[str], t: str, y: str, period: float) -> D
     return out.withColumn("amplitude", F.hypot("c1", "c2"))
 
 
+def sinusoid_trend(df: DataFrame, keys: list[str], t: str, y: str, period: float) -> DataFrame:
+    """n, trend, amplitude, phase and rmse of y = a + trend t + amplitude sin(2 pi t / period + phase); null where the points do not determine them.
+
+    Offset and trend are taken out of the wave and of y by covariances with t, which leaves two unknowns.
+    """
+    turn = 2 * math.pi / period
+    df = df.withColumns({"_c": F.cos(F.col(t) * turn), "_s": F.sin(F.col(t) * turn)})
+    pairs = {f"{a}{b}": (ca, cb) for a, ca in (("c", "_c"), ("s", "_s"), ("y", y), ("t", t)) for b, cb in (("c", "_c"), ("s", "_s"), ("y", y), ("t", t)) if a <= b}
+    m = df.groupBy(*keys).agg(F.count(y).alias("n"), *[F.covar_pop(a, b).alias(f"_{n}") for n, (a, b) in pairs.items()])
+    cov = lambda a, b: F.col(f"_{min(a, b)}{max(a, b)}")
+    p = lambda a, b: cov(a, b) - F.try_divide(cov(a, "t") * cov(b, "t"), F.col("_tt"))
+    det = p("c", "c") * p("s", "s") - p("c", "s") * p("c", "s")
+    fine = (F.col("n") >= 5) & (det > 1e-12)
+    cos, sin = (F.when(fine, x / det) for x in (p("c", "y") * p("s", "s") - p("s", "y") * p("c", "s"), p("s", "y") * p("c", "c") - p("c", "y") * p("c", "s")))
+    m = m.withColumns({"_a": cos, "_b": sin})
+    left = F.greatest(F.lit(0.0), p("y", "y") - F.col("_a") * p("c", "y") - F.col("_b") * p("s", "y"))
+    trend = F.try_divide(cov("t", "y") - F.col("_a") * cov("c", "t") - F.col("_b") * cov("s", "t"), F.col("_tt"))
+    return m.select(*keys, "n", trend.alias("trend"), F.hypot("_a", "_b").alias("amplitude"), F.atan2("_a", "_b").alias("phase"), F.when(F.col("_a").isNotNull(), F.sqrt(left)).alias("rmse"))
+
+
 def circle(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """cx, cy, radius of the algebraic least-squares circle (x x + y y = 2 cx x + 2 cy y + d)."""
     part = Window.partitionBy(*keys)

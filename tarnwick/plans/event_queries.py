@@ -1,13 +1,19 @@
-"""Rises, starts of discharges and chains of bounces on the tracks of events."""
+"""Rises, starts of discharges, chains of bounces and fits with rejection on the tracks of events."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tarnwick.operators import events as V
+from tarnwick.operators import fits
 from tarnwick.operators import kernels as K
+from tarnwick.operators import measures as M
+from tarnwick.operators import stats as T
+from tarnwick.plans.measure_queries import long
 from tarnwick.plans.registry import query, r6
 from tarnwick.plans.series_queries import DAY, _kernel
+from tarnwick.plans.task_queries import dealt
 from tarnwick.plans.views import SERIES, series
 
 #: A surface that rises by some pixels a frame from frame 8 to frame 33, how fast by track, with a few hundredths of noise; its rare misses come from events.
@@ -60,3 +66,66 @@ SELECT track, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end",
 def bounce_chains(spark, sf_dir):
     arcs = _kernel(spark, sf_dir, lambda c: K.bounce_arcs(c["t"], c["y"], 60.0, 2), "start int, apex int, end int, height double, duration double")
     return V.longest_chains(arcs).select("track", "start", "end", "arcs", r6("height"))
+
+
+def _p(a: str, b: str) -> str:
+    return f"(covar_pop({a}, {b}) - covar_pop({a}, t) * covar_pop({b}, t) / nullif(var_pop(t), 0))"
+
+
+@query(f"""WITH {SERIES}, w AS (SELECT track, y, t / {DAY} - 19700 AS t, cos((t / {DAY} - 19700) * (2 * pi() / 7)) AS c, sin((t / {DAY} - 19700) * (2 * pi() / 7)) AS s FROM series WHERE valid),
+m AS (SELECT track, count(*) AS n, {_p('c', 'c')} AS cc, {_p('c', 's')} AS cs, {_p('s', 's')} AS ss, {_p('c', 'y')} AS cy, {_p('s', 'y')} AS sy, {_p('y', 'y')} AS yy, covar_pop(t, y) AS ty, covar_pop(c, t) AS ct, covar_pop(s, t) AS st, var_pop(t) AS tt FROM w GROUP BY track),
+z AS (SELECT *, CASE WHEN n >= 5 AND cc * ss - cs * cs > 1e-12 THEN (cy * ss - sy * cs) / (cc * ss - cs * cs) END AS a, CASE WHEN n >= 5 AND cc * ss - cs * cs > 1e-12 THEN (sy * cc - cy * cs) / (cc * ss - cs * cs) END AS b FROM m)
+SELECT track, n, round((ty - a * ct - b * st) / nullif(tt, 0), 6) AS trend, round(sqrt(a * a + b * b), 6) AS amplitude, round(atan2(a, b), 6) AS phase, CASE WHEN a IS NOT NULL THEN round(sqrt(greatest(0, yy - a * cy - b * sy)), 6) END AS rmse FROM z""")
+def sinusoid_trends(spark, sf_dir):
+    s = series(spark, sf_dir).filter("valid").withColumn("t", F.col("t") / DAY - 19700)
+    found = T.sinusoid_trend(s, ["track"], "t", "y", 7.0)
+    return found.select("track", "n", *map(r6, ("trend", "amplitude", "phase", "rmse")))
+
+
+@query()
+def release_models(spark, sf_dir):
+    def fit(c):
+        k = np.arange(len(c["y"]))
+        found = fits.release_model(0.3 * np.maximum(0, k - c["track"][0] % 6) ** 2 + c["y"] / 50, 6)
+        return [(found["release"], found["cubic"], found["rms"], found["noise"], found["model"])] if found else []
+
+    return _kernel(spark, sf_dir, fit, "release double, cubic double, rms double, noise double, model string")
+
+
+@query()
+def vertex_fits(spark, sf_dir):
+    def fit(c):
+        k = np.arange(len(c["y"]), dtype=float)
+        found = fits.vertex(k, -((k - len(k) / 2) ** 2) / 3 + c["y"] / 40)
+        return [(found["turn"], found["before"], found["after"], found["kept"], found["quality"][0]["rmse"], found["quality"][1]["rmse"])] if found else []
+
+    return _kernel(spark, sf_dir, fit, "turn double, before double, after double, kept double, rmse_before double, rmse_after double")
+
+
+@query()
+def discharge_fits(spark, sf_dir):
+    def fit(c):
+        v = 5000 - 20.0 * np.arange(len(c["y"])) - c["y"] / 50
+        found = fits.discharge_fit((c["t"] - c["t"][0]) / DAY, np.sqrt(np.maximum(v, 1.0)), v, 0.5, 6)
+        return [(found.get("beta"), found.get("se"), found.get("n"), found.get("reason"))]
+
+    return _kernel(spark, sf_dir, fit, "beta double, se double, n double, reason string")
+
+
+@query()
+def measured_inclines(spark, sf_dir):
+    k = F.col("k")
+    return long(M.incline(dealt(spark, sf_dir, "block", x=F.lit(400.0) - (k - 12) * (k - 12) / 4 + F.col("v") / 100, t=k / 8), 30.0))
+
+
+@query()
+def measured_pendulums(spark, sf_dir):
+    j = F.floor(F.col("k") / 2)
+    return long(M.spectral_periods(dealt(spark, sf_dir, "t30", "t15", y=10 * F.cos(j * F.when(F.col("k") % 2 == 0, 0.7).otherwise(0.75)) + F.col("v") / 200, t=j / 8)))
+
+
+@query()
+def measured_discharges(spark, sf_dir):
+    j = F.floor(F.col("k") / 2).cast("double")
+    fallen = F.when(F.col("k") % 2 == 0, 100 * (1 - F.pow(1 - j / 200, F.lit(2.0)))).otherwise(j / 2) + F.col("v") / 2000
+    return long(M.discharge(dealt(spark, sf_dir, "water", "sand", x=fallen, y=F.greatest(F.lit(1.0), 100 - fallen), t=j / 8), window=0.25, least=6))

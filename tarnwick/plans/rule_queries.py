@@ -106,11 +106,11 @@ def public_names(spark, sf_dir):
     return p.select("page_id", X.public_model(F.col("model")).alias("model"), X.public_video(F.col("path")).alias("video"), image.alias("image"), number.alias("number"), F.array_join(words, " ").alias("command"))
 
 
-@query("""WITH r AS (SELECT conv_id, CAST(turn AS BIGINT) AS frame, turn / 2.0::DOUBLE AS second, substr(text, 1, 40) AS o, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+@query("""WITH r AS (SELECT conv_id, CAST(turn AS BIGINT) AS frame, turn / 2.0::DOUBLE AS second, text AS o, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
 w AS (SELECT *, unnest(CASE WHEN k = 0 THEN [0, 1, 2, 3] ELSE [CAST(floor((k - 1) * 4 / greatest(1, n - 1)) AS INTEGER)] END) AS "window" FROM r)
 SELECT conv_id, "window", CAST(count(*) AS INTEGER) AS frames, string_agg(printf('[%.3f s] ', second) || o, chr(10) ORDER BY frame) AS text FROM w GROUP BY conv_id, "window\"""")
 def evidence_windows(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("frame"), (F.col("turn") / 2).alias("second"), F.substring("text", 1, 40).alias("observation"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("frame"), (F.col("turn") / 2).alias("second"), F.col("text").alias("observation"))
     return R.evidence_text(rows, ["conv_id"])
 
 
@@ -150,11 +150,11 @@ def proxy_totals(spark, sf_dir):
     return A.proxy_totals(A.public_metrics(parts(spark, sf_dir), ["sample"]), ["sample"]).select("sample", r6("total"), "recognised", "status")
 
 
-@query("SELECT o_orderkey AS sample, o_custkey % 50 AS signature, c_custkey AS track FROM orders JOIN customer ON o_custkey % 50 = c_custkey WHERE o_orderkey % 2 = 0")
+@query("SELECT o_orderkey AS sample, o_custkey % 50 AS signature, c_custkey AS track FROM orders JOIN customer ON o_custkey % 50 = c_custkey")
 def cached_tracks(spark, sf_dir):
     from tarnwick.operators.records import cached
 
-    jobs = table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("sample"), (F.col("o_custkey") % 50).alias("signature"))
+    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample"), (F.col("o_custkey") % 50).alias("signature"))
     cache = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("signature"), F.col("c_custkey").alias("track"))
     return cached(jobs, cache, ["signature"])
 
