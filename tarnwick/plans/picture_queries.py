@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarnwick.functions import colour as C
@@ -9,6 +10,7 @@ from tarnwick.operators import edges as E
 from tarnwick.operators import masks as M
 from tarnwick.operators import surfaces as U
 from tarnwick.operators import templates as P
+from tarnwick.operators import turns as R
 from tarnwick.operators import votes as V
 from tarnwick.plans.registry import query, r6
 from tarnwick.plans.views import table
@@ -192,3 +194,37 @@ SELECT sample, frame, place AS row, round(step, 6) AS step, n AS columns, round(
 def tint_surfaces(spark, sf_dir):
     found = U.tint_surfaces(lab_pixels(spark, sf_dir), (0.0, 30.0), band=5)
     return found.select("sample", "frame", "row", r6("step"), "columns", r6("tilt"), r6("height"), r6("rms"))
+
+
+def discs(spark, sf_dir):
+    """Six pictures of 23 by 23 for each vector: 36 sectors of a disc hold its first numbers, and turn by 7 degrees and more from picture to picture."""
+    frames = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("frame"), "embedding")
+    spots = frames.select("*", F.explode(F.sequence(F.lit(0), F.lit(22))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(22))).alias("x"))
+    turned = F.degrees(F.atan2(F.col("y") - 11.0, F.col("x") - 11.0)) - F.col("frame") * (7 + F.col("sample") % 5)
+    sector = F.floor(F.pmod(F.round(turned, 6), F.lit(360.0)) / 10).cast("int")
+    return spots.select("sample", "frame", "x", "y", (128 + 400 * F.get("embedding", sector).cast("double")).alias("value"))
+
+
+@query("""WITH spots AS MATERIALIZED (SELECT vec_id AS sample, frame::INTEGER AS frame, x, y, (128 + 400 * embedding[CAST(floor(((round(degrees(atan2(y - 11.0::DOUBLE, x - 11.0::DOUBLE)) - frame * (7 + vec_id % 5), 6) % 360) + 360) % 360 / 10) AS INTEGER) + 1]::DOUBLE)::FLOAT::DOUBLE AS value
+    FROM embeddings, range(6) f(frame), range(23) r(y), range(23) c(x)),
+at_ AS (SELECT ring, k, 11 + 10 * (0.24 + 0.63 * ring / 3) * cos(pi() * k / 18) AS x, 11 + 10 * (0.24 + 0.63 * ring / 3) * sin(pi() * k / 18) AS y FROM range(4) a(ring), range(36) b(k)),
+raw AS (SELECT s.sample, s.frame, ring, k, sum(value * (1 - abs(a.x - s.x)) * (1 - abs(a.y - s.y))) AS v FROM at_ a JOIN spots s ON s.x BETWEEN floor(a.x) AND floor(a.x) + 1 AND s.y BETWEEN floor(a.y) AND floor(a.y) + 1 GROUP BY ALL),
+polar AS (SELECT sample, frame, ring, k, v - avg(v) OVER (PARTITION BY sample, frame, ring) AS v FROM raw), rings AS MATERIALIZED (SELECT sample, frame, ring, list(v ORDER BY k) AS v FROM polar GROUP BY sample, frame, ring),
+size AS (SELECT sample, frame, sum(list_inner_product(v, v)) AS e FROM rings GROUP BY sample, frame),
+c AS (SELECT b.sample, b.frame, s, sum(list_inner_product(b.v, a.v[37 - s:] || a.v[:36 - s])) / sqrt(max(x.e) * max(y.e)) AS c FROM rings a JOIN rings b ON a.sample = b.sample AND a.ring = b.ring AND b.frame = a.frame + 1 JOIN size x ON x.sample = a.sample AND x.frame = a.frame JOIN size y ON y.sample = b.sample AND y.frame = b.frame, range(36) r(s) WHERE x.e >= 576 AND y.e >= 576 GROUP BY b.sample, b.frame, s),
+d AS (SELECT *, (s * 10 + 180) % 360 - 180 AS g, max(c) OVER (PARTITION BY sample, frame) AS top FROM c), best AS (SELECT sample, frame, arg_max(s, c) AS s, max(c) AS c, max(top) AS top FROM d WHERE abs(g) <= 45 GROUP BY sample, frame),
+n AS (SELECT best.*, p.c AS lo, q.c AS hi FROM best JOIN c p ON p.sample = best.sample AND p.frame = best.frame AND p.s = (best.s + 35) % 36 JOIN c q ON q.sample = best.sample AND q.frame = best.frame AND q.s = (best.s + 1) % 36)
+SELECT sample, frame, round((s * 10 + 180) % 360 - 180 + CASE WHEN lo - 2 * c + hi < -1e-12 THEN 10 * greatest(-0.5, least(0.5, 0.5 * (lo - hi) / (lo - 2 * c + hi))) ELSE 0 END, 5) AS step, round(c, 6) AS score, top - c > 0.05 AS doubtful FROM n""")
+def texture_steps(spark, sf_dir):
+    p = discs(spark, sf_dir)
+    places = p.select("sample", "frame").distinct().select("sample", "frame", F.lit(11.0).alias("cx"), F.lit(11.0).alias("cy"), F.lit(10.0).alias("r"))
+    read = R.polar_pictures(p, places, 36, 4).withColumn("before", F.lag("polar").over(Window.partitionBy("sample").orderBy("frame"))).filter("before is not null and polar is not null")
+    return R.steps_between(read, 36, 4).select("sample", "frame", F.round("step", 5).alias("step"), r6("score"), "doubtful")
+
+
+@query()
+def texture_turns(spark, sf_dir):
+    p = discs(spark, sf_dir)
+    places = p.select("sample", "frame").distinct().select("sample", "frame", F.lit(11.0).alias("cx"), F.lit(11.0).alias("cy"), F.lit(10.0).alias("r"))
+    found = R.texture_turns(p, places, 72, 8)
+    return found.select("sample", "frame", r6("degrees"), r6("chained"), r6("direct"), r6("score"), "valid")

@@ -9,6 +9,7 @@ from tarnwick.operators import edges as E
 from tarnwick.operators import masks as M
 from tarnwick.operators import surfaces as U
 from tarnwick.operators import templates as P
+from tarnwick.operators import turns as R
 from tarnwick.operators import votes as V
 
 PIXELS = "sample string, frame int, x int, y int, value double"
@@ -284,3 +285,49 @@ def test_means_are_mirrored_at_both_ends(spark):
         found = [r.m for r in df.select("y", U.smoothed(df, "v", 2, M.KEYS).alias("m")).orderBy("y").collect()]
         q = np.pad(v, 2, mode="reflect")
         assert found == pytest.approx([q[k : k + 5].mean() for k in range(n)])
+
+
+def textured(degrees, seed=3, size=61, r=26.0, fade=0.0):
+    """A disc with smooth random texture, turned."""
+    draw = np.random.default_rng(seed)
+    waves = [(draw.integers(1, 9), draw.random() * 6.28, draw.uniform(20, 60), draw.uniform(0.5, 3)) for _ in range(9)]
+    y, x = np.mgrid[:size, :size] - (size - 1) / 2
+    turn, away = np.arctan2(y, x) - np.radians(degrees), np.hypot(x, y) / r
+    return (away <= 1.1) * (120 + (1 - fade) * sum(a * np.sin(k * turn + p + q * away) for k, p, a, q in waves) / 3)
+
+
+def turned(spark, pictures, r=26.0):
+    p = pixels(spark, *pictures)
+    places = spark.createDataFrame([("s", f, 30.0, 30.0, r) for f in range(len(pictures))], "sample string, frame int, cx double, cy double, r double")
+    return R.texture_turns(p, places).orderBy("frame").collect()
+
+
+@pytest.mark.parametrize("step", [17.3, -31.0, 0.4])
+def test_turns_of_known_angle_also_beyond_half_a_turn(spark, step):
+    rows = turned(spark, [textured(step * k) for k in range(14)])
+    assert all(r.valid and abs(r.degrees - step * r.frame) <= 0.5 for r in rows)
+
+
+def test_turns_with_frames_that_cannot_be_read(spark):
+    angles = [0, 20, 40, 60, 80, 100, 120, 140]
+    pictures = [textured(a) for a in angles]
+    pictures[2], pictures[5] = textured(0, fade=1.0), 120 + 60 * np.random.default_rng(5).random((61, 61))  # without texture; something else
+    rows = turned(spark, pictures)
+    assert [r.valid for r in rows] == [True, True, False, True, True, False, True, True]
+    assert all(abs(r.degrees - angles[r.frame]) <= 0.5 for r in rows if r.valid)
+    assert not any(r.valid for r in turned(spark, [textured(0)], r=40.0)) and not any(r.valid for r in turned(spark, [textured(0)], r=5.0))
+
+
+def test_the_chain_breaks_after_two_frames_and_repeated_marks_are_not_told_apart(spark):
+    pictures = [textured(0), textured(10)] + [textured(0, fade=1.0)] * 3 + [textured(40)]
+    assert [r.valid for r in turned(spark, pictures)] == [True, True] + [False] * 4
+    y, x = np.mgrid[:61, :61] - 30.0
+    spokes = lambda a: 100 + 50 * np.cos(3 * (np.arctan2(y, x) - np.radians(a)))
+    assert [round(r.degrees) for r in turned(spark, [spokes(0), spokes(30), spokes(60)])] == [0, 30, 60]
+
+
+def test_correlation_around_equals_shifting():
+    draw = np.random.default_rng(1)
+    a, b = draw.standard_normal((2, 5, 24))
+    plain = [(a * np.roll(b, s, axis=1)).sum() / np.sqrt((a * a).sum() * (b * b).sum()) for s in range(24)]
+    assert R.around(a, b) == pytest.approx(plain)
