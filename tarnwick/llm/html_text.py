@@ -12,7 +12,8 @@ element with visibility: hidden is shown. Of a select element the chosen option
 
 Limits, which cost no text: elements nested more than DEPTH deep stand beside each other, as
 browsers have it; a column's width counts up to CELL characters and cells are aligned up to LINE
-characters, beyond which they follow each other.
+characters, beyond which they follow each other; indents are drawn up to INDENT columns; and the blanks of indents and of alignment come to at most
+BLANKS characters for each of the page, after which lines start at the margin and cells stand two spaces apart.
 
 Defined results: null and empty pages have an empty text; pages of any length are read whole, in time
 linear in their length, by loops and not by recursion; text without any tag is laid out as one flow;
@@ -26,6 +27,7 @@ import re
 import unicodedata
 from html import unescape
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +64,7 @@ TABLE_PARTS = frozenset("table thead tbody tfoot tr".split())
 IN_TABLE = frozenset("caption colgroup col thead tbody tfoot tr td th script style template".split())
 #: The depth at which browsers stop nesting; the greatest colspan and rowspan of HTML.
 DEPTH, MOST_COLUMNS, MOST_ROWS = 512, 1_000, 65_534
-CELL, LINE = 80, 1_000
+CELL, LINE, INDENT, BLANKS = 80, 1_000, 40, 3
 
 TAG = re.compile(r"[^ \t\n\f\r/>]*")
 NAME = re.compile(r"[ \t\n\f\r/]*([^ \t\n\f\r/>][^ \t\n\f\r/>=]*)?[ \t\n\f\r]*")
@@ -83,12 +85,56 @@ class Break:
     """A forced line break."""
 
 
+class Nest:
+    """Lines that stand behind a mark: what goes before the first line and before the others, and before empty ones of both.
+
+    It takes the place of one line among others; prefixes are put together only when a page or a table is drawn, so that no line is written anew at
+    each level.
+    """
+
+    __slots__ = ("lines", "first", "first_empty", "rest", "empty", "ends_empty")
+
+    def __init__(self, lines: list, first: str, first_empty: str, rest: str, empty: str):
+        self.lines, self.first, self.first_empty, self.rest, self.empty = lines, first, first_empty, rest, empty
+        self.ends_empty = ends_empty(lines) and not (first_empty if len(lines) == 1 else empty)
+
+
+def ends_empty(lines: list) -> bool:
+    return lines[-1].ends_empty if isinstance(lines[-1], Nest) else lines[-1] == ""
+
+
+def drawn(lines: list, blanks: list[int]) -> list[str]:
+    """Lines as texts; blanks[0] is what is left for prefixes, but for those of first lines, which the page itself pays for."""
+    out: list[str] = []
+    # level: its lines, the place in them, and the four prefixes; a level's first ones hold until its first line
+    stack = [[iter(lines), "", "", "", ""]]
+    while stack:
+        level = stack[-1]
+        line = next(level[0], None)
+        if line is None:
+            stack.pop()
+            continue
+        first, first_empty, rest, empty = level[1:]
+        level[1], level[2] = rest, empty
+        if isinstance(line, Nest):
+            stack.append([
+                iter(line.lines), first + line.first, first + line.first_empty if line.first_empty else first_empty, (rest + line.rest)[:INDENT], (rest + line.empty)[:INDENT] if line.empty else empty,
+            ])
+            continue
+        prefix = first if line else first_empty
+        if first is rest and prefix:
+            prefix = prefix if blanks[0] >= len(prefix) else ""
+            blanks[0] -= len(prefix)
+        out.append(prefix + line)
+    return out
+
+
 class Block:
     """Laid-out lines; gap: whether an empty line stands around them."""
 
     __slots__ = ("lines", "gap")
 
-    def __init__(self, lines: list[str], gap: bool):
+    def __init__(self, lines: list, gap: bool):
         self.lines, self.gap = lines, gap
 
 
@@ -101,7 +147,7 @@ class Cell:
 
     __slots__ = ("lines", "columns", "rows")
 
-    def __init__(self, lines: list[str], columns: int, rows: int):
+    def __init__(self, lines: list, columns: int, rows: int):
         self.lines, self.columns, self.rows = lines, columns, rows
 
 
@@ -278,12 +324,12 @@ def styles(attrs: dict[str, str]) -> dict[str, str]:
     return found
 
 
-def unseen(node: Node, parent: Node) -> bool:
-    """Whether nothing of an element is shown."""
+def unseen(node: Node, parent: Node, summary: Node | None) -> bool:
+    """Whether nothing of an element is shown; summary: the first one of the parent."""
     a = node.attrs
     if node.tag in UNSEEN or "hidden" in a or node.tag == "dialog" and "open" not in a:
         return True
-    if parent.tag == "details" and "open" not in parent.attrs and not (node.tag == "summary" and node is next((c for c in parent.children if isinstance(c, Node) and c.tag == "summary"), None)):
+    if parent.tag == "details" and "open" not in parent.attrs and node is not summary:
         return True
     return "style" in a and styles(a).get("display") == "none" or node.tag == "input" and a.get("type", "").lower() == "hidden"
 
@@ -311,12 +357,12 @@ def chosen(select: Node) -> tuple[list[str], bool]:
     return shown, False
 
 
-def lay(flow: list) -> tuple[list[str], bool]:
+def lay(flow: list) -> tuple[list, bool]:
     """Lines of a flow of texts, breaks and blocks, and whether a gap stands around a lone block."""
     solid = [x for x in flow if not (isinstance(x, str) and not isinstance(x, Pre) and not x.strip(" \t\n\r\f"))]
     if len(solid) == 1 and isinstance(solid[0], Block):
         return solid[0].lines, solid[0].gap
-    lines: list[str] = []
+    lines: list = []
     held: list[str] = []
     gap = False
 
@@ -335,7 +381,7 @@ def lay(flow: list) -> tuple[list[str], bool]:
                 else:
                     row = WHITE.sub(" ", row).strip(" ")
                 if row or 0 < k < len(rows):
-                    if gap and lines and lines[-1] != "":
+                    if gap and lines and not ends_empty(lines):
                         lines.append("")
                     gap = False
                     lines.append(row)
@@ -344,7 +390,7 @@ def lay(flow: list) -> tuple[list[str], bool]:
         if isinstance(x, Block):
             flush()
             if x.lines:
-                if (gap or x.gap) and lines and lines[-1] != "":
+                if (gap or x.gap) and lines and not ends_empty(lines):
                     lines.append("")
                 lines += x.lines
                 gap = x.gap
@@ -367,28 +413,32 @@ def width(text: str) -> int:
 
 def placed(rows: list[list[Cell]]) -> list[list[tuple[int, Cell]]]:
     """Each row's cells with their columns: a cell goes to the first column that no cell from a row above takes."""
-    out, above = [], []  # above: (first column, last + 1, rows left), by column
-    for row in rows:
-        here, at, taken = [], 0, iter(above)
-        span = next(taken, None)
+    out = []
+    until = last = None  # until: by column, the first row that is free again; last: the greatest of them
+    for k, row in enumerate(rows):
+        here, at = [], 0
         for cell in row:
-            while span is not None and span[0] < at + cell.columns and (span[1] > at or span[0] >= at):
-                if span[0] > at:  # free columns before the span hold the cell's beginning; browsers let it overlap
-                    break
-                at = max(at, span[1])
-                span = next(taken, None)
+            if last is not None and k < last:
+                free = np.flatnonzero(until[at:] <= k)
+                at = at + int(free[0]) if len(free) else MOST_COLUMNS
             here.append((at, cell))
             at = min(at + cell.columns, MOST_COLUMNS)
-        above = [(a, b, n - 1) for a, b, n in above if n > 1]
-        added = [(at, at + cell.columns, cell.rows - 1) for at, cell in here if cell.rows > 1]
-        if added:
-            above = sorted(above + added)[:MOST_COLUMNS]
+        for at, cell in here:
+            if cell.rows > 1:
+                if last is None:
+                    until, last = np.zeros(MOST_COLUMNS, np.int64), 0
+                taken = slice(at, at + cell.columns)
+                until[taken] = np.maximum(until[taken], k + cell.rows)
+                last = max(last, k + cell.rows)
         out.append(here)
     return out
 
 
-def table_lines(rows: list[list[Cell]]) -> list[str]:
-    """Cells aligned in columns, two spaces apart; a cell of several lines makes its row as high."""
+def table_lines(rows: list[list[Cell]], blanks: list[int]) -> list[str]:
+    """Cells aligned in columns, two spaces apart; a cell of several lines makes its row as high. blanks[0] is what is left for alignment."""
+    for row in rows:
+        for cell in row:
+            cell.lines = drawn(cell.lines, blanks)
     laid = placed(rows)
     starts = sorted({at for row in laid for at, _ in row})
     ends: dict[int, list[tuple[int, int]]] = {}
@@ -409,7 +459,12 @@ def table_lines(rows: list[list[Cell]]) -> list[str]:
             parts, at = [], 0
             for column, cell in row:
                 if k < len(cell.lines) and (text := cell.lines[k]):
-                    pad = max(offset[column] - at, 2 if parts else 0)
+                    apart = 2 if parts else 0
+                    more = max(0, offset[column] - at - apart)
+                    if more > blanks[0]:
+                        more = 0
+                    blanks[0] -= more
+                    pad = apart + more
                     parts.append(" " * pad + text)
                     at += pad + width(text)
             out.append("".join(parts).rstrip())
@@ -425,28 +480,31 @@ def spanned(node: Node, name: str, most: int) -> int:
     return min(n, most) if n else (most if name == "rowspan" else 1)
 
 
-def render(root: Node) -> str:
-    """The laid-out text of a tree, from the leaves up and without recursion."""
+def render(root: Node, size: int) -> str:
+    """The laid-out text of a tree, from the leaves up and without recursion; size: the page's characters."""
+    blanks = [BLANKS * size]
 
-    # frame: node, next child, flow (inline elements use that of what holds them), kept white space, next list number, table cells or rows, hidden
+    # frame: node, next child, flow (inline elements use that of what holds them), kept white space, next list number, table cells or rows, hidden, first summary
     def frame(node: Node, pre: bool, flow: list, hid: bool):
         start = node.attrs.get("start", "") if node.tag == "ol" else ""
         if "style" in node.attrs and (said := styles(node.attrs).get("visibility")):
             hid = said in ("hidden", "collapse") or said == "inherit" and hid
-        return [node, 0, [] if node.tag in BLOCKS else flow, pre or node.tag in ("pre", "textarea"), int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1, [], hid]
+        return [node, 0, [] if node.tag in BLOCKS else flow, pre or node.tag in ("pre", "textarea"), int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1, [], hid, None]
 
     stack = [frame(root, False, [], False)]
     drawings = 0  # open svg elements, in which only text elements show
     while True:
-        node, k, flow, pre, _, _, hid = here = stack[-1]
+        node, k, flow, pre, _, _, hid, _ = here = stack[-1]
         if k < len(node.children):
             here[1] += 1
             child = node.children[k]
+            if here[7] is None and isinstance(child, Node) and child.tag == "summary":
+                here[7] = child
             if isinstance(child, str):
                 closed = node.tag == "details" and "open" not in node.attrs
                 if not hid and not closed and not (drawings and node.tag not in ("text", "tspan", "textpath", "a")):
                     flow.append(Pre(child) if pre else child)
-            elif unseen(child, node):
+            elif unseen(child, node, here[7]):
                 pass
             elif child.tag == "br":
                 flow.append(Break)
@@ -474,7 +532,7 @@ def render(root: Node) -> str:
             continue
         stack.pop()
         if not stack:
-            return "\n".join(lay(flow)[0]).strip("\n")
+            return "\n".join(drawn(lay(flow)[0], blanks)).strip("\n")
         up = stack[-1]
         tag = node.tag
         if tag == "svg":
@@ -494,11 +552,11 @@ def render(root: Node) -> str:
                     above[5].append(here[5])
                     break
             else:
-                up[2].append(Block(lay(flow)[0] + table_lines([here[5]]), False))
+                up[2].append(Block(lay(flow)[0] + table_lines([here[5]], blanks), False))
         elif tag in ("thead", "tbody", "tfoot"):
             up[2] += flow
         elif tag == "table":
-            up[2].append(Block(lay(flow)[0] + table_lines([r if isinstance(r, list) else [r] for r in here[5]]), True))
+            up[2].append(Block(lay(flow)[0] + table_lines([r if isinstance(r, list) else [r] for r in here[5]], blanks), True))
         elif tag == "li":
             lines, _ = lay(flow)
             if lines:
@@ -510,15 +568,17 @@ def render(root: Node) -> str:
                             above[4] += 1
                         break
                 pad = " " * len(mark)
-                up[2].append(Block([mark + lines[0]] + [pad + x if x else x for x in lines[1:]], False))
+                up[2].append(Block([Nest(lines, mark, mark, pad, "")], False))
         elif tag in ("ul", "ol", "menu"):
             lines, _ = lay(flow)
             nested = any(f[0].tag == "li" for f in stack)
             up[2].append(Block(lines, not nested))
         elif tag == "dd":
-            up[2].append(Block(["    " + x if x else x for x in lay(flow)[0]], False))
+            lines = lay(flow)[0]
+            up[2].append(Block([Nest(lines, "    ", "", "    ", "")] if lines else [], False))
         elif tag == "blockquote":
-            up[2].append(Block(["> " + x if x else ">" for x in lay(flow)[0]], True))
+            lines = lay(flow)[0]
+            up[2].append(Block([Nest(lines, "> ", ">", "> ", ">")] if lines else [], True))
         elif tag == "pre":
             if flow and isinstance(flow[0], Pre) and flow[0].startswith("\n"):
                 flow[0] = Pre(flow[0][1:])
@@ -530,7 +590,7 @@ def render(root: Node) -> str:
 
 def html_text(source: str | None) -> str:
     """The visible text of one page."""
-    return render(build(source)) if source else ""
+    return render(build(source), len(source)) if source else ""
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

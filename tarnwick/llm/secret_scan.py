@@ -26,6 +26,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,10 +49,14 @@ ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 #: Forms of candidates that only the corpus can confirm.
 CANDIDATE = re.compile(
     r"gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}"
-    r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"|-----BEGIN [A-Z ]*PRIVATE KEY-----"
     r"(?:(?:[^-]|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----|(?:(?:\s|\\[nr])+[A-Za-z0-9+/]{16,}={0,2})*+(?:(?:\s|\\[nr])+[A-Za-z0-9+/]+={1,2})?)"
     r"|[A-Za-z0-9+/]{24,}={0,2}"
 )
+#: A signed web token begins so, with at least so many characters in each of three parts. Only the starts of runs are looked at, so that each run is read
+#: three times at most however often the beginning stands in it.
+WEB_TOKEN, PART_CHARS = "eyJ", 8
+THREE_PARTS = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{11,}+)(\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+))")
 
 
 #: What frames a private key and breaks its lines.
@@ -83,14 +90,46 @@ def key_body(value: str) -> str:
     return KEY_FRAME.sub("", value) or value if value.startswith("-----") else value
 
 
+def web_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Every place where a signed web token may begin, with its end, in order."""
+    for m in THREE_PARTS.finditer(text):
+        stop, at = m.end(1), text.find(WEB_TOKEN, m.start(1), m.end(1))
+        while 0 <= at <= stop - len(WEB_TOKEN) - PART_CHARS:
+            yield at, m.end(2)
+            at = text.find(WEB_TOKEN, at + 1, stop)
+
+
+def formed(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of candidates by form, leftmost first and without overlap; of a web token and another form at one place, the token."""
+    if WEB_TOKEN not in text:
+        yield from (m.span() for m in CANDIDATE.finditer(text))
+        return
+    at, tokens, m = 0, web_tokens(text), CANDIDATE.search(text)
+    token = next(tokens, None)
+    while m or token:
+        if token and token[0] < at:
+            token = next(tokens, None)
+        elif m and m.start() < at:
+            m = CANDIDATE.search(text, at)
+        elif token and (m is None or token[0] <= m.start()):
+            yield token
+            at = token[1]
+        else:
+            yield m.span()
+            at = m.end()
+
+
 def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
     """(start, end, value) of what only the corpus can judge: the base findings' values, and further forms outside of them.
 
     A private key may hold base findings; of several candidates with one place there is one.
     """
-    free = lambda m: m[0].startswith("-----") or not any(a < m.end() and m.start() < b for a, _, b, _ in taken)
+    starts, reach = [x[0] for x in taken], list(accumulate((x[2] for x in taken), max))  # reach: the farthest end so far
     found = {(end - len(value), end): value for _, _, end, value in taken}  # a base finding ends with its value
-    found |= {m.span(): key_body(m[0]) for m in CANDIDATE.finditer(text) if free(m)}
+    for a, b in formed(text):
+        k = bisect_left(starts, b)
+        if k == 0 or reach[k - 1] <= a or text.startswith("-----", a):
+            found[a, b] = key_body(text[a:b])
     low = text.lower()
     if any(w in low for w in ASSIGN_WORDS):
         found |= {m.span(2): m[2] for m in ASSIGN.finditer(text) if SHORT_CHARS <= len(m[2]) < BASE_CHARS}

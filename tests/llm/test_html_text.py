@@ -1,4 +1,5 @@
 import random
+import re
 import time
 
 import pytest
@@ -62,6 +63,31 @@ def test_pages_of_a_megabyte_take_seconds(piece):
     assert time.perf_counter() - began < (1 if piece == "<a " else 25)
 
 
+#: Pages whose drawing could outgrow them: what is repeated, after what.
+SPREADING = [
+    ("<details>", "<summary>a</summary>"), ("<table><tr>" + "<td rowspan=65534>x" * 1000, "<tr><td>y"), ("<table><tr>" + "<td rowspan=65534>x" * 999, "<tr><td rowspan=2>y"), ("<ul><li>" * 200, "x<br>"),
+    ("<blockquote>" * 200, "x<br>"), ("", "<ul><li>a"), ("<dl><dd>" * 200, "x<p>"), ("<ul><li>" * 200 + "<table>", "<tr><td>x<td>y"), ("<table><tr><td>" + "x" * 80 + "<td>y", "<tr><td><td>z"),
+]
+
+
+@pytest.mark.parametrize("before, piece", SPREADING)
+def test_pages_of_a_megabyte_stay_within_five_times_their_size(before, piece):
+    began = time.perf_counter()
+    page = before + piece * (1_000_000 // len(piece))
+    text = html_text(page)
+    assert len(text) <= 5 * len(page) and time.perf_counter() - began < 25
+    kept = re.sub("<[^>]*>", "", piece)
+    assert "details" in before or text.count(kept) >= 1_000_000 // len(piece)  # nothing is lost
+
+
+def test_marks_and_indents_through_levels():
+    assert html_text("<blockquote>a<ul><li>b<br><br>c<ol><li>d<li>e<br>f</ol></ul><p>g</blockquote>") == "> a\n>\n> - b\n>\n>   c\n>   1. d\n>   2. e\n>      f\n>\n> g"
+    assert html_text("<ul><li><blockquote>a<p>b</blockquote><li><ul><li>c<br>d</ul></ul>") == "- > a\n  >\n  > b\n- - c\n    d"
+    assert html_text("<dl><dt>a<dd>b<br><br>c<dd></dl>") == "a\n    b\n\n    c"
+    deep = html_text("<ul><li>" * 30 + "a<br>b")
+    assert deep == "- " * 30 + "a\n" + " " * 40 + "b"
+
+
 def twin(rng, depth, in_item=False):
     """A random block as (html, lines, gap): what it should look like is put together from the tree, not from the markup."""
     word = lambda: rng.choice(["ab", "c", "déf", "x&amp;y", "gh ij"])
