@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tarnwick.functions import scores as C
 from tarnwick.functions import text as X
 from tarnwick.operators import adapters as A
+from tarnwick.operators import envelopes as V
 from tarnwick.operators import kernels as K
 from tarnwick.operators import rules as R
 from tarnwick.plans.registry import query, r6
@@ -167,3 +168,43 @@ def similarities(spark, sf_dir):
         return [found] if found else []
 
     return K.grouped(points(spark, sf_dir), ["g"], ["k", "n"], fit, "g long, scale double, degrees double, dx double, dy double, inliers int, residual double")
+
+
+RESULTS = f"""{RECORDS}, r AS (SELECT sample, model, task, c, e1, e2, c >= 0.8 AS att, CASE WHEN sample % 11 = 0 THEN NOT c >= 0.8 ELSE c >= 0.8 END AS passed, sample % 17 = 0 AS failed, CASE WHEN c >= 0.8 THEN (1 / (1 + e1 / 0.1) + coalesce(1 / (1 + e2 / 0.05), 0)) / 2 END AS phys FROM records),
+results AS (SELECT *, 0.15 * c + coalesce(0.85 * phys, 0) + CASE WHEN sample % 7 = 0 THEN 0.1 ELSE 0 END AS total FROM r)"""
+
+
+def results(spark, sf_dir):
+    """A published result in JSON per record: good ones, and some with another total, decision, count or state."""
+    k, c, e1, e2 = (F.col(n) for n in ("sample", "c", "e1", "e2"))
+    attempted = c >= 0.8
+    only = lambda x: F.when(attempted, x)
+    q1, q2 = 1 / (1 + e1 / 0.1), 1 / (1 + e2 / 0.05)
+    physics = only((q1 + F.coalesce(q2, F.lit(0.0))) / 2)
+    total = 0.15 * c + F.coalesce(0.85 * physics, F.lit(0.0)) + F.when(k % 7 == 0, 0.1).otherwise(0.0)
+    metric = lambda n, state, raw, q: F.struct(F.lit(n).alias("id"), F.lit(True).alias("defined"), state.alias("status"), attempted.alias("measurement_attempted"), raw.alias("raw_value"), q.alias("physics_score"))
+    state = lambda ok: F.when(attempted & ok, "measured").when(attempted, "unmeasurable").otherwise("not_run")
+    measured = F.when(attempted, 1 + e2.isNotNull().cast("int")).otherwise(0) + (k % 13 == 0).cast("int")
+    parts = {
+        "schema_version": F.lit(V.VERSION), "task": F.struct(F.col("task").alias("id")), "sample": F.struct(k.cast("string").alias("id"), F.col("model"), F.lit(1).alias("seed")),
+        "status": F.when(k % 17 == 0, "execution_error").when(attempted, "complete").otherwise("consistency_rejected"),
+        "consistency": F.struct(F.lit("evaluated").alias("status"), c.alias("score"), F.lit(0.8).alias("threshold"), (attempted != (k % 11 == 0)).alias("passed")),
+        "physics": F.struct(attempted.alias("attempted"), physics.alias("score"), F.lit("physical").alias("judgment"), F.lit(2).alias("defined_metrics"), measured.alias("measured_metrics")),
+        "metrics": F.struct(metric("M1", state(F.lit(True)), only(e1), only(q1)).alias("M1"), metric("M2", state(e2.isNotNull()), only(e2), only(q2)).alias("M2")),
+        "score": F.struct(total.alias("total"), (0.15 * c).alias("consistency_contribution"), (0.85 * physics).alias("physics_contribution")), "failures": F.array(), "provenance": F.struct(F.lit("v4").alias("evaluator_version")),
+    }
+    return records(spark, sf_dir).select("sample", F.to_json(F.struct(*[v.alias(n) for n, v in parts.items()])).alias("text"))
+
+
+@query(f"""WITH {RESULTS} SELECT sample, array_to_string(list_filter([CASE WHEN passed <> att THEN 'gate_decision' END, CASE WHEN att AND NOT passed THEN 'physics_without_gate' END, CASE WHEN sample % 13 = 0 THEN 'measured_count' END, CASE WHEN failed THEN 'error_total' END, CASE WHEN failed THEN 'error_physics' END,
+    CASE WHEN failed THEN 'error_shares' END, CASE WHEN failed AND att THEN 'error_metrics' END, CASE WHEN NOT failed AND total > 1 THEN 'total_range' END, CASE WHEN NOT failed AND sample % 7 = 0 THEN 'total_equation' END], lambda x: x IS NOT NULL), ';') AS broken FROM results""")
+def result_rules(spark, sf_dir):
+    return V.checked(results(spark, sf_dir), "text").select("sample", F.array_join("broken", ";").alias("broken"))
+
+
+@query(f"""WITH {RESULTS} SELECT task, model, CAST(sample AS VARCHAR) AS sample, CASE WHEN sample % 5 > 0 THEN round(total, 6) END AS total, CASE WHEN sample % 5 = 0 THEN CASE WHEN att THEN 'execution_error' ELSE 'consistency_error' END WHEN failed THEN 'execution_error' WHEN att THEN 'complete' ELSE 'consistency_rejected' END AS status,
+    CASE WHEN sample % 5 > 0 OR att THEN c END AS c, CASE WHEN sample % 5 > 0 OR att THEN passed END AS passed, CASE WHEN sample % 5 > 0 THEN round(phys, 6) END AS physics, att AS attempted FROM results""")
+def results_after_errors(spark, sf_dir):
+    read = V.checked(results(spark, sf_dir), "text")
+    lost = read.withColumn("result", V.after_error(F.col("result"), F.when(F.col("sample") % 5 == 0, "lost")))
+    return V.short_form(lost).select("task", "model", "sample", r6("total"), "status", "c", "passed", r6("physics"), "attempted")
