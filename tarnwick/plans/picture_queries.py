@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarnwick.functions import colour as C
 from tarnwick.operators import edges as E
 from tarnwick.operators import masks as M
+from tarnwick.operators import optics as O
 from tarnwick.operators import surfaces as U
 from tarnwick.operators import templates as P
 from tarnwick.operators import turns as R
@@ -100,11 +101,14 @@ def hough_lines(spark, sf_dir):
     return _lines(edge_pixels(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {LINES}, own AS (SELECT p.sample, p.frame, p.angle, p.rho, x, y, y * cos(radians(p.angle * 2.0::DOUBLE)) - x * sin(radians(p.angle * 2.0::DOUBLE)) AS along FROM peaks p JOIN edges e ON p.sample = e.sample AND p.frame = e.frame
+SEGMENTS = f"""{LINES}, own AS (SELECT p.sample, p.frame, p.angle, p.rho, x, y, y * cos(radians(p.angle * 2.0::DOUBLE)) - x * sin(radians(p.angle * 2.0::DOUBLE)) AS along FROM peaks p JOIN edges e ON p.sample = e.sample AND p.frame = e.frame
     AND abs(x * cos(radians(p.angle * 2.0::DOUBLE)) + y * sin(radians(p.angle * 2.0::DOUBLE)) - p.rho) <= 0.9),
 cut AS (SELECT *, coalesce(CAST(along - lag(along) OVER w > 6.05 AS INTEGER), 0) AS fresh FROM own WINDOW w AS (PARTITION BY sample, frame, angle, rho ORDER BY along, x, y)),
-part AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY sample, frame, angle, rho ORDER BY along, x, y) AS INTEGER) AS part FROM cut)
-SELECT sample, frame, angle, rho, part, arg_min(x, along) AS x0, arg_min(y, along) AS y0, arg_max(x, along) AS x1, arg_max(y, along) AS y1, count(*) AS n, round(max(along) - min(along), 6) AS length FROM part GROUP BY sample, frame, angle, rho, part HAVING max(along) - min(along) >= 10.003""")
+part AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY sample, frame, angle, rho ORDER BY along, x, y) AS INTEGER) AS part FROM cut),
+segments AS (SELECT sample, frame, angle, rho, part, arg_min(x, along) AS x0, arg_min(y, along) AS y0, arg_max(x, along) AS x1, arg_max(y, along) AS y1, count(*) AS n, max(along) - min(along) AS length FROM part GROUP BY sample, frame, angle, rho, part HAVING max(along) - min(along) >= 10.003)"""
+
+
+@query(f"WITH RECURSIVE {SEGMENTS} SELECT * REPLACE (round(length, 6) AS length) FROM segments")
 def hough_segments(spark, sf_dir):
     points = edge_pixels(spark, sf_dir)
     return V.segments(points, _lines(points), near=0.9, gap=6.05, least_length=10.003).withColumn("length", F.round("length", 6))
@@ -228,3 +232,22 @@ def texture_turns(spark, sf_dir):
     places = p.select("sample", "frame").distinct().select("sample", "frame", F.lit(11.0).alias("cx"), F.lit(11.0).alias("cy"), F.lit(10.0).alias("r"))
     found = R.texture_turns(p, places, 72, 8)
     return found.select("sample", "frame", r6("degrees"), r6("chained"), r6("direct"), r6("score"), "valid")
+
+
+@query(f"""WITH RECURSIVE {SEGMENTS}, d AS (SELECT *, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS s, (y0 + y1) / 2.0::DOUBLE - 16 AS off, 32 - (x0 + x1) / 2.0::DOUBLE AS place FROM segments WHERE x1 <> x0 OR y1 <> y0),
+r AS (SELECT *, (y1 - y0) / s AS across, (x0 - x1) / s AS side_way FROM d WHERE abs((y1 - y0) / s) >= 0.02)
+SELECT sample, frame, angle AS line, rho, part, CASE WHEN off < 0 THEN 'first' ELSE 'second' END AS side, round(place - off * side_way / across, 5) + 0.0 AS along, round(degrees(acos(least(1, abs(across)))), 5) AS degrees, round(side_way / across, 5) + 0.0 AS lean FROM r""")
+def ray_angles(spark, sf_dir):
+    points = edge_pixels(spark, sf_dir)
+    parts = V.segments(points, _lines(points), near=0.9, gap=6.05, least_length=10.003).withColumnRenamed("angle", "line")
+    found = O.rays(parts, (32.0, 16.0, 0.0, 1.0))
+    plain = lambda c, n: (F.round(c, 5) + 0.0).alias(n)  # noqa: E731  no negative zero
+    return found.select("sample", "frame", "line", "rho", "part", "side", plain("along", "along"), plain("angle", "degrees"), plain("lean", "lean"))
+
+
+@query(f"""WITH {PICTURES}, p AS (SELECT sample, frame, x AS i, avg(value) * 100 AS y FROM pictures GROUP BY sample, frame, x), c AS (SELECT *, abs(y - median(y) OVER (PARTITION BY sample, frame)) AS c FROM p), t AS (SELECT *, max(c) OVER (PARTITION BY sample, frame) AS top FROM c),
+k AS (SELECT *, i - row_number() OVER (PARTITION BY sample, frame ORDER BY i) AS k FROM t WHERE top >= 1 AND c > greatest(1, 0.45 * top)), b AS (SELECT sample, frame, min(i) AS start, max(i) AS stop, sum(c * i) / sum(c) AS centre, max(c) AS peak FROM k GROUP BY sample, frame, k HAVING count(*) >= 2)
+SELECT sample, frame, CAST(row_number() OVER (PARTITION BY sample, frame ORDER BY start) AS INTEGER) AS ridge, start, stop, round(centre, 6) AS centre, round(peak, 6) AS peak FROM b""")
+def profile_ridges(spark, sf_dir):
+    columns = pictures(spark, sf_dir).groupBy("sample", "frame", F.col("x").alias("i")).agg((F.avg("value") * 100).alias("y"))
+    return O.ridges(columns, ["sample", "frame"], least=1.0).select("sample", "frame", "ridge", "start", "stop", r6("centre"), r6("peak"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tarnwick.functions import colour as C
 from tarnwick.operators import edges as E
 from tarnwick.operators import masks as M
+from tarnwick.operators import optics as O
 from tarnwick.operators import surfaces as U
 from tarnwick.operators import templates as P
 from tarnwick.operators import turns as R
@@ -331,3 +332,45 @@ def test_correlation_around_equals_shifting():
     a, b = draw.standard_normal((2, 5, 24))
     plain = [(a * np.roll(b, s, axis=1)).sum() / np.sqrt((a * a).sum() * (b * b).sum()) for s in range(24)]
     assert R.around(a, b) == pytest.approx(plain)
+
+
+def test_rays_at_an_interface(spark):
+    # a level interface at y = 50: one ray comes down at 30 degrees, one goes on at 20, one runs along it
+    t30, t20 = float(np.tan(np.radians(30))), float(np.tan(np.radians(20)))
+    rows = [("s", 0, 40 - 30 * t30, 20.0, 40 - 10 * t30, 40.0), ("s", 0, 40 + 10 * t20, 60.0, 40 + 40 * t20, 90.0), ("s", 0, 0.0, 50.0, 30.0, 50.1), ("s", 0, 1.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "sample string, frame int, x0 double, y0 double, x1 double, y1 double")
+    a, b = O.rays(df, (10.0, 50.0, 0.0, 1.0)).orderBy("side").collect()
+    assert (a.side, b.side) == ("first", "second") and (a.angle, b.angle) == pytest.approx((30, 20)) and (a.along, b.along) == pytest.approx((-30, -30))
+    assert (a.lean, b.lean) == pytest.approx((-t30, -t20))
+    turned = df.selectExpr("sample", "frame", "y0 as x0", "x0 as y0", "y1 as x1", "x1 as y1")  # an upright interface
+    assert [r.angle for r in O.rays(turned, (50.0, 10.0, 1.0, 0.0)).orderBy("side").collect()] == pytest.approx([30, 20])
+
+
+def test_edges_of_a_beam_are_one_ray_and_beams_apart_two(spark):
+    rows = [("s", 0, "first", 100.0, 30.0, 0.5, 50.0), ("s", 0, "first", 108.0, 31.0, 0.5, 100.0), ("s", 0, "first", 160.0, 30.0, 0.5, 20.0), ("s", 0, "first", 104.0, 30.0, -0.5, 20.0), ("s", 0, "second", 104.0, 30.0, 0.5, 20.0)]
+    df = spark.createDataFrame(rows, "sample string, frame int, side string, along double, angle double, lean double, length double")
+    found = {(r.side, r.cluster): r for r in O.ray_clusters(df, 400).collect()}
+    assert len(found) == 4 and (found["first", 0].n, found["first", 0].length) == (2, 100.0)
+    assert found["first", 0].along == pytest.approx((100 * 108 + 50 * 100) / 150) and found["first", 0].angle == pytest.approx((100 * 31 + 50 * 30) / 150)
+
+
+def test_ridges_bright_and_dark(spark):
+    y = np.full(60, 100.0)
+    y[10:14] = [120, 150, 150, 120]
+    y[30:32] = 60
+    y[50] = 200  # a single place is no band
+    rows = [("a", i, float(v)) for i, v in enumerate(np.where(np.arange(60) == 50, 150, y))] + [("b", i, 5.0) for i in range(9)]
+    found = O.ridges(spark.createDataFrame(rows, "k string, i int, y double"), ["k"]).orderBy("start").collect()
+    assert [(r.k, r.ridge, r.start, r.stop) for r in found] == [("a", 1, 11, 12), ("a", 2, 30, 31)] and [r.centre for r in found] == pytest.approx([11.5, 30.5])
+
+
+def test_walls_of_a_drawn_vessel(spark):
+    p = np.full((80, 120), 200.0)
+    p[20:70, 30] = p[20:70, 85] = 40
+    p[10:14, :] = 90  # a level line is no wall
+    p[40:46, 57] = 60  # nor is a short mark
+    (r,) = O.vessel_walls(pixels(spark, p, np.full((80, 120), 9.0))).collect()
+    assert r.frame == 0 and abs(r.x0 - 30) <= 2 and abs(r.x1 - 85) <= 2 and abs(r.y0 - 20) <= 2 and abs(r.y1 - 69) <= 2
+    near = np.full((80, 120), 200.0)
+    near[20:70, 30] = near[20:70, 40] = 40  # too near each other
+    assert O.walls(near) is None
