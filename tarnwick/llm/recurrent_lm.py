@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections import Counter
 from heapq import heapify, heapreplace
+from itertools import repeat
 from math import log, log10
 
 import numpy as np
@@ -322,7 +323,7 @@ def _encoded(docs: DataFrame, counts: Counts, document, held_out) -> DataFrame:
             words, times = [], []
             for text in b.column("text"):
                 tokens = words_of(text.as_py())
-                places = np.fromiter((known.get(w, -1) for w in tokens), np.int64, len(tokens))
+                places = np.fromiter(map(known.get, tokens, repeat(-1)), np.int64, len(tokens))
                 lost = np.flatnonzero(places < 0)
                 found = Counter(tokens[i] for i in lost.tolist())
                 few = places >= model
