@@ -53,3 +53,17 @@ def test_reordered_passages_are_found_and_clean_texts_left(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in want}
     assert contaminated(docs, bench.limit(0)).count() == 0 and contaminated(docs.limit(0), bench).count() == 0
     assert decontaminated(docs, bench.limit(0)).count() == len(texts)
+
+
+def test_seeds_joined_by_hash_give_the_same_tiles_as_a_held_benchmark(spark):
+    rng = random.Random(11)
+    items = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 30))) for _ in range(25)]
+    mixed = lambda: " ".join(rng.choice([words(rng, 5), *rng.sample(items, 3), " ".join(rng.choice(items).split()[: rng.randrange(2, 20)])]) for _ in range(rng.randrange(1, 8)))
+    texts = [mixed() for _ in range(40)] + edge_texts()
+    docs = documents(spark, texts).repartition(3)
+    bench = spark.createDataFrame([*enumerate(items), (100, items[3]), (None, items[4])], "item_id long, text string")
+    rows = lambda **k: sorted((r.doc_id, str(r.item_id), r.coverage, r.n_tiles, r.longest_tile, str(r.tiles)) for r in contaminated(docs, bench, threshold=0.3, **k).collect())
+    held, joined = rows(), rows(block_tokens=0)
+    assert held == joined and len(held) > 40
+    kept = lambda **k: sorted(r.doc_id for r in decontaminated(docs, bench, threshold=0.3, **k).collect())
+    assert kept() == kept(block_tokens=0) == sorted(set(range(len(texts))) - {d for d, *_ in held})
