@@ -16,7 +16,7 @@ Bounds: the model's `words`, `width`, `classes`; the `held` most frequent words
 The corpus itself is neither sampled nor cut. Encoded training documents stand in shards of about `shard` tokens, a very long document more than that.
 
 Defined results: null and empty texts are one end token; texts are read whole; repeated rows are each scored and learned; a null id is
-not held out; without training documents the model is uniform over the classes and the base score of any text is 0; an
+not held out; without training documents the model knows its two tokens alone, as it starts, and the base score of any text is 0; an
 empty table gives an empty result; further columns are not carried.
 """
 
@@ -38,6 +38,19 @@ RARE, END = 0, 1
 LN10 = log(10)
 
 
+def exponentials(w: np.ndarray, b: np.ndarray, across: np.ndarray) -> np.ndarray:
+    """exp(w h + b) for the states in the columns of `across`, up to a factor for each column.
+
+    States lie within 1 on both sides, so the weights' sizes bound every sum: only where those bounds allow an overflow, or all terms to vanish, the greatest is taken off first.
+    """
+    e = w @ across
+    e += b[:, None]
+    size = np.abs(w).sum(1)
+    if (b + size).max() > 60 or (b - size).max() < -60:
+        e -= e.max(0)
+    return np.exp(e, out=e)
+
+
 class Recurrent:
     """Parameters of the network and its passes over windows of streams.
 
@@ -122,10 +135,7 @@ class Recurrent:
         s, group, place = h[order], group[order], place[order]
         across = np.ascontiguousarray(s.T)
         rows = np.arange(len(target))
-        a = self.cw @ across
-        a += self.cb[:, None]
-        a -= a.max(0)
-        np.exp(a, out=a)
+        a = exponentials(self.cw, self.cb, across)
         total = a.sum(0)
         said = np.log(a[group, rows] / total)
         if learn:
@@ -137,10 +147,7 @@ class Recurrent:
         for g, end in enumerate(np.cumsum(np.bincount(group, minlength=len(self.cb))).tolist()):
             if end == at:
                 continue
-            e = self.ww[g] @ across[:, at:end]
-            e += self.wb[g][:, None]
-            e -= e.max(0)
-            np.exp(e, out=e)
+            e = exponentials(self.ww[g], self.wb[g], across[:, at:end])
             total, p, k = e.sum(0), place[at:end], rows[: end - at]
             said[at:end] += np.log(e[p, k] / total)
             if learn:
