@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnwick.operators import measures as M
-from tarnwick.plans.registry import query
+from tarnwick.plans.registry import query, rounded
 from tarnwick.plans.views import SERIES, series
 
 DAY = 86_400.0
@@ -21,7 +21,7 @@ OBS = f"""{SERIES}, obs AS (SELECT CAST(track // 2 AS VARCHAR) AS sample, CASE W
 
 
 def long(df):
-    return df.select("sample", F.explode("quantities").alias("name", "value")).withColumn("value", F.round("value", 4))
+    return df.select("sample", F.explode("quantities").alias("name", "value")).withColumn("value", rounded(F.col("value"), 4))
 
 
 @query(f"""WITH {OBS}, c AS (SELECT *, y - avg(y) OVER (PARTITION BY sample, object) AS c FROM obs WHERE valid), n AS (SELECT *, lead(c) OVER w AS cn, lead(t) OVER w AS tn FROM c WINDOW w AS (PARTITION BY sample, object ORDER BY i)),

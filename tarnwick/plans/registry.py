@@ -22,7 +22,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """As SQL's round() has it for doubles: the product with a power of ten is rounded, so that 1.0484375, whose double lies below, goes down."""
+    scale = float(10**digits)
+    return F.when(F.abs(x) < 1e300, F.round(x * scale) / scale).otherwise(x)
+
+
 def r6(x: Column | str, name: str | None = None) -> Column:
     """To six decimals: sums in another order then give the same value."""
-    out = F.round(F.col(x) if isinstance(x, str) else x, 6)
+    out = rounded(F.col(x) if isinstance(x, str) else x, 6)
     return out.alias(name or x) if name or isinstance(x, str) else out
