@@ -179,7 +179,8 @@ h AS (SELECT vec_id, m, 30 * CASE WHEN d = 0 THEN 0 WHEN m = red THEN (green - b
 k AS (SELECT vec_id, m, s, CASE WHEN h < 0 THEN h + 180 ELSE h END AS h FROM h) SELECT vec_id, round(h, 6) AS hue, round(s, 6) AS saturation, m AS value, least(abs(h - 170), 180 - abs(h - 170)) <= 14 AND s >= 40 AND m >= 60 AS reddish FROM k""")
 def colour_masks(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    red, green, blue = (F.floor(128 + 300 * F.col("embedding")[k]).cast("double") for k in range(3))
+    of, by = F.lit(128.0).cast("float"), F.lit(300.0).cast("float")  # single precision like the vectors
+    red, green, blue = (F.floor(of + by * F.col("embedding")[k]).cast("double") for k in range(3))
     hue, saturation, value = C.hsv(red, green, blue)
     rows = e.select("vec_id", hue.alias("hue"), saturation.alias("saturation"), value.alias("value"))
     return rows.select("vec_id", r6("hue"), r6("saturation"), "value", C.of_colour(F.col("hue"), F.col("saturation"), F.col("value"), 170.0, 14.0, 40.0, 60.0).alias("reddish"))

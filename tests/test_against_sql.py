@@ -36,3 +36,10 @@ def test_ratios_after_a_zero_and_at_a_tie_of_decimals(spark, tmp_path):
     events(tmp_path, {1: [3.0, 0.0, 5.0, 0.0, 0.0, 2.0], 2: [6.4, 6.71, 1.0]})
     found, wanted = both(spark, tmp_path, "successive_ratio", "events")
     assert found == wanted and "(1, 3, inf, inf)" in found and "(1, 5, nan, nan)" in found and any("1.048437," in r for r in found)
+
+
+def test_colours_in_single_precision(spark, tmp_path):
+    vectors = [[0.3116152584552765, 0.22763808071613312, -0.003333343891426921], [0.1, 0.2, 0.3], [-0.1, -0.1, -0.1]]
+    pq.write_table(pa.table({"vec_id": [1, 2, 3], "embedding": pa.array(vectors, pa.list_(pa.float32())), "label": [0, 1, 2]}), f"{tmp_path}/embeddings.parquet")
+    found, wanted = both(spark, tmp_path, "colour_masks", "embeddings")
+    assert found == wanted and "(1, 22.021277, 108.461538, 221.0, False)" in found
