@@ -43,3 +43,10 @@ def test_colours_in_single_precision(spark, tmp_path):
     pq.write_table(pa.table({"vec_id": [1, 2, 3], "embedding": pa.array(vectors, pa.list_(pa.float32())), "label": [0, 1, 2]}), f"{tmp_path}/embeddings.parquet")
     found, wanted = both(spark, tmp_path, "colour_masks", "embeddings")
     assert found == wanted and "(1, 22.021277, 108.461538, 221.0, False)" in found
+
+
+def test_candidates_equally_near(spark, tmp_path):
+    values = [14.03, 33.7, 104.04, 54.63, 21.92, 68.37, 7.0, 3.61, 38.96, 17.6, 10.06, 27.32, 0.2, 42.49, 35.0, 9.81, 20.34, 79.24, 34.79, 13.5, 4.72, 110.09, 8.25, 46.73, 86.72, 5.53, 6.64, 6.65]
+    events(tmp_path, {1: values})
+    found, wanted = both(spark, tmp_path, "frame_association", "events")
+    assert found == wanted
