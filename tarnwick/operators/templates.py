@@ -25,7 +25,7 @@ def packed(pixels: DataFrame, sample: str = "sample", frame: str = "frame") -> D
         return [(p.shape[1], p.astype(np.float32).tobytes())]
 
     kinds = dict(pixels.dtypes)
-    return K.grouped(pixels.select(sample, frame, "x", "y", "value"), [sample, frame], ["y", "x"], pack, f"{sample} {kinds[sample]}, {frame} {kinds[frame]}, width int, picture binary")
+    return K.grouped(pixels.select(sample, frame, "x", "y", "value"), [sample, frame], [], pack, f"{sample} {kinds[sample]}, {frame} {kinds[frame]}, width int, picture binary")
 
 
 def unpacked(width: int, picture: bytes) -> np.ndarray:

@@ -7,6 +7,8 @@ direct one stands, as its error does not add up.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,12 +24,18 @@ RINGS, LEAST_RADIUS, LEAST_TEXTURE, LARGEST_STEP, LEAST_CORRELATION, AMBIGUOUS,
 AGREED = 10.0
 
 
+@lru_cache(maxsize=8)
+def rings_at(cx: float, cy: float, r: float, angles: int, rings: int) -> tuple[np.ndarray, np.ndarray]:
+    """x and y of the places on rings around a centre; discs that stand still share them."""
+    turn, away = 2 * np.pi * np.arange(angles) / angles, r * np.linspace(*RINGS, rings)[:, None]
+    return cx + away * np.cos(turn), cy + away * np.sin(turn)
+
+
 def polar(p: np.ndarray, cx: float, cy: float, r: float, angles: int = 360, rings: int = 30) -> np.ndarray | None:
     """Values on rings around a centre, each ring less its mean, by bilinear interpolation; None beyond the picture or without texture."""
     if not np.isfinite([cx, cy, r]).all() or r < LEAST_RADIUS:
         return None
-    turn, away = 2 * np.pi * np.arange(angles) / angles, r * np.linspace(*RINGS, rings)[:, None]
-    x, y = cx + away * np.cos(turn), cy + away * np.sin(turn)
+    x, y = rings_at(cx, cy, r, angles, rings)
     if min(x.min(), y.min()) < 0 or x.max() >= p.shape[1] - 1 or y.max() >= p.shape[0] - 1:
         return None
     i, j = x.astype(int), y.astype(int)

@@ -202,12 +202,17 @@ def tint_surfaces(spark, sf_dir):
 
 
 def discs(spark, sf_dir):
-    """Six pictures of 23 by 23 for each vector: 36 sectors of a disc hold its first numbers, and turn by 7 degrees and more from picture to picture."""
+    """Six pictures of 23 by 23 for each vector: 36 sectors of a disc hold its first numbers, and turn by 7 degrees and more from picture to picture. With the discs' places.
+
+    Frames are dealt out before they become pixels: a file of vectors is one task, and its pixels, a thousand times as many bytes, need no shuffle then.
+    """
     frames = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("frame"), "embedding")
+    frames = frames.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sample", "frame")
+    places = frames.select("sample", "frame").distinct().select("sample", "frame", F.lit(11.0).alias("cx"), F.lit(11.0).alias("cy"), F.lit(10.0).alias("r"))
     spots = frames.select("*", F.explode(F.sequence(F.lit(0), F.lit(22))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(22))).alias("x"))
     turned = F.degrees(F.atan2(F.col("y") - 11.0, F.col("x") - 11.0)) - F.col("frame") * (7 + F.col("sample") % 5)
     sector = F.floor(F.pmod(F.round(turned, 6), F.lit(360.0)) / 10).cast("int")
-    return spots.select("sample", "frame", "x", "y", (128 + 400 * F.get("embedding", sector).cast("double")).alias("value"))
+    return spots.select("sample", "frame", "x", "y", (128 + 400 * F.get("embedding", sector).cast("double")).alias("value")), places
 
 
 @query("""WITH spots AS MATERIALIZED (SELECT vec_id AS sample, frame::INTEGER AS frame, x, y, (128 + 400 * embedding[CAST(floor(((round(degrees(atan2(y - 11.0::DOUBLE, x - 11.0::DOUBLE)) - frame * (7 + vec_id % 5), 6) % 360) + 360) % 360 / 10) AS INTEGER) + 1]::DOUBLE)::FLOAT::DOUBLE AS value
@@ -221,16 +226,14 @@ d AS (SELECT *, (s * 10 + 180) % 360 - 180 AS g, max(c) OVER (PARTITION BY sampl
 n AS (SELECT best.*, p.c AS lo, q.c AS hi FROM best JOIN c p ON p.sample = best.sample AND p.frame = best.frame AND p.s = (best.s + 35) % 36 JOIN c q ON q.sample = best.sample AND q.frame = best.frame AND q.s = (best.s + 1) % 36)
 SELECT sample, frame, round((s * 10 + 180) % 360 - 180 + CASE WHEN lo - 2 * c + hi < -1e-12 THEN 10 * greatest(-0.5, least(0.5, 0.5 * (lo - hi) / (lo - 2 * c + hi))) ELSE 0 END, 5) AS step, round(c, 6) AS score, top - c > 0.05 AS doubtful FROM n""")
 def texture_steps(spark, sf_dir):
-    p = discs(spark, sf_dir)
-    places = p.select("sample", "frame").distinct().select("sample", "frame", F.lit(11.0).alias("cx"), F.lit(11.0).alias("cy"), F.lit(10.0).alias("r"))
+    p, places = discs(spark, sf_dir)
     read = R.polar_pictures(p, places, 36, 4).withColumn("before", F.lag("polar").over(Window.partitionBy("sample").orderBy("frame"))).filter("before is not null and polar is not null")
     return R.steps_between(read, 36, 4).select("sample", "frame", F.round("step", 5).alias("step"), r6("score"), "doubtful")
 
 
 @query()
 def texture_turns(spark, sf_dir):
-    p = discs(spark, sf_dir)
-    places = p.select("sample", "frame").distinct().select("sample", "frame", F.lit(11.0).alias("cx"), F.lit(11.0).alias("cy"), F.lit(10.0).alias("r"))
+    p, places = discs(spark, sf_dir)
     found = R.texture_turns(p, places, 72, 8)
     return found.select("sample", "frame", r6("degrees"), r6("chained"), r6("direct"), r6("score"), "valid")
 

@@ -374,3 +374,13 @@ def test_walls_of_a_drawn_vessel(spark):
     near = np.full((80, 120), 200.0)
     near[20:70, 30] = near[20:70, 40] = 40  # too near each other
     assert O.walls(near) is None
+
+
+def test_frames_are_dealt_out_before_they_become_pixels(spark):
+    from tarnwick.plans import picture_queries as Q
+
+    pixels, places = Q.discs(spark, "/root/testdata/sf0.001")
+    assert pixels.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert places.count() * 23 * 23 == pixels.count()
+    plan = pixels.groupBy("sample", "frame").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate explode", plan.index("HashAggregate")) < plan.index("Exchange hashpartitioning")
