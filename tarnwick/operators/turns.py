@@ -89,12 +89,18 @@ def texture_turn(polars: list[np.ndarray | None]) -> list[tuple[float | None, fl
     return out
 
 
+def parts(batches, rows: int = 256):
+    """Batches of few rows: pictures are held as Python and NumPy objects besides, and Arrow's batches have ten thousand rows."""
+    for b in batches:
+        yield from (b.slice(k, rows) for k in range(0, b.num_rows, rows))
+
+
 def polar_pictures(pixels: DataFrame, places: DataFrame, angles: int = 360, rings: int = 30) -> DataFrame:
     """sample, frame, polar (binary, null if it cannot be read) for the discs of `places` (sample, frame, cx, cy, r)."""
     kinds = dict(pixels.dtypes)
 
     def read(batches):
-        for b in batches:
+        for b in parts(batches):
             columns = [b.column(n).to_pylist() for n in ("width", "picture", "cx", "cy", "r")]
             found = [polar(unpacked(w, p), *(np.nan if v is None else v for v in at), angles, rings) for w, p, *at in zip(*columns)]
             yield pa.RecordBatch.from_arrays([b.column("sample"), b.column("frame"), pa.array([None if f is None else f.tobytes() for f in found], pa.binary())], names=["sample", "frame", "polar"])
@@ -120,7 +126,7 @@ def steps_between(pairs: DataFrame, angles: int = 360, rings: int = 30) -> DataF
     kinds = dict(pairs.dtypes)
 
     def compare(batches):
-        for b in batches:
+        for b in parts(batches):
             a, c = ([np.frombuffer(x.as_py()).reshape(rings, angles) for x in b.column(n)] for n in ("polar", "before"))
             step, score, doubtful = zip(*(best_turn(around(x, y), LARGEST_STEP) for x, y in zip(a, c)))
             yield pa.RecordBatch.from_arrays([b.column("sample"), b.column("frame"), pa.array(step), pa.array(score), pa.array(doubtful)], names=["sample", "frame", "step", "score", "doubtful"])

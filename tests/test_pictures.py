@@ -376,6 +376,14 @@ def test_walls_of_a_drawn_vessel(spark):
     assert O.walls(near) is None
 
 
+def test_polar_pictures_hold_few_pictures_at_once():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"frame": list(range(1000))})
+    found = list(R.parts([batch, batch.slice(0, 0), batch.slice(0, 3)]))
+    assert max(b.num_rows for b in found) == 256 and [k for b in found for k in b.column("frame").to_pylist()] == [*range(1000), 0, 1, 2]
+
+
 def test_frames_are_dealt_out_before_they_become_pixels(spark):
     from tarnwick.plans import picture_queries as Q
 
