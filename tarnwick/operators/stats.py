@@ -107,13 +107,22 @@ def solve3(m: list[list[Column]], v: list[Column]) -> list[Column]:
 
 def normal3(df: DataFrame, keys: list[str], basis: list[Column], y: Column) -> DataFrame:
     """c0, c1, c2 of the least-squares combination of three basis columns, n and rmse."""
-    sums = {f"m{r}{c}": F.sum(basis[r] * basis[c]) for r in range(3) for c in range(r, 3)} | {f"v{r}": F.sum(basis[r] * y) for r in range(3)}
-    out = df.groupBy(*keys).agg(F.count(y).alias("n"), F.sum(y * y).alias("yy"), *[s.alias(k) for k, s in sums.items()])
+    return normal3s(df, keys, basis, {"": y}).select(*keys, "n", "c0", "c1", "c2", "rmse")
+
+
+def normal3s(df: DataFrame, keys: list[str], basis: list[Column], ys: dict[str, Column], *more: Column) -> DataFrame:
+    """n, c0, c1, c2 and rmse, each with the name of its y behind it, by one aggregation for all ys, and further aggregates with it."""
+    sums = {f"m{r}{c}": F.sum(basis[r] * basis[c]) for r in range(3) for c in range(r, 3)}
+    for name, y in ys.items():
+        sums |= {f"n{name}": F.count(y), f"yy{name}": F.sum(y * y)} | {f"v{r}{name}": F.sum(basis[r] * y) for r in range(3)}
+    out = df.groupBy(*keys).agg(*[s.alias(k) for k, s in sums.items()], *more)
     m = [[F.col(f"m{min(r, c)}{max(r, c)}") for c in range(3)] for r in range(3)]
-    found = solve3(m, [F.col(f"v{r}") for r in range(3)])
-    out = out.withColumns({f"c{k}": c for k, c in enumerate(found)})
-    left = F.col("yy") - F.col("c0") * F.col("v0") - F.col("c1") * F.col("v1") - F.col("c2") * F.col("v2")
-    return out.select(*keys, "n", "c0", "c1", "c2", F.sqrt(F.greatest(F.lit(0.0), left) / F.col("n")).alias("rmse"))
+    for name in ys:
+        v = [F.col(f"v{r}{name}") for r in range(3)]
+        out = out.withColumns({f"c{k}{name}": c for k, c in enumerate(solve3(m, v))})
+        left = F.col(f"yy{name}") - F.col(f"c0{name}") * v[0] - F.col(f"c1{name}") * v[1] - F.col(f"c2{name}") * v[2]
+        out = out.withColumn(f"rmse{name}", F.sqrt(F.try_divide(F.greatest(F.lit(0.0), left), F.col(f"n{name}"))))
+    return out.drop(*sums.keys() - {f"n{name}" for name in ys})
 
 
 def parabola(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
