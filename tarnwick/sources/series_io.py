@@ -18,6 +18,7 @@ import csv
 import io
 import os
 import shutil
+import time
 import uuid
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
@@ -94,6 +95,7 @@ class TrackWriter(DataSourceArrowWriter):
     def __init__(self, path: str, keys: list[str], suffix: str, encode, overwrite: bool):
         self.path, self.keys, self.suffix, self.encode, self.overwrite = path, keys, suffix, encode, overwrite
         self.staging = os.path.join(path, f"_staging-{uuid.uuid4().hex}")
+        os.makedirs(self.staging)  # by the driver alone: a task that outlives an abort finds no folder and can't leave one behind
 
     def write(self, iterator) -> Written:
         batches = [b for b in iterator if len(b)]
@@ -103,7 +105,6 @@ class TrackWriter(DataSourceArrowWriter):
         columns = [n for n in table.column_names if n not in self.keys]
         table = table.sort_by([(n, "ascending") for n in [*self.keys, *columns[:1]]])
         keys = list(zip(*(table.column(k).to_pylist() for k in self.keys)))
-        os.makedirs(self.staging, exist_ok=True)
         files, at = [], 0
         for end in range(1, len(keys) + 1):
             if end < len(keys) and keys[end] == keys[at]:
@@ -127,10 +128,17 @@ class TrackWriter(DataSourceArrowWriter):
             os.replace(staged, os.path.join(self.path, name))
         for name in old - set(names):
             os.remove(os.path.join(self.path, name))
-        shutil.rmtree(self.staging, ignore_errors=True)
+        self.clear()
 
     def abort(self, messages) -> None:
-        shutil.rmtree(self.staging, ignore_errors=True)
+        self.clear()
+
+    def clear(self) -> None:
+        for _ in range(50):  # a task not yet stopped may put a file into the folder while it is emptied
+            shutil.rmtree(self.staging, ignore_errors=True)
+            if not os.path.isdir(self.staging):
+                break
+            time.sleep(0.1)
 
 
 class TrackReader(DataSourceReader):

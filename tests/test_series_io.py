@@ -87,6 +87,16 @@ def test_a_second_attempt_does_not_show_twice(tmp_path):
     assert sorted(os.listdir(tmp_path)) == [S.file_name(["a"], ".csv"), S.file_name(["b"], ".csv")]
 
 
+def test_a_task_that_outlives_an_abort_leaves_nothing(tmp_path):
+    import pyarrow as pa
+
+    writer = S.TrackWriter(str(tmp_path), ["track"], ".csv", S.as_csv, False)
+    writer.abort([])
+    with pytest.raises(FileNotFoundError):
+        writer.write(iter([pa.RecordBatch.from_pydict({"track": ["a"], "i": [1]})]))
+    assert os.listdir(tmp_path) == []
+
+
 def test_a_track_in_several_tasks_stops_the_job(spark, kind, tmp_path):
     df = spark.createDataFrame([("a", 0, i, 0.0, "", True) for i in range(8)], SCHEMA).repartition(4)
     with pytest.raises(Exception, match="several tasks"):
