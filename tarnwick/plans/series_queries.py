@@ -169,7 +169,7 @@ SELECT d.track, max(a.arrival) AS arrival, CASE WHEN count(*) FILTER (i <= arriv
 def arrival_speed(spark, sf_dir):
     from pyspark.sql import Window
 
-    way = series(spark, sf_dir).withColumn("y", F.sum("y").over(Window.partitionBy("track").orderBy("i")))
+    way = series(spark, sf_dir).filter("track is not null").withColumn("y", F.sum("y").over(Window.partitionBy("track").orderBy("i")))
     return S.arrival(way, 4000).select("track", "arrival", F.round("speed", 9).alias("speed"))
 
 

@@ -14,9 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One track per user of events: frame number, seconds, value; error events count as unobserved."""
+    """One track per user of events: frame number, seconds, value; error events count as unobserved, and frames without a time come last."""
     e = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    i = F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id"))
+    i = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("us").asc_nulls_last(), F.col("event_id").asc_nulls_last()))
     return e.select(F.col("user_id").alias("track"), i.alias("i"), (F.col("us") / 1e6).alias("t"), F.col("value").alias("y"), (F.col("event_type") != "error").alias("valid"), "event_type")
 
 

@@ -66,3 +66,16 @@ def test_a_value_that_is_the_mean_in_rows_out_of_order(spark, tmp_path):
     orders = [rows, rows[::-1], sorted(rows, key=lambda r: r[3]), sorted(rows, key=lambda r: -r[3]), sorted(rows, key=lambda r: r[1] * 7 % 58)]
     frames = [spark.createDataFrame(o, "track long, i int, t double, y double, valid boolean").coalesce(1) for o in orders]
     assert len({S.crossing_period(df).first() for df in frames}) == 1
+
+
+def without_a_track_or_a_time(path):
+    """Twelve frames of no track, and of track 1 a frame early in the table without a time."""
+    events(path, {1: [500.0 + k for k in range(12)], 2: [40.0] * 12, None: [600.0] * 12})
+    t = pq.read_table(f"{path}/events.parquet")
+    pq.write_table(t.set_column(1, "ts", pa.array([None if k == 3 else v for k, v in enumerate(t["ts"].to_pylist())], pa.timestamp("us"))), f"{path}/events.parquet")
+
+
+def test_arrival_without_a_track_or_a_time(spark, tmp_path):
+    without_a_track_or_a_time(tmp_path)
+    found, wanted = both(spark, tmp_path, "arrival_speed", "events")
+    assert found == wanted and len(found) == 2
