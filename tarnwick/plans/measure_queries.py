@@ -60,7 +60,7 @@ q AS (SELECT sample, CASE object WHEN 'a' THEN 't_metal' ELSE 't_plain' END AS n
 def measured_arrivals(spark, sf_dir):
     from pyspark.sql import Window
 
-    way = observations(spark, sf_dir).withColumn("y", F.sum("y").over(Window.partitionBy("sample", "object").orderBy("i")))
+    way = observations(spark, sf_dir).filter("sample is not null").withColumn("y", F.sum("y").over(Window.partitionBy("sample", "object").orderBy("i")))
     named = way.withColumn("object", F.when(F.col("object") == "a", "metal").otherwise("plain"))
     return long(M.arrivals(named, 3000))
 

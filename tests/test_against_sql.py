@@ -79,3 +79,9 @@ def test_arrival_without_a_track_or_a_time(spark, tmp_path):
     without_a_track_or_a_time(tmp_path)
     found, wanted = both(spark, tmp_path, "arrival_speed", "events")
     assert found == wanted and len(found) == 2
+
+
+def test_arrivals_of_pairs_without_a_track_or_a_time(spark, tmp_path):
+    without_a_track_or_a_time(tmp_path)
+    found, wanted = both(spark, tmp_path, "measured_arrivals", "events")
+    assert found == wanted and len(found) == 2
