@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.operators import kernels as K
 from tarnwick.operators import series as S
-from tarnwick.plans.registry import query, r6
+from tarnwick.plans.registry import query, r6, rounded
 from tarnwick.plans.views import SERIES, series
 
 DAY = 86_400.0
@@ -74,17 +74,17 @@ crossed AS (SELECT track, i, sign(c) AS side, CASE WHEN c = 0 THEN t ELSE t + (t
 
 @query(CROSSED + " SELECT track, i, round(tc, 3) AS tc FROM crossed")
 def zero_crossings(spark, sf_dir):
-    return S.crossings(series(spark, sf_dir)).select("track", "i", F.round("tc", 3).alias("tc"))
+    return S.crossings(series(spark, sf_dir)).select("track", "i", rounded(F.col("tc"), 3).alias("tc"))
 
 
 @query(CROSSED + ", g AS (SELECT track, 2 * (tc - lag(tc) OVER (PARTITION BY track ORDER BY tc)) AS g FROM crossed) SELECT track, count(*) AS n_crossings, CASE WHEN count(*) >= 3 THEN round(median(g), 3) END AS period FROM g GROUP BY track")
 def period_from_crossings(spark, sf_dir):
-    return S.crossing_period(series(spark, sf_dir)).select("track", "n_crossings", F.round("period", 3).alias("period"))
+    return S.crossing_period(series(spark, sf_dir)).select("track", "n_crossings", rounded(F.col("period"), 3).alias("period"))
 
 
 @query(CROSSED + ", g AS (SELECT track, tc - lag(tc) OVER (PARTITION BY track, side ORDER BY tc) AS g FROM crossed) SELECT track, count(g) AS n_cycles, round(median(g), 3) AS period FROM g GROUP BY track")
 def full_cycle_period(spark, sf_dir):
-    return S.full_cycles(series(spark, sf_dir)).select("track", "n_cycles", F.round("period", 3).alias("period"))
+    return S.full_cycles(series(spark, sf_dir)).select("track", "n_cycles", rounded(F.col("period"), 3).alias("period"))
 
 
 @query(f"""WITH {SERIES}, n AS (SELECT *, count(*) OVER (PARTITION BY track) AS n FROM series), h AS (SELECT *, greatest(3, least(8, n // 8)) AS head FROM n),
@@ -119,14 +119,14 @@ f AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY i) AS k FROM l WH
 SELECT s.track, round(CASE WHEN f.m0 IS NULL THEN f.t ELSE f.t0 + CASE WHEN f.m > f.m0 THEN greatest(0, least(1, (400 - f.m0) / (f.m - f.m0))) ELSE 0 END * (f.t - f.t0) END, 3) AS reached
 FROM (SELECT DISTINCT track FROM series) s LEFT JOIN f ON f.track = s.track AND f.k = 1""")
 def level_crossing_time(spark, sf_dir):
-    return S.level_time(series(spark, sf_dir), F.lit(400.0)).select("track", F.round("at", 3).alias("reached"))
+    return S.level_time(series(spark, sf_dir), F.lit(400.0)).select("track", rounded(F.col("at"), 3).alias("reached"))
 
 
 @query(f"""WITH {SERIES}, m AS (SELECT *, max(y) OVER (PARTITION BY track ORDER BY i) AS m FROM series), l AS (SELECT *, lag(m) OVER w AS m0, lag(t) OVER w AS t0 FROM m WINDOW w AS (PARTITION BY track ORDER BY i)),
 g AS (SELECT l.*, v.level FROM l CROSS JOIN (VALUES (100.0::DOUBLE), (250.0::DOUBLE), (400.0::DOUBLE), (480.0::DOUBLE)) AS v(level)), f AS (SELECT *, row_number() OVER (PARTITION BY track, level ORDER BY i) AS k FROM g WHERE m >= level)
 SELECT track, level, round(CASE WHEN m0 IS NULL THEN t ELSE t0 + CASE WHEN m > m0 THEN greatest(0, least(1, (level - m0) / (m - m0))) ELSE 0 END * (t - t0) END, 3) AS reached FROM f WHERE k = 1""")
 def virtual_gates(spark, sf_dir):
-    return S.gates(series(spark, sf_dir), [100, 250, 400, 480]).filter("at is not null").select("track", "level", F.round("at", 3).alias("reached"))
+    return S.gates(series(spark, sf_dir), [100, 250, 400, 480]).filter("at is not null").select("track", "level", rounded(F.col("at"), 3).alias("reached"))
 
 
 @query(f"""WITH {SERIES}, d AS (SELECT track, i, y, coalesce(((y - lag(y) OVER w + 180) % 360 + 360) % 360 - 180, 0) AS d FROM series WINDOW w AS (PARTITION BY track ORDER BY i))

@@ -85,3 +85,25 @@ def test_arrivals_of_pairs_without_a_track_or_a_time(spark, tmp_path):
     without_a_track_or_a_time(tmp_path)
     found, wanted = both(spark, tmp_path, "measured_arrivals", "events")
     assert found == wanted and len(found) == 2
+
+
+def test_crossings_just_below_half_a_millisecond(spark, tmp_path):
+    """A time of ...1134999 s: its thousandfold is ...113.5 as a double, and goes up."""
+    events(tmp_path, {1: [10.0] + [0.0] * 9})
+    t = pq.read_table(f"{tmp_path}/events.parquet")
+    times = [START + datetime.timedelta(microseconds=126_111 * k) for k in range(10)]
+    pq.write_table(t.set_column(1, "ts", pa.array(times, pa.timestamp("us"))), f"{tmp_path}/events.parquet")
+    found, wanted = both(spark, tmp_path, "zero_crossings", "events")
+    assert found == wanted == ["(1, 1, 1704067200.114)"]
+
+
+def test_crossings_without_a_time_or_a_value(spark, tmp_path):
+    """A crossing to a frame without a time has none, but counts; a frame without a value breaks the track."""
+    events(tmp_path, {1: [9.0, 0.0, 9.0, 0.0, 0.0, 9.0, 3.0, 0.0], 2: [9.0, None, 0.0, 9.0, 0.0, None, 9.0, 0.0, 8.0], 3: [9.0, 0.0, 9.0, 0.0, 9.0, 0.0]})
+    t = pq.read_table(f"{tmp_path}/events.parquet")
+    times = [None if (u, k) in ((1, 2), (3, 0), (3, 1)) else v for u, k, v in zip(t["user_id"].to_pylist(), t["event_id"].to_pylist(), t["ts"].to_pylist())]
+    pq.write_table(t.set_column(1, "ts", pa.array(times, pa.timestamp("us"))), f"{tmp_path}/events.parquet")
+    for name in ("zero_crossings", "period_from_crossings", "full_cycle_period", "measured_periods", "release_return"):
+        found, wanted = both(spark, tmp_path, name, "events")
+        assert found == wanted, name
+    assert sum(r.endswith("None)") for r in both(spark, tmp_path, "zero_crossings", "events")[0]) == 3
