@@ -23,9 +23,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def rounded(x: Column, digits: int) -> Column:
-    """As SQL's round() has it for doubles: the product with a power of ten is rounded, so that 1.0484375, whose double lies below, goes down."""
+    """As SQL's round() has it for doubles: the product with a power of ten is rounded, so that 1.0484375, whose double lies below, goes down; where it overflows, x stays."""
     scale = float(10**digits)
-    return F.when(F.abs(x) < 1e300, F.round(x * scale) / scale).otherwise(x)
+    return F.when(F.abs(x * scale) < float("inf"), F.round(x * scale) / scale).otherwise(x)
 
 
 def r6(x: Column | str, name: str | None = None) -> Column:

@@ -107,3 +107,9 @@ def test_crossings_without_a_time_or_a_value(spark, tmp_path):
         found, wanted = both(spark, tmp_path, name, "events")
         assert found == wanted, name
     assert sum(r.endswith("None)") for r in both(spark, tmp_path, "zero_crossings", "events")[0]) == 3
+
+
+def test_ratios_of_negative_values_and_at_the_end_of_doubles(spark, tmp_path):
+    events(tmp_path, {1: [3.0, -6.0, -1.5, 2.0, 0.0, -4.0], 2: [1e-300, 8.703675918979745, 2.0, 1e306]})
+    found, wanted = both(spark, tmp_path, "successive_ratio", "events")
+    assert found == wanted and "(1, 2, -2.0, nan)" in found and "(1, 3, 0.25, 0.5)" in found
