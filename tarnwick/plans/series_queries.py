@@ -167,10 +167,7 @@ def sustained_lead(spark, sf_dir):
 @query(f"""WITH {SERIES}, d AS (SELECT track, i, t, sum(y) OVER (PARTITION BY track ORDER BY i) AS d FROM series), a AS (SELECT track, min(CASE WHEN d >= 4000 THEN i END) AS arrival FROM d GROUP BY track)
 SELECT d.track, max(a.arrival) AS arrival, CASE WHEN count(*) FILTER (i <= arrival AND d >= 800) >= 3 THEN round(regr_slope(d, t) FILTER (i <= arrival AND d >= 800), 9) END AS speed FROM d JOIN a USING (track) GROUP BY d.track""")
 def arrival_speed(spark, sf_dir):
-    from pyspark.sql import Window
-
-    way = series(spark, sf_dir).filter("track is not null").withColumn("y", F.sum("y").over(Window.partitionBy("track").orderBy("i")))
-    return S.arrival(way, 4000).select("track", "arrival", F.round("speed", 9).alias("speed"))
+    return S.arrival(S.way(series(spark, sf_dir).filter("track is not null")), 4000).select("track", "arrival", F.round("speed", 9).alias("speed"))
 
 
 @query(f"""WITH {SERIES} SELECT track, i, round(y / lag(y) OVER w, 6) AS ratio, round(sqrt(y / lag(y) OVER w), 6) AS root FROM series WINDOW w AS (PARTITION BY track ORDER BY i)""")

@@ -1,6 +1,7 @@
 """Queries on made tables, against their SQL: zeros, ties and rows out of order, which the driver's small tables have not."""
 
 import datetime
+import itertools
 
 import duckdb
 import pyarrow as pa
@@ -113,3 +114,14 @@ def test_ratios_of_negative_values_and_at_the_end_of_doubles(spark, tmp_path):
     events(tmp_path, {1: [3.0, -6.0, -1.5, 2.0, 0.0, -4.0], 2: [1e-300, 8.703675918979745, 2.0, 1e306]})
     found, wanted = both(spark, tmp_path, "successive_ratio", "events")
     assert found == wanted and "(1, 2, -2.0, nan)" in found and "(1, 3, 0.25, 0.5)" in found
+
+
+def test_arrival_at_the_bound_to_the_cent(spark, tmp_path):
+    """A way of just 4000.00, which doubles summed in order miss by a rounding; one whose values no decimal of the width holds is summed as doubles."""
+    way = [71.68] * 39 + [1204.48, 1.0]
+    assert list(itertools.accumulate(way))[39] < 4000
+    events(tmp_path, {2: way, 4: [1e300, 1.0, 2.0], 6: [float("inf")] * 4})
+    found, wanted = both(spark, tmp_path, "arrival_speed", "events")
+    assert found == wanted and any(r.startswith("(2, 40, 0.022") for r in found)
+    one = spark.createDataFrame([(2, k, float(k), v) for k, v in enumerate(way[39::-1])], "track long, i int, t double, y double")
+    assert S.arrival(S.way(one), 4000).first().arrival == 39
