@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnwick.operators import measures as M
+from tarnwick.operators import series as S
 from tarnwick.plans.registry import query, rounded
 from tarnwick.plans.views import SERIES, series
 
@@ -14,7 +15,7 @@ DAY = 86_400.0
 def observations(spark, sf_dir):
     s = series(spark, sf_dir)
     obj = F.when(F.col("track") % 2 == 0, "a").otherwise("b")
-    return s.select(F.floor(F.col("track") / 2).cast("string").alias("sample"), obj.alias("object"), "i", (F.col("t") / DAY - 19700).alias("t"), F.col("i").cast("double").alias("x"), "y", F.lit(1.0).alias("r"), "valid")
+    return s.select(F.expr("track div 2").cast("string").alias("sample"), obj.alias("object"), "i", (F.col("t") / DAY - 19700).alias("t"), F.col("i").cast("double").alias("x"), "y", F.lit(1.0).alias("r"), "valid")
 
 
 OBS = f"""{SERIES}, obs AS (SELECT CAST(track // 2 AS VARCHAR) AS sample, CASE WHEN track % 2 = 0 THEN 'a' ELSE 'b' END AS object, i, t / {DAY} - 19700 AS t, i::DOUBLE AS x, y, valid FROM series)"""
@@ -58,9 +59,7 @@ def measured_head_tail(spark, sf_dir):
 s AS (SELECT d.sample, d.object, max(a.arrival) AS t, CASE WHEN count(*) FILTER (i <= arrival AND d >= 600) >= 3 THEN regr_slope(d, d.t) FILTER (i <= arrival AND d >= 600) END AS v FROM d JOIN a USING (sample, object) GROUP BY d.sample, d.object),
 q AS (SELECT sample, CASE object WHEN 'a' THEN 't_metal' ELSE 't_plain' END AS name, t::DOUBLE AS value FROM s UNION ALL SELECT sample, CASE object WHEN 'a' THEN 'v_metal' ELSE 'v_plain' END, v FROM s) SELECT sample, name, round(value, 4) AS value FROM q WHERE value IS NOT NULL""")
 def measured_arrivals(spark, sf_dir):
-    from pyspark.sql import Window
-
-    way = observations(spark, sf_dir).filter("sample is not null").withColumn("y", F.sum("y").over(Window.partitionBy("sample", "object").orderBy("i")))
+    way = S.way(observations(spark, sf_dir).filter("sample is not null"), M.KEYS)
     named = way.withColumn("object", F.when(F.col("object") == "a", "metal").otherwise("plain"))
     return long(M.arrivals(named, 3000))
 

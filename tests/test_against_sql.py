@@ -125,3 +125,15 @@ def test_arrival_at_the_bound_to_the_cent(spark, tmp_path):
     assert found == wanted and any(r.startswith("(2, 40, 0.022") for r in found)
     one = spark.createDataFrame([(2, k, float(k), v) for k, v in enumerate(way[39::-1])], "track long, i int, t double, y double")
     assert S.arrival(S.way(one), 4000).first().arrival == 39
+
+
+def test_arrivals_at_the_bound_to_the_cent_and_of_negative_tracks(spark, tmp_path):
+    """Tracks are halved towards zero: -2 and -3 are a pair, and -1 and 1 one track."""
+    way = [52.57] * 39 + [949.77, 1.0]
+    assert list(itertools.accumulate(way))[39] < 3000
+    events(tmp_path, {2: way})
+    found, wanted = both(spark, tmp_path, "measured_arrivals", "events")
+    assert found == wanted and "('1', 't_metal', 40.0)" in found
+    events(tmp_path, {-3: [300.0] * 12, -2: [400.0] * 12, -1: [200.0] * 12, 0: [500.0] * 12, 1: [100.0] * 12, 2**53 + 3: [350.0] * 12})
+    found, wanted = both(spark, tmp_path, "measured_arrivals", "events")
+    assert found == wanted and len(found) == 10
